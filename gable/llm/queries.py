@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from gable.llm.embedding_dedup import near_vectors
 from gable.llm.exact_dedup import exact_groups
+from gable.llm.language_id import identified
 from gable.llm.ngram_join import near_copies
+from gable.llm.token_counts import counted
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,17 +20,27 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counted(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identified(table(spark, sf_dir, "documents"))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
+    "op3_token_counts": op3_token_counts,
     "op6_exact_dedup": op6_exact_dedup,
+    "op9_language_id": op9_language_id,
     "op10_ngram_join": op10_ngram_join,
 }
 
