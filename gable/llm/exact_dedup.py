@@ -26,16 +26,17 @@ def exact_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text", kee
     unique; rows that repeat an id with the same text count in group_size and all carry that id as keep_id. An
     empty table gives an empty one; columns other than ident and text are not read.
 
-    Only hashes and ids are shuffled for all rows. Texts are shuffled once, to be compared, and the table of hashes that
-    repeat is written first, so that Spark broadcasts it while it is under the session's limit and else joins by shuffle.
+    Texts are shuffled twice: by id, to fetch the one that stays of each repeated hash, and by hash, to compare all others
+    with it. These joins are sort-merge joins at every size, with one row a key on their right, so Spark can split a hash
+    that a third of the rows share.
     """
     best = {"min": F.min, "max": F.max}[keep]
     rows = docs.select(F.col(ident).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_t")).withColumn("_h", hasher(F.col("_t")))
     repeated = written(rows.groupBy("_h").agg(F.count(F.lit(1)).alias("n"), best("_id").alias("k")).where("n > 1"))
 
-    member = rows.join(repeated, "_h")
-    stays = member.where("_id = k").select("_h", F.col("_t").alias("_kept")).dropDuplicates(["_h"])
-    differ = written(member.join(stays, "_h").where(F.col("_t") != F.col("_kept")).select("_h").distinct())
+    stays = rows.select("_id", "_t").join(repeated.select("_h", F.col("k").alias("_id")).hint("merge"), "_id")
+    stays = stays.select("_h", F.col("_t").alias("_kept"))
+    differ = written(rows.select("_h", "_t").join(stays.hint("merge"), "_h").where(F.col("_t") != F.col("_kept")).select("_h").distinct())
 
     apart = rows.join(differ.withColumn("_d", F.lit(True)), "_h", "left")
     apart = apart.select("_id", "_h", F.sha2(F.col("_t").cast("binary"), 256).alias("text_sha256"), F.when(F.col("_d"), F.col("_t")).alias("_x"))
@@ -43,7 +44,7 @@ def exact_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text", kee
     whole = repeated.join(differ, "_h", "left_anti").select("_h", F.lit(None).cast("string").alias("_x"), "n", "k")
     sized = split.select("_h", "_x", "n", "k").unionByName(whole)
     sized = sized.select(F.col("_h").alias("_gh"), F.col("_x").alias("_gx"), "n", "k")
-    out = apart.join(sized, (F.col("_h") == F.col("_gh")) & F.col("_x").eqNullSafe(F.col("_gx")), "left")
+    out = apart.join(sized.hint("merge"), (F.col("_h") == F.col("_gh")) & F.col("_x").eqNullSafe(F.col("_gx")), "left")
     kept = F.coalesce("k", "_id")
     return out.select(
         F.col("_id").alias(ident),
