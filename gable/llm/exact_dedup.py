@@ -36,7 +36,7 @@ def exact_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text", kee
 
     stays = rows.select("_id", "_t").join(repeated.select("_h", F.col("k").alias("_id")).hint("merge"), "_id")
     stays = stays.select("_h", F.col("_t").alias("_kept"))
-    differ = written(rows.select("_h", "_t").join(stays.hint("merge"), "_h").where(F.col("_t") != F.col("_kept")).select("_h").distinct())
+    differ = written(rows.select("_h", "_t").join(stays.hint("merge"), "_h").where(F.col("_t") != F.col("_kept")).select("_h")).distinct()
 
     apart = rows.join(differ.withColumn("_d", F.lit(True)), "_h", "left")
     apart = apart.select("_id", "_h", F.sha2(F.col("_t").cast("binary"), 256).alias("text_sha256"), F.when(F.col("_d"), F.col("_t")).alias("_x"))

@@ -9,6 +9,8 @@ from gable.llm.embedding_dedup import near_vectors
 from gable.llm.exact_dedup import exact_groups
 from gable.llm.language_id import identified
 from gable.llm.ngram_join import near_copies
+from gable.llm.packing import packed
+from gable.llm.paragraph_dedup import repeated_passages
 from gable.llm.token_counts import counted
 
 
@@ -24,6 +26,14 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op5_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -39,6 +49,8 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op3_token_counts": op3_token_counts,
+    "op4_packing": op4_packing,
+    "op5_paragraph_dedup": op5_paragraph_dedup,
     "op6_exact_dedup": op6_exact_dedup,
     "op9_language_id": op9_language_id,
     "op10_ngram_join": op10_ngram_join,

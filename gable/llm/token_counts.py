@@ -7,7 +7,8 @@ once per task while it is remembered.
 
 from __future__ import annotations
 
-import json
+import unicodedata
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -28,6 +29,23 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=1)
+def unsure():
+    """Matches characters whose class libraries of different Unicode versions may see differently; texts with one are left whole to the library."""
+    every = [chr(c) for c in range(0x80, 0x110000) if not 0xD800 <= c < 0xE000]
+    text = "".join(every)
+    is_letter, is_number = set(regex.findall(r"\p{L}", text)), set(regex.findall(r"\p{N}", text))
+    odd = []
+    for c in every:
+        kind = unicodedata.category(c)
+        if kind == "Cn" or (kind[0] == "L") != (c in is_letter) or (kind[0] == "N") != (c in is_number):
+            if odd and ord(c) == odd[-1][1] + 1:
+                odd[-1][1] += 1
+            else:
+                odd.append([ord(c), ord(c)])
+    return regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in odd) + "]")
+
+
 def byte_letters() -> dict[str, int]:
     """The printable letter that stands for each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -71,6 +89,9 @@ class TokenCounter:
         out = []
         for text in texts:
             text, n = text or "", 0
+            if not text.isascii() and unsure().search(text):
+                out.append(len(self.tok.encode(text, add_special_tokens=False).ids))
+                continue
             parts = [text]
             if self.special is not None and (hits := self.special.findall(text)):
                 parts, n = self.special.split(text), len(hits)
