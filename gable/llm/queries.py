@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gable.llm.embedding_dedup import near_vectors
 from gable.llm.exact_dedup import exact_groups
@@ -11,7 +12,9 @@ from gable.llm.language_id import identified
 from gable.llm.ngram_join import near_copies
 from gable.llm.packing import packed
 from gable.llm.paragraph_dedup import repeated_passages
+from gable.llm.quotation import as_mail, chat_lines, linked
 from gable.llm.token_counts import counted
+from gable.llm.warc_fixity import archived, audited
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +25,11 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written as mails that quote the two messages before, and taken apart again."""
+    return chat_lines(linked(as_mail(table(spark, sf_dir, "conversations"))))
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -38,6 +46,15 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as WARC records against a replica in which some records are altered, cut short or lost."""
+    records = archived(table(spark, sf_dir, "pages"))
+    flipped = F.concat(F.substring("record", 1, F.col("length").cast("int") - 5), F.lit("~").cast("binary"), F.expr("substring(record, int(length) - 3, 4)"))
+    damaged = F.when(F.col("page_id") % 97 == 13, flipped).when(F.col("page_id") % 211 == 5, F.expr("substring(record, 1, int(length) - 7)")).otherwise(F.col("record"))
+    replica = records.where(F.coalesce(F.col("page_id") % 307 != 11, F.lit(True))).withColumn("record", damaged)
+    return audited(records, replica.withColumn("length", F.octet_length("record").cast("long")))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identified(table(spark, sf_dir, "documents"))
 
@@ -48,10 +65,12 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
+    "op2_quotation_linking": op2_quotation_linking,
     "op3_token_counts": op3_token_counts,
     "op4_packing": op4_packing,
     "op5_paragraph_dedup": op5_paragraph_dedup,
     "op6_exact_dedup": op6_exact_dedup,
+    "op8_merkle_fixity": op8_merkle_fixity,
     "op9_language_id": op9_language_id,
     "op10_ngram_join": op10_ngram_join,
 }
@@ -69,6 +88,31 @@ c AS (SELECT id, min(r) AS k FROM reach GROUP BY id),
 n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
 SELECT e.vec_id, coalesce(n.n, 0) AS n_links, c.k AS component_id, c.k = e.vec_id AS kept
 FROM embeddings e JOIN c ON c.id = e.vec_id LEFT JOIN n ON n.a = e.vec_id""",
+    "op2_quotation_linking": r"""
+WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
+b AS (SELECT conv_id, turn, min(text) AS text FROM m GROUP BY 1, 2),
+j AS (SELECT m.*, regexp_matches(x.text, '\S') AS has1, regexp_matches(y.text, '\S') AS has2
+  FROM m LEFT JOIN b x ON x.conv_id = m.conv_id AND x.turn = m.turn - 1 LEFT JOIN b y ON y.conv_id = m.conv_id AND y.turn = m.turn - 2)
+SELECT conv_id AS conversation_id, conv_id, turn, role, trim(text, E' \n\t\r') AS text,
+  CASE WHEN has1 THEN conv_id END AS reply_thread, CASE WHEN has1 THEN turn - 1 END AS reply_order,
+  CASE WHEN has1 THEN 1 ELSE 0 END + CASE WHEN has2 THEN 1 ELSE 0 END AS n_quotes,
+  CASE WHEN has1 THEN 1 ELSE 0 END + CASE WHEN has2 THEN 1 ELSE 0 END AS n_linked,
+  '<|' || coalesce(role, 'unknown') || E'|>\n' || trim(text, E' \n\t\r') || E'\n<|end|>\n' AS chat
+FROM j""",
+    "op8_merkle_fixity": r"""
+WITH n AS (SELECT CASE WHEN count(*) = 0 THEN 1 ELSE CAST(ceil(count(*) / 1000.0) AS BIGINT) END AS files FROM pages),
+r AS (SELECT page_id, CAST(page_id % files AS INTEGER) AS file,
+  E'WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:gable:' || page_id || E'>\r\nWARC-Target-URI: ' || coalesce(url, '')
+  || E'\r\nContent-Type: text/html\r\nContent-Length: ' || strlen(coalesce(html, '')) || E'\r\n\r\n' || coalesce(html, '') || E'\r\n\r\n' AS record
+  FROM pages, n),
+o AS (SELECT *, row_number() OVER w - 1 AS seq, CAST(sum(strlen(record)) OVER w - strlen(record) AS BIGINT) AS offset_ FROM r
+  WINDOW w AS (PARTITION BY file ORDER BY page_id, record ROWS UNBOUNDED PRECEDING)),
+d AS (SELECT *, CASE WHEN page_id % 307 = 11 THEN NULL
+  WHEN page_id % 97 = 13 THEN encode(record)[1:strlen(record) - 5] || encode('~') || encode(record)[strlen(record) - 3:]
+  WHEN page_id % 211 = 5 THEN encode(record)[1:strlen(record) - 7] ELSE encode(record) END AS copy FROM o)
+SELECT file, seq, offset_ AS offset, CAST(strlen(record) AS BIGINT) AS length, CASE WHEN copy IS NULL THEN 'missing' ELSE 'changed' END AS status,
+  sha256(record) AS digest, sha256(copy) AS replica_digest
+FROM d WHERE copy IS NULL OR copy <> encode(record)""",
     "op6_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
   sha256(coalesce(text, '')) AS text_sha256
