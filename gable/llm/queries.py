@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gable.llm.byte_bpe import digests
 from gable.llm.embedding_dedup import near_vectors
 from gable.llm.exact_dedup import exact_groups
 from gable.llm.language_id import identified
@@ -46,6 +47,10 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op8_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as WARC records against a replica in which some records are altered, cut short or lost."""
     records = archived(table(spark, sf_dir, "pages"))
@@ -70,6 +75,7 @@ QUERIES = {
     "op4_packing": op4_packing,
     "op5_paragraph_dedup": op5_paragraph_dedup,
     "op6_exact_dedup": op6_exact_dedup,
+    "op7_byte_bpe": op7_byte_bpe,
     "op8_merkle_fixity": op8_merkle_fixity,
     "op9_language_id": op9_language_id,
     "op10_ngram_join": op10_ngram_join,
