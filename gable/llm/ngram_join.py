@@ -118,7 +118,7 @@ def near_copies(docs: DataFrame, ident: str = "doc_id", text: str = "text", thre
     groups = connected_components(banded.join(shared, "key").where("rep != lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")))
     active = written(groups.join(classes, F.col("id") == F.col("rep")).select("rep", F.col("component").alias("grp"), "copies", "size"))
 
-    texts = rows.join(active, F.col("_id") == F.col("rep")).select("rep", "grp", "copies", "size", "_t")
+    texts = rows.join(active.hint("merge"), F.col("_id") == F.col("rep")).select("rep", "grp", "copies", "size", "_t")
     blocks = paired_blocks(texts, "grp", "rep", F.col("size") + LEAST, BLOCK)
 
     def compared(table: pa.Table) -> dict | None:
@@ -156,4 +156,4 @@ def near_copies(docs: DataFrame, ident: str = "doc_id", text: str = "text", thre
 def one_of_each(docs: DataFrame, ident: str = "doc_id", text: str = "text", threshold: float = SIMILAR) -> DataFrame:
     """The rows of docs of which near_copies keeps the id."""
     stay = near_copies(docs, ident, text, threshold).where("kept").select(F.col(ident).alias("_stay"))
-    return docs.join(stay, F.col(ident) == F.col("_stay"), "left_semi")
+    return docs.join(stay.hint("merge"), F.col(ident) == F.col("_stay"), "left_semi")
