@@ -58,4 +58,4 @@ def exact_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text", kee
 def without_copies(docs: DataFrame, ident: str = "doc_id", text: str = "text", keep: str = "max") -> DataFrame:
     """The rows of docs that stay, with all their columns; a row that repeats whole, id included, stays once."""
     stay = exact_groups(docs, ident, text, keep).where("kept").select(F.col(ident).alias("_stay")).distinct()
-    return docs.join(stay, F.col(ident) == F.col("_stay"), "left_semi").dropDuplicates([ident])
+    return docs.join(stay.hint("merge"), F.col(ident) == F.col("_stay"), "left_semi").dropDuplicates([ident])
