@@ -9,6 +9,7 @@ are powers of two, so nothing is padded.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gable.llm.common import by_group, ready, written
-from gable.llm.token_counts import PATTERN, REMEMBERED, load, unsure
+from gable.llm.token_counts import REMEMBERED, load, one_piece, pre_tokens, ranks_of
 
 #: Ids in a window; postings (distinct terms of documents) in a shard, on average; BM25's constants.
 WINDOW, SHARD, K1, B = 1024, 250_000, 1.2, 0.75
@@ -25,38 +26,67 @@ PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 
 class Encoder:
-    """Ids of whole texts, equal to the tokenizers library's without added special tokens."""
+    """Ids of whole texts, equal to the tokenizers library's without added special tokens.
 
-    def __init__(self, path: str):
-        import regex
+    A single space between two other characters begins a pre-token, so texts without double spaces are taken apart at
+    spaces first, and what stands between is encoded once while it is remembered.
+    """
 
+    def __init__(self, path: str):
         self.tok = load(path)
         self.added = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
-        self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 65_536 else np.dtype("<u4")
-        self.known: dict[str, bytes] = {}
-        self.find = regex.compile(PATTERN).findall
-
-    def words(self, text: str) -> bytes:
-        found = self.find(text)
+        self.chunks: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        ranks = ranks_of(path)
+        if ranks is None:
+            plain = load(path)
+            plain.pre_tokenizer = one_piece()
+            self.merge = lambda w: plain.encode(w, add_special_tokens=False).ids
+        else:
+            import tiktoken
+
+            self.merge = tiktoken.Encoding("gable", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+    def pack(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.dtype).tobytes()
+
+    def chunk(self, text: str) -> bytes:
+        words = pre_tokens(text)
+        if words is None:
+            return self.pack(self.tok.encode(text, add_special_tokens=False).ids)
+        out = []
+        for w in words:
+            ids = self.words.get(w)
+            if ids is None:
+                if len(self.words) > REMEMBERED:
+                    self.words.clear()
+                ids = self.words[w] = self.pack(self.merge(w))
+            out.append(ids)
+        return b"".join(out)
+
+    def plain(self, text: str) -> bytes:
+        """A text without special strings."""
+        if "  " in text:
+            return self.chunk(text)
+        head, *rest = text.split(" ")
         try:
-            return b"".join(map(self.known.__getitem__, found))
+            return self.chunk(head) + b"".join(map(self.chunks.__getitem__, rest))
         except KeyError:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-            new = list({w for w in found if w not in self.known})
-            for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
-                self.known[w] = np.array(e.ids, self.dtype).tobytes()
-            return b"".join(map(self.known.__getitem__, found))
+            if len(self.chunks) > REMEMBERED:
+                self.chunks.clear()
+            for c in rest:
+                if c not in self.chunks:
+                    self.chunks[c] = self.chunk(" " + c)
+            return self.chunk(head) + b"".join(map(self.chunks.__getitem__, rest))
 
     def __call__(self, text: str | None) -> np.ndarray:
         text = text or ""
-        if not text.isascii() and unsure().search(text):
-            raw = np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        elif self.special is not None and self.special.search(text):
-            raw = b"".join(np.array([self.added[p]], self.dtype).tobytes() if p in self.added else self.words(p) for p in self.special.split(text))
+        if self.special is not None and self.special.search(text):
+            raw = b"".join(self.pack([self.added[p]]) if p in self.added else self.plain(p) for p in self.special.split(text))
         else:
-            raw = self.words(text)
+            raw = self.plain(text)
         return np.frombuffer(raw + b"\0" * self.dtype.itemsize, self.dtype)
 
 

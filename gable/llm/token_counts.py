@@ -7,6 +7,9 @@ once per task while it is remembered.
 
 from __future__ import annotations
 
+import json
+import os
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -20,15 +23,30 @@ from gable.llm.common import ready
 #: How the byte-level pre-tokenizer splits text. Fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Distinct pre-tokens a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
+
+#: The same split for texts of common characters only, in which Python's classes are those of the pattern.
+_FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
+#: Matches a character that is not common: beyond ASCII, Latin and Cyrillic letters and general punctuation.
+_UNCOMMON = re.compile("[^\t\n\r -~¡-±´-¸º»¿-ɏЀ-џ‐-‧‰-⁞]").search
+_FULL = regex.compile(PATTERN).findall
 
 
 def load(path: str):
+    """The library's tokenizer, on one thread: tasks run side by side."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
 
 
+def pre_tokens(text: str) -> list[str] | None:
+    """The pattern's matches in text; None if it holds a character whose class is unsure."""
+    if not _UNCOMMON(text):
+        return _FAST(text)
+    return None if unsure().search(text) else _FULL(text)
+
+
 @lru_cache(maxsize=1)
 def unsure():
     """Matches characters whose class libraries of different Unicode versions may see differently; texts with one are left whole to the library."""
@@ -46,6 +64,13 @@ def unsure():
     return regex.compile("[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in odd) + "]")
 
 
+def one_piece():
+    """A pre-tokenizer that spells bytes as letters and splits nothing."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    return ByteLevel(add_prefix_space=False, use_regex=False)
+
+
 def byte_letters() -> dict[str, int]:
     """The printable letter that stands for each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -53,6 +78,19 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def ranks_of(path: str) -> dict[bytes, int] | None:
+    """Ids by bytes if merges rank as their ids do, so that a library of ranks gives the same ids; else None."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    back, vocab = byte_letters(), model["vocab"]
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [vocab["".join(m)] for m in pairs]
+    single = [p for p in vocab if len(p) == 1]
+    if made != sorted(made) or len(set(made)) + len(single) != len(vocab) or not all(c in back for p in vocab for c in p):
+        return None
+    return {bytes(back[c] for c in p): i for p, i in vocab.items()}
+
+
 def whole_tokens(path: str) -> list[str]:
     """Vocabulary strings that the library encodes, alone, as one token: the proof behind the shortcut."""
     tok, back = load(path), byte_letters()
@@ -71,39 +109,39 @@ class TokenCounter:
     """Counts tokens of texts; made once per task."""
 
     def __init__(self, path: str, whole: list[str]):
-        self.tok = load(path)
+        self.tok, self.plain = load(path), load(path)
+        self.plain.pre_tokenizer = one_piece()
         added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
-        self.special = regex.compile("|".join(map(regex.escape, sorted(added, key=len, reverse=True)))) if added else None
-        self.known = dict.fromkeys(whole, 1)
-        self.whole = len(self.known)
-        self.find = regex.compile(PATTERN).findall
+        self.special = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True)))) if added else None
+        self.whole = dict.fromkeys(whole, 1)
+        self.known = dict(self.whole)
 
-    def learn(self, words: set[str]) -> None:
+    def learn(self, words: list[str]) -> None:
         """Merge the pre-tokens that are not known."""
-        if len(self.known) > self.whole + REMEMBERED:
-            self.known = dict(list(self.known.items())[: self.whole])
-        words = list(words)
-        self.known.update(zip(words, map(len, self.tok.encode_batch_fast(words, add_special_tokens=False))))
+        if len(self.known) > len(self.whole) + REMEMBERED:
+            self.known = dict(self.whole)
+        new = list({w for w in words if w not in self.known})
+        self.known.update(zip(new, map(len, self.plain.encode_batch_fast(new, add_special_tokens=False))))
+
+    def count(self, text: str) -> int:
+        """Tokens of a text without special strings."""
+        words = pre_tokens(text)
+        if words is None:
+            return len(self.tok.encode(text, add_special_tokens=False).ids)
+        try:
+            return sum(map(self.known.__getitem__, words))
+        except KeyError:
+            self.learn(words)
+            return sum(map(self.known.__getitem__, words))
 
     def __call__(self, texts: list[str | None]) -> list[int]:
         out = []
         for text in texts:
-            text, n = text or "", 0
-            if not text.isascii() and unsure().search(text):
-                out.append(len(self.tok.encode(text, add_special_tokens=False).ids))
-                continue
-            parts = [text]
+            text = text or ""
             if self.special is not None and (hits := self.special.findall(text)):
-                parts, n = self.special.split(text), len(hits)
-            for part in parts:
-                words = self.find(part)
-                get = self.known.get
-                try:
-                    n += sum(map(get, words))
-                except TypeError:
-                    self.learn({w for w in words if w not in self.known})
-                    n += sum(map(self.known.__getitem__, words))
-            out.append(n)
+                out.append(len(hits) + sum(map(self.count, self.special.split(text))))
+            else:
+                out.append(self.count(text))
         return out
 
 
