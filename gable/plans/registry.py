@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from gable.plans import q_fraud_metrics
+
+BOOKS = [q_fraud_metrics.book]
+QUERIES = {k: v for b in BOOKS for k, v in b.queries.items()}
+ORACLES = {k: v for b in BOOKS for k, v in b.oracles.items()}
