@@ -155,8 +155,8 @@ book.on_listings(
 )
 book.on_listings(
     "price_describe",
-    lambda d: rounded(M.price_describe(d.withColumn("month", F.trunc("listed_at", "month")), ["month", "category"], "predicted_price"), 2),
-    f"{L} SELECT CAST(date_trunc('month', listed_at) AS DATE) AS month, category, round(min(predicted_price), 2) AS min, round(max(predicted_price), 2) AS max, round(median(predicted_price), 2) AS median, round(avg(predicted_price), 2) AS mean, round(var_pop(predicted_price), 2) AS var, count(*) AS n FROM listings GROUP BY 1, 2",
+    lambda d: rounded(M.price_describe(d.withColumn("month", F.trunc("listed_at", "month")), ["month", "category"], "predicted_price").withColumn("var", F.col("var") / 1e9), 2),
+    f"{L} SELECT CAST(date_trunc('month', listed_at) AS DATE) AS month, category, round(min(predicted_price), 2) AS min, round(max(predicted_price), 2) AS max, round(median(predicted_price), 2) AS median, round(avg(predicted_price), 2) AS mean, round(var_pop(predicted_price) / 1e9, 2) AS var, count(*) AS n FROM listings GROUP BY 1, 2",
 )
 
 # exploratory

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from gable.plans import q_fraud_metrics
+from gable.plans import q_clean, q_fraud_metrics
 
-BOOKS = [q_fraud_metrics.book]
+BOOKS = [q_fraud_metrics.book, q_clean.book]
 QUERIES = {k: v for b in BOOKS for k, v in b.queries.items()}
 ORACLES = {k: v for b in BOOKS for k, v in b.oracles.items()}
