@@ -167,14 +167,15 @@ def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def paired_blocks(df: DataFrame, key: str, ident: str, weight: Column, most: int) -> DataFrame:
+def paired_blocks(df: DataFrame, key: str, ident: str, weight: Column, most: int, members: DataFrame | None = None) -> DataFrame:
     """Deal the rows of each key into blocks of about `most` weight; each row goes to every pair of blocks with its own.
 
     Adds `lo` and `hi` (the pair) and `side` (the row's own block). Compare rows of different sides, or within a pair
     of equal blocks all rows: each two rows of a key then meet once, and no group holds more than two blocks.
-    Keys of one row go. The number of blocks follows the key's size, so no key grows into one task.
+    Keys of one row go. The number of blocks follows the key's size, so no key grows into one task. members: a table that
+    has the key once for each row of df, if that is cheaper to count than df.
     """
-    sized = df.groupBy(key).agg(F.sum(weight).alias("_w"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    sized = (df if members is None else members).groupBy(key).agg(F.sum(weight).alias("_w"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     sized = sized.select(F.col(key).alias("_k"), F.greatest(F.lit(1), F.ceil(F.col("_w") / F.lit(most))).cast("int").alias("_nb"))
     out = df.join(sized, df[key] == sized["_k"]).drop("_k")
     out = out.withColumn("side", F.pmod(F.xxhash64(ident), F.col("_nb")).cast("int"))

@@ -10,7 +10,10 @@ are powers of two, so nothing is padded.
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,10 +21,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gable.llm.common import by_group, ready, written
-from gable.llm.token_counts import REMEMBERED, load, one_piece, pre_tokens, ranks_of
+from gable.llm.token_counts import UNCOMMON, PATTERN, load, one_piece, pre_tokens, ranks_of
 
 #: Ids in a window; postings (distinct terms of documents) in a shard, on average; BM25's constants.
-WINDOW, SHARD, K1, B = 1024, 250_000, 1.2, 0.75
+WINDOW, SHARD, K1, B = 1024, 125_000, 1.2, 0.75
+#: Stretches between spaces whose ids a worker remembers.
+REMEMBERED = 1_200_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -37,34 +42,45 @@ class Encoder:
         self.added = {t.content: i for i, t in self.tok.get_added_tokens_decoder().items()}
         self.special = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.dtype = np.dtype("<u2") if self.tok.get_vocab_size() <= 65_536 else np.dtype("<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        ranks = ranks_of(path)
-        if ranks is None:
+        self.ranks = ranks_of(path)
+        if self.ranks is None:
             plain = load(path)
             plain.pre_tokenizer = one_piece()
             self.merge = lambda w: plain.encode(w, add_special_tokens=False).ids
         else:
             import tiktoken
 
-            self.merge = tiktoken.Encoding("gable", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+            self.merge = tiktoken.Encoding("gable", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={}).encode_ordinary
+            self.bytes = np.zeros(max(self.ranks.values()) + 1, np.int64)
+            self.bytes[list(self.ranks.values())] = [len(t) for t in self.ranks]
 
     def pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        out = array(self.code, ids)
+        if sys.byteorder != "little":
+            out.byteswap()
+        return out.tobytes()
 
     def chunk(self, text: str) -> bytes:
         words = pre_tokens(text)
         if words is None:
             return self.pack(self.tok.encode(text, add_special_tokens=False).ids)
-        out = []
-        for w in words:
-            ids = self.words.get(w)
-            if ids is None:
-                if len(self.words) > REMEMBERED:
-                    self.words.clear()
-                ids = self.words[w] = self.pack(self.merge(w))
-            out.append(ids)
-        return b"".join(out)
+        return b"".join([self.pack(self.merge(w)) for w in words])
+
+    def learn(self, missing: set[str]) -> None:
+        """Encode stretches that follow a space: many in one call, told apart by the bytes of their ids."""
+        together = [c for c in missing if c and not UNCOMMON(c)] if self.ranks is not None else []
+        for c in missing.difference(together):
+            self.chunks[c] = self.chunk(" " + c)
+        if together:
+            ids = np.array(self.merge(" " + " ".join(together)), self.dtype)
+            ends = np.cumsum([len(c) + 1 if c.isascii() else len(c.encode()) + 1 for c in together])
+            at = (np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1) * self.dtype.itemsize
+            raw, begin = ids.tobytes(), 0
+            for c, end in zip(together, at.tolist()):
+                self.chunks[c] = raw[begin:end]
+                begin = end
 
     def plain(self, text: str) -> bytes:
         """A text without special strings."""
@@ -76,9 +92,7 @@ class Encoder:
         except KeyError:
             if len(self.chunks) > REMEMBERED:
                 self.chunks.clear()
-            for c in rest:
-                if c not in self.chunks:
-                    self.chunks[c] = self.chunk(" " + c)
+            self.learn({c for c in rest if c not in self.chunks})
             return self.chunk(head) + b"".join(map(self.chunks.__getitem__, rest))
 
     def __call__(self, text: str | None) -> np.ndarray:
@@ -90,6 +104,12 @@ class Encoder:
         return np.frombuffer(raw + b"\0" * self.dtype.itemsize, self.dtype)
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The encoder of a worker; what it remembers outlives the task."""
+    return Encoder(path)
+
+
 def crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
@@ -177,11 +197,10 @@ def packed(docs: DataFrame, path: str, ident: str = "doc_id", text: str = "text"
     spark = ready(docs.sparkSession)
 
     def encoded(batches):
-        encode = None
+        encode = encoder(path)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            encode = encode or Encoder(path)
             rows = [encode(t) for t in batch.column("_t").to_pylist()]
             full = [[crc(ids[k : k + window]) for k in range(0, len(ids) - window + 1, window)] for ids in rows]
             tails = [ids[len(f) * window :].tobytes() for ids, f in zip(rows, full)]

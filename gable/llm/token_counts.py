@@ -28,7 +28,7 @@ REMEMBERED = 600_000
 #: The same split for texts of common characters only, in which Python's classes are those of the pattern.
 _FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
 #: Matches a character that is not common: beyond ASCII, Latin and Cyrillic letters and general punctuation.
-_UNCOMMON = re.compile("[^\t\n\r -~¡-±´-¸º»¿-ɏЀ-џ‐-‧‰-⁞]").search
+UNCOMMON = re.compile("[^\t\n\r -~¡-±´-¸º»¿-ɏЀ-џ‐-‧‰-⁞]").search
 _FULL = regex.compile(PATTERN).findall
 
 
@@ -42,7 +42,7 @@ def load(path: str):
 
 def pre_tokens(text: str) -> list[str] | None:
     """The pattern's matches in text; None if it holds a character whose class is unsure."""
-    if not _UNCOMMON(text):
+    if not UNCOMMON(text):
         return _FAST(text)
     return None if unsure().search(text) else _FULL(text)
 
@@ -108,7 +108,7 @@ def whole_tokens(path: str) -> list[str]:
 class TokenCounter:
     """Counts tokens of texts; made once per task."""
 
-    def __init__(self, path: str, whole: list[str]):
+    def __init__(self, path: str, whole: tuple[str, ...]):
         self.tok, self.plain = load(path), load(path)
         self.plain.pre_tokenizer = one_piece()
         added = [t.content for t in self.tok.get_added_tokens_decoder().values()]
@@ -145,6 +145,12 @@ class TokenCounter:
         return out
 
 
+@lru_cache(maxsize=1)
+def counter(path: str, whole: tuple[str, ...]) -> TokenCounter:
+    """The counter of a worker; what it remembers outlives the task."""
+    return TokenCounter(path, whole)
+
+
 def counted(docs: DataFrame, path: str, ident: str = "doc_id", text: str = "text", limit: int = 512) -> DataFrame:
     """One row per row of docs: ident, n_bytes, n_tokens, over_limit (n_tokens > limit).
 
@@ -153,15 +159,14 @@ def counted(docs: DataFrame, path: str, ident: str = "doc_id", text: str = "text
     nothing is cut. Other columns are not read; an empty table gives an empty one; rows that repeat repeat.
     """
     ready(docs.sparkSession)
-    whole = docs.sparkSession.sparkContext.broadcast(whole_tokens(path))  # bounded by the vocabulary
+    whole = docs.sparkSession.sparkContext.broadcast(tuple(whole_tokens(path)))  # bounded by the vocabulary
     rows = docs.select(F.col(ident).alias("_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), F.col(text).alias("_t"))
 
     def count(batches):
-        counter = None
+        count_all = counter(path, whole.value)
         for batch in batches:
             if batch.num_rows:
-                counter = counter or TokenCounter(path, whole.value)
-                n = counter(batch.column("_t").to_pylist())
+                n = count_all(batch.column("_t").to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("n_bytes"), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=[ident, "n_bytes", "n_tokens", "over_limit"])
 
     return rows.mapInArrow(count, f"`{ident}` {docs.schema[ident].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")

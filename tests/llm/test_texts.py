@@ -207,7 +207,7 @@ def test_repeats(spark):
 def test_repeats_with_near_paragraphs_and_small_blocks(spark, monkeypatch):
     import gable.llm.paragraph_dedup as m
 
-    monkeypatch.setattr(m, "BLOCK", 200)
+    monkeypatch.setattr(m, "BLOCK", 3)
     test_repeats(spark)
 
 
