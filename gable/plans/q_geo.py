@@ -83,16 +83,16 @@ STATS = f"""{HX}, st AS (SELECT q, r, median(price) AS hex_price_median, median(
 gm AS (SELECT median(price) AS g_price, median(price / nullif(house_area, 0)) AS g_sqm, median(price / nullif(land_area, 0)) AS g_land FROM ok)"""
 NAMES = ["hex_price_median", "hex_median_house_area", "hex_median_land_area", "hex_price_per_sqm", "hex_price_per_land"]
 book.on_listings("hex_cell", lambda d: O.with_cell(d.select("id", "lat", "lon"), RES).select("id", "q", "r", G.hex_id(F.struct("q", "r"), RES).alias("hex_id")), f"{L}, {cell_sql(RES)} SELECT id, q, r, '{RES}_' || q || '_' || r AS hex_id FROM h{RES}")
-book.on_listings("hex_stats", lambda d: rounded(O.hex_stats(cells(d)), 3), f"{STATS} SELECT q, r, hex_property_count, {', '.join(f'round({n}, 3) AS {n}' for n in NAMES)} FROM st")
+book.on_listings("hex_stats", lambda d: rounded(O.hex_stats(cells(d)), 1), f"{STATS} SELECT q, r, hex_property_count, {', '.join(f'round({n}, 1) AS {n}' for n in NAMES)} FROM st")
 book.on_listings(
     "hex_global_fill",
-    lambda d: rounded(O.hex_global_fill(O.hex_stats(cells(d)).withColumn("hex_price_per_land", F.when(F.col("q") % 2 == 0, F.col("hex_price_per_land"))), O.global_medians(cells(d))).select("q", "r", *O.FILLS), 3),
-    f"{STATS} SELECT q, r, round(hex_price_median, 3) AS hex_price_median, round(hex_price_per_sqm, 3) AS hex_price_per_sqm, round(CASE WHEN q % 2 = 0 THEN coalesce(hex_price_per_land, g_land) ELSE g_land END, 3) AS hex_price_per_land FROM st, gm",
+    lambda d: rounded(O.hex_global_fill(O.hex_stats(cells(d)).withColumn("hex_price_per_land", F.when(F.col("q") % 2 == 0, F.col("hex_price_per_land"))), O.global_medians(cells(d))).select("q", "r", *O.FILLS), 1),
+    f"{STATS} SELECT q, r, round(hex_price_median, 1) AS hex_price_median, round(hex_price_per_sqm, 1) AS hex_price_per_sqm, round(CASE WHEN q % 2 = 0 THEN coalesce(hex_price_per_land, g_land) ELSE g_land END, 1) AS hex_price_per_land FROM st, gm",
 )
 book.on_listings(
     "hex_attach",
-    lambda d: rounded((lambda c: O.hex_attach(c, O.hex_stats(c.where("r % 3 <> 0")), O.global_medians(c)))(cells(d)).select("id", "hex_property_count", *O.FILLS), 3),
-    f"{STATS}, s3 AS (SELECT * FROM st WHERE r % 3 <> 0) SELECT h.id, hex_property_count, {', '.join(f'round(CASE WHEN is_outlier = 1 AND {c} IS NULL THEN {g} ELSE {c} END, 3) AS {c}' for c, g in O.FILLS.items())} FROM h{RES} h LEFT JOIN s3 ON s3.q = h.q AND s3.r = h.r, gm",
+    lambda d: rounded((lambda c: O.hex_attach(c, O.hex_stats(c.where("r % 3 <> 0")), O.global_medians(c)))(cells(d)).select("id", "hex_property_count", *O.FILLS), 1),
+    f"{STATS}, s3 AS (SELECT * FROM st WHERE r % 3 <> 0) SELECT h.id, hex_property_count, {', '.join(f'round(CASE WHEN is_outlier = 1 AND {c} IS NULL THEN {g} ELSE {c} END, 1) AS {c}' for c, g in O.FILLS.items())} FROM h{RES} h LEFT JOIN s3 ON s3.q = h.q AND s3.r = h.r, gm",
 )
 STEPS = ", ".join(map(str, G.NEIGHBOURS))
 book.on_listings(
@@ -117,5 +117,5 @@ ROADS = list(O.HIGHWAYS)
 book.on_listings(
     "find_highway",
     lambda d: d.select("id", O.find_highway(F.when(F.col("id") % 3 != 0, F.concat(F.lit("Московская область, "), F.element_at(F.array(*[F.lit(r.capitalize()) for r in ROADS]), (F.col("id") % len(ROADS) + 1).cast("int")), F.lit(" шоссе, 12 км")))).alias("highway")),
-    f"{L}, r AS (SELECT [{', '.join(repr(v) for v in O.HIGHWAYS.values())}] AS v) SELECT id, CASE WHEN id % 3 <> 0 THEN CASE v[id % {len(ROADS)} + 1] WHEN 'novokashirskoye' THEN 'kashirskoye' WHEN 'novoryazanskoye' THEN 'ryazanskoye' ELSE v[id % {len(ROADS)} + 1] END END AS highway FROM listings, r",
+    f"{L}, r AS (SELECT [{', '.join(repr(v) for v in O.HIGHWAYS.values())}] AS v) SELECT id, CASE WHEN id % 3 <> 0 THEN v[id % {len(ROADS)} + 1] END AS highway FROM listings, r",
 )
