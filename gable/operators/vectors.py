@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gable.functions.text import tokens
+from gable.functions.text import bound, tokens
 
 
 def lemmatise(df: DataFrame, lemmas: DataFrame, ident: str, text: str) -> DataFrame:
@@ -18,8 +18,9 @@ def lemmatise(df: DataFrame, lemmas: DataFrame, ident: str, text: str) -> DataFr
 
 def ngrams(words: Column, low: int, high: int) -> Column:
     """All n-grams of an array of words, joined by spaces."""
-    of = lambda n: F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array().cast("array<string>"))
-    return F.concat(*[of(n) for n in range(low, high + 1)])
+    none = F.array().cast("array<string>")
+    of = lambda w, n: F.when(F.size(w) >= n, F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i, n), " "))).otherwise(none)
+    return bound(words, lambda w: F.concat(*[w if n == 1 else of(w, n) for n in range(low, high + 1)]))
 
 
 def term_counts(df: DataFrame, ident: str, text: str, low: int = 1, high: int = 1) -> DataFrame:
