@@ -10,12 +10,13 @@ from __future__ import annotations
 
 import base64
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Documents whose words are counted for the literal map of words, words in it, and buckets of the two maps.
-SAMPLE, WORDS, BUCKETS = 20_000, 100_000, 32_768
+SAMPLE, WORDS, BUCKETS = 20_000, 65_536, 16_384
 _NONE = 2**31 - 1
 
 
@@ -48,7 +49,7 @@ def _bucketed(rows: list[tuple[int, str, object]], kind: str) -> Column:
 
 
 class Vocabulary:
-    """The literals of a vocabulary: ranks by bytes; bytes and little-endian ids by id."""
+    """Literals of a vocabulary: ranks by bytes; bytes and little-endian ids by id."""
 
     def __init__(self, spark: SparkSession, ranks: dict[bytes, int]):
         rows = spark.createDataFrame([(t.decode("latin-1"), r) for t, r in ranks.items()], "k string, r int")
@@ -60,33 +61,40 @@ class Vocabulary:
         self.pieces = _literal(pieces, "array<string>")
         self.numbers = _literal([i.to_bytes(4, "little").decode("latin-1") for i in range(size)], "array<string>")
 
-    def rank(self, piece: Column) -> Column:
-        return F.coalesce(F.try_element_at(self.ranks[_bucket(piece)], piece), F.lit(_NONE))
 
-    def fold(self, word: Column) -> Column:
-        """Ids of one pre-token: array<int>."""
-        # split() takes the word's bytes apart: every character stands for one byte
-        taken = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
-        pairs = lambda p: F.transform(F.slice(p, 1, F.size(p) - 1), lambda x, i: self.rank(F.concat(x, p[i + 1])))
-        start = F.transform(F.array(taken), lambda p: F.struct(p.alias("p"), F.when(F.size(p) > 1, pairs(p)).otherwise(F.array().cast("array<int>")).alias("r")))[0]
+def bound(constant: Column, use: Callable[[Column], Column]) -> Column:
+    """use(constant), the constant standing in the plan once however often it is used."""
+    return F.transform(F.array(constant), lambda c: use(c))[0]
 
-        def step(s: Column, _: Column) -> Column:
-            low = F.array_min(s["r"])
 
-            def merged(at: Column) -> Column:  # at: place of the left one of the pair, from 1
-                p, r = s["p"], s["r"]
-                one = F.concat(F.element_at(p, at), F.element_at(p, at + 1))
-                pieces = F.concat(F.slice(p, 1, at - 1), F.array(one), F.slice(p, at + 2, F.size(p)))
-                left = F.when(at > 1, F.array(self.rank(F.concat(F.try_element_at(p, F.greatest(at - 1, F.lit(1))), one)))).otherwise(F.array().cast("array<int>"))
-                right = F.when(at + 2 <= F.size(p), F.array(self.rank(F.concat(one, F.coalesce(F.try_element_at(p, at + 2), F.lit("")))))).otherwise(F.array().cast("array<int>"))
-                ranks = F.concat(F.slice(r, 1, F.greatest(at - 2, F.lit(0))), left, right, F.slice(r, at + 2, F.size(r)))
-                return F.struct(pieces.alias("p"), ranks.alias("r"))
+def rank(ranks: Column, piece: Column) -> Column:
+    return F.coalesce(F.try_element_at(ranks[_bucket(piece)], piece), F.lit(_NONE))
 
-            again = F.transform(F.array(F.array_position(s["r"], low).cast("int")), merged)[0]
-            return F.when(F.coalesce(low, F.lit(_NONE)) < _NONE, again).otherwise(s)
 
-        steps = F.when(F.size(taken) > 1, F.sequence(F.lit(2), F.size(taken))).otherwise(F.array().cast("array<int>"))
-        return F.aggregate(steps, start, step, lambda s: F.transform(s["p"], self.rank))
+def fold(ranks: Column, word: Column) -> Column:
+    """Ids of one pre-token: array<int>."""
+    # every character of the decoded word stands for one byte
+    taken = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
+    none = F.array().cast("array<int>")
+    pairs = lambda p: F.transform(F.slice(p, 1, F.size(p) - 1), lambda x, i: rank(ranks, F.concat(x, p[i + 1])))
+    start = lambda p: F.struct(p.alias("p"), F.when(F.size(p) > 1, pairs(p)).otherwise(none).alias("r"))
+
+    def step(s: Column, _: Column) -> Column:
+        def merged(at: Column) -> Column:  # at: place of the left one of the pair, from 1
+            p, r = s["p"], s["r"]
+            one = F.concat(F.element_at(p, at), F.element_at(p, at + 1))
+            pieces = F.concat(F.slice(p, 1, at - 1), F.array(one), F.slice(p, at + 2, F.size(p)))
+            left = F.when(at > 1, F.array(rank(ranks, F.concat(F.try_element_at(p, F.greatest(at - 1, F.lit(1))), one)))).otherwise(none)
+            right = F.when(at + 2 <= F.size(p), F.array(rank(ranks, F.concat(one, F.coalesce(F.try_element_at(p, at + 2), F.lit("")))))).otherwise(none)
+            kept = F.concat(F.slice(r, 1, F.greatest(at - 2, F.lit(0))), left, right, F.slice(r, at + 2, F.size(r)))
+            return F.struct(pieces.alias("p"), kept.alias("r"))
+
+        low = F.coalesce(F.array_min(s["r"]), F.lit(_NONE))
+        again = F.transform(F.array(F.array_position(s["r"], low).cast("int")), merged)[0]
+        return F.when(low < _NONE, again).otherwise(s)
+
+    steps = lambda p: F.when(F.size(p) > 1, F.sequence(F.lit(2), F.size(p))).otherwise(none)
+    return bound(taken, lambda p: F.aggregate(steps(p), start(p), step, lambda s: F.transform(s["p"], lambda x: rank(ranks, x))))
 
 
 def words_of(text: Column, pattern: str) -> Column:
@@ -105,20 +113,21 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, ident: str = "doc_id
     rows = docs.select(F.col(ident), words_of(F.col(text), pattern).alias("_w"))
     sample = docs.select(text).limit(SAMPLE).select(F.explode(words_of(F.col(text), pattern)).alias("w"))
     common = sample.groupBy("w").count().orderBy(F.desc("count"), "w").limit(WORDS)
-    known = [tuple(x) for x in common.repartition(8 * spark.sparkContext.defaultParallelism).select(_bucket(F.col("w")), "w", vocabulary.fold(F.col("w")).alias("ids")).collect()]
+    known = [tuple(x) for x in common.repartition(8 * spark.sparkContext.defaultParallelism).select(_bucket(F.col("w")), "w", bound(vocabulary.ranks, lambda r: fold(r, F.col("w"))).alias("ids")).collect()]
     table = _bucketed(known, "array<int>")
-    ids = F.flatten(F.transform("_w", lambda w: F.coalesce(F.try_element_at(table[_bucket(w)], w), vocabulary.fold(w))))
+    both = F.struct(vocabulary.ranks.alias("ranks"), table.alias("words"))
+    ids = bound(both, lambda c: F.flatten(F.transform("_w", lambda w: F.coalesce(F.try_element_at(c["words"][_bucket(w)], w), fold(c["ranks"], w)))))
     return rows.select(ident, ids.alias("ids")), vocabulary
 
 
 def id_bytes(ids: Column, vocabulary: Vocabulary) -> Column:
     """ids as little-endian unsigned 32-bit integers."""
-    return F.encode(F.array_join(F.transform(ids, lambda i: vocabulary.numbers[i]), ""), "ISO-8859-1")
+    return bound(vocabulary.numbers, lambda n: F.encode(F.array_join(F.transform(ids, lambda i: n[i]), ""), "ISO-8859-1"))
 
 
 def decoded(ids: Column, vocabulary: Vocabulary) -> Column:
     """The bytes that ids stand for: their binary pieces, concatenated."""
-    return F.encode(F.array_join(F.transform(ids, lambda i: vocabulary.pieces[i]), ""), "ISO-8859-1")
+    return bound(vocabulary.pieces, lambda n: F.encode(F.array_join(F.transform(ids, lambda i: n[i]), ""), "ISO-8859-1"))
 
 
 def digests(docs: DataFrame, ranks_path: str, pattern: str, ident: str = "doc_id", text: str = "text") -> DataFrame:
