@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Documents whose words are counted for the literal map of words, words in it, and buckets of the two maps.
+#: Documents (about, drawn by a hash of their id) whose words are counted for the literal map of words, words in it, and buckets of the two maps.
 SAMPLE, WORDS, BUCKETS = 20_000, 65_536, 16_384
 _NONE = 2**31 - 1
 
@@ -111,7 +111,9 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, ident: str = "doc_id
     spark = docs.sparkSession
     vocabulary = Vocabulary(spark, read_ranks(ranks_path))
     rows = docs.select(F.col(ident), words_of(F.col(text), pattern).alias("_w"))
-    sample = docs.select(text).limit(SAMPLE).select(F.explode(words_of(F.col(text), pattern)).alias("w"))
+    share = int(min(1.0, SAMPLE / max(1, docs.count())) * 1_000_000)
+    drawn = docs.where(F.pmod(F.xxhash64(F.col(ident).cast("string")), F.lit(1_000_000)) < share)
+    sample = drawn.select(F.explode(words_of(F.col(text), pattern)).alias("w"))
     common = sample.groupBy("w").count().orderBy(F.desc("count"), "w").limit(WORDS)
     known = [tuple(x) for x in common.repartition(8 * spark.sparkContext.defaultParallelism).select(_bucket(F.col("w")), "w", bound(vocabulary.ranks, lambda r: fold(r, F.col("w"))).alias("ids")).collect()]
     table = _bucketed(known, "array<int>")
