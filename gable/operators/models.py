@@ -54,3 +54,17 @@ def search(df: DataFrame, fold: str, k: int, learner: str, features: list[str],
             value, params = float("-inf"), params | {"error": type(e).__name__}
         rows.append((t, {a: str(b) for a, b in params.items()}, float(value if value is not None else "-inf")))
     return df.sparkSession.createDataFrame(rows, "trial int, params map<string,string>, objective double")
+
+
+def sweep(df: DataFrame, fold: str, k: int, target: str, configurations: list[dict]) -> DataFrame:
+    """(run, learner, features, error, metrics of cross-validation) of each configuration {learner, features, **params}; failures are kept apart."""
+    rows = []
+    for c in configurations:
+        params = {n: v for n, v in c.items() if n not in ("learner", "features")}
+        name = "_".join([c["learner"], str(len(c["features"])), *[f"{n}{v}" for n, v in params.items()]])
+        try:
+            m = cross_validate(df, fold, k, c["learner"], c["features"], target, **params).agg(*[F.avg(x) for x in ("r2", "rmse", "smape", "medape")]).first()
+            rows.append((name, c["learner"], len(c["features"]), None, *m))
+        except Exception as e:  # one configuration's failure must not end the others
+            rows.append((name, c["learner"], len(c["features"]), type(e).__name__, None, None, None, None))
+    return df.sparkSession.createDataFrame(rows, "run string, learner string, features int, error string, r2 double, rmse double, smape double, medape double")

@@ -153,3 +153,77 @@ def importance_share(df: DataFrame, prefix: str, group: str = "model") -> DataFr
     m = df.groupBy(group, "feature").agg(F.avg(F.abs("value")).alias("v"))
     own = F.when(F.col("feature").startswith(prefix), F.col("v"))
     return m.groupBy(group).agg(F.count(own).alias("count"), F.sum(own).alias("sum"), (F.sum(own) / F.nullif(F.sum("v"), F.lit(0.0))).alias("share"), F.max(own).alias("max"), F.avg(own).alias("mean"))
+
+
+def anderson_k(df: DataFrame, value: str, sample: str, names: list[str]) -> DataFrame:
+    """One row: n and the k-sample Anderson-Darling statistic a2 in its mid-rank form."""
+    v = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("l"), *[F.count_if(F.col(sample) == s).alias(f"s{i}") for i, s in enumerate(names)])
+    sums = ["l", *[f"s{i}" for i in range(len(names))]]
+    total = v.agg(*[F.sum(s).cast("double").alias(f"t_{s}") for s in sums])
+    c = running(v, "v", sums).join(F.broadcast(total))
+    n, b = F.col("t_l"), F.col("cum_l") - F.col("l") / 2.0
+    below = b * (n - b) - n * F.col("l") / 4.0
+    part = lambda i: F.col("l") / n * F.pow(n * (F.col(f"cum_s{i}") - F.col(f"s{i}") / 2.0) - F.col(f"t_s{i}") * b, F.lit(2.0)) / F.nullif(below, F.lit(0.0)) / F.nullif(F.col(f"t_s{i}"), F.lit(0.0))
+    each = c.groupBy("t_l").agg(*[F.sum(part(i)).alias(f"p{i}") for i in range(len(names))])
+    inner = sum((F.coalesce(f"p{i}", F.lit(0.0)) for i in range(len(names))), F.lit(0.0))
+    return each.select(F.col("t_l").cast("long").alias("n"), ((n - 1) / n * inner).alias("a2"))
+
+
+# Coefficients of a rational approximation of the inverse normal distribution.
+_A = (-39.69683028665376, 220.9460984245205, -275.9285104469687, 138.357751867269, -30.66479806614716, 2.506628277459239)
+_B = (-54.47609879822406, 161.5858368580409, -155.6989798598866, 66.80131188771972, -13.28068155288572)
+_C = (-0.007784894002430293, -0.3223964580411365, -2.400758277161838, -2.549732539343734, 4.374664141464968, 2.938163982698783)
+_D = (0.007784695709041462, 0.3224671290700398, 2.445134137142996, 3.754408661907416)
+
+
+def normal_quantile(p: Column) -> Column:
+    """Inverse normal distribution, to about 1e-9 relative."""
+
+    def poly(x: Column, coefficients: tuple[float, ...]) -> Column:
+        out = F.lit(coefficients[0])
+        for c in coefficients[1:]:
+            out = out * x + F.lit(c)
+        return out
+
+    q = p - 0.5
+    tail = F.sqrt(-2 * F.log(F.least(p, 1 - p)))
+    outer = poly(tail, _C) / poly(tail, (*_D, 1.0))
+    return F.when(F.abs(q) <= 0.47575, q * poly(q * q, _A) / poly(q * q, (*_B, 1.0))).when(q < 0, outer).otherwise(-outer)
+
+
+def qq_table(df: DataFrame, value: str) -> DataFrame:
+    """(value, quantile): each distinct value against the normal quantile of its mean position."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("value")).agg(F.count(F.lit(1)).alias("c"))
+    n = counts.agg(F.sum("c").alias("n"))
+    at = running(counts, "value", ["c"]).join(F.broadcast(n))
+    return at.select("value", normal_quantile((F.col("cum_c") - F.col("c") / 2.0) / F.col("n")).alias("quantile"))
+
+
+def comparison_table(ci: DataFrame, diffs: DataFrame, key: str, reference: str, names: list[str]) -> DataFrame:
+    """One row per metric, one column per model: mean ± half the interval, with stars of the difference from the reference. ci as bootstrap_ci() with key, diffs: (key, metric, p)."""
+    half = (F.col("upper") - F.col("lower")) / 2
+    cells = ci.join(diffs.select(key, "metric", "p"), [key, "metric"], "left")
+    mark = F.when(F.col(key) == reference, "").otherwise(F.coalesce(stars(F.least(F.col("p"), 1 - F.col("p"))), F.lit("")))
+    text = F.concat(F.format_string("%.4g ± %.2g", "mean", half), mark)
+    return cells.withColumn("text", text).groupBy("metric").pivot(key, names).agg(F.min("text"))
+
+
+def drift_table(describe: DataFrame, drift: DataFrame, month: str) -> DataFrame:
+    """(month, price description, each metric's mean, its change against the first month with stars), one row a month."""
+    text = F.concat(F.format_string("%+.4g", "diff"), stars(F.col("p")))
+    wide = drift.groupBy(month).pivot("metric", METRICS).agg(F.min("mean").alias("mean"), F.min(text).alias("change"))
+    return describe.join(wide, month)
+
+
+def bootstrap_select(df: DataFrame, group: str, y: str, models: dict[str, str], metric: str, rounds: int, ident: str = "id", seed: int = 42) -> DataFrame:
+    """(group, best, second, p): the two models best by mean over rounds, and the share of rounds in which the second is at least as good."""
+    drawn = with_weights(df, rounds, seed, ident)
+    each = [weighted_metrics(drawn, [group], y, c).select(group, "round", F.lit(n).alias("model"), F.col(metric).alias("v")) for n, c in models.items()]
+    all_ = each[0]
+    for e in each[1:]:
+        all_ = all_.unionByName(e)
+    top = best_two(all_, [group], "model", "v", metric == "r2").select(group, "best", "second")
+    a = all_.join(top, group)
+    pair = a.groupBy(group, "best", "second", "round").agg(F.max(F.when(F.col("model") == F.col("best"), F.col("v"))).alias("x"), F.max(F.when(F.col("model") == F.col("second"), F.col("v"))).alias("z"))
+    better = F.col("z") >= F.col("x") if metric == "r2" else F.col("z") <= F.col("x")
+    return pair.groupBy(group, "best", "second").agg(F.avg(better.cast("double")).alias("p"))

@@ -142,3 +142,4 @@ class Formula:
 
 
 book.on_listings("score_join", lambda d: rounded(MD.score(d, Formula()).select("id", "prediction")), f"{L} SELECT id, CASE WHEN year_raw IS NOT NULL THEN round(0.5 * price + 100 * house_area, 4) END AS prediction FROM listings")
+book.add("config_sweep")(lambda s, d: rounded(MD.sweep(S.strat_kfold(S.qcut(framed(s, d), "price", 10), "bin", 2), "fold", 2, "price", [{"learner": "linear", "features": FEATURES}, {"learner": "linear", "features": FEATURES[:2], "regParam": 0.5}, {"learner": "linear", "features": ["absent"]}])))

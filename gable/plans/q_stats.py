@@ -84,3 +84,21 @@ def long(d):
 
 book.on_listings("importance_table", lambda d: rounded(S.importance_table(long(d))), f"{LONG} SELECT model, feature, round(v, 4) AS importance, row_number() OVER (PARTITION BY model ORDER BY v DESC, feature) AS place, round((v - min(v) OVER (PARTITION BY model)) / (max(v) OVER (PARTITION BY model) - min(v) OVER (PARTITION BY model)), 4) AS scaled FROM m")
 book.on_listings("importance_share", lambda d: rounded(S.importance_share(long(d), "l")), f"{LONG} SELECT model, count(*) FILTER (feature LIKE 'l%') AS count, round(sum(v) FILTER (feature LIKE 'l%'), 4) AS sum, round(sum(v) FILTER (feature LIKE 'l%') / sum(v), 4) AS share, round(max(v) FILTER (feature LIKE 'l%'), 4) AS max, round(avg(v) FILTER (feature LIKE 'l%'), 4) AS mean FROM m GROUP BY 1")
+SEG = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+AK = f"{L}, v AS (SELECT price AS v, CAST(count(*) AS DOUBLE) AS l, " + ", ".join(f"CAST(count(*) FILTER (category = '{c}') AS DOUBLE) AS s{i}" for i, c in enumerate(SEG)) + " FROM listings GROUP BY 1), c AS (SELECT l, sum(l) OVER () AS n, sum(l) OVER w - l / 2 AS b, " + ", ".join(f"s{i}, sum(s{i}) OVER () AS t{i}, sum(s{i}) OVER w - s{i} / 2 AS m{i}" for i in range(5)) + " FROM v WINDOW w AS (ORDER BY v)) SELECT CAST(max(n) AS BIGINT) AS n, round((max(n) - 1) / max(n) * (" + " + ".join(f"sum(l / n * (n * m{i} - t{i} * b) ** 2 / nullif(b * (n - b) - n * l / 4, 0) / t{i})" for i in range(5)) + "), 3) AS a2 FROM c"
+book.on_listings("anderson_k", lambda d: rounded(S.anderson_k(d, "price", "category", SEG), 3), AK)
+book.on_listings("qq_table", lambda d: rounded(S.qq_table(d, "price")))
+MODELS = {"a": "predicted_price", "c": "other"}
+both = lambda d: d.withColumn("other", F.expr(PRED["c"]))
+book.on_listings("bootstrap_select", lambda d: rounded(S.bootstrap_select(both(d), "category", "price", MODELS, "rmse", 10)))
+
+
+def compared(d):
+    rows = both(d)
+    ci = S.bootstrap_ci(rows, [], "price", "predicted_price", 10).withColumn("model", F.lit("a")).unionByName(S.bootstrap_ci(rows, [], "price", "other", 10).withColumn("model", F.lit("c")))
+    return S.comparison_table(ci, S.bootstrap_diff(rows, "price", "other", "predicted_price", 10).withColumn("model", F.lit("c")), "model", "a", ["a", "c"])
+
+
+book.on_listings("comparison_table", compared)
+yearly = lambda d: d.withColumn("month", F.trunc("listed_at", "year"))
+book.on_listings("drift_table", lambda d: rounded(S.drift_table(M.price_describe(yearly(d), ["month"], "predicted_price"), S.month_drift(yearly(d), "month", "price", "predicted_price", 5), "month"), 2))
