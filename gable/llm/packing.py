@@ -24,7 +24,7 @@ from gable.llm.common import by_group, ready, written
 from gable.llm.token_counts import UNCOMMON, PATTERN, load, one_piece, pre_tokens, ranks_of
 
 #: Ids in a window; postings (distinct terms of documents) in a shard, on average; BM25's constants.
-WINDOW, SHARD, K1, B = 1024, 125_000, 1.2, 0.75
+WINDOW, SHARD, K1, B = 1024, 80_000, 1.2, 0.75
 #: Stretches between spaces whose ids a worker remembers.
 REMEMBERED = 1_200_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -87,13 +87,11 @@ class Encoder:
         if "  " in text:
             return self.chunk(text)
         head, *rest = text.split(" ")
-        try:
-            return self.chunk(head) + b"".join(map(self.chunks.__getitem__, rest))
-        except KeyError:
-            if len(self.chunks) > REMEMBERED:
-                self.chunks.clear()
-            self.learn({c for c in rest if c not in self.chunks})
-            return self.chunk(head) + b"".join(map(self.chunks.__getitem__, rest))
+        if len(self.chunks) > REMEMBERED:
+            self.chunks.clear()
+        if missing := set(rest).difference(self.chunks):
+            self.learn(missing)
+        return self.chunk(head) + b"".join(map(self.chunks.__getitem__, rest))
 
     def __call__(self, text: str | None) -> np.ndarray:
         text = text or ""
