@@ -31,14 +31,14 @@ book.on_listings("fraud_required", lambda d: FR.check_columns(d).select("id", "p
 book.on_listings("listing_link", lambda d: d.select("id", FR.listing_link(F.col("id")).alias("link")), f"""{L} SELECT id, '<a href="https://listings.example/' || id || '" target="_blank">open listing</a>' AS link FROM listings""")
 
 # run tables: one run for each month and category, parameters and metrics as JSON maps
-RUNS_SQL = f"""{L}, m AS (SELECT category, CAST(date_trunc('month', listed_at) AS DATE) AS month, count(*) AS n, round(avg(price), 2) AS price,
+RUNS_SQL = f"""{L}, m AS (SELECT category, CAST(date_trunc('month', listed_at) AS DATE) AS month, count(*) AS n, round(avg(price), 5) AS price,
   round(1 - sum((price - predicted_price) ** 2) / nullif(sum(price * price) - count(*) * avg(price) * avg(price), 0), 6) AS r2
   FROM listings GROUP BY 1, 2)"""
 
 
 def run_rows(spark, sf_dir):
     month = F.trunc("listed_at", "month").alias("month")
-    agg = listings(spark, sf_dir).groupBy("category", month).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("price"), 2).alias("price"), F.round(M.r2(F.col("price"), F.col("predicted_price")), 6).alias("r2"))
+    agg = listings(spark, sf_dir).groupBy("category", month).agg(F.count(F.lit(1)).alias("n"), (F.round(F.avg("price") * 1e5, 0) / 1e5).alias("price"), F.round(M.r2(F.col("price"), F.col("predicted_price")), 6).alias("r2"))
     return agg.select(
         F.concat_ws("/", "category", F.col("month").cast("string")).alias("run_id"),
         F.col("month").alias("start_time"),
@@ -155,8 +155,8 @@ book.on_listings(
 )
 book.on_listings(
     "price_describe",
-    lambda d: rounded(M.price_describe(d.withColumn("month", F.trunc("listed_at", "month")), ["month", "category"], "predicted_price").withColumn("var", F.col("var") / 1e9), 2),
-    f"{L} SELECT CAST(date_trunc('month', listed_at) AS DATE) AS month, category, round(min(predicted_price), 2) AS min, round(max(predicted_price), 2) AS max, round(median(predicted_price), 2) AS median, round(avg(predicted_price), 2) AS mean, round(var_pop(predicted_price) / 1e9, 2) AS var, count(*) AS n FROM listings GROUP BY 1, 2",
+    lambda d: rounded(M.price_describe(d.withColumn("month", F.trunc("listed_at", "month")), ["month", "category"], "predicted_price").withColumn("var", F.col("var") / 1e9), 5),
+    f"{L} SELECT CAST(date_trunc('month', listed_at) AS DATE) AS month, category, round(min(predicted_price), 5) AS min, round(max(predicted_price), 5) AS max, round(median(predicted_price), 5) AS median, round(avg(predicted_price), 5) AS mean, round(var_pop(predicted_price) / 1e9, 5) AS var, count(*) AS n FROM listings GROUP BY 1, 2",
 )
 
 # exploratory

@@ -65,8 +65,8 @@ h AS (SELECT {{keys}} round, 100 * median(abs(y - p) / abs(y)) AS medape FROM (S
 l AS (SELECT {{keys}} round, unnest(['r2', 'rmse', 'smape', 'medape']) AS metric, unnest([r2, rmse, smape, medape]) AS value FROM g JOIN h USING ({{keys}} round))"""
 book.on_listings(
     "bootstrap_ci",
-    lambda d: rounded(S.bootstrap_ci(d, ["category"], "price", "predicted_price", 20), 3),
-    BOOT.format(rounds=20, p="predicted_price", keys="category,") + " SELECT category, metric, round(avg(value), 3) AS mean, round(quantile_cont(value, 0.025), 3) AS lower, round(quantile_cont(value, 0.975), 3) AS upper, round(stddev_pop(value), 3) AS std, count(*) AS n FROM l GROUP BY 1, 2",
+    lambda d: rounded(S.bootstrap_ci(d, ["category"], "price", "predicted_price", 20), 5),
+    BOOT.format(rounds=20, p="predicted_price", keys="category,") + " SELECT category, metric, round(avg(value), 5) AS mean, round(quantile_cont(value, 0.025), 5) AS lower, round(quantile_cont(value, 0.975), 5) AS upper, round(stddev_pop(value), 5) AS std, count(*) AS n FROM l GROUP BY 1, 2",
 )
 book.on_listings("bootstrap_diff", lambda d: rounded(S.bootstrap_diff(d.withColumn("other", F.expr(PRED["c"])), "price", "predicted_price", "other", 20)))
 book.on_listings("month_drift", lambda d: rounded(S.month_drift(d.withColumn("month", F.trunc("listed_at", "year")), "month", "price", "predicted_price", 10)))
