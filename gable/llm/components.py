@@ -20,7 +20,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", rounds: i
     ready(links.sparkSession)
     e = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct().checkpoint()
     for _ in range(rounds):
-        if e.join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+        # settled when all links are stars around their smallest id: no v is a u, and each u has one v
+        if e.join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty() and e.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m"))

@@ -37,6 +37,12 @@ def test_components(spark):
     assert got == {k: v for k, v in want.items() if k in touched}
 
 
+@pytest.mark.parametrize("links", [[(1, 3), (2, 3)], [(9, 4), (9, 5), (9, 6), (20, 11), (20, 12), (31, 30)]])
+def test_components_of_stars_around_the_largest(spark, links):
+    got = sorted((r.id, r.component) for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect())
+    assert got == sorted(union({x for p in links for x in p}, links).items())
+
+
 def test_components_of_nothing(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
