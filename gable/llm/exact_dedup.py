@@ -22,11 +22,12 @@ def content_hash(text: Column) -> Column:
 def exact_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text", keep: str = "max", hasher: Callable[[Column], Column] = content_hash) -> DataFrame:
     """One row per row of docs: ident, keep_id, group_size, kept, text_sha256.
 
-    A null text counts as empty; the smallest ("min") or largest ("max") id of equal texts stays. Ids are taken to be
-    unique; rows that repeat an id with the same text count in group_size and all carry that id as keep_id. An
-    empty table gives an empty one; columns other than ident and text are not read.
+    A null text counts as empty; the smallest ("min") or largest ("max") id of equal texts stays, a null id only where
+    all ids of the text are null. Rows that repeat an id (or the null) with the same text count in group_size and are all
+    kept or none; rows that repeat an id with different texts are in different groups. An empty table gives an empty
+    one; columns other than ident and text are not read.
 
-    Texts are shuffled twice: by id, to fetch the one that stays of each repeated hash, and by hash, to compare all others
+    Texts are shuffled twice: by a hash of hash and id, to fetch the one that stays of each repeated hash, and by hash, to compare all others
     with it. These joins are sort-merge joins at every size, with one row a key on their right, so Spark can split a hash
     that a third of the rows share.
     """
@@ -34,8 +35,10 @@ def exact_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text", kee
     rows = docs.select(F.col(ident).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_t")).withColumn("_h", hasher(F.col("_t")))
     repeated = written(rows.groupBy("_h").agg(F.count(F.lit(1)).alias("n"), best("_id").alias("k")).where("n > 1"))
 
-    stays = rows.select("_id", "_t").join(repeated.select("_h", F.col("k").alias("_id")).hint("merge"), "_id")
-    stays = stays.select("_h", F.col("_t").alias("_kept"))
+    key = lambda i: F.xxhash64("_h", i.isNull(), i)
+    stays = rows.select("_id", "_t", key(F.col("_id")).alias("_key")).join(repeated.select("_h", key(F.col("k")).alias("_key")).hint("merge"), "_key")
+    # rows that repeat the id: any will do, for in a group of different texts others differ from it
+    stays = stays.select("_key", "_h", F.col("_t").alias("_kept")).dropDuplicates(["_key", "_h"]).select("_h", "_kept")
     differ = written(rows.select("_h", "_t").join(stays.hint("merge"), "_h").where(F.col("_t") != F.col("_kept")).select("_h")).distinct()
 
     apart = rows.join(differ.withColumn("_d", F.lit(True)), "_h", "left")
@@ -45,17 +48,24 @@ def exact_groups(docs: DataFrame, ident: str = "doc_id", text: str = "text", kee
     sized = split.select("_h", "_x", "n", "k").unionByName(whole)
     sized = sized.select(F.col("_h").alias("_gh"), F.col("_x").alias("_gx"), "n", "k")
     out = apart.join(sized.hint("merge"), (F.col("_h") == F.col("_gh")) & F.col("_x").eqNullSafe(F.col("_gx")), "left")
-    kept = F.coalesce("k", "_id")
+    kept = F.coalesce("k", "_id")  # null where all ids of the text are
     return out.select(
         F.col("_id").alias(ident),
         kept.alias("keep_id"),
         F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
-        (kept == F.col("_id")).alias("kept"),
+        kept.eqNullSafe(F.col("_id")).alias("kept"),
         "text_sha256",
     )
 
 
 def without_copies(docs: DataFrame, ident: str = "doc_id", text: str = "text", keep: str = "max") -> DataFrame:
-    """The rows of docs that stay, with all their columns; a row that repeats whole, id included, stays once."""
-    stay = exact_groups(docs, ident, text, keep).where("kept").select(F.col(ident).alias("_stay")).distinct()
-    return docs.join(stay.hint("merge"), F.col(ident) == F.col("_stay"), "left_semi").dropDuplicates([ident])
+    """The rows of docs that stay, one for each text, with all their columns.
+
+    Rows are told apart by id (null is one) and text, so a null or repeated id loses no text; of rows that repeat both, the
+    one whose columns are least stays.
+    """
+    key = lambda sha: F.concat_ws(":", F.col(ident).isNull().cast("string"), F.col(ident).cast("string"), sha)
+    stay = exact_groups(docs, ident, text, keep).where("kept").select(key(F.col("text_sha256")).alias("_stay")).distinct()
+    rows = docs.withColumn("_row", key(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)))
+    rows = rows.join(stay.hint("merge"), F.col("_row") == F.col("_stay"), "left_semi")
+    return rows.groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("_least")).select("_least.*")

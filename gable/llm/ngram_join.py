@@ -12,7 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gable.llm.common import SHINGLE, SIMILAR, MinHash, band_keys, by_group, forest, map_arrow, mix, paired_blocks, shingle_sets, written
@@ -93,32 +93,46 @@ def near_copies(docs: DataFrame, ident: str = "doc_id", text: str = "text", thre
     have a Jaccard similarity of `threshold` or more; a text of fewer words is one shingle of all its words; texts that
     are null or hold no word link with nothing. class_id is the smallest id with the same shingles, n_links the number
     of other rows linked (copies included), component_id the smallest id reached by links; the row that bears it is kept.
-    Ids are taken to be unique. An empty table gives an empty one; other columns are not read.
+    Null ids come after all others, so class_id and component_id are null only where every id is. Rows are told apart by
+    a 64-bit hash of id and text: of different texts with the smallest id one is kept (the least hash), and
+    rows that repeat id and text are all kept or none. An empty table gives an empty one; other columns are not read.
 
     Shingles are compared as 64-bit hashes. Equal texts are compared once however many there are; other groups are cut
     into blocks (paired_blocks), so neither copies nor near copies of one text gather in one task.
     """
-    rows = docs.select(F.col(ident).alias("_id"), F.col(text).alias("_t"))
+    return _near(docs, ident, text, threshold, n).drop("_r")
+
+
+def row_hash(ident: str, text: str) -> Column:
+    """64 bits that tell rows apart by id and text; null ids and repeated ones too."""
+    return F.xxhash64(F.col(ident).isNull(), F.col(ident), F.col(text))
+
+
+def _near(docs: DataFrame, ident: str, text: str, threshold: float, n: int) -> DataFrame:
+    """near_copies, with `_r`, the hash of each row. A class goes by the hash of its best row (smallest id, then hash)."""
+    rows = docs.select(F.col(ident).alias("_id"), F.col(text).alias("_t"), row_hash(ident, text).alias("_r"))
 
     def sketched(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(batch.column("_t").to_pylist(), n)
         keys = band_keys(MinHash(HASHES)(sets), ROWS)
         h = set_hash(sets)
         return pa.RecordBatch.from_arrays(
-            [batch.column("_id"), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), pa.array(keys.ravel()))],
-            names=["_id", "h1", "h2", "size", "keys"],
+            [batch.column("_id"), batch.column("_r"), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array([len(s) for s in sets], pa.int32()), pa.ListArray.from_arrays(np.arange(0, keys.size + 1, keys.shape[1], dtype=np.int32), pa.array(keys.ravel()))],
+            names=["_id", "_r", "h1", "h2", "size", "keys"],
         )
 
-    sketches = written(map_arrow(rows, sketched, f"_id {docs.schema[ident].dataType.simpleString()}, h1 long, h2 long, size int, keys array<long>"))
+    sketches = written(map_arrow(rows, sketched, f"_id {docs.schema[ident].dataType.simpleString()}, _r long, h1 long, h2 long, size int, keys array<long>"))
     full = sketches.where("size > 0")
-    classes = written(full.groupBy("h1", "h2").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size")))
-    one = full.select("_id", "keys").join(classes.select(F.col("rep").alias("_id")), "_id", "left_semi")
-    banded = one.select(F.col("_id").alias("rep"), F.explode("keys").alias("key"))
+    best = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_r").alias("r"))
+    classes = full.groupBy("h1", "h2").agg(F.min(best).alias("best"), F.count(F.lit(1)).alias("copies"), F.first("size").alias("size"))
+    classes = written(classes.withColumn("rep", F.col("best.r")))
+    one = full.select(F.col("_r").alias("rep"), "keys").join(classes.select("rep"), "rep", "left_semi").dropDuplicates(["rep"])
+    banded = one.select("rep", F.explode("keys").alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("rep").alias("lead")).where("m > 1").drop("m")
     groups = connected_components(banded.join(shared, "key").where("rep != lead").select(F.col("rep").alias("a"), F.col("lead").alias("b")))
     active = written(groups.join(classes, F.col("id") == F.col("rep")).select("rep", F.col("component").alias("grp"), "copies", "size"))
 
-    texts = rows.join(active.hint("merge"), F.col("_id") == F.col("rep")).select("rep", "grp", "copies", "size", "_t")
+    texts = rows.join(active.hint("merge"), F.col("_r") == F.col("rep")).select("rep", "grp", "copies", "size", "_t").dropDuplicates(["rep"])
     blocks = paired_blocks(texts, "grp", "rep", F.col("size") + LEAST, BLOCK)
 
     def compared(table: pa.Table) -> dict | None:
@@ -141,19 +155,23 @@ def near_copies(docs: DataFrame, ident: str = "doc_id", text: str = "text", thre
     found = written(by_group(blocks, ["grp", "lo", "hi"], compared, "a long, b long, n long"))
     counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
     joined = connected_components(found.where("n = 0")).withColumnRenamed("id", "rep")
-    known = classes.join(counts, "rep", "left").join(joined, "rep", "left")
-    known = known.select(F.col("h1").alias("_1"), F.col("h2").alias("_2"), "rep", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("k"))
+    known = classes.join(counts, "rep", "left").join(joined, "rep", "left").withColumn("node", F.coalesce("component", "rep"))
+    lead = known.where("component is not null").groupBy(F.col("node").alias("_node")).agg(F.min("best").alias("lead"))
+    known = known.join(lead, F.col("node") == F.col("_node"), "left").withColumn("lead", F.coalesce("lead", "best"))
+    known = known.select(F.col("h1").alias("_1"), F.col("h2").alias("_2"), F.col("best.id").alias("rep"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n"), F.col("lead.id").alias("k"), F.col("lead.r").alias("kept_r"))
     out = sketches.join(known, (F.col("h1") == F.col("_1")) & (F.col("h2") == F.col("_2")) & (F.col("size") > 0), "left")
     return out.select(
         F.col("_id").alias(ident),
         F.coalesce("rep", "_id").alias("class_id"),
         F.coalesce("k", "_id").alias("component_id"),
         F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),
-        (F.coalesce("k", "_id") == F.col("_id")).alias("kept"),
+        (F.coalesce("kept_r", "_r") == F.col("_r")).alias("kept"),
+        "_r",
     )
 
 
 def one_of_each(docs: DataFrame, ident: str = "doc_id", text: str = "text", threshold: float = SIMILAR) -> DataFrame:
-    """The rows of docs of which near_copies keeps the id."""
-    stay = near_copies(docs, ident, text, threshold).where("kept").select(F.col(ident).alias("_stay"))
-    return docs.join(stay.hint("merge"), F.col(ident) == F.col("_stay"), "left_semi")
+    """The rows of docs that near_copies keeps; of rows that repeat id and text, the one whose columns are least."""
+    stay = _near(docs, ident, text, threshold, SHINGLE).where("kept").select(F.col("_r").alias("_stay")).distinct()
+    rows = docs.withColumn("_row", row_hash(ident, text)).join(stay.hint("merge"), F.col("_row") == F.col("_stay"), "left_semi")
+    return rows.groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("_least")).select("_least.*")

@@ -71,6 +71,20 @@ def test_exact_with_colliding_hashes(spark):
     assert got == want
 
 
+ODD_IDS = [(None, "a a"), (None, "b b"), (None, "b b"), (7, "c c"), (7, "d d"), (None, "d d"), (8, "e"), (8, "e"), (None, None)]
+
+
+@pytest.mark.parametrize("keep", ["max", "min"])
+def test_exact_with_null_and_repeated_ids(spark, keep):
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(ODD_IDS)], "doc_id long, text string, k int")
+    left = without_copies(docs, keep=keep)
+    assert left.dtypes == docs.dtypes
+    assert {(r.doc_id, r.text, r.k) for r in left.collect()} == {(None, "a a", 0), (None, "b b", 1), (7, "c c", 3), (7, "d d", 4), (8, "e", 6), (None, None, 8)} and left.count() == 6
+    got = exact_groups(docs, keep=keep, hasher=lambda t: F.length(t).cast("string").cast("binary")).collect()
+    assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept) for r in got) == sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept) for r in exact_groups(docs, keep=keep).collect())
+    assert sum(r.kept for r in got) == 8
+
+
 def test_exact_of_nothing(spark):
     assert exact_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -155,6 +169,20 @@ def test_near_in_small_blocks(spark, monkeypatch):
     test_near(spark)
 
 
+def test_near_with_null_and_repeated_ids(spark):
+    base = ["w%d" % i for i in range(100)]
+    near = lambda k, s="": " ".join("new" + s if i == k else w + s for i, w in enumerate(base))
+    rows = [(None, near(0)), (5, near(9)), (5, near(99)), (5, near(9, "x")), (None, near(9, "x")), (None, near(0, "y")), (None, near(99, "y")), (None, near(1, "z")), (6, "one"), (6, "two"), (None, None), (8, None)]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, k int")
+    left = one_of_each(docs)
+    assert left.dtypes == docs.dtypes
+    kept = [r.k for r in left.collect()]
+    assert len(kept) == len(set(kept)) == 8 and {3, 7, 8, 9, 10, 11} <= set(kept)
+    assert len({1, 2} & set(kept)) == 1 and len({5, 6} & set(kept)) == 1
+    got = near_copies(docs).collect()
+    assert sorted((str(r.doc_id), str(r.component_id), r.n_links) for r in got) == sorted([("None", "5", 2), ("5", "5", 2), ("5", "5", 2), ("5", "5", 1), ("None", "5", 1), ("None", "None", 1), ("None", "None", 1), ("None", "None", 0), ("6", "6", 0), ("6", "6", 0), ("None", "None", 0), ("8", "8", 0)])
+
+
 def test_near_of_nothing(spark):
     assert near_copies(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
