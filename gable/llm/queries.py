@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gable.llm.byte_bpe import digests
+from gable.llm.common import written
 from gable.llm.embedding_dedup import near_vectors
 from gable.llm.exact_dedup import exact_groups
 from gable.llm.language_id import identified
@@ -15,7 +16,7 @@ from gable.llm.packing import packed
 from gable.llm.paragraph_dedup import repeated_passages
 from gable.llm.quotation import as_mail, chat_lines, linked
 from gable.llm.token_counts import counted
-from gable.llm.warc_fixity import archived, audited
+from gable.llm.warc_fixity import audited, index_of, measured, placed, record_bytes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,11 +54,13 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as WARC records against a replica in which some records are altered, cut short or lost."""
-    records = archived(table(spark, sf_dir, "pages"))
-    flipped = F.concat(F.substring("record", 1, F.col("length").cast("int") - 5), F.lit("~").cast("binary"), F.expr("substring(record, int(length) - 3, 4)"))
-    damaged = F.when(F.col("page_id") % 97 == 13, flipped).when(F.col("page_id") % 211 == 5, F.expr("substring(record, 1, int(length) - 7)")).otherwise(F.col("record"))
-    replica = records.where(F.coalesce(F.col("page_id") % 307 != 11, F.lit(True))).withColumn("record", damaged)
-    return audited(records, replica.withColumn("length", F.octet_length("record").cast("long")))
+    records = table(spark, sf_dir, "pages").select("page_id", record_bytes(F.col("url"), F.col("page_id"), F.col("html")).alias("record"))
+    size = F.octet_length("record")
+    flipped = F.concat(F.substring("record", 1, size - 5), F.lit("~").cast("binary"), F.substring("record", size - 3, F.lit(4)))
+    copy = F.when(F.col("page_id") % 97 == 13, flipped).when(F.col("page_id") % 211 == 5, F.substring("record", 1, size - 7)).otherwise(F.col("record"))
+    held = F.coalesce(F.col("page_id") % 307 != 11, F.lit(True))
+    rows = written(placed(records.select("page_id", measured(F.col("record")).alias("first"), F.when(held, measured(copy)).alias("copy")), ["copy"]))
+    return audited(index_of(rows, "first"), index_of(rows, "copy"))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,12 +110,13 @@ SELECT conv_id AS conversation_id, conv_id, turn, role, trim(text, E' \n\t\r') A
 FROM j""",
     "op8_merkle_fixity": r"""
 WITH n AS (SELECT CASE WHEN count(*) = 0 THEN 1 ELSE CAST(ceil(count(*) / 1000.0) AS BIGINT) END AS files FROM pages),
-r AS (SELECT page_id, CAST(page_id % files AS INTEGER) AS file,
-  E'WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:gable:' || page_id || E'>\r\nWARC-Target-URI: ' || coalesce(url, '')
+r AS (SELECT page_id,
+  E'WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:gable:' || coalesce(CAST(page_id AS VARCHAR), '') || E'>\r\nWARC-Target-URI: ' || coalesce(url, '')
   || E'\r\nContent-Type: text/html\r\nContent-Length: ' || strlen(coalesce(html, '')) || E'\r\n\r\n' || coalesce(html, '') || E'\r\n\r\n' AS record
-  FROM pages, n),
-o AS (SELECT *, row_number() OVER w - 1 AS seq, CAST(sum(strlen(record)) OVER w - strlen(record) AS BIGINT) AS offset_ FROM r
-  WINDOW w AS (PARTITION BY file ORDER BY page_id, record ROWS UNBOUNDED PRECEDING)),
+  FROM pages),
+f AS (SELECT *, CAST((CAST('0x' || sha256(record)[1:8] AS BIGINT) + (row_number() OVER (PARTITION BY page_id, record) - 1) // 1000) % files AS INTEGER) AS file FROM r, n),
+o AS (SELECT *, row_number() OVER w - 1 AS seq, CAST(sum(strlen(record)) OVER w - strlen(record) AS BIGINT) AS offset_ FROM f
+  WINDOW w AS (PARTITION BY file ORDER BY page_id NULLS FIRST, sha256(record) ROWS UNBOUNDED PRECEDING)),
 d AS (SELECT *, CASE WHEN page_id % 307 = 11 THEN NULL
   WHEN page_id % 97 = 13 THEN encode(record)[1:strlen(record) - 5] || encode('~') || encode(record)[strlen(record) - 3:]
   WHEN page_id % 211 = 5 THEN encode(record)[1:strlen(record) - 7] ELSE encode(record) END AS copy FROM o)

@@ -1,6 +1,7 @@
 """WARC records and their fixity: Merkle trees over the records of each file, compared between replicas.
 
-Leaves are SHA-256 hashes of whole records; a node hashes the digests of FANOUT neighbouring nodes, in the order of
+Records are hashed and measured where they are read, and their bytes go no further. Leaves are SHA-256 hashes of whole
+records; a node hashes the digests of FANOUT neighbouring nodes, in the order of
 their offsets, up to one root a file. Two replicas are compared root by root; only the children of mismatching nodes
 are looked at, level by level, down to the records that differ.
 """
@@ -32,28 +33,44 @@ def record_bytes(uri: Column, ident: Column, payload: Column) -> Column:
     return F.concat(head.cast("binary"), body, F.lit("\r\n\r\n").cast("binary"))
 
 
-def archived(pages: DataFrame, ident: str = "page_id", uri: str = "url", payload: str = "html", per_file: int = PER_FILE) -> DataFrame:
-    """(file, seq, ident, offset, length, record): pages dealt into files by id, in the order of ids within a file.
+def measured(record: Column) -> Column:
+    """Length and SHA-256 of a record: all that an audit carries of it."""
+    return F.struct(F.octet_length(record).cast("long").alias("size"), F.unhex(F.sha2(record, 256)).alias("digest"))
+
+
+def placed(rows: DataFrame, carried: list[str], ident: str = "page_id", first: str = "first", per_file: int = PER_FILE) -> DataFrame:
+    """(file, seq, ident, offset, first, carried): measured records dealt into files by their digest, in the order of ident, then digest.
 
-    A file holds about per_file records however many pages there are. Ids are integers; rows that repeat an id each make
-    a record, in the order of uri and payload.
+    rows: one row a record, with the measure `first` and other measures `carried` with it. A file holds about per_file
+    records however many there are. Rows that repeat a record each have a place; they go to one file by the thousand, so
+    that neither one id nor one record fills a file. A null ident comes first.
     """
-    files = max(1, -(-pages.count() // per_file))
-    rows = pages.select(F.coalesce(F.pmod(F.col(ident), F.lit(files)), F.lit(0)).cast("int").alias("file"), F.col(ident), record_bytes(F.col(uri), F.col(ident), F.col(payload)).alias("record"))
-    rows = rows.withColumn("length", F.octet_length("record").cast("long"))
-    order = W.partitionBy("file").orderBy(ident, "record")
-    end = F.sum("length").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
-    return rows.select("file", (F.row_number().over(order) - 1).cast("long").alias("seq"), ident, (end - F.col("length")).alias("offset"), "length", "record")
+    files = max(1, -(-rows.count() // per_file))
+    same = [ident, first, *carried]
+    counted = rows.groupBy(*same).agg(F.count(F.lit(1)).alias("_n"))
+    counted = counted.withColumn("_part", F.explode(F.sequence(F.lit(0), F.floor((F.col("_n") - 1) / 1000).cast("int"))))
+    start = F.conv(F.substring(F.hex(F.col(first)["digest"]), 1, 8), 16, 10).cast("long")
+    dealt = counted.withColumn("file", F.pmod(start + F.col("_part"), F.lit(files)).cast("int")).repartition("file")
+    dealt = dealt.withColumn("_i", F.explode(F.sequence(F.lit(1), F.least(F.lit(1000), F.col("_n") - F.col("_part") * 1000).cast("int"))))
+    order = W.partitionBy("file").orderBy(ident, F.col(first)["digest"])
+    end = F.sum(F.col(first)["size"]).over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
+    return dealt.select("file", (F.row_number().over(order) - 1).cast("long").alias("seq"), ident, (end - F.col(first)["size"]).alias("offset"), first, *carried)
+
+
+def archived(pages: DataFrame, ident: str = "page_id", uri: str = "url", payload: str = "html", per_file: int = PER_FILE) -> DataFrame:
+    """(file, seq, ident, offset, first, record): pages as whole records, to be written as files; see placed()."""
+    record = record_bytes(F.col(uri), F.col(ident), F.col(payload))
+    return placed(pages.select(F.col(ident), measured(record).alias("first"), record.alias("record")), ["record"], ident, "first", per_file)
 
 
-def leaves(records: DataFrame) -> DataFrame:
-    """(file, level 0, node, digest, offset, size) of each record."""
-    return records.select("file", F.lit(0).alias("level"), F.col("seq").alias("node"), F.unhex(F.sha2("record", 256)).alias("digest"), "offset", F.col("length").alias("size"))
+def index_of(rows: DataFrame, measure: str) -> DataFrame:
+    """(file, seq, offset, size, digest) of one replica: a row a record that it holds."""
+    return rows.where(F.col(measure).isNotNull()).select("file", "seq", "offset", F.col(measure)["size"].alias("size"), F.col(measure)["digest"].alias("digest"))
 
 
-def tree(records: DataFrame, levels: int, fanout: int = FANOUT) -> DataFrame:
+def tree(index: DataFrame, levels: int, fanout: int = FANOUT) -> DataFrame:
     """All nodes of the trees of all files up to `levels`: (file, level, node, digest, offset, size); offset and size are the range covered."""
-    level = out = written(leaves(records))
+    level = out = index.repartition("file").select("file", F.lit(0).alias("level"), F.col("seq").alias("node"), "digest", "offset", "size")
     for k in range(1, levels + 1):
         up = level.groupBy("file", F.floor(F.col("node") / F.lit(fanout)).alias("up")).agg(F.sort_array(F.collect_list(F.struct("node", "digest", "size"))).alias("under"), F.min("offset").alias("offset"), F.sum("size").alias("size"))
         hashed = F.unhex(F.sha2(F.encode(F.concat_ws(",", F.transform("under", lambda x: F.concat_ws(":", x["node"].cast("string"), F.hex(x["digest"]), x["size"].cast("string")))), "UTF-8"), 256))
@@ -62,9 +79,9 @@ def tree(records: DataFrame, levels: int, fanout: int = FANOUT) -> DataFrame:
     return written(out)
 
 
-def levels_for(records: DataFrame, fanout: int = FANOUT) -> int:
+def levels_for(index: DataFrame, fanout: int = FANOUT) -> int:
     """Levels above the leaves so that every file has one root."""
-    top, k = records.agg(F.max("seq")).first()[0] or 0, 0
+    top, k = index.agg(F.max("seq")).first()[0] or 0, 0
     while top > 0:
         top //= fanout
         k += 1
@@ -74,7 +91,7 @@ def levels_for(records: DataFrame, fanout: int = FANOUT) -> int:
 def audited(primary: DataFrame, replica: DataFrame, fanout: int = FANOUT) -> DataFrame:
     """(file, seq, offset, length, status, digest, replica_digest) of the records in which two replicas differ.
 
-    Both are tables as archived() gives them. status is `changed`, `missing` (not in the replica) or `extra` (only in
+    Both are tables as index_of() gives them. status is `changed`, `missing` (not in the replica) or `extra` (only in
     it); offset and length are the primary's, or the replica's of an extra record. Equal replicas, also empty ones,
     give no rows. Children are joined to mismatching parents only, so what is read below a root follows the damage.
     """

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gable.llm.byte_bpe import decoded, digests, encoded, read_ranks
 from gable.llm.quotation import as_mail, chat_lines, linked, passages
-from gable.llm.warc_fixity import archived, audited, levels_for, parse, read_warc, tree
+from gable.llm.warc_fixity import archived, audited, index_of, levels_for, measured, parse, placed, read_warc, tree
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -106,28 +106,42 @@ def test_records_parse(spark, tmp_path):
     (tmp_path / "w").mkdir()
     for f in {r.file for r in rows}:
         data = b"".join(bytes(r.record) for r in rows if r.file == f)
-        assert [(o, n) for o, n, _, _ in parse(data)] == [(r.offset, r.length) for r in rows if r.file == f]
+        assert [(o, n) for o, n, _, _ in parse(data)] == [(r.offset, r.first.size) for r in rows if r.file == f]
         (tmp_path / "w" / f"{f}.warc").write_bytes(data)
     back = read_warc(spark, str(tmp_path / "w")).collect()
     assert sorted((r.uri or "", bytes(r.payload)) for r in back) == sorted((r.url or "", (r.html or "").encode()) for r in pages(spark).collect())
 
 
 def test_audit(spark):
-    ours = archived(pages(spark), per_file=50)
+    rows = archived(pages(spark), per_file=50)
+    ours = index_of(rows, "first")
     assert audited(ours, ours).count() == 0 and audited(ours.limit(0), ours.limit(0)).count() == 0
-    damaged = ours.where("page_id is null or page_id <> 40").withColumn("record", F.when(F.col("page_id").isin(3, 77), F.concat("record", F.lit(b"x"))).otherwise(F.col("record")))
-    more = ours.where("page_id = 9").withColumn("seq", F.lit(9999).cast("long"))
+    copy = F.when(F.col("page_id").isin(3, 77), F.concat("record", F.lit(b"x"))).otherwise(F.col("record"))
+    damaged = index_of(rows.withColumn("copy", F.when(F.coalesce(F.col("page_id") != 40, F.lit(True)), measured(copy))), "copy")
+    at = {r.page_id: (r.file, r.seq, r.offset, r.first.size) for r in rows.drop("record").collect()}
+    more = ours.where((F.col("file") == at[9][0]) & (F.col("seq") == at[9][1])).withColumn("seq", F.lit(9999).cast("long"))
     bad = {(r.file, r.seq): r for r in audited(ours, damaged.unionByName(more), fanout=4).collect()}
-    place = {r.page_id: (r.file, r.seq, r.offset, r.length) for r in ours.collect()}
-    want = {place[3][:2]: "changed", place[77][:2]: "changed", place[40][:2]: "missing", (place[9][0], 9999): "extra"}
+    want = {at[3][:2]: "changed", at[77][:2]: "changed", at[40][:2]: "missing", (at[9][0], 9999): "extra"}
     assert {k: r.status for k, r in bad.items()} == want
-    r = bad[place[77][:2]]
-    assert (r.offset, r.length) == place[77][2:] and r.digest != r.replica_digest
+    r = bad[at[77][:2]]
+    assert (r.offset, r.length) == at[77][2:] and r.digest != r.replica_digest
+
+
+def test_repeated_records_fill_no_file(spark):
+    """2,500 equal records lie in three files at least, each row has a place, offsets are gapless."""
+    rows = spark.range(2500).select(F.lit(1).cast("long").alias("page_id"), F.lit("u").alias("url"), F.lit("h").alias("html")).unionByName(pages(spark))
+    got = archived(rows, per_file=100).select("file", "seq", "offset", "page_id", F.col("first.size").alias("n")).collect()
+    assert len(got) == 2733 and len({r.file for r in got if r.page_id == 1}) >= 3
+    files = {}
+    for r in sorted(got):
+        assert (r.seq, r.offset) == files.get(r.file, (0, 0))
+        files[r.file] = (r.seq + 1, r.offset + r.n)
+    assert placed(rows.limit(0).select("page_id", measured(F.lit(b"")).alias("first")), []).count() == 0
 
 
 def test_tree_roots(spark):
-    rows = archived(pages(spark), per_file=50)
+    rows = index_of(archived(pages(spark), per_file=50), "first")
     k = levels_for(rows, 4)
     roots = tree(rows, k, 4).where(F.col("level") == k)
     assert roots.count() == 5 and roots.agg(F.max("node"), F.max("offset")).first()[:] == (0, 0)
-    assert roots.agg(F.sum("size")).first()[0] == rows.agg(F.sum("length")).first()[0]
+    assert roots.agg(F.sum("size")).first()[0] == rows.agg(F.sum("size")).first()[0]
