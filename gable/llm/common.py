@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -9,12 +10,15 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words in a shingle, and the similarity from which two texts count as near copies.
 SHINGLE, SIMILAR = 5, 0.8
+#: Bytes of text that a function sees at a time, about, and words whose hashes a task remembers.
+SLICE, REMEMBERED = 4 << 20, 250_000
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -22,14 +26,16 @@ _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__
 def ready(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package, and see that a checkpoint folder is set.
 
-    The folder is the cluster's own (spark.checkpoint.dir); only where that is unset, as in tests,
-    is a temporary one made.
+    The folder is the cluster's own (spark.checkpoint.dir); only in local mode, as in tests, a temporary one is made
+    where it is unset. On a cluster an unset folder is an error: executors don't share the driver's folders.
     """
     sc = spark.sparkContext
     path = sc.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if _ROOT not in path.split(":"):
         sc.environment["PYTHONPATH"] = f"{_ROOT}:{path}".rstrip(":")
     if not sc.getConf().get("spark.checkpoint.dir", "") and sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc._jsc.sc().isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
     return spark
 
@@ -41,20 +47,65 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors, knows its size."""
+    """Write df as Parquet in the shared folder and read it back: cuts lineage, survives lost executors, knows its size.
+
+    The folder goes when the application ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/gable-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of df bears."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while (n := f"_{n}") in taken:
+            pass
+        out.append(n)
+    return out
+
+
+def row_hash(ident: str, text: str) -> Column:
+    """64 bits that tell rows apart by id and text; null ids and repeated ones too."""
+    return F.xxhash64(F.col(ident).isNull(), F.col(ident), F.col(text))
+
+
+def slices(batch: pa.RecordBatch, most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """batch in parts of about `most` bytes of strings and binaries; a longer row is a part of its own."""
+    size = np.full(batch.num_rows, 16, np.int64)
+    for c in batch.columns:
+        if pa.types.is_string(c.type) or pa.types.is_binary(c.type) or pa.types.is_large_string(c.type) or pa.types.is_large_binary(c.type):
+            size += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+    part = (np.cumsum(size) - 1) // most
+    cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
+def release() -> None:
+    """At the end of a task: forget words and give free memory back to the system, as workers outlive their tasks."""
+    _HASHES.clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Apply fn to each Arrow batch of df."""
+    """Apply fn to the rows of df, some megabytes at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
-                yield out
+            for part in slices(batch):
+                if (out := fn(part)) is not None:
+                    yield out
+        release()
 
     ready(df.sparkSession)
     return df.mapInArrow(run, schema)
@@ -64,7 +115,7 @@ class WordHash(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
+        if len(self) > REMEMBERED:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
         return h
@@ -233,6 +284,7 @@ def by_group(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], dict[str,
             add(pa.Table.from_batches(rest))
         if out[names[0]]:
             yield flush()
+        release()
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
