@@ -1,22 +1,31 @@
 """Byte-level BPE with Spark's higher-order functions: no Python reads a text.
 
-A word's bytes (as characters of ISO-8859-1) are folded: each step merges the neighbours whose joined bytes rank lowest
-in a literal map, until no pair has a rank. The most frequent words of a bounded sample are folded once and their ids
-kept in a second literal map; every other word is folded where it stands, so the sample changes the time only. Decoding
-concatenates the binary pieces of the ids. Nothing is shuffled but the sample's word counts.
+Distinct words are folded: a word's bytes become token ids, and each step merges, from left to right, all neighbours
+whose pair ranks lowest in a literal map, until no pair has a rank. A word is first taken apart where no token of the
+vocabulary holds the two bytes side by side, for no merge can cross such a place; so even one word of a
+hundred thousand letters costs little.
+
+The most frequent words of a bounded sample are folded once and kept in a second literal map. The other words of each
+text are exploded; each distinct one is folded once, its ids are joined back by the word and gathered by text, and what stands
+between them is looked up. The sample changes the time only. Decoding concatenates the binary pieces of the ids.
 """
 
 from __future__ import annotations
 
 import base64
 import json
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Documents (about, drawn by a hash of their id) whose words are counted for the literal map of words, words in it, and buckets of the two maps.
-SAMPLE, WORDS, BUCKETS = 20_000, 65_536, 16_384
+from gable.llm.common import written
+
+#: Documents (about, drawn by a hash of their text) whose words are counted for the literal map of words, words in it, and buckets of the two maps.
+SAMPLE, WORDS, BUCKETS = 20_000, 100_000, 65_536
+#: Ids in a stretch from which all pairs of a rank are merged in one step, not one by one.
+LONG = 48
 _NONE = 2**31 - 1
 
 
@@ -36,28 +45,31 @@ def _literal(value, kind: str) -> Column:
     return F.from_json(F.lit(json.dumps(value)), kind)
 
 
-def _bucket(key: Column) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
-
-
-def _bucketed(rows: list[tuple[int, str, object]], kind: str) -> Column:
-    """A literal array of small maps, by the bucket of the key."""
-    maps: list[dict] = [{} for _ in range(BUCKETS)]
-    for b, k, v in rows:
-        maps[b][k] = v
-    return _literal(maps, f"array<map<string,{kind}>>")
+def _pair_bucket(left, right):
+    """Bucket of a pair of ids: of Python numbers or of columns."""
+    return (left * 40_503 + right).bitwiseAND(BUCKETS - 1) if isinstance(left, Column) else (left * 40_503 + right) & (BUCKETS - 1)
 
 
 class Vocabulary:
-    """Literals of a vocabulary: ranks by bytes; bytes and little-endian ids by id."""
+    """Literals of a vocabulary: ids of single bytes, ranks of pairs of ids, bytes that may be neighbours; bytes and little-endian ids by id."""
 
-    def __init__(self, spark: SparkSession, ranks: dict[bytes, int]):
-        rows = spark.createDataFrame([(t.decode("latin-1"), r) for t, r in ranks.items()], "k string, r int")
-        self.ranks = _bucketed([tuple(x) for x in rows.select(_bucket(F.col("k")), "k", "r").collect()], "int")
-        size = max(ranks.values()) + 1
+    def __init__(self, ranks: dict[bytes, int]):
+        self.size = size = max(ranks.values()) + 1
+        pairs: list[dict] = [{} for _ in range(BUCKETS)]
+        beside = [False] * 65_536
         pieces = [""] * size
         for t, r in ranks.items():
             pieces[r] = t.decode("latin-1")
+            for k in range(1, len(t)):
+                beside[t[k - 1] * 256 + t[k]] = True
+                a, b = ranks.get(t[:k]), ranks.get(t[k:])
+                if a is not None and b is not None:
+                    pairs[_pair_bucket(a, b)][str(a * size + b)] = r
+        self.fold = F.struct(
+            _literal([ranks[bytes([b])] for b in range(256)], "array<int>").alias("bytes"),
+            _literal(pairs, "array<map<string,int>>").cast("array<map<bigint,int>>").alias("pairs"),
+            _literal(beside, "array<boolean>").alias("beside"),
+        )
         self.pieces = _literal(pieces, "array<string>")
         self.numbers = _literal([i.to_bytes(4, "little").decode("latin-1") for i in range(size)], "array<string>")
 
@@ -67,59 +79,117 @@ def bound(constant: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(constant), lambda c: use(c))[0]
 
 
-def rank(ranks: Column, piece: Column) -> Column:
-    return F.coalesce(F.try_element_at(ranks[_bucket(piece)], piece), F.lit(_NONE))
+def fold(c: Column, word: Column, size: int) -> Column:
+    """Ids of one pre-token: array<int>. c: Vocabulary.fold, bound; size: the vocabulary's."""
+    none = F.array().cast("array<int>")
+    # every character of the decoded word stands for one byte
+    taken = F.transform(F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), ""), lambda x: F.ascii(x))
 
+    def rank(a: Column, b: Column) -> Column:
+        return F.coalesce(F.try_element_at(c["pairs"][_pair_bucket(a, b)], a.cast("long") * size + b), F.lit(_NONE))
 
-def fold(ranks: Column, word: Column) -> Column:
-    """Ids of one pre-token: array<int>."""
-    # every character of the decoded word stands for one byte
-    taken = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
-    none = F.array().cast("array<int>")
-    pairs = lambda p: F.transform(F.slice(p, 1, F.size(p) - 1), lambda x, i: rank(ranks, F.concat(x, p[i + 1])))
-    start = lambda p: F.struct(p.alias("p"), F.when(F.size(p) > 1, pairs(p)).otherwise(none).alias("r"))
+    def ranks(p: Column) -> Column:  # of all neighbours
+        return F.transform(F.slice(p, 1, F.greatest(F.size(p) - 1, F.lit(0))), lambda x, i: rank(x, p[i + 1]))
 
-    def step(s: Column, _: Column) -> Column:
-        def merged(at: Column) -> Column:  # at: place of the left one of the pair, from 1
+    def state(p: Column, r: Column) -> Column:
+        return F.struct(p.alias("p"), r.alias("r"))
+
+    def one(s: Column, low: Column) -> Column:
+        """s with the first pair of rank low merged; two ranks are new."""
+
+        def at(k: Column) -> Column:  # place of the left one of the pair, from 1
             p, r = s["p"], s["r"]
-            one = F.concat(F.element_at(p, at), F.element_at(p, at + 1))
-            pieces = F.concat(F.slice(p, 1, at - 1), F.array(one), F.slice(p, at + 2, F.size(p)))
-            left = F.when(at > 1, F.array(rank(ranks, F.concat(F.try_element_at(p, F.greatest(at - 1, F.lit(1))), one)))).otherwise(none)
-            right = F.when(at + 2 <= F.size(p), F.array(rank(ranks, F.concat(one, F.coalesce(F.try_element_at(p, at + 2), F.lit("")))))).otherwise(none)
-            kept = F.concat(F.slice(r, 1, F.greatest(at - 2, F.lit(0))), left, right, F.slice(r, at + 2, F.size(r)))
-            return F.struct(pieces.alias("p"), kept.alias("r"))
+            left = F.when(k > 1, F.array(rank(F.get(p, k - 2), low))).otherwise(none)
+            right = F.when(k + 2 <= F.size(p), F.array(rank(low, F.get(p, k + 1)))).otherwise(none)
+            return state(F.concat(F.slice(p, 1, k - 1), F.array(low), F.slice(p, k + 2, F.size(p))), F.concat(F.slice(r, 1, F.greatest(k - 2, F.lit(0))), left, right, F.slice(r, k + 2, F.size(r))))
+
+        return F.transform(F.array(F.array_position(s["r"], low).cast("int")), at)[0]
+
+    def every(s: Column, low: Column) -> Column:
+        """s with all pairs of rank low merged; of pairs that overlap, as in a run of one byte, every second one."""
+
+        def spliced(sel: Column) -> Column:  # sel: places of the left ones, from 0
+            begin = lambda j: F.when(j == 0, F.lit(1)).otherwise(F.get(sel, j - 1) + 3)
+            end = lambda j: F.coalesce(F.get(sel, j), F.size(s["p"]))
+            part = lambda j: F.concat(F.slice(s["p"], begin(j), end(j) - begin(j) + 1), F.when(j < F.size(sel), F.array(low)).otherwise(none))
+            whole = F.flatten(F.transform(F.sequence(F.lit(0), F.size(sel)), part))
+            return F.transform(F.array(whole), lambda p: state(p, ranks(p)))[0]
+
+        def apart(at: Column) -> Column:
+            first = F.filter(at, lambda i, k: (k == 0) | (F.get(at, k - 1) != i - 1))
+            last = F.filter(at, lambda i, k: F.coalesce(F.get(at, k + 1) != i + 1, F.lit(True)))
+            return F.transform(F.array(F.flatten(F.zip_with(first, last, lambda a, b: F.sequence(a, b, F.lit(2))))), spliced)[0]
 
+        return F.transform(F.array(F.filter(F.sequence(F.lit(0), F.size(s["r"]) - 1), lambda i: s["r"][i] == low)), apart)[0]
+
+    def step(s: Column, _: Column) -> Column:
         low = F.coalesce(F.array_min(s["r"]), F.lit(_NONE))
-        again = F.transform(F.array(F.array_position(s["r"], low).cast("int")), merged)[0]
-        return F.when(low < _NONE, again).otherwise(s)
+        merged = lambda low: F.when(low == _NONE, state(s["p"], none)).when(F.size(s["p"]) < LONG, one(s, low)).otherwise(every(s, low))
+        return F.transform(F.array(low), merged)[0]
+
+    def stretch(b: Column) -> Column:
+        steps = F.when(F.size(b) > 1, F.sequence(F.lit(2), F.size(b))).otherwise(none)
+        start = F.transform(F.array(F.transform(b, lambda x: c["bytes"][x])), lambda p: state(p, ranks(p)))[0]
+        return F.aggregate(steps, start, step, lambda s: s["p"])
+
+    def split(b: Column) -> Column:
+        cuts = F.filter(F.when(F.size(b) > 1, F.sequence(F.lit(1), F.size(b) - 1)).otherwise(none), lambda i: ~c["beside"][b[i - 1] * 256 + b[i]])
+        ends = F.concat(F.array(F.lit(0)), cuts, F.array(F.size(b)))
+        parts = lambda e: F.transform(F.sequence(F.lit(0), F.size(e) - 2), lambda j: F.slice(b, e[j] + 1, e[j + 1] - e[j]))
+        return F.transform(F.array(ends), parts)[0]
 
-    steps = lambda p: F.when(F.size(p) > 1, F.sequence(F.lit(2), F.size(p))).otherwise(none)
-    return bound(taken, lambda p: F.aggregate(steps(p), start(p), step, lambda s: F.transform(s["p"], lambda x: rank(ranks, x))))
+    return F.transform(F.array(taken), lambda b: F.flatten(F.transform(split(b), stretch)))[0]
 
 
 def words_of(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern_for_java(pattern)), F.lit(0))
 
 
+def _word_bucket(word: Column) -> Column:
+    return F.crc32(word.cast("binary")).bitwiseAND(BUCKETS - 1).cast("int")
+
+
+def common_words(docs: DataFrame, text: str, pattern: str, vocabulary: Vocabulary) -> Column:
+    """A literal array of small maps from the frequent words of a sample to their ids, by bucket."""
+    spark = docs.sparkSession
+    share = int(min(1.0, SAMPLE / max(1, docs.count())) * 1_000_000)
+    drawn = docs.where(F.pmod(F.xxhash64(text), F.lit(1_000_000)) < share).select(F.explode(words_of(F.col(text), pattern)).alias("w"))
+    frequent = drawn.groupBy("w").count().orderBy(F.desc("count"), "w").limit(WORDS).select("w").repartition(4 * spark.sparkContext.defaultParallelism)
+    maps: list[dict] = [{} for _ in range(BUCKETS)]
+    for r in frequent.select("w", bound(vocabulary.fold, lambda c: fold(c, F.col("w"), vocabulary.size)).alias("ids")).collect():  # WORDS at most
+        maps[zlib.crc32(r["w"].encode()) & (BUCKETS - 1)][r["w"]] = r["ids"]
+    return _literal(maps, "array<map<string,array<int>>>")
+
+
 def encoded(docs: DataFrame, ranks_path: str, pattern: str, ident: str = "doc_id", text: str = "text") -> tuple[DataFrame, Vocabulary]:
     """(ident, ids) for each row of docs, and the vocabulary.
 
     ids are those of the tiktoken library for the same ranks and pattern, each match of the pattern encoded by itself
     and no special tokens. A null or empty text has no ids. Other columns are not read; rows that repeat repeat; an
     empty table gives an empty one. Letters and numbers are those of the JVM's Unicode version.
+
+    Texts go by a hash of 96 bits where their rare words travel, so equal texts travel once.
     """
-    spark = docs.sparkSession
-    vocabulary = Vocabulary(spark, read_ranks(ranks_path))
-    rows = docs.select(F.col(ident), words_of(F.col(text), pattern).alias("_w"))
-    share = int(min(1.0, SAMPLE / max(1, docs.count())) * 1_000_000)
-    drawn = docs.where(F.pmod(F.xxhash64(F.col(ident).cast("string")), F.lit(1_000_000)) < share)
-    sample = drawn.select(F.explode(words_of(F.col(text), pattern)).alias("w"))
-    common = sample.groupBy("w").count().orderBy(F.desc("count"), "w").limit(WORDS)
-    known = [tuple(x) for x in common.repartition(8 * spark.sparkContext.defaultParallelism).select(_bucket(F.col("w")), "w", bound(vocabulary.ranks, lambda r: fold(r, F.col("w"))).alias("ids")).collect()]
-    table = _bucketed(known, "array<int>")
-    both = F.struct(vocabulary.ranks.alias("ranks"), table.alias("words"))
-    ids = bound(both, lambda c: F.flatten(F.transform("_w", lambda w: F.coalesce(F.try_element_at(c["words"][_bucket(w)], w), fold(c["ranks"], w)))))
-    return rows.select(ident, ids.alias("ids")), vocabulary
+    vocabulary = Vocabulary(read_ranks(ranks_path))
+    known = common_words(docs, text, pattern, vocabulary)
+    h1, h2 = F.xxhash64("_t"), F.hash("_t")
+    rows = docs.select(F.col(ident).alias("_id"), F.col(text).alias("_t"))
+    looked = lambda: bound(known, lambda c: F.transform(words_of(F.col("_t"), pattern), lambda w: F.try_element_at(c[_word_bucket(w)], w)))
+    rare = bound(known, lambda c: F.transform(F.array(words_of(F.col("_t"), pattern)), lambda ws: F.filter(F.transform(ws, lambda w, i: F.when(F.try_element_at(c[_word_bucket(w)], w).isNull(), F.struct(i.alias("at"), w.alias("w")))), lambda x: x.isNotNull()))[0])
+    texts = written(rows.select(h1.alias("h1"), h2.alias("h2"), rare.alias("rare")).where(F.size("rare") > 0).dropDuplicates(["h1", "h2"]))
+    words = texts.select("h1", "h2", F.explode("rare").alias("x")).select("h1", "h2", "x.at", "x.w")
+    folded = written(words.select("w").distinct().withColumn("ids", bound(vocabulary.fold, lambda c: fold(c, F.col("w"), vocabulary.size))))
+    gathered = words.join(folded.hint("merge"), "w").groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("rest"))
+    gathered = written(gathered.select(F.col("h1").alias("_1"), F.col("h2").alias("_2"), F.transform("rest", lambda x: x["at"]).alias("_at"), F.transform("rest", lambda x: x["ids"]).alias("_ids")))
+
+    def filled(parts: Column) -> Column:
+        begin = lambda j: F.when(j == 0, F.lit(1)).otherwise(F.get(F.col("_at"), j - 1) + 2)
+        end = lambda j: F.coalesce(F.get(F.col("_at"), j), F.size(parts))
+        part = lambda j: F.concat(F.flatten(F.slice(parts, begin(j), end(j) - begin(j) + 1)), F.coalesce(F.get(F.col("_ids"), j), F.array().cast("array<int>")))
+        return F.when(F.col("_at").isNull(), F.flatten(parts)).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), F.size("_at")), part)))
+
+    both = rows.join(gathered.hint("merge"), (h1 == F.col("_1")) & (h2 == F.col("_2")), "left")
+    return both.select(F.col("_id").alias(ident), F.transform(F.array(looked()), filled)[0].alias("ids")), vocabulary
 
 
 def id_bytes(ids: Column, vocabulary: Vocabulary) -> Column:

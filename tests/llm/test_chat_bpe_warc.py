@@ -71,17 +71,17 @@ def enc():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=read_ranks(RANKS), special_tokens={})
 
 
-ODD = [None, "", " ", "\n\n  a", "a<|endoftext|>b", "don't I'LL 've", "ünïcødé 漢字 😀👍🏽", "12 345,6 x²", "\x1c\x85\xa0  a​", "x" * 300, "a b " * 5000, "tab\tend  \r\n ", "aaaaaaa", "\x00a"]
+ODD = [None, "", " ", "\n\n  a", "a<|endoftext|>b", "don't I'LL 've", "ünïcødé 漢字 😀👍🏽", "12 345,6 x²", "\x1c\x85\xa0  a​", "x" * 300, "a b " * 5000, "tab\tend  \r\n ", "aaaaaaa", "\x00a", "a" * 9000 + "b", "the" * 700, "".join(random.Random(5).choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", k=100_000))]
 
 
 def test_bpe(spark, sf, enc, monkeypatch):
     import gable.llm.byte_bpe as m
 
-    monkeypatch.setattr(m, "WORDS", 200)  # most words are folded where they stand
+    monkeypatch.setattr(m, "WORDS", 200)  # most words are joined
     real = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(60)
     rng = random.Random(1)
     noise = ["".join(chr(rng.choice([32, 97, 101, 116, 233, 0x4E2D, 10, 39])) for _ in range(40)) for _ in range(40)]
-    docs = real.unionByName(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(ODD + noise)], "doc_id long, text string")).withColumn("ids", F.lit(1))
+    docs = real.unionByName(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(ODD + noise + noise[:5])], "doc_id long, text string")).withColumn("ids", F.lit(1)).withColumn("_t", F.lit("x"))
     got = {r.doc_id: r for r in digests(docs, RANKS, public_tokenizers.PATTERN).collect()}
     assert len(got) == docs.count()
     for r in docs.collect():

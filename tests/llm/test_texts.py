@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gable.llm.language_id import identified, in_known_language
 from gable.llm.packing import ShardIndex, fill, packed, powers
-from gable.llm.paragraph_dedup import Paragraphs, repeated_passages, without_repeats
+from gable.llm.paragraph_dedup import Paragraphs, aligned, repeated_passages, without_repeats
 from gable.llm.token_counts import PATTERN, counted, unsure, whole_tokens
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -173,27 +173,31 @@ def planted():
 
 def test_paragraph_cuts_do_not_depend_on_the_batch():
     texts = [t for _, t in planted()[:40]] + [None, "", "a b c d", "a b c d e"]
-    all_at_once = Paragraphs(texts)
+    all_at_once, (key, doc, place) = Paragraphs(texts), Paragraphs(texts).bands()
     for d, t in enumerate(texts):
-        alone = Paragraphs([t])
-        of = all_at_once.doc == d
-        assert (all_at_once.start[of] == alone.start).all() and (all_at_once.hashes()[of] == alone.hashes()).all() and (all_at_once.words[of] == alone.words).all()
+        alone, of = Paragraphs([t]), all_at_once.doc == d
+        assert (all_at_once.start[of] == alone.start).all() and (all_at_once.count[of] == alone.count).all()
+        k, _, p = alone.bands()
+        assert (key[doc == d] == k).all() and (place[doc == d] == p).all()
         if t and len(t.split()) >= 5:
-            assert alone.start[0] == 0 and (alone.start[1:] == alone.start[:-1] + alone.count[:-1]).all() and alone.start[-1] + alone.words[-1] == len(t.split())
+            assert alone.start[0] == 0 and (alone.start[1:] == alone.start[:-1] + alone.count[:-1]).all() and alone.start[-1] + alone.count[-1] + 4 == len(t.split())
+
+
+def shingles(words):
+    return set(zip(*(words[k:] for k in range(5))))
 
 
 def test_repeats(spark):
     rows = planted()
-    docs = spark.createDataFrame([(i, t, "x", 7) for i, t in rows], "doc_id long, text string, units string, n_chars int")
+    docs = spark.createDataFrame([(i, t, "x", 7, 1, "c") for i, t in rows], "doc_id long, text string, units string, n_chars int, _cut int, _spans string")
     got = repeated_passages(docs).collect()
     want = passages_by_hand(rows)
     assert {r.doc_id for r in got} == want
     text = {i: (t or "").lower().split() for i, t in rows}
-    firsts = {(r.class_doc_id, r.class_start) for r in got}
     for r in got:
         said = text[r.doc_id][r.start_word : r.start_word + r.n_words]
-        assert len(said) == r.n_words >= 18 and r.removed == ((r.doc_id, r.start_word) not in firsts)
-        assert r.doc_id == 904 or not r.removed or " ".join(said[4:10]) in " ".join(text[r.class_doc_id])
+        assert len(said) == r.n_words >= 40 and r.removed == ((r.doc_id, r.start_word) != (r.class_doc_id, r.class_start))
+        assert r.doc_id == 904 or not r.removed or " ".join(said) in " ".join(text[r.class_doc_id])
     left = without_repeats(docs, length="n_chars")
     assert left.columns == docs.columns
     after = {r.doc_id: r for r in left.collect()}
@@ -204,22 +208,57 @@ def test_repeats(spark):
         assert after[i].n_chars == (len(after[i].text) if i in removed else 7)
 
 
-def test_repeats_with_near_paragraphs_and_small_blocks(spark, monkeypatch):
-    import gable.llm.paragraph_dedup as m
-
-    monkeypatch.setattr(m, "BLOCK", 3)
-    test_repeats(spark)
-
-
-def test_alike_joins_what_is_similar():
-    from gable.llm.paragraph_dedup import alike
-
-    rows = [np.arange(a, a + 20, dtype=np.uint64) for a in (0, 1, 2, 3, 100)] + [np.arange(0, 17, dtype=np.uint64)]
-    i, j = alike(rows, np.arange(6), None, 0.8)
-    root = list(range(6))
-    for a, b in zip(i, j):
-        root = [root[a] if x == root[b] else x for x in root]
-    assert len({root[k] for k in (0, 1, 2, 3, 5)}) == 1 and root[4] not in root[:4]
+def test_edited_passages_are_found_whole(spark):
+    """One word changed, put in or left out of passages of 50 to 100 words: nearly all found, to their edges."""
+    rng = random.Random(8)
+    vocab = ["w%d" % i for i in range(3000)]
+    some = lambda n: [rng.choice(vocab) for _ in range(n)]
+    rows, want = [], {}
+    for k in range(0, 400, 2):
+        p = some(rng.randrange(50, 101))
+        q, x = list(p), rng.randrange(6, len(p) - 6)
+        q[x : x + rng.randrange(2)] = ["edit%d" % k] * rng.randrange(2)
+        before = some(rng.randrange(20, 150))
+        rows += [(k, " ".join(some(40) + p + some(60))), (k + 1, " ".join(before + q + some(50)))]
+        if len(shingles(p) & shingles(q)) >= 0.8 * len(shingles(p) | shingles(q)):
+            want[k + 1] = (len(before), len(q))
+    got = {r.doc_id: r for r in repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.removed}
+    assert set(got) <= set(range(1, 400, 2)) and all(r.class_doc_id == i - 1 for i, r in got.items())
+    found = [i for i, (s, n) in want.items() if i in got and abs(got[i].start_word - s) <= 2 and abs(got[i].n_words - n) <= 4]
+    assert len(want) > 180 and len(found) >= 0.95 * len(want)
+
+
+def test_texts_that_share_a_phrase_keep_it(spark):
+    """Thousands of texts with the same words around one key are no repetitions."""
+    rng = random.Random(2)
+    phrase = "the same five words here"
+    rows = [(i, " ".join(["w%d" % rng.randrange(5000) for _ in range(30)] + [phrase] + ["w%d" % rng.randrange(5000) for _ in range(30)])) for i in range(3000)]
+    assert repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
+
+
+def test_aligned():
+    rng = random.Random(1)
+    w = ["a%d" % rng.randrange(500) for _ in range(300)]
+    assert aligned(w, w, 0) == [(0, 300, 0, 300)]
+    other = ["b%d" % i for i in range(100)]
+    assert aligned(other + w[:60] + other, w[:60], -100) == [(100, 160, 0, 60)]
+    apart = w[:60] + other + w[60:120]
+    assert sorted(aligned(apart, w[:120], 0)) == [(0, 60, 0, 60)]
+    assert aligned(["y"] * 50_000, ["y"] * 60, 0)[0][2:] == (0, 60)
+    assert aligned([], [], 0) == [] == aligned(["x"] * 39, ["x"] * 39, 0)
+
+
+def test_repeats_with_null_and_repeated_ids(spark):
+    rng = random.Random(3)
+    some = lambda n: " ".join("w%d" % rng.randrange(5000) for _ in range(n))
+    p, q = some(60), some(60)
+    twice = some(10) + " " + q
+    rows = [(None, some(20) + " " + p), (5, p + " " + some(30)), (5, twice), (5, twice), (None, q), (None, None), (7, some(80)), (7, some(80)), (8, "y " * 5000), (9, "y " * 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_words, r.removed, r.class_doc_id) for r in repeated_passages(docs).collect())
+    assert got == sorted([("None", 60, True, 5), ("5", 60, False, 5), ("5", 60, False, 5), ("None", 60, True, 5), ("8", 85, False, 8), ("8", 4888, True, 8), ("9", 400, True, 8)])
+    left = without_repeats(docs).collect()
+    assert len(left) == len(rows) and sorted((r.text or "").strip() == "" for r in left) == [False] * 7 + [True] * 3
 
 
 def test_repeats_of_nothing(spark):
