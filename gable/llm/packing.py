@@ -1,10 +1,12 @@
 """Packing of token ids into windows by lexical retrieval.
 
 Documents are encoded, each with a closing id 0. Full windows of a long document stand alone; what is left of each
-document is packed. A sharded BM25 inverted index (document frequencies and lengths over the whole corpus, postings by
-shard) ranks, for each seed, the unused documents of its shard; they fill the seed's window in that order, and the one
-that no longer fits is cut and seeds the next window. The last ids of a shard are cut into sequences whose lengths
-are powers of two, so nothing is padded.
+document is packed. The inverted index is cut into shards by what documents say: by the nearest of some pivot
+documents, then by a MinHash of their rarest terms, so that near copies and documents that share rare terms lie in one
+shard at every size of the corpus. BM25 (document frequencies and lengths over the whole corpus, postings by shard)
+ranks, for each seed, the unused documents of its shard; they fill the seed's window in that order, and the one that no
+longer fits is cut and seeds the next window. The last ids of a shard are cut into sequences whose lengths are powers
+of two, so nothing is padded.
 """
 
 from __future__ import annotations
@@ -13,20 +15,24 @@ import re
 import sys
 import zlib
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gable.llm.common import by_group, ready, written
+from gable.llm.common import mix, ready, release, slices, written
 from gable.llm.token_counts import UNCOMMON, PATTERN, load, one_piece, pre_tokens, ranks_of
 
 #: Ids in a window; postings (distinct terms of documents) in a shard, on average; BM25's constants.
-WINDOW, SHARD, K1, B = 1024, 80_000, 1.2, 0.75
+WINDOW, SHARD, K1, B = 1024, 250_000, 1.2, 0.75
+#: Documents (about, drawn by a hash of their text) from which pivots and the order of terms by rarity are taken, pivots, rarest terms that are hashed.
+SAMPLE, PIVOTS, RAREST = 2000, 32, 16
 #: Stretches between spaces whose ids a worker remembers.
-REMEMBERED = 1_200_000
+REMEMBERED = 400_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -104,7 +110,7 @@ class Encoder:
 
 @lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
-    """The encoder of a worker; what it remembers outlives the task."""
+    """The encoder of a worker; tasks forget their stretches at the end."""
     return Encoder(path)
 
 
@@ -139,6 +145,19 @@ class ShardIndex:
         return np.bincount(self.doc[places], self.weight[places], self.docs)
 
 
+def best_unused(scores: np.ndarray, used: np.ndarray, first: int = 48) -> Iterator[int]:
+    """Unused documents from the best score on; most calls need a few, so only those are sorted first."""
+    free = np.flatnonzero(~used)
+    s = -scores[free]
+    if len(free) > 2 * first:
+        near = np.argpartition(s, first)
+        head = np.sort(near[:first])
+        yield from free[head[np.argsort(s[head], kind="stable")]].tolist()
+        rest = np.sort(near[first:])
+        free, s = free[rest], s[rest]
+    yield from free[np.argsort(s, kind="stable")].tolist()
+
+
 def fill(lengths: list[int], index: ShardIndex, window: int = WINDOW) -> list[list[tuple[int, int, int]]]:
     """Sequences of (document, start, length) that hold every id once; lengths are those left to pack, 0 for none."""
     used = np.array([x == 0 for x in lengths])
@@ -158,8 +177,7 @@ def fill(lengths: list[int], index: ShardIndex, window: int = WINDOW) -> list[li
         at += take
         last = seed if at < lengths[seed] else -1
         if room and not used.all():
-            ranked = np.argsort(-index.scores(seed), kind="stable")
-            for j in ranked[~used[ranked]].tolist():
+            for j in best_unused(index.scores(seed), used):
                 used[j] = True
                 take = min(room, lengths[j])
                 seq.append((j, 0, take))
@@ -185,44 +203,32 @@ def fill(lengths: list[int], index: ShardIndex, window: int = WINDOW) -> list[li
     return out
 
 
-def packed(docs: DataFrame, path: str, ident: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+class Sketch:
+    """Where a document lies among others: the nearest pivot by the cosine of weighted terms, and the least hash of its rarest terms."""
 
-    path: a byte-level BPE file of the tokenizers library, readable on every machine; ident is an integer column.
-    A null text is empty and so has its closing id alone. Rows that repeat are packed each. Other columns are not
-    read; an empty table gives an empty one. Every id lies in one piece, and no sequence needs padding.
-    """
-    spark = ready(docs.sparkSession)
+    def __init__(self, idf: np.ndarray, pivots: list[np.ndarray]):
+        self.idf = idf
+        self.pivots = np.zeros((len(idf), max(1, len(pivots))), np.float32)
+        for k, terms in enumerate(pivots):
+            self.pivots[terms, k] = idf[terms] / np.sqrt((idf[terms] ** 2).sum())
+        h = np.arange(1, len(idf) + 1, dtype=np.uint64)
+        with np.errstate(over="ignore"):
+            self.order = (mix(h) >> np.uint64(33)).astype(np.int64)
 
-    def encoded(batches):
-        encode = encoder(path)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = [encode(t) for t in batch.column("_t").to_pylist()]
-            full = [[crc(ids[k : k + window]) for k in range(0, len(ids) - window + 1, window)] for ids in rows]
-            tails = [ids[len(f) * window :].tobytes() for ids, f in zip(rows, full)]
-            terms, counts = zip(*(np.unique(ids, return_counts=True) for ids in rows))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("_id"),
-                    pa.array([len(r) for r in rows], pa.int64()),
-                    pa.array(full, pa.list_(pa.int64())),
-                    pa.array(tails, pa.binary()),
-                    pa.array([t.tobytes() for t in terms], pa.binary()),
-                    pa.array([np.minimum(c, 65_535).astype("<u2").tobytes() for c in counts], pa.binary()),
-                    pa.array([len(t) for t in terms], pa.int32()),
-                ],
-                names=["doc_id", "doc_tokens", "full", "tail", "terms", "counts", "postings"],
-            )
-
-    schema = "doc_id long, doc_tokens long, full array<long>, tail binary, terms binary, counts binary, postings int"
-    rows = written(docs.select(F.col(ident).cast("long").alias("_id"), F.col(text).alias("_t")).mapInArrow(encoded, schema))
+    def __call__(self, terms: np.ndarray) -> tuple[int, int]:
+        w = self.idf[terms]
+        rare = terms if len(terms) <= RAREST else terms[np.argpartition(-w, RAREST)[:RAREST]]
+        return int(np.argmax(w @ self.pivots[terms])), int(self.order[rare].min())
 
-    vocab = load(path).get_vocab_size()
-    dtype = np.dtype("<u2") if vocab <= 65_536 else np.dtype("<u4")
 
-    def frequencies(batches):
+def idf_of(df: np.ndarray, documents: int) -> np.ndarray:
+    return np.log1p((documents - df + 0.5) / (df + 0.5)).astype(np.float32)
+
+
+def frequencies(rows: DataFrame, vocab: int, dtype: np.dtype) -> np.ndarray:
+    """How many rows hold each term, from their column terms."""
+
+    def counted(batches):
         df = np.zeros(vocab, np.int64)
         for batch in batches:
             for t in batch.column("terms").to_pylist():
@@ -230,22 +236,81 @@ def packed(docs: DataFrame, path: str, ident: str = "doc_id", text: str = "text"
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["term", "df"])
 
+    out = np.zeros(vocab)
+    for r in rows.select("terms").mapInArrow(counted, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
+        out[r["term"]] = r["df"]  # bounded by the vocabulary
+    return out
+
+
+def sketch_of(docs: DataFrame, path: str, vocab: int, dtype: np.dtype) -> Sketch:
+    """A sketch from a sample of docs (column _t)."""
+    share = int(min(1.0, SAMPLE / max(1, docs.count())) * 1_000_000)
+
+    def terms(batches):
+        encode = encoder(path)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([np.unique(encode(t)).tobytes() for t in batch.column("_t").to_pylist()], pa.binary())], names=["terms"])
+
+    drawn = written(docs.where(F.pmod(F.xxhash64("_t"), F.lit(1_000_000)) < share).select("_t").mapInArrow(terms, "terms binary"))
+    df = frequencies(drawn, vocab, dtype)
+    pivots = drawn.where(F.length("terms") >= 20 * dtype.itemsize).dropDuplicates(["terms"]).orderBy(F.xxhash64("terms"), "terms").limit(PIVOTS).collect()
+    return Sketch(idf_of(df, drawn.count()), [np.frombuffer(r["terms"], dtype).astype(np.int64) for r in pivots])
+
+
+def packed(docs: DataFrame, path: str, ident: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+    """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
+
+    path: a byte-level BPE file of the tokenizers library, readable on every machine; ident is an integer column.
+    A null text is empty and so has its closing id alone. Rows that repeat are packed each; null and repeated ids stay
+    as they are. Other columns are not read; an empty table gives an empty one. Every id lies in one piece, and no
+    sequence needs padding.
+
+    A shard is a stretch of SHARD postings of the documents in the order of their sketch, so many equal documents fill
+    several shards.
+    """
+    spark = ready(docs.sparkSession)
+    docs = docs.select(F.col(ident).cast("long").alias("_id"), F.col(text).alias("_t"))
+    vocab = load(path).get_vocab_size()
+    dtype = np.dtype("<u2") if vocab <= 65_536 else np.dtype("<u4")
+    sketch = spark.sparkContext.broadcast(sketch_of(docs, path, vocab, dtype))
+
+    def encoded(batches):
+        encode = encoder(path)
+        for whole in batches:
+            for batch in slices(whole):
+                rows = [encode(t) for t in batch.column("_t").to_pylist()]
+                full = [[crc(ids[k : k + window]) for k in range(0, len(ids) - window + 1, window)] for ids in rows]
+                tails = [ids[len(f) * window :].tobytes() for ids, f in zip(rows, full)]
+                terms, counts = zip(*(np.unique(ids, return_counts=True) for ids in rows))
+                pivot, rare = zip(*map(sketch.value, terms))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("_id"),
+                        pa.array([len(r) for r in rows], pa.int64()),
+                        pa.array(full, pa.list_(pa.int64())),
+                        pa.array(tails, pa.binary()),
+                        pa.array([t.tobytes() for t in terms], pa.binary()),
+                        pa.array([c.astype("<u4").tobytes() for c in counts], pa.binary()),
+                        pa.array([len(t) for t in terms], pa.int32()),
+                        pa.array(pivot, pa.int32()),
+                        pa.array(rare, pa.int64()),
+                    ],
+                    names=["doc_id", "doc_tokens", "full", "tail", "terms", "counts", "postings", "pivot", "rare"],
+                )
+        encode.chunks.clear()
+        release()
+
+    schema = "doc_id long, doc_tokens long, full array<long>, tail binary, terms binary, counts binary, postings int, pivot int, rare long"
+    rows = written(docs.mapInArrow(encoded, schema))
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("doc_tokens").alias("tokens"), F.sum("postings").alias("postings")).first()
-    documents, shards = total["n"], max(1, -(-(total["postings"] or 0) // SHARD))
-    df = np.zeros(vocab)
-    for r in rows.select("terms").mapInArrow(frequencies, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():
-        df[r["term"]] = r["df"]  # bounded by the vocabulary
-    idf = spark.sparkContext.broadcast(np.log1p((documents - df + 0.5) / (df + 0.5)).astype(np.float32))
-    mean = (total["tokens"] or 0) / max(1, documents)
-
-    def fill_shard(table: pa.Table) -> dict:
-        table = table.sort_by([("doc_id", "ascending"), ("doc_tokens", "ascending"), ("tail", "ascending")])
+    idf = spark.sparkContext.broadcast(idf_of(frequencies(rows, vocab, dtype), total["n"]))
+    mean = (total["tokens"] or 0) / max(1, total["n"])
+
+    def fill_shard(table: pa.Table, seq: int) -> tuple[pa.RecordBatch, int]:
         ids, n, full = table["doc_id"].to_pylist(), table["doc_tokens"].to_pylist(), table["full"].to_pylist()
         tails = [np.frombuffer(t, dtype) for t in table["tail"].to_pylist()]
-        shard = table["shard"][0].as_py()
-        index = ShardIndex([np.frombuffer(t, dtype) for t in table["terms"].to_pylist()], [np.frombuffer(c, "<u2") for c in table["counts"].to_pylist()], np.array(n, float), idf.value, mean)
+        index = ShardIndex([np.frombuffer(t, dtype) for t in table["terms"].to_pylist()], [np.frombuffer(c, "<u4") for c in table["counts"].to_pylist()], np.array(n, float), idf.value, mean)
         out: list[tuple] = []
-        seq = shard << 32
         for d, f in enumerate(full):
             for k, c in enumerate(f):
                 out.append((ids[d], k * window, window, c, n[d], seq, 0))
@@ -256,7 +321,26 @@ def packed(docs: DataFrame, path: str, ident: str = "doc_id", text: str = "text"
                 out.append((ids[d], len(full[d]) * window + s, size, crc(tails[d][s : s + size]), n[d], seq, offset))
                 offset += size
             seq += 1
-        return dict(zip(("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"), zip(*out)))
-
-    sharded = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "doc_tokens"), F.lit(shards)))
-    return by_group(sharded, ["shard"], fill_shard, PIECES)
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], names=[x.split()[0] for x in PIECES.split(", ")]), seq
+
+    def filled(batches):
+        seq, held, size = TaskContext.get().partitionId() << 32, [], 0
+        for whole in batches:
+            for batch in slices(whole):
+                ends = np.cumsum(batch.column("postings").to_numpy()) + size
+                at = 0
+                while (k := int(np.searchsorted(ends, SHARD))) < batch.num_rows:
+                    held.append(batch.slice(at, k + 1 - at))
+                    out, seq = fill_shard(pa.Table.from_batches(held), seq)
+                    yield out
+                    at, held, ends = k + 1, [], ends - ends[k]
+                size = int(ends[-1])
+                if at < batch.num_rows:
+                    held.append(batch.slice(at))
+        if held:
+            yield fill_shard(pa.Table.from_batches(held), seq)[0]
+        release()
+
+    tie = F.xxhash64("doc_id", "doc_tokens")
+    parts = max(1, (total["postings"] or 0) // (4 * SHARD))
+    return rows.withColumn("_tie", tie).repartitionByRange(parts, "pivot", "rare", "_tie").sortWithinPartitions("pivot", "rare", "_tie", "doc_id", "doc_tokens").drop("_tie").mapInArrow(filled, PIECES)

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gable.llm.common import ready
+from gable.llm.common import ready, release, slices
 
 #: How the byte-level pre-tokenizer splits text. Fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -147,7 +147,7 @@ class TokenCounter:
 
 @lru_cache(maxsize=1)
 def counter(path: str, whole: tuple[str, ...]) -> TokenCounter:
-    """The counter of a worker; what it remembers outlives the task."""
+    """The counter of a worker; tasks forget their pre-tokens at the end."""
     return TokenCounter(path, whole)
 
 
@@ -159,14 +159,16 @@ def counted(docs: DataFrame, path: str, ident: str = "doc_id", text: str = "text
     nothing is cut. Other columns are not read; an empty table gives an empty one; rows that repeat repeat.
     """
     ready(docs.sparkSession)
-    whole = docs.sparkSession.sparkContext.broadcast(tuple(whole_tokens(path)))  # bounded by the vocabulary
+    proven = docs.sparkSession.sparkContext.broadcast(tuple(whole_tokens(path)))  # bounded by the vocabulary
     rows = docs.select(F.col(ident).alias("_id"), F.coalesce(F.octet_length(text), F.lit(0)).cast("long").alias("n_bytes"), F.col(text).alias("_t"))
 
     def count(batches):
-        count_all = counter(path, whole.value)
-        for batch in batches:
-            if batch.num_rows:
+        count_all = counter(path, proven.value)
+        for whole in batches:
+            for batch in slices(whole):
                 n = count_all(batch.column("_t").to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("n_bytes"), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], names=[ident, "n_bytes", "n_tokens", "over_limit"])
+        count_all.known = dict(count_all.whole)
+        release()
 
     return rows.mapInArrow(count, f"`{ident}` {docs.schema[ident].dataType.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gable.llm.language_id import identified, in_known_language
 from gable.llm.packing import ShardIndex, fill, packed, powers
+from gable.llm.packing import best_unused as m_best
 from gable.llm.paragraph_dedup import Paragraphs, aligned, repeated_passages, without_repeats
 from gable.llm.token_counts import PATTERN, counted, unsure, whole_tokens
 
@@ -138,6 +139,37 @@ def check_packing(pieces, ids):
     return padding
 
 
+def test_shards_hold_the_neighbours(spark):
+    """The best neighbours in a document's own shard are as good, nearly, as those of the whole corpus."""
+    import gable.llm.packing as m
+
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").where("text is not null").collect()]
+    encode, vocab, dtype = m.encoder(JSON), m.load(JSON).get_vocab_size(), np.dtype("<u2")
+    sketch = m.sketch_of(spark.createDataFrame([(t,) for t in texts], "_t string"), JSON, vocab, dtype)
+    ids = [encode(t) for t in texts]
+    terms, counts = zip(*(np.unique(x, return_counts=True) for x in ids))
+    df = np.bincount(np.concatenate(terms), minlength=vocab)
+    index = ShardIndex(list(terms), list(counts), np.array([len(x) for x in ids], float), m.idf_of(df, len(ids)), np.mean([len(x) for x in ids]))
+    order = sorted(range(len(ids)), key=lambda d: (*sketch(terms[d]), d))
+    shard = np.empty(len(ids), int)
+    shard[order] = np.cumsum([len(terms[d]) for d in order]) // 25_000
+    assert shard.max() >= 6
+    ours = best = 0.0
+    for d in range(0, len(ids), 7):
+        s = index.scores(d)
+        s[d] = 0
+        best += np.sort(s)[-4:].sum()
+        ours += np.sort(s[shard == shard[d]])[-4:].sum()
+    assert ours >= 0.9 * best
+
+
+def test_best_unused_is_the_order_of_scores():
+    rng = np.random.default_rng(1)
+    s, used = rng.integers(0, 40, 500).astype(float), rng.random(500) < 0.3
+    got = list(m_best(s, used))
+    assert sorted(got) == np.flatnonzero(~used).tolist() and (np.diff(s[got]) <= 0).all()
+
+
 def test_packing(spark, docs, tok, monkeypatch):
     import gable.llm.packing as m
 
