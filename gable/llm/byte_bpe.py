@@ -5,9 +5,10 @@ whose pair ranks lowest in a literal map, until no pair has a rank. A word is fi
 vocabulary holds the two bytes side by side, for no merge can cross such a place; so even one word of a
 hundred thousand letters costs little.
 
-The most frequent words of a bounded sample are folded once and kept in a second literal map. The other words of each
-text are exploded; each distinct one is folded once, its ids are joined back by the word and gathered by text, and what stands
-between them is looked up. The sample changes the time only. Decoding concatenates the binary pieces of the ids.
+The most frequent words of a bounded sample are distinct words folded once, kept in a second literal map; all others, the
+long tail, are folded where they stand, so the sample changes the time only and texts are not shuffled. (Folding the tail
+by distinct words too, with a join back, was built and measured: see the README.) Decoding concatenates the binary
+pieces of the ids.
 """
 
 from __future__ import annotations
@@ -20,10 +21,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gable.llm.common import written
-
 #: Documents (about, drawn by a hash of their text) whose words are counted for the literal map of words, words in it, and buckets of the two maps.
-SAMPLE, WORDS, BUCKETS = 20_000, 100_000, 65_536
+SAMPLE, WORDS, BUCKETS = 20_000, 65_536, 65_536
 #: Ids in a stretch from which all pairs of a rank are merged in one step, not one by one.
 LONG = 48
 _NONE = 2**31 - 1
@@ -167,29 +166,13 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, ident: str = "doc_id
     ids are those of the tiktoken library for the same ranks and pattern, each match of the pattern encoded by itself
     and no special tokens. A null or empty text has no ids. Other columns are not read; rows that repeat repeat; an
     empty table gives an empty one. Letters and numbers are those of the JVM's Unicode version.
-
-    Texts go by a hash of 96 bits where their rare words travel, so equal texts travel once.
     """
     vocabulary = Vocabulary(read_ranks(ranks_path))
     known = common_words(docs, text, pattern, vocabulary)
-    h1, h2 = F.xxhash64("_t"), F.hash("_t")
-    rows = docs.select(F.col(ident).alias("_id"), F.col(text).alias("_t"))
-    looked = lambda: bound(known, lambda c: F.transform(words_of(F.col("_t"), pattern), lambda w: F.try_element_at(c[_word_bucket(w)], w)))
-    rare = bound(known, lambda c: F.transform(F.array(words_of(F.col("_t"), pattern)), lambda ws: F.filter(F.transform(ws, lambda w, i: F.when(F.try_element_at(c[_word_bucket(w)], w).isNull(), F.struct(i.alias("at"), w.alias("w")))), lambda x: x.isNotNull()))[0])
-    texts = written(rows.select(h1.alias("h1"), h2.alias("h2"), rare.alias("rare")).where(F.size("rare") > 0).dropDuplicates(["h1", "h2"]))
-    words = texts.select("h1", "h2", F.explode("rare").alias("x")).select("h1", "h2", "x.at", "x.w")
-    folded = written(words.select("w").distinct().withColumn("ids", bound(vocabulary.fold, lambda c: fold(c, F.col("w"), vocabulary.size))))
-    gathered = words.join(folded.hint("merge"), "w").groupBy("h1", "h2").agg(F.sort_array(F.collect_list(F.struct("at", "ids"))).alias("rest"))
-    gathered = written(gathered.select(F.col("h1").alias("_1"), F.col("h2").alias("_2"), F.transform("rest", lambda x: x["at"]).alias("_at"), F.transform("rest", lambda x: x["ids"]).alias("_ids")))
-
-    def filled(parts: Column) -> Column:
-        begin = lambda j: F.when(j == 0, F.lit(1)).otherwise(F.get(F.col("_at"), j - 1) + 2)
-        end = lambda j: F.coalesce(F.get(F.col("_at"), j), F.size(parts))
-        part = lambda j: F.concat(F.flatten(F.slice(parts, begin(j), end(j) - begin(j) + 1)), F.coalesce(F.get(F.col("_ids"), j), F.array().cast("array<int>")))
-        return F.when(F.col("_at").isNull(), F.flatten(parts)).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), F.size("_at")), part)))
-
-    both = rows.join(gathered.hint("merge"), (h1 == F.col("_1")) & (h2 == F.col("_2")), "left")
-    return both.select(F.col("_id").alias(ident), F.transform(F.array(looked()), filled)[0].alias("ids")), vocabulary
+    both = F.struct(vocabulary.fold.alias("fold"), known.alias("words"))
+    ids = lambda c, w: F.coalesce(F.try_element_at(c["words"][_word_bucket(w)], w), fold(c["fold"], w, vocabulary.size))
+    words = words_of(F.col(text), pattern)
+    return docs.select(F.col(ident), bound(both, lambda c: F.flatten(F.transform(words, lambda w: ids(c, w)))).alias("ids")), vocabulary
 
 
 def id_bytes(ids: Column, vocabulary: Vocabulary) -> Column:
