@@ -2,7 +2,7 @@
 
 Documents are encoded, each with a closing id 0. Full windows of a long document stand alone; what is left of each
 document is packed. The inverted index is cut into shards by what documents say: by the nearest of some pivot
-documents, then by a MinHash of their rarest terms, so that near copies and documents that share rare terms lie in one
+documents, then by a MinHash that prefers rare terms, so that near copies and documents that share rare terms lie in one
 shard at every size of the corpus. BM25 (document frequencies and lengths over the whole corpus, postings by shard)
 ranks, for each seed, the unused documents of its shard; they fill the seed's window in that order, and the one that no
 longer fits is cut and seeds the next window. The last ids of a shard are cut into sequences whose lengths are powers
@@ -29,8 +29,8 @@ from gable.llm.token_counts import UNCOMMON, PATTERN, load, one_piece, pre_token
 
 #: Ids in a window; postings (distinct terms of documents) in a shard, on average; BM25's constants.
 WINDOW, SHARD, K1, B = 1024, 250_000, 1.2, 0.75
-#: Documents (about, drawn by a hash of their text) from which pivots and the order of terms by rarity are taken, pivots, rarest terms that are hashed.
-SAMPLE, PIVOTS, RAREST = 2000, 32, 16
+#: Documents (about, drawn by a hash of their text) from which pivots and the order of terms by rarity are taken, pivots, power of a term's rarity in the hash.
+SAMPLE, PIVOTS, RARITY = 2000, 32, 4
 #: Stretches between spaces whose ids a worker remembers.
 REMEMBERED = 400_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -204,21 +204,21 @@ def fill(lengths: list[int], index: ShardIndex, window: int = WINDOW) -> list[li
 
 
 class Sketch:
-    """Where a document lies among others: the nearest pivot by the cosine of weighted terms, and the least hash of its rarest terms."""
+    """Where documents lie among others: the nearest pivot by the cosine of weighted terms, and a MinHash of the terms weighted by rarity."""
 
     def __init__(self, idf: np.ndarray, pivots: list[np.ndarray]):
-        self.idf = idf
         self.pivots = np.zeros((len(idf), max(1, len(pivots))), np.float32)
         for k, terms in enumerate(pivots):
-            self.pivots[terms, k] = idf[terms] / np.sqrt((idf[terms] ** 2).sum())
-        h = np.arange(1, len(idf) + 1, dtype=np.uint64)
+            self.pivots[terms, k] = idf[terms] ** 2 / np.sqrt((idf[terms] ** 2).sum())
         with np.errstate(over="ignore"):
-            self.order = (mix(h) >> np.uint64(33)).astype(np.int64)
+            u = ((mix(np.arange(1, len(idf) + 1, dtype=np.uint64)) >> np.uint64(11)) + np.uint64(1)) / 2.0**53
+        self.order = -np.log(u) / np.maximum(idf, 0.01).astype(float) ** RARITY
 
-    def __call__(self, terms: np.ndarray) -> tuple[int, int]:
-        w = self.idf[terms]
-        rare = terms if len(terms) <= RAREST else terms[np.argpartition(-w, RAREST)[:RAREST]]
-        return int(np.argmax(w @ self.pivots[terms])), int(self.order[rare].min())
+    def __call__(self, terms: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of the pivot and the hash of each document; every document has a term."""
+        starts = np.cumsum([0, *map(len, terms)])[:-1]
+        flat = np.concatenate(terms)
+        return np.argmax(np.add.reduceat(self.pivots[flat], starts), axis=1), np.minimum.reduceat(self.order[flat], starts)
 
 
 def idf_of(df: np.ndarray, documents: int) -> np.ndarray:
@@ -282,7 +282,7 @@ def packed(docs: DataFrame, path: str, ident: str = "doc_id", text: str = "text"
                 full = [[crc(ids[k : k + window]) for k in range(0, len(ids) - window + 1, window)] for ids in rows]
                 tails = [ids[len(f) * window :].tobytes() for ids, f in zip(rows, full)]
                 terms, counts = zip(*(np.unique(ids, return_counts=True) for ids in rows))
-                pivot, rare = zip(*map(sketch.value, terms))
+                pivot, rare = sketch.value(terms)
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("_id"),
@@ -293,14 +293,14 @@ def packed(docs: DataFrame, path: str, ident: str = "doc_id", text: str = "text"
                         pa.array([c.astype("<u4").tobytes() for c in counts], pa.binary()),
                         pa.array([len(t) for t in terms], pa.int32()),
                         pa.array(pivot, pa.int32()),
-                        pa.array(rare, pa.int64()),
+                        pa.array(rare, pa.float64()),
                     ],
                     names=["doc_id", "doc_tokens", "full", "tail", "terms", "counts", "postings", "pivot", "rare"],
                 )
         encode.chunks.clear()
         release()
 
-    schema = "doc_id long, doc_tokens long, full array<long>, tail binary, terms binary, counts binary, postings int, pivot int, rare long"
+    schema = "doc_id long, doc_tokens long, full array<long>, tail binary, terms binary, counts binary, postings int, pivot int, rare double"
     rows = written(docs.mapInArrow(encoded, schema))
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("doc_tokens").alias("tokens"), F.sum("postings").alias("postings")).first()
     idf = spark.sparkContext.broadcast(idf_of(frequencies(rows, vocab, dtype), total["n"]))

@@ -78,6 +78,49 @@ def test_language(spark, docs):
     assert kept.columns == docs.columns and kept.count() == sum(r.lang_pred != "und" for r in got.values())
 
 
+def test_language_by_hand(spark, docs):
+    """Family and pair votes of each text, one by one."""
+    import gable.llm.language_id as m
+
+    model = m.fit(docs)
+    def winner(kind, x, names):
+        votes, margins = [0] * len(names), [0.0] * len(names)
+        for a in range(len(names)):
+            for b in range(a + 1, len(names)):
+                w = model.weights[kind, names[a], names[b]]
+                s = float(x @ w[:-1] + w[-1])
+                votes[a if s >= 0 else b] += 1
+                margins[a] += np.tanh(s)
+                margins[b] -= np.tanh(s)
+        return max(range(len(names)), key=lambda k: (votes[k], margins[k]))
+
+    got = {r.doc_id: r.lang_pred for r in identified(docs, model=model).collect()}
+    for r in docs.collect():
+        x = m.features(r.text)
+        if x is None:
+            assert got[r.doc_id] == "und"
+            continue
+        groups = sorted(model.families)
+        inner = model.families[groups[winner("family", x, groups)]]
+        assert got[r.doc_id] == inner[winner("lang", x, inner)]
+
+
+def test_language_of_odd_tables(spark):
+    """Languages without letters, many languages, repeated and null ids."""
+    rows = [(i, "1 2 %d" % i, "xx" if i % 2 else "yy") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.lang_pred for r in identified(df).collect()} == {"und"} and in_known_language(df).count() == 0
+    words = ["".join(chr(97 + (k * 7 + j * (k + 3)) % 26) for j in range(6)) for k in range(70)]
+    many = [(i, " ".join([words[i % 70]] * 5), "l%d" % (i % 70)) for i in range(700)]
+    same = [(5, "same words here", "l0")] * 500 + [(None, "no id", "l1"), (None, None, None), (8, "free text", None)]
+    df = spark.createDataFrame(many + same, "doc_id long, text string, lang string")
+    got = identified(df).collect()
+    assert len(got) == 1203 and len({r.lang_pred for r in got}) > 60
+    assert {r.held_out for r in got if r.doc_id is None} == {False}
+    unknown = spark.createDataFrame([(1, "words", None), (2, "1 2", None), (None, "more", None)], "doc_id long, text string, lang string")
+    assert sorted(r.text for r in in_known_language(unknown).collect()) == ["more", "words"]
+
+
 def test_language_without_labels(spark):
     none = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert [r.lang_pred for r in identified(none).collect()] == ["und"]
@@ -150,7 +193,7 @@ def test_shards_hold_the_neighbours(spark):
     terms, counts = zip(*(np.unique(x, return_counts=True) for x in ids))
     df = np.bincount(np.concatenate(terms), minlength=vocab)
     index = ShardIndex(list(terms), list(counts), np.array([len(x) for x in ids], float), m.idf_of(df, len(ids)), np.mean([len(x) for x in ids]))
-    order = sorted(range(len(ids)), key=lambda d: (*sketch(terms[d]), d))
+    order = np.lexsort(sketch(list(terms))[::-1])
     shard = np.empty(len(ids), int)
     shard[order] = np.cumsum([len(terms[d]) for d in order]) // 25_000
     assert shard.max() >= 6
