@@ -12,13 +12,16 @@ from pyspark.sql import functions as F
 from gable.llm.common import by_group, forest, map_arrow, mix, paired_blocks, written
 from gable.llm.components import connected_components
 
-#: Vectors in a block; a group holds at most two blocks.
-BLOCK = 512
+#: Vectors in a block (a group holds at most two blocks), and vectors that a bucket holds by chance.
+BLOCK, BUCKET = 512, 256
 
 
 def tables_for(rows: int, threshold: float, miss: float) -> tuple[int, int]:
-    """Bits per table so that a chance bucket holds about eight of `rows`, and tables so that a pair at the threshold is missed with probability `miss` at most."""
-    bits = max(8, min(60, math.ceil(math.log2(max(rows, 1) / 8 + 1))))
+    """Bits per table so that a bucket holds about BUCKET of `rows` by chance, and tables so that a pair at the threshold is missed with probability `miss` at most.
+
+    Vectors travel once a table, while a bucket costs one product of matrices, so few bits and large buckets are cheap.
+    """
+    bits = max(4, min(60, math.ceil(math.log2(max(rows, 1) / BUCKET + 1))))
     alike = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, math.ceil(math.log(miss) / math.log1p(-alike))
 
@@ -38,6 +41,8 @@ def near_vectors(vectors: DataFrame, ident: str = "vec_id", vector: str = "embed
     rows = vectors.select(F.col(ident).alias("_id"), F.when(usable, v).alias("_v"))
     classes = written(rows.where("_v is not null").groupBy("_v").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     bits, tables = tables_for(classes.count(), threshold, miss)
+    single = vectors.schema[vector].dataType.elementType.simpleString() == "float"
+    width = np.dtype("<f4") if single else np.dtype("<f8")  # as wide as the input, compared as double
 
     def hashed(batch: pa.RecordBatch) -> pa.RecordBatch:
         lists = batch.column("_v")
@@ -59,7 +64,7 @@ def near_vectors(vectors: DataFrame, ident: str = "vec_id", vector: str = "embed
             [
                 batch.column("rep"),
                 batch.column("copies"),
-                pa.array([flat[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:])], pa.binary()),
+                pa.array([flat[a:b].astype(width).tobytes() for a, b in zip(starts[:-1], starts[1:])], pa.binary()),
                 pa.array(signs, pa.binary()),
                 pa.ListArray.from_arrays(np.arange(0, keys.size + 1, tables, dtype=np.int32), pa.array(keys.ravel())),
             ],
@@ -77,7 +82,7 @@ def near_vectors(vectors: DataFrame, ident: str = "vec_id", vector: str = "embed
         if not len(a) or not len(b):
             return None
         vec = table["vec"].to_pylist()
-        x = np.stack([np.frombuffer(q, np.float64) for q in vec])
+        x = np.stack([np.frombuffer(q, width) for q in vec]).astype(np.float64)
         x = x / np.abs(x).max(axis=1, keepdims=True)
         x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
         i, j = np.nonzero(x[a] @ x[b].T >= threshold - 1e-9)

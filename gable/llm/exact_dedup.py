@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gable.llm.common import written
+from gable.llm.common import fresh, written
 
 
 def content_hash(text: Column) -> Column:
@@ -64,8 +64,9 @@ def without_copies(docs: DataFrame, ident: str = "doc_id", text: str = "text", k
     Rows are told apart by id (null is one) and text, so a null or repeated id loses no text; of rows that repeat both, the
     one whose columns are least stays.
     """
+    stayed, row, least = fresh(docs, "stay", "row", "least")
     key = lambda sha: F.concat_ws(":", F.col(ident).isNull().cast("string"), F.col(ident).cast("string"), sha)
-    stay = exact_groups(docs, ident, text, keep).where("kept").select(key(F.col("text_sha256")).alias("_stay")).distinct()
-    rows = docs.withColumn("_row", key(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)))
-    rows = rows.join(stay.hint("merge"), F.col("_row") == F.col("_stay"), "left_semi")
-    return rows.groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("_least")).select("_least.*")
+    stay = exact_groups(docs, ident, text, keep).where("kept").select(key(F.col("text_sha256")).alias(stayed)).distinct()
+    rows = docs.withColumn(row, key(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)))
+    rows = rows.join(stay.hint("merge"), F.col(row) == F.col(stayed), "left_semi")
+    return rows.groupBy(row).agg(F.min(F.struct(*docs.columns)).alias(least)).select(f"{least}.*")

@@ -11,18 +11,18 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gable.llm.common import map_arrow, ready
+from gable.llm.common import map_arrow, ready, written
 
 FAMILIES = {
     "germanic": ("en", "de", "nl", "sv", "da", "no", "is", "af"),
     "romance": ("fr", "es", "it", "pt", "ro", "ca", "gl"),
     "slavic": ("ru", "uk", "pl", "cs", "sk", "bg", "sr", "hr", "sl"),
 }
-#: Weights of a classifier, training texts of a language at most, languages at most (the most frequent), passes over the sample.
-WIDTH, SAMPLE, LANGUAGES, PASSES = 8192, 400, 64, 12
+#: Weights of a classifier, training texts of a language at most, passes over the sample.
+WIDTH, SAMPLE, PASSES = 8192, 400, 12
 UNKNOWN = "und"
 
 _LETTER = np.array([chr(i).isalpha() for i in range(0x10000)])
@@ -87,18 +87,18 @@ def bucket_of(ident: Column) -> Column:
 
 
 class LanguageModel:
-    """Weights by classifier; languages by family."""
+    """Weights by classifier (kind, and the two names); languages by family."""
 
-    def __init__(self, families: dict[str, list[str]], weights: dict[tuple[str, str], np.ndarray]):
+    def __init__(self, families: dict[str, list[str]], weights: dict[tuple[str, str, str], np.ndarray]):
         self.families, self.weights = families, weights
 
-    def decide(self, x: np.ndarray, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def decide(self, kind: str, x: np.ndarray, names: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Winner among names by one-versus-one votes (margins break ties) and how sure it is, for each row of x."""
         if len(names) == 1:
             return np.zeros(len(x), int), np.ones(len(x))
         votes, margins, least = np.zeros((len(x), len(names))), np.zeros((len(x), len(names))), np.full((len(x), len(names)), np.inf)
         for a, b in combinations(range(len(names)), 2):
-            w = self.weights[names[a], names[b]]
+            w = self.weights[kind, names[a], names[b]]
             m = x @ w[:-1] + w[-1]
             votes[:, a] += m >= 0
             votes[:, b] += m < 0
@@ -118,12 +118,12 @@ class LanguageModel:
             if not rows:
                 continue
             x = np.stack([f for _, f in rows])
-            fam, sure = self.decide(x, groups)
+            fam, sure = self.decide("family", x, groups)
             for g, name in enumerate(groups):
                 of = np.flatnonzero(fam == g)
                 if len(of):
                     inner = self.families[name]
-                    lang, more = self.decide(x[of], inner)
+                    lang, more = self.decide("lang", x[of], inner)
                     for k, l, s in zip(of, lang, more):
                         langs[rows[k][0]], scores[rows[k][0]] = inner[l], float(sure[k] * s)
         return langs, scores
@@ -132,33 +132,28 @@ class LanguageModel:
 def fit(docs: DataFrame, ident: str = "doc_id", text: str = "text", lang: str = "lang", families: dict[str, tuple[str, ...]] = FAMILIES) -> LanguageModel:
     """Learn from rows with a language whose bucket_of(ident) is not 0, at most SAMPLE texts of each language.
 
-    The sample of a language is the texts whose hashed ids are smallest, so it is the same for every partitioning.
-    Languages beyond the LANGUAGES most frequent are not learned. Without labelled rows the model knows no language.
+    The sample of a language is the rows with the smallest hashes of id and text, so it is the same for every
+    partitioning; rows that repeat both count once. Every language is learned of which a sampled text has a letter; rows with
+    a null id, text or language teach nothing. Without labelled rows the model knows no language.
     """
-    ready(docs.sparkSession)
+    spark = ready(docs.sparkSession)
     usable = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (bucket_of(F.col(ident)) != 0))
-    usable = usable.select(F.col(ident).alias("_id"), F.col(lang).alias("_lang"), F.xxhash64(F.col(ident).cast("string")).alias("_h"), F.col(text).alias("_t"))
-    counts = usable.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(LANGUAGES).collect()
-    if not counts:
-        return LanguageModel({}, {})
+    usable = usable.select(F.col(lang).alias("_lang"), F.xxhash64(F.col(ident).cast("string"), F.col(text)).alias("_h"), F.col(text).alias("_t"))
     grid = 1 << 30
-    share = F.lit(0)
-    for r in counts:
-        share = F.when(F.col("_lang") == r["_lang"], F.lit(min(grid, int(grid * 1.5 * (SAMPLE + 50) / r["count"])))).otherwise(share)
-    drawn = usable.where(F.pmod("_h", F.lit(grid)) < share).select("_lang", "_id", F.pmod("_h", F.lit(grid)).alias("_p"))
-    of: dict[str, list] = {}
-    for r in drawn.orderBy("_p", "_id").limit(2 * (SAMPLE + 50) * len(counts)).collect():
-        of.setdefault(r["_lang"], []).append(r["_id"])
-    picked = docs.sparkSession.createDataFrame([(i,) for v in of.values() for i in v[:SAMPLE]], f"_id {docs.schema[ident].dataType.simpleString()}")
-    sample = usable.join(F.broadcast(picked), "_id", "left_semi").select("_id", "_lang", "_t")
+    place = F.pmod("_h", F.lit(grid))
+    counts = usable.groupBy("_lang").agg((F.lit(grid * 1.5 * (SAMPLE + 50)) / F.count(F.lit(1))).alias("_share"))
+    drawn = usable.select("_lang", "_h").join(counts, "_lang").where(place < F.col("_share")).select("_lang", "_h").distinct()
+    rank = F.row_number().over(Window.partitionBy("_lang").orderBy(place, "_h"))  # some hundred rows of each language
+    picked = written(drawn.withColumn("_n", rank).where(F.col("_n") <= SAMPLE).select("_lang", "_h"))
+    sample = usable.join(picked, ["_lang", "_h"], "left_semi").dropDuplicates(["_lang", "_h"])
 
     def extracted(batch: pa.RecordBatch) -> pa.RecordBatch:
         fs = [features(t) for t in batch.column("_t").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("_id").cast(pa.string()), batch.column("_lang"), pa.array([None if f is None else f.tobytes() for f in fs], pa.binary())], names=["_id", "_lang", "_x"])
+        return pa.RecordBatch.from_arrays([batch.column("_h"), batch.column("_lang"), pa.array([None if f is None else f.tobytes() for f in fs], pa.binary())], names=["_h", "_lang", "_x"])
 
-    vectors = map_arrow(sample, extracted, "_id string, _lang string, _x binary").where("_x is not null")
+    vectors = written(map_arrow(sample, extracted, "_h long, _lang string, _x binary").where("_x is not null"))
     grouped: dict[str, list[str]] = {}
-    for l in sorted(of):
+    for l in sorted(r["_lang"] for r in vectors.select("_lang").distinct().collect()):
         grouped.setdefault(family_of(l, families), []).append(l)
     jobs = [(a, b, "family") for a, b in combinations(sorted(grouped), 2)] + [(a, b, "lang") for ls in grouped.values() for a, b in combinations(ls, 2)]
     if not jobs:
@@ -168,25 +163,25 @@ def fit(docs: DataFrame, ident: str = "doc_id", text: str = "text", lang: str =
         for name, sign in ((a, 1), (b, -1)):
             for l in grouped[name] if kind == "family" else [name]:
                 sides.setdefault(l, []).append((k, sign))
-    plan = docs.sparkSession.createDataFrame([(l, k, s) for l, v in sides.items() for k, s in v], "_lang string, job int, y int")
+    plan = spark.createDataFrame([(l, k, s) for l, v in sides.items() for k, s in v], "_lang string, job int, y int")
 
     def train(pdf):
         import pandas as pd
 
-        pdf = pdf.sort_values("_id")
+        pdf = pdf.sort_values("_h")
         w = fit_svm(np.stack([np.frombuffer(b, np.float32) for b in pdf["_x"]]), pdf["y"].to_numpy(float))
         return pd.DataFrame({"job": [int(pdf["job"].iloc[0])], "w": [w.astype(np.float32).tobytes()]})
 
     fitted = vectors.join(F.broadcast(plan), "_lang").groupBy("job").applyInPandas(train, "job int, w binary").collect()
-    return LanguageModel(grouped, {jobs[r["job"]][:2]: np.frombuffer(r["w"], np.float32) for r in fitted})
+    return LanguageModel(grouped, {(jobs[r["job"]][2], *jobs[r["job"]][:2]): np.frombuffer(r["w"], np.float32) for r in fitted})
 
 
 def identified(docs: DataFrame, ident: str = "doc_id", text: str = "text", lang: str = "lang", families: dict[str, tuple[str, ...]] = FAMILIES, model: LanguageModel | None = None) -> DataFrame:
     """One row per row of docs: ident, held_out, lang_pred, score (0 to 1).
 
     lang_pred is a learned language, or `und` with score 0 for a text that is null or has no letter (or if nothing could
-    be learned). Whole texts are read; labels, ids and other columns play no part in a prediction. An empty table
-    gives an empty one.
+    be learned). Whole texts are read; labels, ids and other columns play no part in a prediction. A null id is not
+    held out and teaches nothing; rows that repeat repeat. An empty table gives an empty one.
     """
     model = model or fit(docs, ident, text, lang, families)
     kind = docs.schema[ident].dataType.simpleString()
@@ -195,18 +190,23 @@ def identified(docs: DataFrame, ident: str = "doc_id", text: str = "text", lang:
         langs, scores = model.predict(batch.column("_t").to_pylist())
         return pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[ident, "held_out", "lang_pred", "score"])
 
-    rows = docs.select(F.col(ident).alias("_id"), (bucket_of(F.col(ident)) == 0).alias("held_out"), F.col(text).alias("_t"))
+    rows = docs.select(F.col(ident).alias("_id"), F.coalesce(bucket_of(F.col(ident)) == 0, F.lit(False)).alias("held_out"), F.col(text).alias("_t"))
     return map_arrow(rows, predicted, f"`{ident}` {kind}, held_out boolean, lang_pred string, score double")
 
 
 def in_known_language(docs: DataFrame, ident: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The rows of docs, all columns, whose text was given a language; those without a letter or text go."""
+    """The rows of docs, all columns, whose text was given a language; those without a letter or text go.
+
+    If no language could be learned, all texts with a letter stay. Ids may be null or repeat; an empty table gives an
+    empty one.
+    """
     model = fit(docs, ident, text, lang)
     names = docs.columns
 
     def kept(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        langs, _ = model.predict(batch.column(names.index(text)).to_pylist())
-        out = batch.filter(pa.array([l != UNKNOWN for l in langs]))
+        texts = batch.column(names.index(text)).to_pylist()
+        known = [l != UNKNOWN for l in model.predict(texts)[0]] if model.families else [len(letters(t)) > 0 for t in texts]
+        out = batch.filter(pa.array(known))
         return out if out.num_rows else None
 
     return map_arrow(docs, kept, docs.schema)

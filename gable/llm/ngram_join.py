@@ -12,10 +12,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gable.llm.common import SHINGLE, SIMILAR, MinHash, band_keys, by_group, forest, map_arrow, mix, paired_blocks, shingle_sets, written
+from gable.llm.common import SHINGLE, SIMILAR, MinHash, band_keys, by_group, forest, fresh, map_arrow, mix, paired_blocks, row_hash, shingle_sets, written
 from gable.llm.components import connected_components
 
 #: MinHash values and how many make a band: at similarity 0.8 a pair shares no band with probability 5e-8.
@@ -103,11 +103,6 @@ def near_copies(docs: DataFrame, ident: str = "doc_id", text: str = "text", thre
     return _near(docs, ident, text, threshold, n).drop("_r")
 
 
-def row_hash(ident: str, text: str) -> Column:
-    """64 bits that tell rows apart by id and text; null ids and repeated ones too."""
-    return F.xxhash64(F.col(ident).isNull(), F.col(ident), F.col(text))
-
-
 def _near(docs: DataFrame, ident: str, text: str, threshold: float, n: int) -> DataFrame:
     """near_copies, with `_r`, the hash of each row. A class goes by the hash of its best row (smallest id, then hash)."""
     rows = docs.select(F.col(ident).alias("_id"), F.col(text).alias("_t"), row_hash(ident, text).alias("_r"))
@@ -171,7 +166,12 @@ def _near(docs: DataFrame, ident: str, text: str, threshold: float, n: int) -> D
 
 
 def one_of_each(docs: DataFrame, ident: str = "doc_id", text: str = "text", threshold: float = SIMILAR) -> DataFrame:
-    """The rows of docs that near_copies keeps; of rows that repeat id and text, the one whose columns are least."""
-    stay = _near(docs, ident, text, threshold, SHINGLE).where("kept").select(F.col("_r").alias("_stay")).distinct()
-    rows = docs.withColumn("_row", row_hash(ident, text)).join(stay.hint("merge"), F.col("_row") == F.col("_stay"), "left_semi")
-    return rows.groupBy("_row").agg(F.min(F.struct(*docs.columns)).alias("_least")).select("_least.*")
+    """The rows of docs that near_copies keeps, all columns; of rows that repeat id and text, the one whose columns are least.
+
+    Rows with a null text or one without a word stay; see near_copies for null and repeated ids. Columns may have any
+    names. An empty table gives an empty one.
+    """
+    stayed, row, least = fresh(docs, "stay", "row", "least")
+    stay = _near(docs, ident, text, threshold, SHINGLE).where("kept").select(F.col("_r").alias(stayed)).distinct()
+    rows = docs.withColumn(row, row_hash(ident, text)).join(stay.hint("merge"), F.col(row) == F.col(stayed), "left_semi")
+    return rows.groupBy(row).agg(F.min(F.struct(*docs.columns)).alias(least)).select(f"{least}.*")

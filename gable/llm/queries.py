@@ -100,14 +100,17 @@ FROM embeddings e JOIN c ON c.id = e.vec_id LEFT JOIN n ON n.a = e.vec_id""",
     "op2_quotation_linking": r"""
 WITH m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations),
 b AS (SELECT conv_id, turn, min(text) AS text FROM m GROUP BY 1, 2),
-j AS (SELECT m.*, regexp_matches(x.text, '\S') AS has1, regexp_matches(y.text, '\S') AS has2
-  FROM m LEFT JOIN b x ON x.conv_id = m.conv_id AND x.turn = m.turn - 1 LEFT JOIN b y ON y.conv_id = m.conv_id AND y.turn = m.turn - 2)
-SELECT conv_id AS conversation_id, conv_id, turn, role, trim(text, E' \n\t\r') AS text,
-  CASE WHEN has1 THEN conv_id END AS reply_thread, CASE WHEN has1 THEN turn - 1 END AS reply_order,
-  CASE WHEN has1 THEN 1 ELSE 0 END + CASE WHEN has2 THEN 1 ELSE 0 END AS n_quotes,
-  CASE WHEN has1 THEN 1 ELSE 0 END + CASE WHEN has2 THEN 1 ELSE 0 END AS n_linked,
+j AS (SELECT m.*, regexp_matches(x.text, '\S') AS has1, regexp_matches(y.text, '\S') AS has2,
+    regexp_matches(split_part(x.text, E'\n', 1), '\S') AS head, regexp_matches(substr(x.text, length(split_part(x.text, E'\n', 1)) + 1), '\S') AS tail
+  FROM m LEFT JOIN b x ON x.conv_id = m.conv_id AND x.turn = m.turn - 1 LEFT JOIN b y ON y.conv_id = m.conv_id AND y.turn = m.turn - 2),
+q AS (SELECT *, CASE WHEN turn % 5 = 3 THEN CASE WHEN head THEN 1 ELSE 0 END + CASE WHEN tail THEN 1 ELSE 0 END
+    WHEN turn % 3 = 1 THEN CASE WHEN head THEN 1 ELSE 0 END
+    ELSE CASE WHEN has1 THEN 1 ELSE 0 END + CASE WHEN has2 THEN 1 ELSE 0 END END AS n,
+  CASE WHEN turn % 5 = 3 THEN head OR tail WHEN turn % 3 = 1 THEN head ELSE has1 END AS answers FROM j)
+SELECT conv_id AS conversation_id, 0 AS thread_rank, conv_id, turn, role, trim(text, E' \n\t\r') AS text,
+  CASE WHEN answers THEN conv_id END AS reply_thread, CASE WHEN answers THEN turn - 1 END AS reply_order, n AS n_quotes, n AS n_linked,
   '<|' || coalesce(role, 'unknown') || E'|>\n' || trim(text, E' \n\t\r') || E'\n<|end|>\n' AS chat
-FROM j""",
+FROM q""",
     "op8_merkle_fixity": r"""
 WITH n AS (SELECT CASE WHEN count(*) = 0 THEN 1 ELSE CAST(ceil(count(*) / 1000.0) AS BIGINT) END AS files FROM pages),
 r AS (SELECT page_id,

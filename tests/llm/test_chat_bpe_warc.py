@@ -54,6 +54,49 @@ def test_linked(spark):
     assert linked(df.limit(0)).count() == 0
 
 
+def reading(rows):
+    return [(r.conv_id, r.turn) for r in sorted(rows, key=lambda r: (r.conversation_id, r.thread_rank, r.conv_id, r.turn))]
+
+
+def test_answers_follow_what_they_answer(spark):
+    mails = [(5, 0, "u", "First words"), (3, 0, "u", "> First words\nmine"), (1, 0, "u", "> mine\nlast"), (9, 0, "u", "alone")]
+    rows = linked(spark.createDataFrame(mails, "conv_id long, turn long, role string, text string")).collect()
+    assert reading(rows) == [(5, 0), (3, 0), (1, 0), (9, 0)] and {r.conversation_id for r in rows} == {1, 9}
+    circle = [(1, 0, "u", "one"), (2, 0, "u", "two"), (1, 1, "u", "> two\nx"), (2, 1, "u", "> one\ny")]
+    rows = linked(spark.createDataFrame(circle, "conv_id long, turn long, role string, text string")).collect()
+    assert reading(rows) == [(1, 0), (1, 1), (2, 0), (2, 1)] and {r.conversation_id for r in rows} == {1}
+
+
+def test_parts_of_messages(spark):
+    """Trimmed quotations and answers between the lines; a passage goes to the message that most of it agrees on."""
+    mails = [
+        (1, 0, "u", "Can you come?\nWe eat at eight.\nBring wine."),
+        (1, 1, "a", "We eat at eight.\nSo do we."),
+        (1, 2, "u", "> Can you come?\nYes.\n> We eat at eight.\n> Bring wine.\nRed?"),
+        (1, 3, "a", "> Bring wine.\nWhite."),
+        (1, 4, "a", "> Nobody\n> said this\nWhite."),
+        (2, 0, "u", "> Can you come?\n> We eat at eight.\nWho?"),
+    ]
+    got = {(r.conv_id, r.turn): r for r in linked(spark.createDataFrame(mails, "conv_id long, turn long, role string, text string")).collect()}
+    to = {k: (r.reply_thread, r.reply_order, r.n_quotes, r.n_linked) for k, r in got.items()}
+    assert to[1, 2][2:] == (2, 2) and to[1, 2][0] == 1 and got[1, 2].text == "Yes.\nRed?"
+    assert to[1, 3] == (1, 0, 1, 1) and to[1, 4] == (None, None, 1, 0) and to[2, 0] == (1, 0, 1, 1)
+
+
+def test_one_line_for_ever(spark):
+    """A thread that says and quotes one line over many stretches of orders."""
+    rows = [(1, k, "u", "> again\nagain" if k % 2 else "again") for k in range(3000)]
+    got = linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(got) == 3000 and all(r.reply_order == (r.turn - 1 if r.turn % 2 else None) for r in got)
+
+
+def test_repeated_rows_of_one_order(spark):
+    rows = [(1, 0, "u", "a"), (1, 1, "u", "> a\nx"), (1, 1, "u", "> a\nx"), (1, 1, "u", "y"), (1, None, "u", "> a"), (None, 1, "u", None)]
+    got = linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert sorted((r.text, r.n_quotes, r.n_linked) for r in got) == [("", 0, 0), ("", 1, 0), ("a", 0, 0), ("x", 1, 1), ("x", 1, 1), ("y", 0, 0)]
+    assert as_mail(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).count() == 6
+
+
 def test_mail_and_back(spark, sf):
     df = spark.read.parquet(f"{sf}/conversations.parquet")
     text = {(r.conv_id, r.turn): r.text for r in df.collect()}

@@ -85,6 +85,18 @@ def test_exact_with_null_and_repeated_ids(spark, keep):
     assert sum(r.kept for r in got) == 8
 
 
+def test_stages_keep_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b", 1, 2, 3, "x"), (2, "a b", 1, 2, 3, "y"), (3, "c", 0, 0, 0, None)], "doc_id long, text string, _stay int, _row int, _least int, kept string")
+    for stage, kept in ((without_copies, {2, 3}), (one_of_each, {1, 3})):
+        left = stage(docs)
+        assert left.dtypes == docs.dtypes and {r.doc_id for r in left.collect()} == kept and stage(docs.limit(0)).count() == 0
+
+
+def test_near_with_ids_of_strings(spark):
+    docs = spark.createDataFrame([("b", "one two"), ("a", "one two"), ("c", "three")], "doc_id string, text string")
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in near_copies(docs).collect()) == [("a", "a", True), ("b", "a", False), ("c", "c", True)]
+
+
 def test_exact_of_nothing(spark):
     assert exact_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -110,7 +110,7 @@ def test_language_of_odd_tables(spark):
     rows = [(i, "1 2 %d" % i, "xx" if i % 2 else "yy") for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert {r.lang_pred for r in identified(df).collect()} == {"und"} and in_known_language(df).count() == 0
-    words = ["".join(chr(97 + (k * 7 + j * (k + 3)) % 26) for j in range(6)) for k in range(70)]
+    words = ["".join(random.Random(k).choices("abcdefghijklmnopqrstuvwxyz", k=9)) for k in range(70)]
     many = [(i, " ".join([words[i % 70]] * 5), "l%d" % (i % 70)) for i in range(700)]
     same = [(5, "same words here", "l0")] * 500 + [(None, "no id", "l1"), (None, None, None), (8, "free text", None)]
     df = spark.createDataFrame(many + same, "doc_id long, text string, lang string")
