@@ -42,41 +42,32 @@ def nearest_of_list(lat: Column, lon: Column, cities: list[tuple[str, float, flo
     return F.array_min(F.transform(rows, lambda c: F.struct(G.haversine(lat, lon, c["lat"], c["lon"]).alias("km"), c["place"].alias("place"), c["name"].alias("name"))))
 
 
-#: Cities that are joined by broadcast at most; larger tables go by grid.
-BROADCAST_CITIES = 10_000
+#: Widths in degrees of the grids by which points meet cities, one after the other; the last one holds the earth in nine cells.
+WIDTHS = (0.5, 4.0, 32.0, 512.0)
 
 
-def nearest_city(points: DataFrame, cities: DataFrame, ident: str = "id", lat: str = "lat", lon: str = "lon", prefix: str = "city", cell: float = 0.5) -> DataFrame:
+def nearest_city(points: DataFrame, cities: DataFrame, ident: str = "id", lat: str = "lat", lon: str = "lon", prefix: str = "city", widths: tuple[float, ...] = WIDTHS) -> DataFrame:
     """(ident, <prefix>_name, <prefix>_km): the city nearest in degrees, its distance by great circle.
 
-    cities: (name, latitude, longitude). Up to BROADCAST_CITIES they are collected into an array that every row scans;
-    more go by a grid: a point meets the cities of its cell and the eight around it, and points without a city within one
-    cell's width there are compared at twice the width, until all are settled.
+    cities: (name, latitude, longitude). Each city is entered in its cell of a grid and the eight around it, so a point finds
+    in its own cell every city within a cell's width. Points with none that near go on to the next, wider grid. Points
+    without a coordinate, and all if there is no city, keep their row with nulls; repeated idents stay apart.
     """
-    slim = points.select(ident, F.col(lat).alias("_lat"), F.col(lon).alias("_lon"))
+    there = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    rest = points.select(ident, there(lat).alias("_lat"), there(lon).alias("_lon"))
     places = cities.select("name", F.col("latitude").alias("clat"), F.col("longitude").alias("clon"))
+    around = F.explode(F.array(*[F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x in (-1, 0, 1) for y in (-1, 0, 1)]))
     d2 = lambda c: (F.col("_lat") - c["clat"]) * (F.col("_lat") - c["clat"]) + (F.col("_lon") - c["clon"]) * (F.col("_lon") - c["clon"])
     pick = lambda c: F.struct(d2(c).alias("d2"), c["name"].alias("name"), c["clat"].alias("clat"), c["clon"].alias("clon"))
-    n = places.limit(BROADCAST_CITIES + 1).count()
-    if n <= BROADCAST_CITIES:
-        one = places.agg(F.collect_list(F.struct("name", "clat", "clon")).alias("_all"))
-        best = slim.join(F.broadcast(one)).select(ident, "_lat", "_lon", F.array_min(F.transform("_all", pick)).alias("best"))
-    else:
-        found, left = [], slim
-        while True:
-            at = lambda c: F.floor(F.col(c) / F.lit(cell))  # noqa: B023, E731
-            near = left.withColumn("gx", at("_lat")).withColumn("gy", at("_lon"))
-            near = near.withColumn("dx", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("dy", F.explode(F.array(*map(F.lit, (-1, 0, 1)))))
-            near = near.withColumn("gx", F.col("gx") + F.col("dx")).withColumn("gy", F.col("gy") + F.col("dy"))
-            grid = places.withColumn("gx", at("clat")).withColumn("gy", at("clon"))
-            got = near.join(grid, ["gx", "gy"]).groupBy(ident).agg(F.first("_lat").alias("_lat"), F.first("_lon").alias("_lon"), F.min(F.struct(((F.col("_lat") - F.col("clat")) ** 2 + (F.col("_lon") - F.col("clon")) ** 2).alias("d2"), "name", "clat", "clon")).alias("best"))
-            got = got.where(F.col("best.d2") <= cell * cell)
-            found.append(got)
-            left = left.join(got.select(ident), ident, "left_anti").checkpoint()
-            if left.isEmpty():
-                break
-            cell *= 2
-        best = reduce(DataFrame.unionByName, found)
+    settled = []
+    for width in widths:
+        at = lambda c: F.floor(F.col(c) / F.lit(width))  # noqa: B023, E731
+        cells = places.withColumn("_s", around).groupBy((at("clat") + F.col("_s.dx")).alias("_gx"), (at("clon") + F.col("_s.dy")).alias("_gy")).agg(F.collect_list(F.struct("name", "clat", "clon")).alias("_all"))
+        got = rest.join(cells, (at("_lat") == F.col("_gx")) & (at("_lon") == F.col("_gy")), "left").select(ident, "_lat", "_lon", F.array_min(F.transform("_all", pick)).alias("best"))
+        near = F.coalesce(F.col("best.d2") <= width * width, F.lit(False))
+        settled.append(got if width == widths[-1] else got.where(near))
+        rest = got.where(~near).select(ident, "_lat", "_lon")
+    best = reduce(DataFrame.unionByName, settled)
     km = G.haversine(F.col("_lat"), F.col("_lon"), F.col("best.clat"), F.col("best.clon"))
     return best.select(ident, F.col("best.name").alias(f"{prefix}_name"), km.alias(f"{prefix}_km"))
 

@@ -10,15 +10,21 @@ from gable.plans.base import Book, L, listings, rounded, table
 
 book = Book()
 
-AD = """, ad AS (SELECT id, 'Дом ' || CAST(20 + id % 380 AS VARCHAR) || ' кв.м 6x8, участок ' || CAST(id % 30 AS VARCHAR) || ' сот. Цена ' || CAST(id % 90 + 1 AS VARCHAR) || ' млн руб! Тел №' || CAST(id AS VARCHAR)
- || '. Торг ±' || CAST(id % 7 AS VARCHAR) || '%?? ' || CASE id % 4 WHEN 0 THEN 'Рядом ж/д, снт Лесное 😀→' WHEN 1 THEN '2-й этаж, 1 500 000 в год..' WHEN 2 THEN 'место 55,749033, 38,328731, лес' ELSE 'Есть:' || chr(10) || 'свет_газ|вода' END AS t FROM listings)"""
+AD = """, ad AS (SELECT id, 'Дом ' || CAST(20 + id % 380 AS VARCHAR) || CASE id % 3 WHEN 0 THEN ' кв.м ' WHEN 1 THEN ' м2 ' ELSE ' кв м ' END || CAST(4 + id % 5 AS VARCHAR) || 'x' || CAST(8 + id % 3 AS VARCHAR)
+ || ', участок ' || CAST(id % 30 AS VARCHAR) || ' сот. Цена ' || CAST(id % 90 + 1 AS VARCHAR) || ' млн руб! Тел №' || CAST(id AS VARCHAR) || '. Торг ±' || CAST(id % 7 AS VARCHAR) || '%?? '
+ || CASE id % 4 WHEN 0 THEN 'Рядом ж/д, снт Лесное 😀→' WHEN 1 THEN CAST(1 + id % 5 AS VARCHAR) || '-й этаж, ' || CAST(1 + id % 9 AS VARCHAR) || ' ' || CAST(100 + id % 900 AS VARCHAR) || ' 000 в год..'
+  WHEN 2 THEN 'место 55,' || CAST(749033 + id % 1000 AS VARCHAR) || ', 38,328731, лес' ELSE 'Есть:' || chr(10) || 'свет_газ|вода' END AS t FROM listings)"""
 
 
 def ads(d):
     k, s = F.col("id"), lambda c: c.cast("string")
-    tail = F.when(k % 4 == 0, "Рядом ж/д, снт Лесное 😀→").when(k % 4 == 1, "2-й этаж, 1 500 000 в год..").when(k % 4 == 2, "место 55,749033, 38,328731, лес").otherwise("Есть:\nсвет_газ|вода")
-    parts = [F.lit("Дом "), s(20 + k % 380), F.lit(" кв.м 6x8, участок "), s(k % 30), F.lit(" сот. Цена "), s(k % 90 + 1), F.lit(" млн руб! Тел №"), s(k), F.lit(". Торг ±"), s(k % 7), F.lit("%?? "), tail]
-    return d.select("id", F.concat(*parts).alias("t"))
+    c = F.concat
+    high = c(s(1 + k % 5), F.lit("-й этаж, "), s(1 + k % 9), F.lit(" "), s(100 + k % 900), F.lit(" 000 в год.."))
+    place = c(F.lit("место 55,"), s(749033 + k % 1000), F.lit(", 38,328731, лес"))
+    tail = F.when(k % 4 == 0, "Рядом ж/д, снт Лесное 😀→").when(k % 4 == 1, high).when(k % 4 == 2, place).otherwise("Есть:\nсвет_газ|вода")
+    metres = F.when(k % 3 == 0, " кв.м ").when(k % 3 == 1, " м2 ").otherwise(" кв м ")
+    parts = [F.lit("Дом "), s(20 + k % 380), metres, s(4 + k % 5), F.lit("x"), s(8 + k % 3), F.lit(", участок "), s(k % 30), F.lit(" сот. Цена "), s(k % 90 + 1), F.lit(" млн руб! Тел №"), s(k), F.lit(". Торг ±"), s(k % 7), F.lit("%?? "), tail]
+    return d.select("id", c(*parts).alias("t"))
 
 
 def on_ads(name, step, sql=None):
@@ -31,7 +37,7 @@ def rep(x, *pairs):
     return x
 
 
-ABOUT = f"regexp_matches(s, '[0-9]') AND (regexp_matches(s, '{T.PRICE_WORDS}') OR regexp_matches(s, '{T.PRICE_AMOUNTS}'))"
+ABOUT = f"regexp_matches(s, '[0-9]') AND (regexp_matches(s, '{'|'.join(T.PRICE_WORDS)}') OR regexp_matches(s, '[0-9]\\s*({'|'.join(T.MONEY_UNITS)})'))"
 on_ads("price_sentences", T.without_price_sentences, f"SELECT id, array_to_string(list_filter(string_split(regexp_replace(t, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: NOT ({ABOUT})), ' ') AS t FROM ad")
 on_ads("strip_emoji", T.strip_emoji, f"SELECT id, regexp_replace(t, '{T.EMOJI}', '', 'g') AS t FROM ad")
 on_ads("line_punct", T.line_punctuation, "SELECT id, trim(regexp_replace(array_to_string(list_transform(string_split_regex(t, '[\\r\\n]+'), lambda s: CASE WHEN regexp_matches(s, '[.!,;?]$') THEN s ELSE s || '.' END), ' '), '\\s+', ' ', 'g')) AS t FROM ad")
@@ -40,10 +46,14 @@ on_ads(
     T.normalize_punctuation,
     f"SELECT id, {rep('trim(' + rep('t', ('[_|]', ' '), ('[!?]+', '.'), ('[.]{2,}', '.'), (',{2,}', ','), ('([a-zA-Z])([0-9])', '\\1 \\2'), ('([0-9])([a-zA-Z])', '\\1 \\2'), ('(\\S)-', '\\1 -'), ('-(\\S)', '- \\1'), ('\\s+', ' ')) + ')', ('[\\\\/]{2,}', '/'))} AS t FROM ad",
 )
-on_ads("number_normalize", T.normalize_numbers, f"SELECT id, {rep(chr(39).join(['replace(replace(t, ', '1 500 000', ', ', '1500000', '), ', '55,749033, 38,328731', ', ', '55.749033, 38.328731', ')']), ('[!?]', '.'), ('[.]{2,}', '.'), (',{2,}', ','))} AS t FROM ad")
+on_ads(
+    "number_normalize",
+    T.normalize_numbers,
+    f"SELECT id, {rep('t', ('([0-9]) ([0-9]{3}) (000) ', '\\1\\2\\3 '), ('([0-9]+),([0-9]+), ([0-9]+),([0-9]+)', '\\1.\\2, \\3.\\4'), ('[!?]', '.'), ('[.]{2,}', '.'), (',{2,}', ','))} AS t FROM ad",
+)
 on_ads("symbol_words", T.symbol_words, f"SELECT id, trim({rep('t', ('(\\S)%', '\\1 процент'), ('№', 'номер '), ('±', 'примерно '), ('\\s+', ' '))}) AS t FROM ad")
-on_ads("sqm_unit", T.square_metres, "SELECT id, replace(t, ' кв.м ', ' м² ') AS t FROM ad")
-on_ads("dimensions", T.dimensions, "SELECT id, replace(t, '6x8', '6 на 8') AS t FROM ad")
+on_ads("sqm_unit", T.square_metres, "SELECT id, regexp_replace(t, '^(Дом [0-9]+) (кв[.]м|м2|кв м) ', '\\1 м² ') AS t FROM ad")
+on_ads("dimensions", T.dimensions, "SELECT id, regexp_replace(t, '([0-9])x([0-9])', '\\1 на \\2') AS t FROM ad")
 on_ads("amount_words", T.amount_words, "SELECT id, replace(t, 'Цена ' || CAST(id % 90 + 1 AS VARCHAR) || ' млн', 'Цена ' || CAST((id % 90 + 1) * 1000000 AS VARCHAR)) AS t FROM ad")
 on_ads("expand_abbrev", T.expand_abbreviations)
 on_ads("expand_units", T.expand_units)
