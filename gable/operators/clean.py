@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gable.operators.order import quantile_row
+
 # Source names of columns and their canonical names.
 COLUMN_MAPPING = {
     "id": "id",
@@ -147,7 +149,7 @@ def clean_year(df: DataFrame, year: str = "year", median: DataFrame | None = Non
     """
     y = F.col(year)
     known = F.coalesce(y, F.lit(0)) if faithful else F.when(y != 0, y)
-    m = df.agg(F.median(known).alias("_m")) if median is None else median.select(F.col(median.columns[0]).alias("_m"))
+    m = quantile_row(df, {"_m": known}, [0.5]).select(F.col("_m")[0].alias("_m")) if median is None else median.select(F.col(median.columns[0]).alias("_m"))
     v = F.least(F.when(y.isNull() | (y == 0), F.col("_m")).otherwise(y), F.lit(cap)).cast("int")
     fixed = F.when(v.between(26, 99), v + 1900).when(v.between(0, 25), v + 2000).when(v.between(100, 999), 2000 + v % 100).otherwise(v)
     flag = F.lit(0) if faithful else y.isNull().cast("int")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gable.operators.order import quantiles
+
 NONE = "NaN"
 
 
@@ -89,9 +91,8 @@ def phrase_flags(df: DataFrame, text: str, phrases: dict[str, list[str]]) -> Dat
 
 def bounds(df: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     """(column, lower, upper): exact quantiles, interpolated."""
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])
-    q = df.select(F.explode(cells).alias("x")).groupBy("x.column").agg(F.percentile(F.col("x.v"), F.array(F.lit(low), F.lit(high))).alias("q"))
-    return q.select("column", F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"))
+    q = quantiles(df, {c: F.col(c) for c in columns}, [low, high])
+    return q.select(F.col("name").alias("column"), F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"))
 
 
 def _wide(fitted: DataFrame, columns: list[str], names: list[str]) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gable.operators.order import quantiles, top_of
+
 
 def _long(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, value) of all cells, as text, in one pass."""
@@ -60,16 +62,16 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, mean, min, max, q25, q50, q75)."""
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("v")) for c in columns])
     v = F.col("x.v")
-    out = df.select(F.explode(cells).alias("x")).groupBy("x.column").agg(F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    out = df.select(F.explode(cells).alias("x")).groupBy("x.column").agg(F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"))
+    out = out.join(quantiles(df, {c: F.col(c) for c in columns}, [0.25, 0.5, 0.75]).select(F.col("name").alias("column"), "q"), "column", "left")
     return out.select("column", "mean", "min", "max", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"))
 
 
 def category_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, mode, share, second, third); ties by value."""
     counts = _long(df, columns).where("value is not null").groupBy("column", "value").count()
-    rank = F.row_number().over(W.partitionBy("column").orderBy(F.desc("count"), "value"))
-    total = F.sum("count").over(W.partitionBy("column"))
-    top = counts.withColumn("r", rank).withColumn("t", total).where("r <= 3")
+    total = counts.groupBy("column").agg(F.sum("count").alias("t"))
+    top = top_of(counts, ["column"], [F.desc("count"), F.asc("value")], 3, "value", "r").join(F.broadcast(total), "column")
     at = lambda k: F.max(F.when(F.col("r") == k, F.col("value")))
     return top.groupBy("column").agg(at(1).alias("mode"), F.max(F.when(F.col("r") == 1, 100 * F.col("count") / F.col("t"))).alias("share"), at(2).alias("second"), at(3).alias("third"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gable.functions import geo as G
+from gable.operators.order import quantile_row
 
 # Highways by their name in an address.
 HIGHWAYS = {
@@ -109,8 +110,9 @@ def hex_stats(df: DataFrame, outlier: str = "is_outlier") -> DataFrame:
 def global_medians(df: DataFrame, outlier: str = "is_outlier") -> DataFrame:
     """One row: median price, price per house area and per land area over rows that are no outliers."""
     ok = df.where(F.col(outlier) == 0)
-    per = lambda c: F.median(F.col("price") / F.nullif(F.col(c), F.lit(0.0)))
-    return ok.agg(F.median("price").alias("g_price"), per("house_area").alias("g_sqm"), per("land_area").alias("g_land"))
+    per = lambda c: F.col("price") / F.nullif(F.col(c), F.lit(0.0))
+    q = quantile_row(ok, {"g_price": F.col("price"), "g_sqm": per("house_area"), "g_land": per("land_area")}, [0.5])
+    return q.select(*[F.col(c)[0].alias(c) for c in q.columns])
 
 
 FILLS = {"hex_price_median": "g_price", "hex_price_per_sqm": "g_sqm", "hex_price_per_land": "g_land"}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gable.operators.order import quantiles
+
 EPS = 1e-8
 
 
@@ -77,7 +79,9 @@ def fold_stats(df: DataFrame, keys: list[str], value: str = "value") -> DataFram
 
 def price_describe(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     v = F.col(value)
-    return df.groupBy(*keys).agg(F.min(v).alias("min"), F.max(v).alias("max"), F.median(v).alias("median"), F.avg(v).alias("mean"), F.var_pop(v).alias("var"), F.count(v).alias("n"))
+    out = df.groupBy(*keys).agg(F.min(v).alias("min"), F.max(v).alias("max"), F.avg(v).alias("mean"), F.var_pop(v).alias("var"), F.count(v).alias("n"))
+    half = quantiles(df, {"v": v}, [0.5], keys).select(*keys, F.col("q")[0].alias("median"))
+    return out.join(half, keys, "left").select(*keys, "min", "max", "median", "mean", "var", "n")
 
 
 def pivot_first(df: DataFrame, keys: list[str], metric: str, value: str, metrics: list[str]) -> DataFrame:
@@ -93,5 +97,5 @@ def ordered_report(df: DataFrame, column: str, order: list[str]) -> DataFrame:
 
 def percentiles_by_group(df: DataFrame, key: str, value: Column, points: list[float], least: int) -> DataFrame:
     """(key, n, p<points>) of groups of more than `least` rows; exact, interpolated."""
-    out = df.groupBy(key).agg(F.count(value).alias("n"), F.percentile(value, F.array(*map(F.lit, points))).alias("_p")).where(F.col("n") > least)
+    out = quantiles(df, {"_p": value}, points, [key]).where(F.col("n") > least).withColumnRenamed("q", "_p")
     return out.select(key, "n", *[F.col("_p")[i].alias(f"p{round(100 * p)}") for i, p in enumerate(points)])

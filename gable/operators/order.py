@@ -26,6 +26,48 @@ def ranked_draws(df: DataFrame, keys: list[str], draw: str, ident: str, buckets:
     return joined.select(*df.columns, (F.col("_r") + F.col("_before")).alias("rank"), "size")
 
 
+#: Sketches of quantiles err by n / ACCURACY ranks at most; exact values are looked for SLACK of all ranks around.
+ACCURACY, SLACK = 10_000, 0.0005
+
+
+def quantiles(df: DataFrame, values: dict[str, Column], points: list[float], keys: list[str] | None = None) -> DataFrame:
+    """(keys, name, n, q): exact quantiles at the points, interpolated, of each named value; nulls are left out, a value of nulls has no row.
+
+    Sketches of bounded size say between which two values a quantile lies; then all rows are counted by whether they lie
+    below or, by value, between. So no task holds more than about a thousandth of the distinct values, in sorted order.
+    """
+    keys = keys or []
+    cells = F.array(*[F.struct(F.lit(n).alias("name"), v.cast("double").alias("v")) for n, v in values.items()])
+    rows = df.select(*keys, F.explode(cells).alias("_x")).select(*keys, "_x.name", F.col("_x.v").alias("_v")).where("_v is not null")
+    ends = F.percentile_approx("_v", F.array(*[F.lit(max(0.0, p - SLACK)) for p in points], *[F.lit(min(1.0, p + SLACK)) for p in points]), ACCURACY)
+    marks = rows.groupBy(*keys, "name").agg(F.count(F.lit(1)).alias("n"), ends.alias("_e"))
+    place = F.posexplode(F.arrays_zip(F.slice("_e", 1, len(points)).alias("lo"), F.slice("_e", len(points) + 1, len(points)).alias("hi"), F.array(*map(F.lit, points)).alias("p"))).alias("_i", "_m")
+    marks = marks.select(*keys, "name", "n", place).select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("name").alias("_name"), "n", "_i", "_m.lo", "_m.hi", ((F.col("n") - 1) * F.col("_m.p")).alias("_r"))
+    same = F.col("name") == F.col("_name")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    group = [*keys, "name", "n", "_i", "_r"]
+    counts = rows.join(marks, same & (F.col("_v") <= F.col("hi"))).groupBy(*group, F.when(F.col("_v") >= F.col("lo"), F.col("_v")).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    before = W.partitionBy(*group).orderBy(F.asc_nulls_first("_v"))
+    at = lambda r: F.min(F.when(F.col("_cum") > r, F.col("_v")))
+    found = counts.withColumn("_cum", F.sum("_c").over(before)).where("_v is not null").groupBy(*group).agg(at(F.floor("_r")).alias("_a"), at(F.ceil("_r")).alias("_b"))
+    one = F.struct("_i", (F.col("_a") + (F.col("_b") - F.col("_a")) * (F.col("_r") - F.floor("_r"))).alias("q"))
+    return found.groupBy(*keys, "name", "n").agg(F.transform(F.array_sort(F.collect_list(one)), lambda x: x["q"]).alias("q"))
+
+
+def quantile_row(df: DataFrame, values: dict[str, Column], points: list[float]) -> DataFrame:
+    """One row: the quantiles of each named value as an array, null if it has no rows."""
+    q = quantiles(df, values, points)
+    return q.agg(*[F.max(F.when(F.col("name") == n, F.col("q"))).alias(n) for n in values])
+
+
+def top_of(counts: DataFrame, group: list[str], order: list[Column], most: int, ident: str, place: str = "place") -> DataFrame:
+    """counts with `place`, up to `most` of each group in the given order: first within 64 shares of the group by a hash of ident, then over what is left."""
+    share = W.partitionBy(*group, F.pmod(F.xxhash64(ident), F.lit(64)))
+    left = counts.withColumn(place, F.row_number().over(share.orderBy(*order))).where(F.col(place) <= most)
+    return left.withColumn(place, F.row_number().over(W.partitionBy(*group).orderBy(*order))).where(F.col(place) <= most)
+
+
 def edges_of(df: DataFrame, value: str, buckets: int = 64) -> list[float]:
     """Values that cut df into about equal parts; approximate, bounded by `buckets`."""
     got = df.agg(F.percentile_approx(value, F.array(*[F.lit((i + 1) / buckets) for i in range(buckets - 1)]), 1000)).first()[0]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gable.operators import encode as E
 from gable.operators.clean import clean_year
+from gable.operators.order import quantile_row
 
 
 @dataclass
@@ -45,7 +46,7 @@ class Fitted:
 def fit(df: DataFrame, spec: Spec) -> Fitted:
     y = F.col(spec.year)
     return Fitted(
-        df.agg(F.median(F.when(y != 0, y)).alias("median")),
+        quantile_row(df, {"median": F.when(y != 0, y)}, [0.5]).select(F.col("median")[0].alias("median")),
         E.modes(df, spec.fill),
         E.bounds(df, spec.outliers),
         E.minmax_fit(E.log_features(df, spec.logged), [*spec.logged, *spec.geo]),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gable.operators.order import quantile_row
+
 
 def runs_table(runs: DataFrame, params: list[str], metrics: list[str], order: str) -> DataFrame:
     """Finished runs with the wanted parameters and metrics as columns, best first; params and metrics are JSON maps."""
@@ -36,5 +38,5 @@ def cut_label(value: Column, edges: list[float]) -> Column:
 
 def price_segments(df: DataFrame, price: str, share: float = 0.85) -> DataFrame:
     """df with `segment`: low up to the quantile, else high. The quantile is one row, joined by broadcast."""
-    edge = df.agg(F.percentile(price, F.lit(share)).alias("_edge"))
+    edge = quantile_row(df, {"_q": F.col(price)}, [share]).select(F.col("_q")[0].alias("_edge"))
     return df.join(F.broadcast(edge)).withColumn("segment", F.when(F.col(price) <= F.col("_edge"), "low").otherwise("high")).drop("_edge")

@@ -6,13 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gable.functions.draws import draw, poisson_one
-from gable.operators.order import ranked_draws
+from gable.operators.order import quantile_row, ranked_draws
 
 
 def quantile_edges(df: DataFrame, value: str, bins: int) -> DataFrame:
     """One row, `edges`: the distinct inner and outer quantiles, exact and interpolated."""
-    points = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    return df.agg(F.array_distinct(F.percentile(value, points)).alias("edges"))
+    return quantile_row(df, {"edges": F.col(value)}, [i / bins for i in range(bins + 1)]).select(F.coalesce(F.array_distinct("edges"), F.array().cast("array<double>")).alias("edges"))
 
 
 def qcut(df: DataFrame, value: str, bins: int, edges: DataFrame | None = None) -> DataFrame:
@@ -64,7 +63,7 @@ def fixed_bins(value: Column, edges: list[float], labels: list[str]) -> Column:
 
 def quartile_groups(df: DataFrame, value: str, name: str = "group") -> DataFrame:
     """df with a text label of the quartile range, bounds rounded to whole numbers."""
-    q = df.agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
+    q = quantile_row(df, {"_q": F.col(value)}, [0.25, 0.5, 0.75])
     v, text = F.col(value), lambda c: F.round(c, 0).cast("long").cast("string")
     a, b, c = (F.col("_q")[i] for i in range(3))
     label = F.when(v <= a, F.concat(F.lit("to "), text(a))).when(v <= b, F.concat_ws("-", text(a), text(b))).when(v <= c, F.concat_ws("-", text(b), text(c))).otherwise(F.concat(F.lit("over "), text(c)))

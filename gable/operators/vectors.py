@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gable.functions.text import bound, tokens
+from gable.operators.order import quantile_row, top_of
 
 
 def lemmatise(df: DataFrame, lemmas: DataFrame, ident: str, text: str) -> DataFrame:
@@ -105,20 +106,19 @@ def doc_top_tokens(df: DataFrame, n: int, least: int = 4, doc: str = "doc") -> D
 
 def length_stats(df: DataFrame, length: Column) -> DataFrame:
     """One row: mean, std, min, max and quartiles."""
-    q = F.percentile(length, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.agg(F.avg(length).alias("mean"), F.stddev_pop(length).alias("std"), F.min(length).alias("min"), F.max(length).alias("max"), q.alias("q"))
+    out = df.agg(F.avg(length).alias("mean"), F.stddev_pop(length).alias("std"), F.min(length).alias("min"), F.max(length).alias("max"))
+    out = out.join(F.broadcast(quantile_row(df, {"q": length}, [0.25, 0.5, 0.75])))
     return out.select("mean", "std", "min", "max", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"))
 
 
 def segment_terms(df: DataFrame, value: str, text: str, top: int = 100) -> DataFrame:
     """(segment, term, n, place): most frequent terms of the cheapest tenth, the middle (median ± 10 %) and the dearest tenth."""
-    edges = df.agg(F.percentile(value, F.array(F.lit(0.1), F.lit(0.9))).alias("q"), F.median(value).alias("m"))
+    edges = quantile_row(df, {"q": F.col(value)}, [0.1, 0.9, 0.5]).withColumn("m", F.col("q")[2])
     v = F.col(value)
     segment = F.when(v <= F.col("q")[0], "low").when(v >= F.col("q")[1], "high").when((v >= 0.9 * F.col("m")) & (v <= 1.1 * F.col("m")), "middle")
     terms = df.join(F.broadcast(edges)).withColumn("segment", segment).where("segment is not null").select("segment", F.explode(tokens(F.col(text))).alias("term"))
     counts = terms.groupBy("segment", "term").agg(F.count(F.lit(1)).alias("n"))
-    place = F.row_number().over(W.partitionBy("segment").orderBy(F.desc("n"), "term"))
-    return counts.withColumn("place", place).where(F.col("place") <= top)
+    return top_of(counts, ["segment"], [F.desc("n"), F.asc("term")], top, "term")
 
 
 def centred_pca(df: DataFrame, vector: str, k: int, dims: int) -> DataFrame:
