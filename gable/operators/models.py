@@ -6,7 +6,7 @@ from functools import reduce
 from random import Random
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import HashingTF, RegexTokenizer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +25,19 @@ def assemble(features: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip")
 
 
+def with_text(features: list[str], text: str, size: int) -> Pipeline:
+    """Assembly of features and a text column's words, hashed to `size` counts."""
+    words = RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"[^\p{L}\p{N}]+")
+    return Pipeline(stages=[words, HashingTF(inputCol="_words", outputCol="_terms", numFeatures=size), assemble([*features, "_terms"])])
+
+
+def both_scales(df: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
+    """(keys, scale, r2, rmse, smape, medape) on the log scale of y and p, and on the original one."""
+    one = lambda n, f: F.struct(F.lit(n).alias("scale"), f(F.col(y)).alias("_y"), f(F.col(p)).alias("_p"))
+    rows = df.select(*keys, F.explode(F.array(one("log", lambda c: c), one("original", F.expm1))).alias("_s")).select(*keys, "_s.*")
+    return rows.groupBy(*keys, "scale").agg(*all_metrics("_y", "_p"))
+
+
 def fit(df: DataFrame, learner: str, features: list[str], target: str, **params) -> PipelineModel:
     model = LEARNERS[learner](featuresCol="features", labelCol=target, predictionCol="prediction", **params)
     return Pipeline(stages=[assemble(features), model]).fit(df)
@@ -37,10 +50,11 @@ def score(df: DataFrame, model, ident: str = "id") -> DataFrame:
     return df.join(model.transform(df).select(ident, "prediction"), ident, "left")
 
 
-def cross_validate(df: DataFrame, fold: str, k: int, learner: str, features: list[str], target: str, **params) -> DataFrame:
-    """(fold, r2, rmse, smape, medape): one fit for each fold, their predictions together."""
+def cross_validate(df: DataFrame, fold: str, k: int, learner: str, features: list[str], target: str, scales: bool = False, **params) -> DataFrame:
+    """(fold, r2, rmse, smape, medape), with scales (fold, scale, ...): one fit for each fold, their predictions together."""
     parts = [fit(df.where(F.col(fold) != i), learner, features, target, **params).transform(df.where(F.col(fold) == i)) for i in range(k)]
-    return reduce(DataFrame.unionByName, parts).groupBy(fold).agg(*all_metrics(target, "prediction"))
+    together = reduce(DataFrame.unionByName, parts)
+    return both_scales(together, [fold], target, "prediction") if scales else together.groupBy(fold).agg(*all_metrics(target, "prediction"))
 
 
 def search(df: DataFrame, fold: str, k: int, learner: str, features: list[str], target: str, space: dict[str, tuple], trials: int, seed: int = 1) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gable.operators import encode as E
-from gable.operators.clean import clean_year
+from gable.operators.clean import align_features, clean_year
 from gable.operators.order import quantile_row
 
 
@@ -68,6 +68,19 @@ def transform(df: DataFrame, spec: Spec, fitted: Fitted, ident: str = "id") -> D
     return out.select(ident, "is_outlier", *spec.logged, *spec.geo, "year", "yearIsNull", *hot)
 
 
+def score(df: DataFrame, spec: Spec, fitted: Fitted, model, features: list[str], target: str, ident: str = "id") -> DataFrame:
+    """df with `prediction` on the original scale: features made and aligned, predicted, scaled back, joined 1:1.
+
+    features: the columns that the model was fitted on; those that are missing are filled with 0. target: the logged
+    and scaled column that the model predicts. Rows that the model leaves out keep a null.
+    """
+    made = transform(df, spec, fitted, ident)
+    aligned = align_features(made, [ident, *features])
+    scaled = model.transform(aligned).select(ident, F.col("prediction").alias(target))
+    back = E.minmax_inverse(scaled, [target], fitted.ranges, logged=(target,)).withColumnRenamed(target, "prediction")
+    return df.join(back, ident, "left")
+
+
 def restore(df: DataFrame, spec: Spec, fitted: Fitted) -> DataFrame:
     """Numbers and categories as they were before transform()."""
     out = E.minmax_inverse(df, spec.logged, fitted.ranges, logged=tuple(spec.logged))

@@ -2,15 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gable.functions.draws import draw
+from gable.functions.tails import chi2_tail, f_tail, kolmogorov_tail, normal_tail, t_tail
 from gable.operators.order import running
 from gable.operators.sampling import with_weights
 
 
+def with_tail(df: DataFrame, name: str, tail: Callable[..., float], *values: Column) -> DataFrame:
+    """df, a few rows of reduced statistics, with a column of tail probabilities; null where a value is."""
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("double")
+    def p(*columns: pd.Series) -> pd.Series:
+        return pd.Series([None if any(x is None or x != x for x in row) else tail(*row) for row in zip(*columns)], dtype="float64")
+
+    return df.withColumn(name, p(*[v.cast("double") for v in values]))
+
+
 def avg_ranks(df: DataFrame, block: list[str], method: str, value: str, higher_better: bool = False) -> DataFrame:
     """df with `rank` of each method within its block, 1 the best, ties averaged. A block is one fold: as many rows as methods."""
     w = W.partitionBy(*block).orderBy(F.desc(value) if higher_better else F.asc(value))
@@ -19,14 +34,15 @@ def avg_ranks(df: DataFrame, block: list[str], method: str, value: str, higher_b
 
 
 def friedman(ranked: DataFrame, block: list[str], method: str, q: float = 2.569) -> DataFrame:
-    """One row: k, n, chi2 (corrected for ties) and the Nemenyi critical difference."""
+    """One row: k, n, chi2 (corrected for ties), its p value and the Nemenyi critical difference."""
     means = ranked.groupBy(method).agg(F.sum("rank").alias("r"), F.count(F.lit(1)).alias("n"))
     tie = ranked.groupBy(*block, "rank").agg(F.count(F.lit(1)).alias("t")).agg(F.sum(F.pow("t", F.lit(3.0)) - F.col("t")).alias("ties"))
     k, n = F.col("k"), F.col("n")
     s = means.agg(F.count(F.lit(1)).cast("double").alias("k"), F.max("n").cast("double").alias("n"), F.sum(F.col("r") * F.col("r")).alias("s")).join(F.broadcast(tie))
     c = 1 - F.col("ties") / (n * (F.pow(k, F.lit(3.0)) - k))
     chi = (12 / (n * k * (k + 1)) * F.col("s") - 3 * n * (k + 1)) / F.nullif(c, F.lit(0.0))
-    return s.select(k.cast("long").alias("k"), n.cast("long").alias("n"), chi.alias("chi2"), (F.lit(q) * F.sqrt(k * (k + 1) / (6 * n))).alias("cd"))
+    out = s.select(k.cast("long").alias("k"), n.cast("long").alias("n"), chi.alias("chi2"), (F.lit(q) * F.sqrt(k * (k + 1) / (6 * n))).alias("cd"))
+    return with_tail(out, "p", chi2_tail, F.col("chi2"), F.col("k") - 1)
 
 
 def best_two(df: DataFrame, group: list[str], method: str, score: str, higher_better: bool = False) -> DataFrame:
@@ -37,33 +53,49 @@ def best_two(df: DataFrame, group: list[str], method: str, score: str, higher_be
     return m.withColumn("k", r).where("k <= 2").groupBy(*group).agg(at(1, method).alias("best"), at(2, method).alias("second"), at(1, "s").alias("best_score"), at(2, "s").alias("second_score"))
 
 
+def best_within(ranked: DataFrame, group: list[str], method: str, score: str, cd: float, higher_better: bool = False) -> DataFrame:
+    """(group, best, rank, tied, reason): of the methods whose mean rank lies within the critical difference of the least, the one with the best mean score.
+
+    tied counts those methods; reason is `rank` if there is one, else `score`. Ties go by name.
+    """
+    m = ranked.groupBy(*group, method).agg(F.avg("rank").alias("r"), F.avg(score).alias("s"))
+    least = m.groupBy(*group).agg(F.min("r").alias("_least"))
+    near = (m.join(least, group) if group else m.join(F.broadcast(least))).where(F.col("r") <= F.col("_least") + F.lit(cd))
+    best = F.min(F.struct((-F.col("s") if higher_better else F.col("s")).alias("s"), F.col(method).alias("m"), "r"))
+    out = near.groupBy(*group).agg(best.alias("b"), F.count(F.lit(1)).alias("tied"))
+    return out.select(*group, F.col("b.m").alias("best"), F.col("b.r").alias("rank"), "tied", F.when(F.col("tied") == 1, "rank").otherwise("score").alias("reason"))
+
+
 def paired_t(df: DataFrame, a: str, b: str, group: list[str]) -> DataFrame:
-    """(group, n, mean, t) of the differences a - b; null without spread."""
+    """(group, n, mean, t, p) of the differences a - b, p of both sides; null without spread."""
     d = F.col(a) - F.col(b)
-    return df.groupBy(*group).agg(F.count(d).alias("n"), F.avg(d).alias("mean"), (F.avg(d) / F.nullif(F.stddev_samp(d) / F.sqrt(F.count(d)), F.lit(0.0))).alias("t"))
+    out = df.groupBy(*group).agg(F.count(d).alias("n"), F.avg(d).alias("mean"), (F.avg(d) / F.nullif(F.stddev_samp(d) / F.sqrt(F.count(d)), F.lit(0.0))).alias("t"))
+    return with_tail(out, "p", t_tail, F.col("t"), F.col("n") - 1)
 
 
 def wilcoxon(df: DataFrame, a: str, b: str) -> DataFrame:
-    """One row: n, w (the smaller sum of signed ranks) and z. Equal differences are counted first, so ranks need no sort of all rows in one task."""
+    """One row: n, w (the smaller sum of signed ranks), z and the normal p value of both sides. Equal differences are counted first, so ranks need no sort of all rows in one task."""
     d = df.select((F.col(a) - F.col(b)).alias("d")).where("d <> 0 and d is not null")
     sizes = d.groupBy(F.abs("d").alias("m")).agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("d") > 0).alias("p"))
     r = running(sizes, "m", ["c"]).withColumn("rank", F.col("cum_c") - (F.col("c") - 1) / 2.0)
     s = r.agg(F.sum("c").alias("n"), F.sum(F.col("rank") * F.col("p")).alias("up"), F.sum(F.col("rank") * (F.col("c") - F.col("p"))).alias("down"), F.sum(F.pow(F.col("c").cast("double"), F.lit(3.0)) - F.col("c")).alias("ties"))
     n = F.col("n").cast("double")
     sd = F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("ties") / 2) / 24)
-    return s.select("n", F.least("up", "down").alias("w"), ((F.least("up", "down") - n * (n + 1) / 4) / F.nullif(sd, F.lit(0.0))).alias("z"))
+    out = s.select("n", F.least("up", "down").alias("w"), ((F.least("up", "down") - n * (n + 1) / 4) / F.nullif(sd, F.lit(0.0))).alias("z"))
+    return with_tail(out, "p", normal_tail, F.col("z"))
 
 
 def ks_2samp(df: DataFrame, value: str, sample: Column) -> DataFrame:
-    """One row: n, m and the largest distance d between the two samples' distribution functions. sample is true for the first."""
+    """One row: n, m, the largest distance d between the two samples' distribution functions and its asymptotic p value. sample is true for the first."""
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count_if(sample).alias("a"), F.count_if(~sample).alias("b"))
     total = counts.agg(F.sum("a").alias("n"), F.sum("b").alias("m"))
     cum = running(counts, "v", ["a", "b"]).join(F.broadcast(total))
-    return cum.groupBy("n", "m").agg(F.max(F.abs(F.col("cum_a") / F.col("n") - F.col("cum_b") / F.col("m"))).alias("d"))
+    out = cum.groupBy("n", "m").agg(F.max(F.abs(F.col("cum_a") / F.col("n") - F.col("cum_b") / F.col("m"))).alias("d"))
+    return with_tail(out, "p", kolmogorov_tail, F.col("d"), F.col("n"), F.col("m"))
 
 
 def normality(df: DataFrame, value: str) -> DataFrame:
-    """One row: n, skewness, kurtosis and D'Agostino's K2, from moments of one aggregation."""
+    """One row: n, skewness, kurtosis, D'Agostino's K2 and its p value, from moments of one aggregation."""
     x = F.col(value)
     m = df.agg(F.count(x).cast("double").alias("n"), F.skewness(x).alias("skew"), F.kurtosis(x).alias("kurt"))
     n, g1, g2 = F.col("n"), F.col("skew"), F.col("kurt")
@@ -77,7 +109,7 @@ def normality(df: DataFrame, value: str) -> DataFrame:
     b = 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * F.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
     a = 6 + 8 / b * (2 / b + F.sqrt(1 + 4 / (b * b)))
     z2 = ((1 - 2 / (9 * a)) - F.cbrt((1 - 2 / a) / (1 + u * F.sqrt(2 / (a - 4))))) / F.sqrt(2 / (9 * a))
-    return m.select(n.cast("long").alias("n"), g1.alias("skew"), g2.alias("kurt"), (z1 * z1 + z2 * z2).alias("k2"))
+    return m.select(n.cast("long").alias("n"), g1.alias("skew"), g2.alias("kurt"), (z1 * z1 + z2 * z2).alias("k2")).withColumn("p", F.exp(-F.col("k2") / 2))
 
 
 def weighted_metrics(df: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
@@ -134,10 +166,12 @@ def stars(p: Column) -> Column:
 
 
 def f_regression(df: DataFrame, features: list[str], target: str) -> DataFrame:
-    """(feature, f): univariate F of each feature, from correlations of one aggregation."""
+    """(feature, f, p, place): univariate F of each feature and its p value, the largest F first, from correlations of one aggregation."""
     one = df.agg(F.count(F.lit(1)).alias("n"), *[F.corr(c, target).alias(c) for c in features])
     r2 = F.col("r") * F.col("r")
-    return one.unpivot(["n"], features, "feature", "r").select("feature", (r2 / (1 - r2) * (F.col("n") - 2)).alias("f"))
+    out = one.unpivot(["n"], features, "feature", "r").select("feature", (r2 / (1 - r2) * (F.col("n") - 2)).alias("f"), (F.col("n") - 2).alias("_df"))
+    out = with_tail(out, "p", f_tail, F.col("f"), F.lit(1), F.col("_df")).drop("_df")
+    return out.withColumn("place", F.row_number().over(W.orderBy(F.desc("f"), "feature")))  # as many rows as features
 
 
 def importance_table(df: DataFrame, group: str = "model") -> DataFrame:
@@ -148,6 +182,19 @@ def importance_table(df: DataFrame, group: str = "model") -> DataFrame:
     return m.withColumn("place", F.row_number().over(w.orderBy(F.desc("importance"), "feature"))).withColumn("scaled", (F.col("importance") - low) / F.nullif(high - low, F.lit(0.0)))
 
 
+def importance_ends(table: DataFrame, n: int, group: str = "model") -> DataFrame:
+    """(model, end, place, feature, importance): the n most and least important features of each model, from importance_table()."""
+    sizes = table.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
+    ends = table.join(F.broadcast(sizes), group).withColumn("end", F.when(F.col("place") <= n, "top").when(F.col("place") > F.col("_n") - n, "bottom"))
+    return ends.where("end is not null").select(group, "end", "place", "feature", "importance")
+
+
+def importance_compared(table: DataFrame, models: list[str], group: str = "model") -> DataFrame:
+    """One row per feature: its scaled importance in each model, and the mean over models."""
+    wide = table.groupBy("feature").pivot(group, models).agg(F.min("scaled"))
+    return wide.withColumn("mean", sum((F.coalesce(F.col(m), F.lit(0.0)) for m in models), F.lit(0.0)) / len(models))
+
+
 def importance_share(df: DataFrame, prefix: str, group: str = "model") -> DataFrame:
     """(model, count, sum, share, max, mean) of the features with a name prefix."""
     m = df.groupBy(group, "feature").agg(F.avg(F.abs("value")).alias("v"))

@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 from gable.operators import encode as E
 from gable.operators import metrics as M
 from gable.operators import models as MD
+from gable.operators import pipeline as PL
 from gable.operators import sampling as S
 from gable.plans.base import GAZETTEER_BODY, Book, L, gazetteer, listings, rounded, table
+from gable.plans.q_clean import MODE, PRIO, YEAR
 from gable.sources import readers as R
 from gable.streaming.ingest import ingest
 
@@ -19,8 +21,11 @@ book = Book()
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder that all machines share: the cluster's checkpoint folder, or the warehouse where none is set."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir")
+    """A new folder that all machines share: the cluster's checkpoint folder; in local mode the warehouse where none is set."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", "")
+    if not base and not spark.sparkContext._jsc.sc().isLocal():
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    base = base or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base}/gable-{uuid.uuid4().hex}"
 
 
@@ -85,8 +90,36 @@ book.add(
  CAST(len(regexp_extract_all(html, '<li>(.*?)</li>')) AS INTEGER) AS n_items, CAST(len(regexp_extract_all(html, '<p>')) AS INTEGER) AS n_paragraphs FROM pages""",
 )(lambda s, d: table(s, d, "pages").select("page_id", *[c.alias(n) for n, c in R.page_fields(F.col("html")).items() if n != "heading"]))
 book.add("url_id", "SELECT page_id, list_extract(string_split(regexp_replace(url, '[?#].*$', ''), '/'), -1) AS id FROM pages")(lambda s, d: table(s, d, "pages").select("page_id", R.url_id(F.col("url")).alias("id")))
-book.add("ingest_dedup", "SELECT DISTINCT user_id AS id FROM events WHERE event_id % 2 = 1 AND user_id NOT IN (SELECT user_id FROM events WHERE event_id % 2 = 0)")(
-    lambda s, d: (lambda e: R.new_rows(e.where("event_id % 2 = 1").select(F.col("user_id").alias("id")), e.where("event_id % 2 = 0").select(F.col("user_id").alias("id"))))(table(s, d, "events"))
+
+
+@book.add("ingest_dedup", "SELECT DISTINCT event_id AS id FROM events WHERE event_id % 3 <> 0 AND event_id % 2 <> 0 AND event_id % 5 <> 0")
+def ingest_dedup(s, d):
+    """Ids that come in, some twice, against two stored tables that hold some of them."""
+    e = table(s, d, "events").select(F.col("event_id").alias("id"))
+    come = e.where("id % 3 <> 0")
+    return R.new_rows(come.unionByName(come.where("id % 7 = 0")), e.where("id % 2 = 0"), e.where("id % 5 = 0"))
+
+
+def ad_pages(s, d):
+    """Listings as pages of a portal: some closed, some without coordinates."""
+    k, text = F.col("id"), lambda c: c.cast("string")
+    item = lambda name, value: F.concat(F.lit(f'<li class="i">{name}: '), value, F.lit("</li>"))
+    place = F.when(k % 13 != 0, F.concat(F.lit('<div data-map-lat="'), text(F.round("lat", 3)), F.lit('" data-map-lon="'), text(F.round("lon", 3)), F.lit('"></div>'))).otherwise("")
+    parts = [
+        F.lit("<html><ul>"), item("Площадь дома", F.concat(text((20 + k * 37 % 380)), F.lit(" м²"))), item("Площадь участка", F.concat(text(k % 30), F.lit(" сот."))), item("Материал", F.coalesce("category", F.lit(""))), F.lit("<li>без значения</li></ul>"),
+        F.lit('<span itemprop="price" content="'), F.format_string("%d %03d", F.floor(k / 1000), k % 1000), F.lit('"></span><span itemprop="address" class="a"> '), F.col("region"), F.lit(" </span>"), place, F.when(k % 17 == 0, "<b>closed-marker</b>").otherwise(""),
+    ]
+    return listings(s, d).select("id", F.concat(*parts).alias("html"))
+
+
+book.add(
+    "extract_listings",
+    f"""{L} SELECT id, CASE WHEN id % 17 = 0 THEN 'closed' WHEN id % 13 = 0 THEN 'failed' ELSE 'parsed' END AS status, CAST(20 + (id * 37) % 380 AS VARCHAR) AS house_area, CAST(id % 30 AS VARCHAR) AS land_area, category AS material, 3 AS n_fields,
+ CAST(id AS DOUBLE) AS price, region AS address, CASE WHEN id % 13 <> 0 THEN round(lat, 3) END AS latitude, CASE WHEN id % 13 <> 0 THEN round(lon, 3) END AS longitude FROM listings""",
+)(
+    lambda s, d: R.extract_listings(ad_pages(s, d), "id").select(
+        "id", "status", F.col("fields")["Площадь дома"].alias("house_area"), F.col("fields")["Площадь участка"].alias("land_area"), F.col("fields")["Материал"].alias("material"), F.size("fields").alias("n_fields"), "price", "address", "latitude", "longitude"
+    )
 )
 
 
@@ -116,12 +149,42 @@ def holdout(s, d, learner, **params):
     return rounded(model.transform(rows.where("part = 'test'")).agg(*M.all_metrics("price", "prediction")))
 
 
-book.add("assemble")(lambda s, d: MD.assemble(FEATURES).transform(framed(s, d)).select("id", F.size(F.expr("transform(array(house_area, land_area, lat, lon, predicted_price), x -> x)")).alias("n_features")))
+
+
+@book.add("assemble", f"{L} SELECT id, " + ", ".join(f"round({'ln(1 + predicted_price)' if c == 'predicted_price' else c}, 4) AS f{i}" for i, c in enumerate(FEATURES)) + " FROM listings WHERE id % 3 <> 0")
+def assemble(s, d):
+    """The assembled vector's values; rows with a missing feature (every third year is unknown) are left out."""
+    from pyspark.ml.functions import vector_to_array
+
+    rows = framed(s, d).withColumn("lat", F.when(F.col("id") % 3 != 0, F.col("lat")))
+    v = MD.assemble(FEATURES).transform(rows).select("id", vector_to_array("features").alias("v"))
+    return rounded(v.select("id", *[F.col("v")[i].alias(f"f{i}") for i in range(len(FEATURES))]))
+
+
+@book.add("assemble_text")
+def assemble_text(s, d):
+    """Numbers beside hashed terms of a text column, as one pipeline; the vector's length and its sum of term counts."""
+    from pyspark.ml.functions import vector_to_array
+
+    rows = framed(s, d).join(listings(s, d).select("id", F.concat_ws(" ", "category", "region").alias("words")), "id")
+    v = MD.with_text(FEATURES, "words", 64).fit(rows).transform(rows).select("id", vector_to_array("features").alias("v"))
+    return v.select("id", F.size("v").alias("n_features"), F.aggregate(F.slice("v", len(FEATURES) + 1, 64), F.lit(0.0), lambda a, x: a + x).alias("terms"))
+
+
 book.add("fit_gbt")(lambda s, d: holdout(s, d, "gbt", maxIter=5, maxDepth=3))
 book.add("fit_rf")(lambda s, d: holdout(s, d, "rf", numTrees=5, maxDepth=5))
 book.add("fit_linear")(lambda s, d: holdout(s, d, "linear"))
-book.add("holdout_eval")(lambda s, d: holdout(s, d, "linear", regParam=0.01))
-book.add("cv_eval")(lambda s, d: rounded(MD.cross_validate(S.strat_kfold(S.qcut(framed(s, d), "price", 10), "bin", 3), "fold", 3, "linear", FEATURES, "price")))
+
+
+@book.add("holdout_eval")
+def holdout_eval(s, d):
+    """Metrics of the held-out part on the log and the original scale."""
+    rows = split(s, d)
+    model = MD.fit(rows.where("part = 'train'"), "linear", FEATURES, "price", regParam=0.01)
+    return rounded(MD.both_scales(model.transform(rows.where("part = 'test'")), [], "price", "prediction"))
+
+
+book.add("cv_eval")(lambda s, d: rounded(MD.cross_validate(S.strat_kfold(S.qcut(framed(s, d), "price", 10), "bin", 3), "fold", 3, "linear", FEATURES, "price", scales=True)))
 book.add("param_search")(lambda s, d: MD.search(S.strat_kfold(S.qcut(framed(s, d), "price", 10), "bin", 3), "fold", 3, "linear", FEATURES, "price", {"regParam": (0.0, 1.0), "maxIter": [5, 10]}, 2))
 
 
@@ -142,4 +205,42 @@ class Formula:
 
 
 book.on_listings("score_join", lambda d: rounded(MD.score(d, Formula()).select("id", "prediction")), f"{L} SELECT id, CASE WHEN year_raw IS NOT NULL THEN round(0.5 * price + 100 * house_area, 4) END AS prediction FROM listings")
+
+
+class Share:
+    """A model on scaled features whose predictions SQL can repeat."""
+
+    def transform(self, df):
+        return df.withColumn("prediction", F.expr("0.5 * house_area + 0.25"))
+
+
+SCORED = PL.Spec(year="year_raw", fill=["renovation"], outliers=["price"], logged=["price", "house_area"], geo=["lat", "lon"])
+book.on_listings(
+    "score_chain",
+    lambda d: rounded(PL.score(d.where("id % 2 = 0"), SCORED, PL.fit(d, SCORED), Share(), ["house_area", "lat", "absent"], "price").select("id", "prediction"), 2),
+    f"{L}, f AS (SELECT min(ln(1 + price)) AS a, max(ln(1 + price)) AS b, min(ln(1 + house_area)) AS c, max(ln(1 + house_area)) AS e FROM listings) SELECT id, round(exp(a + (0.5 * (ln(1 + house_area) - c) / (e - c) + 0.25) * (b - a)) - 1, 2) AS prediction FROM listings, f WHERE id % 2 = 0",
+)
+
+
+def restored(d):
+    fitted = PL.fit(d, RESTORED)
+    return PL.restore(PL.transform(d, RESTORED, fitted), RESTORED, fitted)
+
+
+RESTORED = PL.Spec(year="year_raw", fill=["renovation"], one_hot={"renovation": {v: v[0] for v in PRIO}}, outliers=["price"], logged=["price", "house_area"], geo=["lat", "lon"])
+book.on_listings(
+    "features_restore",
+    lambda d: rounded(restored(d).select("id", "price", "house_area", "lat", "lon", "renovation"), 2),
+    f"{L}{MODE} SELECT id, round(price, 2) AS price, round(house_area, 2) AS house_area, round(lat, 2) AS lat, round(lon, 2) AS lon, coalesce(renovation, m) AS renovation FROM listings, mo",
+)
+
+
+@book.add("features_saved", f"{L}{YEAR}, q AS (SELECT quantile_cont(price, 0.01) AS pl, quantile_cont(price, 0.99) AS pu FROM listings), f AS (SELECT min(ln(1 + price)) AS n1, max(ln(1 + price)) AS x1, min(ln(1 + house_area)) AS n2, max(ln(1 + house_area)) AS x2, min(lat) AS n4, max(lat) AS x4, min(lon) AS n5, max(lon) AS x5 FROM listings) SELECT id, CAST(price < pl OR price > pu AS INTEGER) AS is_outlier, round((ln(1 + price) - n1) / (x1 - n1), 4) AS price, round((ln(1 + house_area) - n2) / (x2 - n2), 4) AS house_area, round(-1 + 2 * (lat - n4) / (x4 - n4), 4) AS lat, round(-1 + 2 * (lon - n5) / (x5 - n5), 4) AS lon, year, was_null AS \"yearIsNull\" FROM listings JOIN yr USING (id), q, f WHERE id % 5 = 0")
+def features_saved(s, d):
+    """Fitted tables written with the model and read back give the rows that they gave before."""
+    rows, path = listings(s, d), scratch(s)
+    PL.fit(rows, SCORED).save(path)
+    return rounded(PL.transform(rows.where("id % 5 = 0"), SCORED, PL.Fitted.load(s, path)))
+
+
 book.add("config_sweep")(lambda s, d: rounded(MD.sweep(S.strat_kfold(S.qcut(framed(s, d), "price", 10), "bin", 2), "fold", 2, "price", [{"learner": "linear", "features": FEATURES}, {"learner": "linear", "features": FEATURES[:2], "regParam": 0.5}, {"learner": "linear", "features": ["absent"]}])))

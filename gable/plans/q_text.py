@@ -158,4 +158,4 @@ def word2vec(s, d):
     from pyspark.ml.functions import vector_to_array
 
     model, words = V.word_vectors(doc(s, d), "text")
-    return model.transform(words).select("doc_id", F.size(vector_to_array("vector")).alias("dims"), F.size("words").alias("n_words"))
+    return model.transform(words).select("doc_id", F.transform(vector_to_array("vector"), lambda x: F.round(x, 4)).alias("vector"), F.size("words").alias("n_words"))

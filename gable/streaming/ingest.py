@@ -3,21 +3,31 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Partitions of the stored table.
+BUCKETS = 64
 
 
 def ingest(stream: DataFrame, target: str, checkpoint: str, ident: str = "id", time: str = "ts", late: str = "10 minutes"):
     """Append unseen ids of a stream to the Parquet table at `target`; returns the started query.
 
     State is bounded by the watermark: dropDuplicatesWithinWatermark drops repeats within it, and each batch is held
-    against the stored table, so repeats that come later are dropped too.
+    against the stored table, so repeats that come later are dropped too. The table is partitioned by a bucket of the id
+    (column `bucket`), and a batch reads the buckets of its own ids only.
     """
     unique = stream.withWatermark(time, late).dropDuplicatesWithinWatermark([ident])
 
     def append(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         fs = spark._jvm.org.apache.hadoop.fs.Path(target)
+        batch = batch.withColumn("bucket", F.pmod(F.xxhash64(ident), F.lit(BUCKETS)).cast("int")).persist()
+        come = batch
         if fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs):
-            batch = batch.join(spark.read.schema(batch.schema).parquet(target).select(ident), ident, "left_anti").select(*batch.columns)
-        batch.dropDuplicates([ident]).write.mode("append").parquet(target)
+            touched = [r["bucket"] for r in batch.select("bucket").distinct().collect()]  # BUCKETS at most
+            stored = spark.read.schema(batch.schema).parquet(target).where(F.col("bucket").isin(touched))
+            come = batch.join(stored.select(ident, "bucket"), [ident, "bucket"], "left_anti").select(*batch.columns)
+        come.dropDuplicates([ident]).repartition("bucket").write.mode("append").partitionBy("bucket").parquet(target)
+        batch.unpersist()
 
     return unique.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
