@@ -142,7 +142,8 @@ def fit(docs: DataFrame, ident: str = "doc_id", text: str = "text", lang: str =
     grid = 1 << 30
     place = F.pmod("_h", F.lit(grid))
     counts = usable.groupBy("_lang").agg((F.lit(grid * 1.5 * (SAMPLE + 50)) / F.count(F.lit(1))).alias("_share"))
-    drawn = usable.select("_lang", "_h").join(counts, "_lang").where(place < F.col("_share")).select("_lang", "_h").distinct()
+    # one row a language: as many as the model holds weights for
+    drawn = usable.select("_lang", "_h").join(F.broadcast(counts), "_lang").where(place < F.col("_share")).select("_lang", "_h").distinct()
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy(place, "_h"))  # some hundred rows of each language
     picked = written(drawn.withColumn("_n", rank).where(F.col("_n") <= SAMPLE).select("_lang", "_h"))
     sample = usable.join(picked, ["_lang", "_h"], "left_semi").dropDuplicates(["_lang", "_h"])

@@ -24,6 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors; see near_vectors for null, zero, odd and repeated ones."""
     return near_vectors(table(spark, sf_dir, "embeddings"))
 
 
@@ -33,22 +34,27 @@ def op2_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; a null text counts as empty, see counted."""
     return counted(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; a null text is its closing id alone, see packed."""
     return packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op5_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; null and short texts hold no passage, see repeated_passages for null and repeated ids."""
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; a null text counts as empty, see exact_groups for null and repeated ids."""
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; a null or empty text has no ids, see encoded."""
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
@@ -64,10 +70,12 @@ def op8_merkle_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; a text that is null or has no letter is `und`, see identified for null ids and labels."""
     return identified(table(spark, sf_dir, "documents"))
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; null texts and those without a word link with nothing, see near_copies for null and repeated ids."""
     return near_copies(table(spark, sf_dir, "documents"))
 
 
