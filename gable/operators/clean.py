@@ -109,6 +109,15 @@ def drop_phrases(df: DataFrame, rules: dict[str, list[str]], unwanted: dict[str,
     return df.where(keep)
 
 
+def matching(df: DataFrame, picks: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of df that equal a row of picks in the columns, compared as text (a null equals a null); each once, however often it is picked."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("None")).alias(f"_p_{c}")
+    same = F.lit(True)
+    for c in columns:
+        same &= F.coalesce(F.col(c).cast("string"), F.lit("None")) == F.col(f"_p_{c}")
+    return df.join(picks.select(*map(text, columns)).distinct(), same, "left_semi")
+
+
 def align_features(df: DataFrame, features: list[str]) -> DataFrame:
     """The fitted features in their order: missing ones 0, nulls as they are, others dropped."""
     return df.select(*[F.col(c) if c in df.columns else F.lit(0).alias(c) for c in features])

@@ -38,9 +38,10 @@ def both_scales(df: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
     return rows.groupBy(*keys, "scale").agg(*all_metrics("_y", "_p"))
 
 
-def fit(df: DataFrame, learner: str, features: list[str], target: str, **params) -> PipelineModel:
+def fit(df: DataFrame, learner: str, features: list[str], target: str, text: str | None = None, terms: int = 64, **params) -> PipelineModel:
+    """A pipeline of assembly and learner; with text, its words hashed to `terms` counts are features too, so a search can choose their number."""
     model = LEARNERS[learner](featuresCol="features", labelCol=target, predictionCol="prediction", **params)
-    return Pipeline(stages=[assemble(features), model]).fit(df)
+    return Pipeline(stages=[*(with_text(features, text, terms).getStages() if text else [assemble(features)]), model]).fit(df)
 
 
 def score(df: DataFrame, model, ident: str = "id") -> DataFrame:

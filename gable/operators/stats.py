@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gable.functions.draws import draw
-from gable.functions.tails import chi2_tail, f_tail, kolmogorov_tail, normal_tail, t_tail
+from gable.functions.tails import anderson_deviation, chi2_tail, f_tail, kolmogorov_tail, normal_tail, t_tail
 from gable.operators.order import running
 from gable.operators.sampling import with_weights
 
@@ -203,7 +203,7 @@ def importance_share(df: DataFrame, prefix: str, group: str = "model") -> DataFr
 
 
 def anderson_k(df: DataFrame, value: str, sample: str, names: list[str]) -> DataFrame:
-    """One row: n and the k-sample Anderson-Darling statistic a2 in its mid-rank form."""
+    """One row: n, the k-sample Anderson-Darling statistic a2 in its mid-rank form, standardised, and the 5 % critical value of that."""
     v = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("l"), *[F.count_if(F.col(sample) == s).alias(f"s{i}") for i, s in enumerate(names)])
     sums = ["l", *[f"s{i}" for i in range(len(names))]]
     total = v.agg(*[F.sum(s).cast("double").alias(f"t_{s}") for s in sums])
@@ -211,9 +211,15 @@ def anderson_k(df: DataFrame, value: str, sample: str, names: list[str]) -> Data
     n, b = F.col("t_l"), F.col("cum_l") - F.col("l") / 2.0
     below = b * (n - b) - n * F.col("l") / 4.0
     part = lambda i: F.col("l") / n * F.pow(n * (F.col(f"cum_s{i}") - F.col(f"s{i}") / 2.0) - F.col(f"t_s{i}") * b, F.lit(2.0)) / F.nullif(below, F.lit(0.0)) / F.nullif(F.col(f"t_s{i}"), F.lit(0.0))
-    each = c.groupBy("t_l").agg(*[F.sum(part(i)).alias(f"p{i}") for i in range(len(names))])
+    each = c.groupBy("t_l", *[f"t_s{i}" for i in range(len(names))]).agg(*[F.sum(part(i)).alias(f"p{i}") for i in range(len(names))])
     inner = sum((F.coalesce(f"p{i}", F.lit(0.0)) for i in range(len(names))), F.lit(0.0))
-    return each.select(F.col("t_l").cast("long").alias("n"), ((n - 1) / n * inner).alias("a2"))
+    m = len(names) - 1
+    inverse = sum((1.0 / F.nullif(f"t_s{i}", F.lit(0.0)) for i in range(len(names))), F.lit(0.0))
+    out = each.select(F.col("t_l").cast("long").alias("n"), ((n - 1) / n * inner).alias("a2"), inverse.alias("_h"))
+    out = with_tail(out, "_sd", anderson_deviation, F.col("n"), F.lit(m + 1), F.col("_h"))
+    # Interpolation of the 5 % point by the number of samples less one
+    critical = 1.645 + 0.678 / m**0.5 - 0.362 / m
+    return out.select("n", "a2", ((F.col("a2") - m) / F.col("_sd")).alias("standardised"), F.lit(critical).alias("critical"))
 
 
 # Coefficients of a rational approximation of the inverse normal distribution.

@@ -25,8 +25,9 @@ def ngrams(words: Column, low: int, high: int) -> Column:
 
 
 def term_counts(df: DataFrame, ident: str, text: str, low: int = 1, high: int = 1) -> DataFrame:
-    """(ident, term, tf)."""
-    return df.select(ident, F.explode(ngrams(tokens(F.col(text)), low, high)).alias("term")).groupBy(ident, "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(ident, term, tf). Texts are dealt by ident, which is all the shuffling that counts and norms by ident need."""
+    dealt = df.select(ident, text).repartition(ident)
+    return dealt.select(ident, F.explode(ngrams(tokens(F.col(text)), low, high)).alias("term")).groupBy(ident, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def tfidf_fit(counts: DataFrame, documents: int, min_df: int = 1, max_df: float = 1.0, max_features: int | None = None) -> DataFrame:
@@ -43,8 +44,9 @@ def tfidf_apply(counts: DataFrame, fitted: DataFrame, ident: str, sublinear: boo
     w = counts.join(fitted, "term").select(ident, "term", (tf * F.col("idf")).alias("w"))
     if norm is None:
         return w.withColumnRenamed("w", "weight")
-    size = w.groupBy(ident).agg((F.sqrt(F.sum(F.col("w") * F.col("w"))) if norm == "l2" else F.sum(F.abs("w"))).alias("n"))
-    return w.join(size, ident).select(ident, "term", (F.col("w") / F.col("n")).alias("weight"))
+    own = W.partitionBy(ident)  # the terms of one document
+    size = F.sqrt(F.sum(F.col("w") * F.col("w")).over(own)) if norm == "l2" else F.sum(F.abs("w")).over(own)
+    return w.select(ident, "term", (F.col("w") / size).alias("weight"))
 
 
 def vector_pool(df: DataFrame, key: str, vector: str, dims: int, how: str = "avg") -> DataFrame:

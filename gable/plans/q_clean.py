@@ -92,7 +92,7 @@ SELECT key, kind, CASE WHEN kind = 'bool' THEN lower(value) = 'true' END AS as_b
 )(lambda s, d: C.typed_params(table(s, d, "orders").select(F.col("o_orderkey").alias("key"), F.expr(PARAM.format(s="STRING")).alias("value"))))
 book.on_listings(
     "best_config_lookup",
-    lambda d: rounded(d.groupBy("category", "renovation").agg(F.avg("price").alias("score")).join(d.groupBy("category").agg(F.max_by("renovation", "price").alias("renovation")), ["category", "renovation"])),
+    lambda d: rounded(C.matching(d.groupBy("category", "renovation").agg(F.avg("price").alias("score")), d.groupBy("category").agg(F.max_by("renovation", "price").alias("renovation")), ["category", "renovation"])),
     f"{L}, s AS (SELECT category, renovation, avg(price) AS score FROM listings GROUP BY 1, 2), b AS (SELECT category, max_by(renovation, price) AS renovation FROM listings GROUP BY 1) SELECT category, renovation, round(score, 4) AS score FROM s JOIN b USING (category, renovation)",
 )
 

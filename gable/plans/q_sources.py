@@ -166,7 +166,7 @@ def assemble_text(s, d):
     """Numbers beside hashed terms of a text column, as one pipeline; the vector's length and its sum of term counts."""
     from pyspark.ml.functions import vector_to_array
 
-    rows = framed(s, d).join(listings(s, d).select("id", F.concat_ws(" ", "category", "region").alias("words")), "id")
+    rows = worded(s, d)
     v = MD.with_text(FEATURES, "words", 64).fit(rows).transform(rows).select("id", vector_to_array("features").alias("v"))
     return v.select("id", F.size("v").alias("n_features"), F.aggregate(F.slice("v", len(FEATURES) + 1, 64), F.lit(0.0), lambda a, x: a + x).alias("terms"))
 
@@ -185,7 +185,8 @@ def holdout_eval(s, d):
 
 
 book.add("cv_eval")(lambda s, d: rounded(MD.cross_validate(S.strat_kfold(S.qcut(framed(s, d), "price", 10), "bin", 3), "fold", 3, "linear", FEATURES, "price", scales=True)))
-book.add("param_search")(lambda s, d: MD.search(S.strat_kfold(S.qcut(framed(s, d), "price", 10), "bin", 3), "fold", 3, "linear", FEATURES, "price", {"regParam": (0.0, 1.0), "maxIter": [5, 10]}, 2))
+worded = lambda s, d: framed(s, d).join(listings(s, d).select("id", F.concat_ws(" ", "category", "region").alias("words")), "id")
+book.add("param_search")(lambda s, d: MD.search(S.strat_kfold(S.qcut(worded(s, d), "price", 10), "bin", 3), "fold", 3, "linear", FEATURES, "price", {"regParam": (0.0, 1.0), "maxIter": [5, 10], "terms": [4, 8], "text": ["words"]}, 2))
 
 
 @book.add("model_roundtrip")

@@ -135,7 +135,7 @@ book.on_listings(
 )
 book.on_listings("importance_share", lambda d: rounded(S.importance_share(long(d), "l")), f"{LONG} SELECT model, count(*) FILTER (feature LIKE 'l%') AS count, round(sum(v) FILTER (feature LIKE 'l%'), 4) AS sum, round(sum(v) FILTER (feature LIKE 'l%') / sum(v), 4) AS share, round(max(v) FILTER (feature LIKE 'l%'), 4) AS max, round(avg(v) FILTER (feature LIKE 'l%'), 4) AS mean FROM m GROUP BY 1")
 SEG = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
-AK = f"{L}, v AS (SELECT price AS v, CAST(count(*) AS DOUBLE) AS l, " + ", ".join(f"CAST(count(*) FILTER (category = '{c}') AS DOUBLE) AS s{i}" for i, c in enumerate(SEG)) + " FROM listings GROUP BY 1), c AS (SELECT l, sum(l) OVER () AS n, sum(l) OVER w - l / 2 AS b, " + ", ".join(f"s{i}, sum(s{i}) OVER () AS t{i}, sum(s{i}) OVER w - s{i} / 2 AS m{i}" for i in range(5)) + " FROM v WINDOW w AS (ORDER BY v)) SELECT CAST(max(n) AS BIGINT) AS n, round((max(n) - 1) / max(n) * (" + " + ".join(f"sum(l / n * (n * m{i} - t{i} * b) ** 2 / nullif(b * (n - b) - n * l / 4, 0) / t{i})" for i in range(5)) + "), 3) AS a2 FROM c"
+AK = f"{L}, v AS (SELECT price AS v, CAST(count(*) AS DOUBLE) AS l, " + ", ".join(f"CAST(count(*) FILTER (category = '{c}') AS DOUBLE) AS s{i}" for i, c in enumerate(SEG)) + " FROM listings GROUP BY 1), c AS (SELECT l, sum(l) OVER () AS n, sum(l) OVER w - l / 2 AS b, " + ", ".join(f"s{i}, sum(s{i}) OVER () AS t{i}, sum(s{i}) OVER w - s{i} / 2 AS m{i}" for i in range(5)) + " FROM v WINDOW w AS (ORDER BY v)), w AS (SELECT max(n) AS n, (max(n) - 1) / max(n) * (" + " + ".join(f"sum(l / n * (n * m{i} - t{i} * b) ** 2 / nullif(b * (n - b) - n * l / 4, 0) / t{i})" for i in range(5)) + ") AS a2, " + " + ".join(f"1 / max(t{i})" for i in range(5)) + " AS hh FROM c), r AS (SELECT i, sum(1.0 / i) OVER (ORDER BY i) AS hi FROM (SELECT unnest(range(1, CAST((SELECT n FROM w) AS BIGINT))) AS i)), g AS (SELECT max(hi) AS h, sum(CASE WHEN i <= w.n - 2 THEN ((SELECT max(hi) FROM r) - hi) / (w.n - i) ELSE 0 END) AS g FROM r, w), z AS (SELECT n, a2, sqrt((((4 * g - 6) * 4 + (10 - 6 * g) * hh) * n ** 3 + ((2 * g - 4) * 25 + 40 * h + (2 * g - 14 * h - 4) * hh - 8 * h + 4 * g - 6) * n ** 2 + ((6 * h + 2 * g - 2) * 25 + (4 * h - 4 * g + 6) * 5 + (2 * h - 6) * hh + 4 * h) * n + (2 * h + 6) * 25 - 20 * h) / ((n - 1) * (n - 2) * (n - 3))) AS sd FROM w, g) SELECT CAST(n AS BIGINT) AS n, round(a2, 3) AS a2, round((a2 - 4) / sd, 3) AS standardised, round(1.645 + 0.678 / 2 - 0.362 / 4, 3) AS critical FROM z"
 book.on_listings("anderson_k", lambda d: rounded(S.anderson_k(d, "price", "category", SEG), 3), AK)
 book.on_listings("qq_table", lambda d: rounded(S.qq_table(d, "price")))
 MODELS = {"a": "predicted_price", "c": "other"}
