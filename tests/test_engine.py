@@ -93,13 +93,18 @@ def test_polygon(spark):
     assert [r.i for r in got] == [True, False, False] and got[0].d == 0 and abs(got[2].d - 111.19) < 0.1
 
 
-def test_many_cities_by_grid(spark, monkeypatch):
+def test_many_cities_by_grid(spark):
     points = spark.range(200).select("id", (F.col("id") * 37 % 100 / 10.0).alias("lat"), (F.col("id") * 53 % 100 / 10.0).alias("lon"))
     cities = spark.range(30).select(F.format_string("c%02d", "id").alias("name"), (F.col("id") * 61 % 97 / 10.0).alias("latitude"), (F.col("id") * 29 % 89 / 10.0).alias("longitude"))
-    spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir"))
-    want = {r.id: r.city_km for r in G.nearest_city(points, cities).collect()}
-    monkeypatch.setattr(G, "BROADCAST_CITIES", 5)
-    assert {r.id: r.city_km for r in G.nearest_city(points, cities).collect()} == want
+    there = cities.collect()
+    near = {p.id: min(((p.lat - c.latitude) ** 2 + (p.lon - c.longitude) ** 2, c.name) for c in there) for p in points.collect()}
+    for widths in (G.WIDTHS, (0.1, 1.0, 512.0)):
+        got = {r.id: r.city_name for r in G.nearest_city(points, cities, widths=widths).collect()}
+        by = {c.name: c for c in there}
+        assert len(got) == 200
+        for p in points.collect():
+            c = by[got[p.id]]
+            assert (p.lat - c.latitude) ** 2 + (p.lon - c.longitude) ** 2 == pytest.approx(near[p.id][0])
 
 
 def test_texts(spark):
