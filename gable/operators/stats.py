@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from gable.functions.draws import draw
 from gable.functions.tails import anderson_deviation, chi2_tail, f_tail, kolmogorov_tail, normal_tail, t_tail
-from gable.operators.order import running
+from gable.operators.order import bucket_of, edges_of, running
 from gable.operators.sampling import with_weights
 
 
@@ -112,14 +112,41 @@ def normality(df: DataFrame, value: str) -> DataFrame:
     return m.select(n.cast("long").alias("n"), g1.alias("skew"), g2.alias("kurt"), (z1 * z1 + z2 * z2).alias("k2")).withColumn("p", F.exp(-F.col("k2") / 2))
 
 
+def weighted_median(df: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
+    """(keys, round, name): the median of value in each round, rows taken `weight` times; nulls are left out.
+
+    Weights are added up in buckets of the value; only rows of the buckets that hold a round's middle are looked at one by one.
+    """
+    group = [*keys, "round"]
+    rows = df.select(*group, "weight", value.alias("_v")).where("_v is not null")
+    cut = rows.withColumn("_b", bucket_of(F.col("_v"), edges_of(rows, "_v")))
+    of = W.partitionBy(*group)
+    totals = cut.groupBy(*group, "_b").agg(F.sum("weight").alias("_t")).withColumn("_cum", F.sum("_t").over(of.orderBy("_b"))).withColumn("_k", (F.sum("_t").over(of) - 1) / 2)
+    need = totals.where((F.col("_cum") > F.floor("_k")) & (F.col("_cum") - F.col("_t") <= F.ceil("_k")))
+    need = need.select(*[F.col(g).alias(f"_g_{g}") for g in [*group, "_b"]], (F.col("_cum") - F.col("_t")).alias("_before"), "_k")
+    same = F.lit(True)
+    for g in [*group, "_b"]:
+        same &= F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    each = cut.join(need, same).groupBy(*group, "_k", "_b", "_before", "_v").agg(F.sum("weight").alias("_c"))
+    each = each.withColumn("_at", F.col("_before") + F.sum("_c").over(W.partitionBy(*group, "_b").orderBy("_v")))
+    first = lambda k: F.min(F.when(F.col("_at") > k, F.col("_v")))
+    ends = each.groupBy(*group, "_k").agg(first(F.floor("_k")).alias("_lo"), first(F.ceil("_k")).alias("_hi"))
+    return ends.select(*group, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_k") - F.floor("_k"))).alias(name))
+
+
 def weighted_metrics(df: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
-    """r2, rmse, smape and medape of each bootstrap round, all rounds in one aggregation."""
+    """r2, rmse, smape and medape of each bootstrap round, all rounds together."""
     w, t, q = F.col("weight"), F.col(y), F.col(p)
     n, e2 = F.sum(w), F.sum(w * (t - q) * (t - q))
     spread = F.sum(w * t * t) - F.sum(w * t) * F.sum(w * t) / n
     ape = F.abs(t - q) / F.nullif(F.abs(t), F.lit(0.0))
     both = F.abs(t) + F.abs(q)
-    return df.groupBy(*keys, "round").agg((1 - e2 / F.nullif(spread, F.lit(0.0))).alias("r2"), F.sqrt(e2 / n).alias("rmse"), (100 * F.sum(w * F.coalesce(2 * F.abs(t - q) / F.nullif(both, F.lit(0.0)), F.lit(0.0))) / n).alias("smape"), (100 * F.percentile(ape, F.lit(0.5), w)).alias("medape"))
+    sums = df.groupBy(*keys, "round").agg((1 - e2 / F.nullif(spread, F.lit(0.0))).alias("r2"), F.sqrt(e2 / n).alias("rmse"), (100 * F.sum(w * F.coalesce(2 * F.abs(t - q) / F.nullif(both, F.lit(0.0)), F.lit(0.0))) / n).alias("smape"))
+    middle = weighted_median(df, keys, 100 * ape, "medape").withColumnsRenamed({k: f"_m_{k}" for k in [*keys, "round"]})
+    same = F.lit(True)
+    for k in [*keys, "round"]:
+        same &= F.col(k).eqNullSafe(F.col(f"_m_{k}"))
+    return sums.join(middle, same, "left").drop(*[f"_m_{k}" for k in [*keys, "round"]])
 
 
 METRICS = ["r2", "rmse", "smape", "medape"]
