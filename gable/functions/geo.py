@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -42,34 +43,37 @@ def _edges(ring: list[tuple[float, float]]) -> list[tuple[float, float, float, f
     return [(*p, *q) for p, q in zip(points[:-1], points[1:]) if p != q]
 
 
+def _edge_array(ring: list[tuple[float, float]]) -> Column:
+    """The edges as a constant array: x1, y1, x2, y2, dx, dy and the squared length."""
+    whole = [(x1, y1, x2, y2, x2 - x1, y2 - y1, (x2 - x1) ** 2 + (y2 - y1) ** 2) for x1, y1, x2, y2 in _edges(ring)]
+    return F.array(*[F.struct(*[F.lit(float(v)).alias(n) for n, v in zip(("x1", "y1", "x2", "y2", "dx", "dy", "l2"), e)]) for e in whole])
+
+
 def in_polygon(lat: Column, lon: Column, ring: list[tuple[float, float]] = RING) -> Column:
     """Even-odd rule over the edges; a ring that crosses itself keeps its holes. A null coordinate is outside."""
-    crossed = F.lit(0)
-    for x1, y1, x2, y2 in _edges(ring):
-        if y1 != y2:
-            at = (lat - F.lit(y1)) / F.lit(y2 - y1) * F.lit(x2 - x1) + F.lit(x1)
-            crossed = crossed + F.coalesce(((F.lit(y1) > lat) != (F.lit(y2) > lat)) & (lon < at), F.lit(False)).cast("int")
+
+    def crosses(e: Column) -> Column:
+        return ((e["y1"] > lat) != (e["y2"] > lat)) & F.coalesce(lon < e["x1"] + (lat - e["y1"]) / F.nullif(e["dy"], F.lit(0.0)) * e["dx"], F.lit(False))
+
     lats, lons = zip(*ring)
-    box = lat.between(min(lats), max(lats)) & lon.between(min(lons), max(lons))
-    return F.coalesce(box, F.lit(False)) & (crossed % 2 == 1)
+    box = F.coalesce(lat.between(min(lats), max(lats)) & lon.between(min(lons), max(lons)), F.lit(False))
+    return F.when(box, F.size(F.filter(_edge_array(ring), crosses)) % 2 == 1).otherwise(False)
 
 
 def polygon_distance(lat: Column, lon: Column, ring: list[tuple[float, float]] = RING) -> Column:
-    """km from a point to the nearest point (in degrees) of the ring; 0 inside.
+    """km from a point to the nearest point (in degrees) of the ring; 0 inside. What is used more than once is bound once."""
 
-    The edges stand in the plan one by one as constants, so the distance is compiled with the rest of the row.
-    """
+    def once(value: Column, use: Callable[[Column], Column]) -> Column:
+        return F.transform(F.array(value), use)[0]
 
-    def nearest(x1: float, y1: float, x2: float, y2: float) -> Column:
-        dx, dy = x2 - x1, y2 - y1
-        along = ((lon - F.lit(x1)) * F.lit(dx) + (lat - F.lit(y1)) * F.lit(dy)) / F.lit(dx * dx + dy * dy)
-        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
-        x, y = F.lit(x1) + t * F.lit(dx), F.lit(y1) + t * F.lit(dy)
-        return F.struct(((lon - x) * (lon - x) + (lat - y) * (lat - y)).alias("d2"), x.alias("x"), y.alias("y"))
+    def nearest(e: Column) -> Column:
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((lon - e["x1"]) * e["dx"] + (lat - e["y1"]) * e["dy"]) / e["l2"]))
+        point = lambda t: F.struct((e["x1"] + t * e["dx"]).alias("x"), (e["y1"] + t * e["dy"]).alias("y"))
+        away = lambda p: F.struct(((lon - p["x"]) * (lon - p["x"]) + (lat - p["y"]) * (lat - p["y"])).alias("d2"), p["x"].alias("x"), p["y"].alias("y"))
+        return once(once(t, point), away)
 
-    near = F.array_min(F.array(*[nearest(*e) for e in _edges(ring)]))
-    away = F.transform(F.array(near), lambda n: haversine(lat, lon, n["y"], n["x"]))[0]
-    return F.when(in_polygon(lat, lon, ring), F.lit(0.0)).otherwise(away)
+    near = F.array_min(F.transform(_edge_array(ring), nearest))
+    return F.when(in_polygon(lat, lon, ring), F.lit(0.0)).otherwise(once(near, lambda n: haversine(lat, lon, n["y"], n["x"])))
 
 
 # ---- hexagons: pointy-top cells on an equirectangular plane around a reference latitude

@@ -112,41 +112,41 @@ def normality(df: DataFrame, value: str) -> DataFrame:
     return m.select(n.cast("long").alias("n"), g1.alias("skew"), g2.alias("kurt"), (z1 * z1 + z2 * z2).alias("k2")).withColumn("p", F.exp(-F.col("k2") / 2))
 
 
-def weighted_median(df: DataFrame, keys: list[str], value: Column, name: str) -> DataFrame:
-    """(keys, round, name): the median of value in each round, rows taken `weight` times; nulls are left out.
+def round_metrics(df: DataFrame, rounds: int, keys: list[str], y: str, p: str, ident: str = "id", seed: int = 42) -> DataFrame:
+    """(keys, round, r2, rmse, smape, medape) of each bootstrap round, rows taken as often as they are drawn.
 
-    Weights are added up in buckets of the value; only rows of the buckets that hold a round's middle are looked at one by one.
+    The relative errors are cut into buckets before rows are drawn; weights are added up by bucket, with all other sums,
+    and only rows of the buckets that hold a round's middle are looked at one by one for the median.
     """
     group = [*keys, "round"]
-    rows = df.select(*group, "weight", value.alias("_v")).where("_v is not null")
-    cut = rows.withColumn("_b", bucket_of(F.col("_v"), edges_of(rows, "_v")))
+    t, q = F.col(y), F.col(p)
+    base = df.select(*keys, ident, t.alias("_t"), q.alias("_q"), (F.abs(t - q) / F.nullif(F.abs(t), F.lit(0.0))).alias("_v"))
+    base = base.withColumn("_b", bucket_of(F.col("_v"), edges_of(base, "_v")))
+    drawn = with_weights(base, rounds, seed, ident)
+    w, t, q = F.col("weight"), F.col("_t"), F.col("_q")
+    apart = F.coalesce(2 * F.abs(t - q) / F.nullif(F.abs(t) + F.abs(q), F.lit(0.0)), F.lit(0.0))
+    sums = {"_w": w, "_wt": w * t, "_wtt": w * t * t, "_we": w * (t - q) * (t - q), "_ws": w * apart, "_wv": F.when(F.col("_v").isNotNull(), w).otherwise(0)}
+    parts = drawn.groupBy(*group, "_b").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+
+    n, spread = F.sum("_w"), F.sum("_wtt") - F.sum("_wt") * F.sum("_wt") / F.sum("_w")
+    whole = parts.groupBy(*group).agg((1 - F.sum("_we") / F.nullif(spread, F.lit(0.0))).alias("r2"), F.sqrt(F.sum("_we") / n).alias("rmse"), (100 * F.sum("_ws") / n).alias("smape"))
     of = W.partitionBy(*group)
-    totals = cut.groupBy(*group, "_b").agg(F.sum("weight").alias("_t")).withColumn("_cum", F.sum("_t").over(of.orderBy("_b"))).withColumn("_k", (F.sum("_t").over(of) - 1) / 2)
-    need = totals.where((F.col("_cum") > F.floor("_k")) & (F.col("_cum") - F.col("_t") <= F.ceil("_k")))
-    need = need.select(*[F.col(g).alias(f"_g_{g}") for g in [*group, "_b"]], (F.col("_cum") - F.col("_t")).alias("_before"), "_k")
-    same = F.lit(True)
-    for g in [*group, "_b"]:
-        same &= F.col(g).eqNullSafe(F.col(f"_g_{g}"))
-    each = cut.join(need, same).groupBy(*group, "_k", "_b", "_before", "_v").agg(F.sum("weight").alias("_c"))
-    each = each.withColumn("_at", F.col("_before") + F.sum("_c").over(W.partitionBy(*group, "_b").orderBy("_v")))
-    first = lambda k: F.min(F.when(F.col("_at") > k, F.col("_v")))
-    ends = each.groupBy(*group, "_k").agg(first(F.floor("_k")).alias("_lo"), first(F.ceil("_k")).alias("_hi"))
-    return ends.select(*group, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_k") - F.floor("_k"))).alias(name))
+    need = parts.withColumn("_cum", F.sum("_wv").over(of.orderBy("_b"))).withColumn("_k", (F.sum("_wv").over(of) - 1) / 2)
+    need = need.where((F.col("_cum") > F.floor("_k")) & (F.col("_cum") - F.col("_wv") <= F.ceil("_k")) & (F.col("_wv") > 0))
 
+    def same(names: list[str]) -> Column:
+        out = F.lit(True)
+        for g in names:
+            out &= F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+        return out
 
-def weighted_metrics(df: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
-    """r2, rmse, smape and medape of each bootstrap round, all rounds together."""
-    w, t, q = F.col("weight"), F.col(y), F.col(p)
-    n, e2 = F.sum(w), F.sum(w * (t - q) * (t - q))
-    spread = F.sum(w * t * t) - F.sum(w * t) * F.sum(w * t) / n
-    ape = F.abs(t - q) / F.nullif(F.abs(t), F.lit(0.0))
-    both = F.abs(t) + F.abs(q)
-    sums = df.groupBy(*keys, "round").agg((1 - e2 / F.nullif(spread, F.lit(0.0))).alias("r2"), F.sqrt(e2 / n).alias("rmse"), (100 * F.sum(w * F.coalesce(2 * F.abs(t - q) / F.nullif(both, F.lit(0.0)), F.lit(0.0))) / n).alias("smape"))
-    middle = weighted_median(df, keys, 100 * ape, "medape").withColumnsRenamed({k: f"_m_{k}" for k in [*keys, "round"]})
-    same = F.lit(True)
-    for k in [*keys, "round"]:
-        same &= F.col(k).eqNullSafe(F.col(f"_m_{k}"))
-    return sums.join(middle, same, "left").drop(*[f"_m_{k}" for k in [*keys, "round"]])
+    need = need.select(*[F.col(g).alias(f"_g_{g}") for g in [*group, "_b"]], (F.col("_cum") - F.col("_wv")).alias("_before"), "_k")
+    each = drawn.where("_v is not null").join(need, same([*group, "_b"])).groupBy(*group, "_k", "_b", "_before", "_v").agg(F.sum("weight").alias("_c"))
+    each = each.withColumn("_at", F.col("_before") + F.sum("_c").over(W.partitionBy(*group, "_b").orderBy("_v")))
+    first = lambda k: F.min(F.when(F.col("_at") > k, F.col("_v")))
+    ends = each.groupBy(*[F.col(g).alias(f"_g_{g}") for g in group], "_k").agg(first(F.floor("_k")).alias("_lo"), first(F.ceil("_k")).alias("_hi"))
+    middle = ends.withColumn("medape", 100 * (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_k") - F.floor("_k"))))
+    return whole.join(middle, same(group), "left").select(*group, *METRICS)
 
 
 METRICS = ["r2", "rmse", "smape", "medape"]
@@ -154,15 +154,14 @@ METRICS = ["r2", "rmse", "smape", "medape"]
 
 def bootstrap_ci(df: DataFrame, keys: list[str], y: str, p: str, rounds: int, ident: str = "id", seed: int = 42) -> DataFrame:
     """(keys, metric, mean, lower, upper, std, n): 95 % intervals over rounds."""
-    m = weighted_metrics(with_weights(df, rounds, seed, ident), keys, y, p).unpivot([*keys, "round"], METRICS, "metric", "value")
+    m = round_metrics(df, rounds, keys, y, p, ident, seed).unpivot([*keys, "round"], METRICS, "metric", "value")
     q = F.percentile("value", F.array(F.lit(0.025), F.lit(0.975)))
     return m.groupBy(*keys, "metric").agg(F.avg("value").alias("mean"), q[0].alias("lower"), q[1].alias("upper"), F.stddev_pop("value").alias("std"), F.count("value").alias("n"))
 
 
 def bootstrap_diff(df: DataFrame, y: str, first: str, second: str, rounds: int, ident: str = "id", seed: int = 42) -> DataFrame:
     """(metric, diff, lower, upper, p): first minus second under the same weights; p is the share of rounds in which the first is not better (lower is better but for r2)."""
-    drawn = with_weights(df, rounds, seed, ident)
-    a, b = (weighted_metrics(drawn, [], y, c).unpivot(["round"], METRICS, "metric", "value") for c in (first, second))
+    a, b = (round_metrics(df, rounds, [], y, c, ident, seed).unpivot(["round"], METRICS, "metric", "value") for c in (first, second))
     d = a.join(b.withColumnRenamed("value", "other"), ["round", "metric"]).withColumn("d", F.col("value") - F.col("other"))
     worse = F.when(F.col("metric") == "r2", F.col("d") <= 0).otherwise(F.col("d") >= 0)
     q = F.percentile("d", F.array(F.lit(0.025), F.lit(0.975)))
@@ -180,7 +179,7 @@ def permutation_test(df: DataFrame, y: str, first: str, second: str, rounds: int
 
 def month_drift(df: DataFrame, month: str, y: str, p: str, rounds: int, ident: str = "id", seed: int = 42) -> DataFrame:
     """(month, metric, mean, diff, p) against the first month: rounds of both months are drawn independently and joined by number."""
-    m = weighted_metrics(with_weights(df, rounds, seed, ident), [month], y, p).unpivot([month, "round"], METRICS, "metric", "value")
+    m = round_metrics(df, rounds, [month], y, p, ident, seed).unpivot([month, "round"], METRICS, "metric", "value")
     first = df.agg(F.min(month).alias("_first"))
     base = m.join(F.broadcast(first), F.col(month) == F.col("_first")).select("round", "metric", F.col("value").alias("base"))
     d = m.join(base, ["round", "metric"]).withColumn("d", F.col("value") - F.col("base"))
@@ -297,8 +296,7 @@ def drift_table(describe: DataFrame, drift: DataFrame, month: str) -> DataFrame:
 
 def bootstrap_select(df: DataFrame, group: str, y: str, models: dict[str, str], metric: str, rounds: int, ident: str = "id", seed: int = 42) -> DataFrame:
     """(group, best, second, p): the two models best by mean over rounds, and the share of rounds in which the second is at least as good."""
-    drawn = with_weights(df, rounds, seed, ident)
-    each = [weighted_metrics(drawn, [group], y, c).select(group, "round", F.lit(n).alias("model"), F.col(metric).alias("v")) for n, c in models.items()]
+    each = [round_metrics(df, rounds, [group], y, c, ident, seed).select(group, "round", F.lit(n).alias("model"), F.col(metric).alias("v")) for n, c in models.items()]
     all_ = each[0]
     for e in each[1:]:
         all_ = all_.unionByName(e)
