@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gable.llm import periodic_runs
 from gable.llm.byte_bpe import digests
+from gable.llm.centroids import clustered
 from gable.llm.common import written
 from gable.llm.embedding_dedup import near_vectors
 from gable.llm.exact_dedup import exact_groups
+from gable.llm.fingerprints import edited_fingerprints
 from gable.llm.language_id import identified
 from gable.llm.ngram_join import near_copies
 from gable.llm.packing import packed
@@ -79,6 +85,34 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "documents"))
 
 
+def repeating(doc_id: int | None, n: int) -> np.ndarray | None:
+    """Which word stands at each place: in a tenth of the documents, by a checksum of the id, a stretch repeats up to the end. A null id leaves words as they are."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not n:
+        return None
+    g = h // 10
+    a = g % n
+    i = np.arange(n)
+    return np.where(i < a, i, a + (i - a) % (1 + (n - a) // (3 + g % 8)))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; a null text has no words, see periodic_runs."""
+    return periodic_runs.digests(periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), order=repeating))
+
+
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; a null text counts as empty, see edited_fingerprints."""
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors of 64 finite components; see clustered."""
+    out = clustered(table(spark, sf_dir, "embeddings"))
+    digest = F.sha2(F.array_join(F.col("centroid").cast("array<string>"), ","), 256)
+    return out.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", digest.alias("centroid_sha256"))
+
+
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_quotation_linking": op2_quotation_linking,
@@ -90,8 +124,24 @@ QUERIES = {
     "op8_merkle_fixity": op8_merkle_fixity,
     "op9_language_id": op9_language_id,
     "op10_ngram_join": op10_ngram_join,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_fingerprints": op12_fingerprints,
+    "op13_centroids": op13_centroids,
 }
 
+_NEAREST = "SELECT vec_id, any_value(e) AS e, arg_min(k, (d, k)) AS k, min(d) AS d FROM (SELECT v.vec_id, v.e, c.k, list_sum(list_transform(list_zip(v.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM v, c{i} c) GROUP BY vec_id"
+_MEANS = """SELECT c.k, coalesce(m.e, c.e) AS e FROM c{i} c LEFT JOIN (SELECT k, list(x ORDER BY i) AS e FROM (
+  SELECT k, i, CAST((sum(x) - (sum(x) % count(*) + count(*)) % count(*)) // count(*) AS BIGINT) AS x FROM (SELECT k, unnest(e) AS x, unnest(range(64)) AS i FROM a{i}) GROUP BY k, i) GROUP BY k) m USING (k)"""
+_LLOYD = f"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id)) - 1 AS k, e FROM v ORDER BY sha256('1:' || vec_id) LIMIT 16),
+{", ".join(f"a{i} AS MATERIALIZED ({_NEAREST.format(i=i)}), c{i + 1} AS MATERIALIZED ({_MEANS.format(i=i)})" for i in range(3))},
+a3 AS MATERIALIZED ({_NEAREST.format(i=3)})
+SELECT vec_id, CAST(a.k AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.e, ',')) AS centroid_sha256
+FROM a3 a JOIN c3 c ON a.k = c.k"""
+
 ORACLES = {
     "op1_embedding_dedup": """
 WITH RECURSIVE v AS (
@@ -134,6 +184,7 @@ d AS (SELECT *, CASE WHEN page_id % 307 = 11 THEN NULL
 SELECT file, seq, offset_ AS offset, CAST(strlen(record) AS BIGINT) AS length, CASE WHEN copy IS NULL THEN 'missing' ELSE 'changed' END AS status,
   sha256(record) AS digest, sha256(copy) AS replica_digest
 FROM d WHERE copy IS NULL OR copy <> encode(record)""",
+    "op13_centroids": _LLOYD,
     "op6_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept,
   sha256(coalesce(text, '')) AS text_sha256
