@@ -85,13 +85,12 @@ def anderson_deviation(n: float, k: float, inverse_sizes: float) -> float:
     return math.sqrt((a * n**3 + b * n**2 + c * n + d) / ((n - 1) * (n - 2) * (n - 3)))
 
 
-def wilcoxon_exact(n: int, w: float) -> float:
-    """Two-sided probability of a signed-rank sum of w or less among n untied differences."""
-    ways = [1] + [0] * (n * (n + 1) // 2)
-    for k in range(1, n + 1):
-        for s in range(len(ways) - 1, k - 1, -1):
-            ways[s] += ways[s - k]
-    return min(1.0, 2 * sum(ways[: int(w) + 1]) / 2**n)
+def signed_rank_tail(ranks: list[float], w: float) -> float:
+    """Two-sided probability of a signed-rank sum of w or less over all signs of the ranks, halves where there are ties."""
+    ways = [1]
+    for r in (round(2 * r) for r in ranks):
+        ways = [a + b for a, b in zip([*ways, *[0] * r], [*[0] * r, *ways])]
+    return min(1.0, 2 * sum(ways[: round(2 * w) + 1]) / 2 ** len(ranks))
 
 
 def kolmogorov_tail(d: float, n: int, m: int) -> float:

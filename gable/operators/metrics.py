@@ -54,6 +54,16 @@ def all_metrics(y: Column | str, p: Column | str) -> list[Column]:
     return [r2(y, p).alias("r2"), rmse(y, p).alias("rmse"), smape(y, p, "zero").alias("smape"), medape(y, p).alias("medape")]
 
 
+def metrics_by(df: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
+    """(keys, r2, rmse, smape, medape), as all_metrics() but with medians that no task gathers; null keys are a group."""
+    whole = df.groupBy(*keys).agg(r2(y, p).alias("r2"), rmse(y, p).alias("rmse"), smape(y, p, "zero").alias("smape"))
+    half = quantiles(df, {"v": ape(y, p)}, [0.5], keys).select(*[F.col(k).alias(f"_k_{k}") for k in keys], (100 * F.col("q")[0]).alias("medape"))
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return whole.join(half, same, "left").select(*keys, "r2", "rmse", "smape", "medape")
+
+
 def drop_null_pairs(df: DataFrame, y: str, p: str) -> DataFrame:
     """Rows in which both are numbers."""
     ok = lambda c: F.col(c).isNotNull() & ~F.isnan(c)

@@ -11,7 +11,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gable.operators.metrics import all_metrics
+from gable.operators.metrics import metrics_by
 
 LEARNERS = {
     "gbt": lambda **p: GBTRegressor(seed=1, **p),
@@ -35,7 +35,7 @@ def both_scales(df: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
     """(keys, scale, r2, rmse, smape, medape) on the log scale of y and p, and on the original one."""
     one = lambda n, f: F.struct(F.lit(n).alias("scale"), f(F.col(y)).alias("_y"), f(F.col(p)).alias("_p"))
     rows = df.select(*keys, F.explode(F.array(one("log", lambda c: c), one("original", F.expm1))).alias("_s")).select(*keys, "_s.*")
-    return rows.groupBy(*keys, "scale").agg(*all_metrics("_y", "_p"))
+    return metrics_by(rows, [*keys, "scale"], "_y", "_p")
 
 
 def fit(df: DataFrame, learner: str, features: list[str], target: str, text: str | None = None, terms: int = 64, **params) -> PipelineModel:
@@ -55,7 +55,7 @@ def cross_validate(df: DataFrame, fold: str, k: int, learner: str, features: lis
     """(fold, r2, rmse, smape, medape), with scales (fold, scale, ...): one fit for each fold, their predictions together."""
     parts = [fit(df.where(F.col(fold) != i), learner, features, target, **params).transform(df.where(F.col(fold) == i)) for i in range(k)]
     together = reduce(DataFrame.unionByName, parts)
-    return both_scales(together, [fold], target, "prediction") if scales else together.groupBy(fold).agg(*all_metrics(target, "prediction"))
+    return both_scales(together, [fold], target, "prediction") if scales else metrics_by(together, [fold], target, "prediction")
 
 
 def search(df: DataFrame, fold: str, k: int, learner: str, features: list[str], target: str, space: dict[str, tuple], trials: int, seed: int = 1) -> DataFrame:

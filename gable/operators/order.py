@@ -28,13 +28,16 @@ def ranked_draws(df: DataFrame, keys: list[str], draw: str, ident: str, buckets:
 
 #: Sketches of quantiles err by n / ACCURACY ranks at most; exact values are looked for SLACK of all ranks around.
 ACCURACY, SLACK = 10_000, 0.0005
+#: Up to so many rows a sketch's few ranks of slack may miss, so all values are looked at; twice ACCURACY leaves eight ranks.
+FEW = 2 * ACCURACY
 
 
 def quantiles(df: DataFrame, values: dict[str, Column], points: list[float], keys: list[str] | None = None) -> DataFrame:
     """(keys, name, n, q): exact quantiles at the points, interpolated, of each named value; nulls are left out, a value of nulls has no row.
 
     Sketches of bounded size say between which two values a quantile lies; then all rows are counted by whether they lie
-    below or, by value, between. So no task holds more than about a thousandth of the distinct values, in sorted order.
+    below or, by value, between. So no task holds more than about a thousandth of the distinct values, in sorted order, or
+    than FEW values, where a group has no more and its values are all looked at.
     """
     keys = keys or []
     cells = F.array(*[F.struct(F.lit(n).alias("name"), v.cast("double").alias("v")) for n, v in values.items()])
@@ -42,7 +45,7 @@ def quantiles(df: DataFrame, values: dict[str, Column], points: list[float], key
     ends = F.percentile_approx("_v", F.array(*[F.lit(max(0.0, p - SLACK)) for p in points], *[F.lit(min(1.0, p + SLACK)) for p in points]), ACCURACY)
     marks = rows.groupBy(*keys, "name").agg(F.count(F.lit(1)).alias("n"), ends.alias("_e"))
     place = F.posexplode(F.arrays_zip(F.slice("_e", 1, len(points)).alias("lo"), F.slice("_e", len(points) + 1, len(points)).alias("hi"), F.array(*map(F.lit, points)).alias("p"))).alias("_i", "_m")
-    marks = marks.select(*keys, "name", "n", place).select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("name").alias("_name"), "n", "_i", "_m.lo", "_m.hi", ((F.col("n") - 1) * F.col("_m.p")).alias("_r"))
+    marks = marks.select(*keys, "name", "n", place).select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("name").alias("_name"), "n", "_i", F.when(F.col("n") > FEW, F.col("_m.lo")).otherwise(F.lit(float("-inf"))).alias("lo"), F.when(F.col("n") > FEW, F.col("_m.hi")).otherwise(F.lit(float("nan"))).alias("hi"), ((F.col("n") - 1) * F.col("_m.p")).alias("_r"))
     same = F.col("name") == F.col("_name")
     for k in keys:
         same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))

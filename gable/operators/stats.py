@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gable.functions.draws import draw
-from gable.functions.tails import anderson_deviation, chi2_tail, f_tail, kolmogorov_tail, normal_tail, t_tail
-from gable.operators.order import bucket_of, edges_of, running
-from gable.operators.sampling import with_weights
+from gable.functions.tails import anderson_deviation, chi2_tail, f_tail, kolmogorov_tail, normal_tail, signed_rank_tail, t_tail
+from gable.operators.metrics import metrics_by
+from gable.operators.order import running
+from gable.operators.resample import METRICS, complete, pooled_metrics, round_metrics
 
 
 def with_tail(df: DataFrame, name: str, tail: Callable[..., float], *values: Column) -> DataFrame:
@@ -73,16 +73,27 @@ def paired_t(df: DataFrame, a: str, b: str, group: list[str]) -> DataFrame:
     return with_tail(out, "p", t_tail, F.col("t"), F.col("n") - 1)
 
 
-def wilcoxon(df: DataFrame, a: str, b: str) -> DataFrame:
-    """One row: n, w (the smaller sum of signed ranks), z and the normal p value of both sides. Equal differences are counted first, so ranks need no sort of all rows in one task."""
-    d = df.select((F.col(a) - F.col(b)).alias("d")).where("d <> 0 and d is not null")
-    sizes = d.groupBy(F.abs("d").alias("m")).agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("d") > 0).alias("p"))
-    r = running(sizes, "m", ["c"]).withColumn("rank", F.col("cum_c") - (F.col("c") - 1) / 2.0)
-    s = r.agg(F.sum("c").alias("n"), F.sum(F.col("rank") * F.col("p")).alias("up"), F.sum(F.col("rank") * (F.col("c") - F.col("p"))).alias("down"), F.sum(F.pow(F.col("c").cast("double"), F.lit(3.0)) - F.col("c")).alias("ties"))
+def wilcoxon(df: DataFrame, a: str, b: str, group: list[str] | None = None, exact: int = 50) -> DataFrame:
+    """(group, n, w, z, p): w is the smaller sum of signed ranks, p of both sides, exact up to `exact` differences (ties included), normal beyond.
+
+    Differences of 0 are left out. Equal differences are counted first, so ranks need no sort of all rows in one task.
+    """
+    group = group or []
+    d = df.select(*group, (F.col(a) - F.col(b)).alias("d")).where("d <> 0 and d is not null")
+    sizes = d.groupBy(*group, F.abs("d").alias("m")).agg(F.count(F.lit(1)).alias("c"), F.count_if(F.col("d") > 0).alias("p"))
+    r = running(sizes, "m", ["c"], group).withColumn("rank", F.col("cum_c") - (F.col("c") - 1) / 2.0)
+    few = F.collect_list(F.when(F.col("cum_c") <= exact, F.array_repeat("rank", F.col("c").cast("int"))))
+    s = r.groupBy(*group).agg(F.sum("c").alias("n"), F.sum(F.col("rank") * F.col("p")).alias("up"), F.sum(F.col("rank") * (F.col("c") - F.col("p"))).alias("down"), F.sum(F.pow(F.col("c").cast("double"), F.lit(3.0)) - F.col("c")).alias("ties"), F.flatten(few).alias("_ranks"))
     n = F.col("n").cast("double")
     sd = F.sqrt((n * (n + 1) * (2 * n + 1) - F.col("ties") / 2) / 24)
-    out = s.select("n", F.least("up", "down").alias("w"), ((F.least("up", "down") - n * (n + 1) / 4) / F.nullif(sd, F.lit(0.0))).alias("z"))
-    return with_tail(out, "p", normal_tail, F.col("z"))
+    out = s.select(*group, "n", F.least("up", "down").alias("w"), ((F.least("up", "down") - n * (n + 1) / 4) / F.nullif(sd, F.lit(0.0))).alias("z"), "_ranks")
+
+    @F.pandas_udf("double")
+    def p(n: pd.Series, w: pd.Series, z: pd.Series, ranks: pd.Series) -> pd.Series:
+        one = lambda n, w, z, r: signed_rank_tail(list(r), w) if n <= exact else normal_tail(z)
+        return pd.Series([None if not n else one(n, w, z, r) for n, w, z, r in zip(n, w, z, ranks)], dtype="float64")
+
+    return out.withColumn("p", p("n", "w", "z", "_ranks")).drop("_ranks")
 
 
 def ks_2samp(df: DataFrame, value: str, sample: Column) -> DataFrame:
@@ -112,54 +123,14 @@ def normality(df: DataFrame, value: str) -> DataFrame:
     return m.select(n.cast("long").alias("n"), g1.alias("skew"), g2.alias("kurt"), (z1 * z1 + z2 * z2).alias("k2")).withColumn("p", F.exp(-F.col("k2") / 2))
 
 
-def round_metrics(df: DataFrame, rounds: int, keys: list[str], y: str, p: str, ident: str = "id", seed: int = 42) -> DataFrame:
-    """(keys, round, r2, rmse, smape, medape) of each bootstrap round, rows taken as often as they are drawn.
-
-    The relative errors are cut into buckets before rows are drawn; weights are added up by bucket, with all other sums,
-    and only rows of the buckets that hold a round's middle are looked at one by one for the median.
-    """
-    group = [*keys, "round"]
-    t, q = F.col(y), F.col(p)
-    base = df.select(*keys, ident, t.alias("_t"), q.alias("_q"), (F.abs(t - q) / F.nullif(F.abs(t), F.lit(0.0))).alias("_v"))
-    base = base.withColumn("_b", bucket_of(F.col("_v"), edges_of(base, "_v")))
-    drawn = with_weights(base, rounds, seed, ident)
-    w, t, q = F.col("weight"), F.col("_t"), F.col("_q")
-    apart = F.coalesce(2 * F.abs(t - q) / F.nullif(F.abs(t) + F.abs(q), F.lit(0.0)), F.lit(0.0))
-    sums = {"_w": w, "_wt": w * t, "_wtt": w * t * t, "_we": w * (t - q) * (t - q), "_ws": w * apart, "_wv": F.when(F.col("_v").isNotNull(), w).otherwise(0)}
-    parts = drawn.groupBy(*group, "_b").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-
-    n, spread = F.sum("_w"), F.sum("_wtt") - F.sum("_wt") * F.sum("_wt") / F.sum("_w")
-    whole = parts.groupBy(*group).agg((1 - F.sum("_we") / F.nullif(spread, F.lit(0.0))).alias("r2"), F.sqrt(F.sum("_we") / n).alias("rmse"), (100 * F.sum("_ws") / n).alias("smape"))
-    of = W.partitionBy(*group)
-    need = parts.withColumn("_cum", F.sum("_wv").over(of.orderBy("_b"))).withColumn("_k", (F.sum("_wv").over(of) - 1) / 2)
-    need = need.where((F.col("_cum") > F.floor("_k")) & (F.col("_cum") - F.col("_wv") <= F.ceil("_k")) & (F.col("_wv") > 0))
-
-    def same(names: list[str]) -> Column:
-        out = F.lit(True)
-        for g in names:
-            out &= F.col(g).eqNullSafe(F.col(f"_g_{g}"))
-        return out
-
-    need = need.select(*[F.col(g).alias(f"_g_{g}") for g in [*group, "_b"]], (F.col("_cum") - F.col("_wv")).alias("_before"), "_k")
-    each = drawn.where("_v is not null").join(need, same([*group, "_b"])).groupBy(*group, "_k", "_b", "_before", "_v").agg(F.sum("weight").alias("_c"))
-    each = each.withColumn("_at", F.col("_before") + F.sum("_c").over(W.partitionBy(*group, "_b").orderBy("_v")))
-    first = lambda k: F.min(F.when(F.col("_at") > k, F.col("_v")))
-    ends = each.groupBy(*[F.col(g).alias(f"_g_{g}") for g in group], "_k").agg(first(F.floor("_k")).alias("_lo"), first(F.ceil("_k")).alias("_hi"))
-    middle = ends.withColumn("medape", 100 * (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_k") - F.floor("_k"))))
-    return whole.join(middle, same(group), "left").select(*group, *METRICS)
-
-
-METRICS = ["r2", "rmse", "smape", "medape"]
-
-
-def bootstrap_ci(df: DataFrame, keys: list[str], y: str, p: str, rounds: int, ident: str = "id", seed: int = 42) -> DataFrame:
+def bootstrap_ci(df: DataFrame, keys: list[str], y: str, p: str, rounds: int = 1000, ident: str = "id", seed: int = 42) -> DataFrame:
     """(keys, metric, mean, lower, upper, std, n): 95 % intervals over rounds."""
     m = round_metrics(df, rounds, keys, y, p, ident, seed).unpivot([*keys, "round"], METRICS, "metric", "value")
     q = F.percentile("value", F.array(F.lit(0.025), F.lit(0.975)))
     return m.groupBy(*keys, "metric").agg(F.avg("value").alias("mean"), q[0].alias("lower"), q[1].alias("upper"), F.stddev_pop("value").alias("std"), F.count("value").alias("n"))
 
 
-def bootstrap_diff(df: DataFrame, y: str, first: str, second: str, rounds: int, ident: str = "id", seed: int = 42) -> DataFrame:
+def bootstrap_diff(df: DataFrame, y: str, first: str, second: str, rounds: int = 1000, ident: str = "id", seed: int = 42) -> DataFrame:
     """(metric, diff, lower, upper, p): first minus second under the same weights; p is the share of rounds in which the first is not better (lower is better but for r2)."""
     a, b = (round_metrics(df, rounds, [], y, c, ident, seed).unpivot(["round"], METRICS, "metric", "value") for c in (first, second))
     d = a.join(b.withColumnRenamed("value", "other"), ["round", "metric"]).withColumn("d", F.col("value") - F.col("other"))
@@ -168,16 +139,18 @@ def bootstrap_diff(df: DataFrame, y: str, first: str, second: str, rounds: int,
     return d.groupBy("metric").agg(F.avg("d").alias("diff"), q[0].alias("lower"), q[1].alias("upper"), F.avg(worse.cast("double")).alias("p"))
 
 
-def permutation_test(df: DataFrame, y: str, first: str, second: str, rounds: int, ident: str = "id", seed: int = 42) -> DataFrame:
-    """One row: the difference of mean absolute errors and how often swapping the two predictions of random rows makes one as large."""
-    d = F.abs(F.col(y) - F.col(first)) - F.abs(F.col(y) - F.col(second))
-    rows = df.select(ident, d.alias("d")).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
-    sign = F.when(draw(seed, F.col(ident), F.col("round")) < 0.5, 1.0).otherwise(-1.0)
-    each = rows.groupBy("round").agg(F.abs(F.avg(sign * F.col("d"))).alias("v"), F.avg("d").alias("seen"))
-    return each.agg(F.max("seen").alias("diff"), ((1 + F.count_if(F.col("v") >= F.abs("seen"))) / (1.0 + F.count(F.lit(1)))).alias("p"))
+def permutation_test(df: DataFrame, y: str, first: str, second: str, rounds: int = 1000, ident: str = "id", seed: int = 42) -> DataFrame:
+    """(metric, diff, p): the second model's metric less the first's, and the share of rounds in which halves of the pooled predictions differ as much."""
+    m = pooled_metrics(df, y, first, second, rounds, ident, seed).unpivot(["round", "half"], METRICS, "metric", "value")
+    each = m.groupBy("round", "metric").agg(F.max(F.when(F.col("half") == 1, F.col("value"))).alias("a"), F.max(F.when(F.col("half") == 0, F.col("value"))).alias("b"))
+    rows = complete(df, y, first, second)
+    seen = [metrics_by(rows, [], y, c).select(*[F.col(m).alias(f"{m}_{i}") for m in METRICS]) for i, c in enumerate((first, second))]
+    diff = seen[0].join(F.broadcast(seen[1])).select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), (F.col(f"{m}_1") - F.col(f"{m}_0")).alias("diff")) for m in METRICS])).alias("x")).select("x.*")
+    large = F.abs(F.col("a") - F.col("b")) >= F.abs(F.col("diff"))
+    return each.join(F.broadcast(diff), "metric").groupBy("metric").agg(F.max("diff").alias("diff"), F.avg(large.cast("double")).alias("p"))
 
 
-def month_drift(df: DataFrame, month: str, y: str, p: str, rounds: int, ident: str = "id", seed: int = 42) -> DataFrame:
+def month_drift(df: DataFrame, month: str, y: str, p: str, rounds: int = 1000, ident: str = "id", seed: int = 42) -> DataFrame:
     """(month, metric, mean, diff, p) against the first month: rounds of both months are drawn independently and joined by number."""
     m = round_metrics(df, rounds, [month], y, p, ident, seed).unpivot([month, "round"], METRICS, "metric", "value")
     first = df.agg(F.min(month).alias("_first"))

@@ -108,7 +108,7 @@ METRICS = ["r2", "rmse", "smape", "medape"]
 def fold_metrics(d):
     both = F.array(F.struct(F.lit("orig").alias("scale"), F.col(Y).alias("y"), F.col(P).alias("p")), F.struct(F.lit("log").alias("scale"), F.log1p(Y).alias("y"), F.log1p(P).alias("p")))
     rows = d.select("category", (F.col("id") % 5).alias("fold"), F.explode(both).alias("x")).select("category", "fold", "x.*")
-    return M.to_long(rows.groupBy("category", "scale", "fold").agg(*M.all_metrics(y, p)), ["category", "scale", "fold"], METRICS)
+    return M.to_long(M.metrics_by(rows, ["category", "scale", "fold"], y, p), ["category", "scale", "fold"], METRICS)
 
 
 book.on_listings("metrics_long", lambda d: rounded(fold_metrics(d)), f"{FOLDS} SELECT category, scale, fold, metric, round(value, 4) AS value FROM m")
@@ -148,7 +148,7 @@ book.on_listings(
 )
 book.on_listings(
     "metrics_by_segment",
-    lambda d: rounded(R.price_segments(d, "price").groupBy("segment").agg(*M.all_metrics(Y, P), F.count(F.lit(1)).alias("n"))),
+    lambda d: rounded((lambda s: M.metrics_by(s, ["segment"], Y, P).join(s.groupBy("segment").agg(F.count(F.lit(1)).alias("n")), "segment"))(R.price_segments(d, "price"))),
     f"""{L}, q AS (SELECT quantile_cont(price, 0.85) AS q FROM listings) SELECT CASE WHEN price <= q THEN 'low' ELSE 'high' END AS segment,
  round(1 - sum((price - predicted_price) ** 2) / nullif(sum(price * price) - count(*) * avg(price) * avg(price), 0), 4) AS r2, round(sqrt(avg((price - predicted_price) ** 2)), 4) AS rmse,
  round(100 * avg(2 * abs(predicted_price - price) / (abs(price) + abs(predicted_price))), 4) AS smape, round(100 * median(abs(price - predicted_price) / price), 4) AS medape, count(*) AS n FROM listings, q GROUP BY 1""",

@@ -146,7 +146,7 @@ split = lambda s, d: S.strat_split(S.qcut(framed(s, d), "price", 10), "bin")  #
 def holdout(s, d, learner, **params):
     rows = split(s, d)
     model = MD.fit(rows.where("part = 'train'"), learner, FEATURES, "price", **params)
-    return rounded(model.transform(rows.where("part = 'test'")).agg(*M.all_metrics("price", "prediction")))
+    return rounded(M.metrics_by(model.transform(rows.where("part = 'test'")), [], "price", "prediction"))
 
 
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gable.operators import metrics as M
+from gable.operators import resample as R
 from gable.operators import stats as S
 from gable.plans.base import Book, L, rounded
-from gable.plans.q_clean import U, poisson_sql
 
 book = Book()
 PRED = {"a": "predicted_price", "b": "0.5 * predicted_price + 0.5 * price", "c": "0.9 * price + 20 * house_area", "d": "1.1 * price"}
@@ -35,6 +35,8 @@ def t_p(t: str, df: str) -> str:
     return f"round(greatest(0.0, 1 - 2 * {c} * {simpson(f'(1 + @ * @ / ({df})) ** (-(({df}) + 1) / 2.0)', f'least(abs({t}), 60)')}), 4)"
 
 
+both = lambda d: d.withColumn("other", F.expr(PRED["c"]))
+monthly = lambda d: d.withColumn("month", F.trunc("listed_at", "month"))
 ranked = lambda d: S.avg_ranks(scores(d), ["category", "fold"], "model", "score")
 book.on_listings("avg_ranks", lambda d: rounded(ranked(d)), f"{FOLD} SELECT category, fold, model, round(score, 4) AS score, CAST(rank AS DOUBLE) AS rank FROM r")
 book.on_listings(
@@ -63,6 +65,13 @@ book.on_listings(
     lambda d: rounded(S.wilcoxon(losses(d), "a", "b"), 3),
     f"{ERR}, x AS (SELECT a - b AS d FROM d WHERE a - b <> 0), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS r, 1 AS o FROM x), t AS (SELECT sum(c * c * c - c) AS ties FROM (SELECT CAST(count(*) AS DOUBLE) AS c FROM x GROUP BY abs(d))), s AS (SELECT count(*) AS n, CAST(least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END)) AS DOUBLE) AS w FROM r) SELECT n, w, round(z, 3) AS z, round(greatest(0.0, 1 - 2 * {simpson('exp(-@ * @ / 2) / sqrt(2 * pi())', 'least(abs(z), 40)')}), 3) AS p FROM (SELECT n, w, (w - n * (n + 1.0) / 4) / sqrt((n * (n + 1.0) * (2.0 * n + 1) - ties / 2) / 24) AS z FROM s, t)",
 )
+fold_pairs = lambda d: scores(d).groupBy("category", "fold").agg(F.max(F.when(F.col("model") == "a", F.col("score"))).alias("a"), F.max(F.when(F.col("model") == "c", F.col("score"))).alias("c"))
+book.on_listings(
+    "wilcoxon_folds",
+    lambda d: rounded(S.wilcoxon(fold_pairs(d), "a", "c", ["category"]), 4),
+    # five folds: all 32 combinations of signs
+    f"{FOLD}, fw AS (SELECT category, fold, max(CASE WHEN model = 'a' THEN score END) - max(CASE WHEN model = 'c' THEN score END) AS d FROM s GROUP BY 1, 2), fr AS (SELECT category, d, CAST(row_number() OVER (PARTITION BY category ORDER BY abs(d)) AS INTEGER) AS r FROM fw), fo AS (SELECT category, count(*) AS n, CAST(least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END)) AS DOUBLE) AS w FROM fr GROUP BY 1), b AS (SELECT i, list_sum(list_transform(range(1, 6), lambda j: j * ((i >> CAST(j - 1 AS INTEGER)) & 1))) AS t FROM (SELECT CAST(unnest(range(32)) AS INTEGER) AS i)) SELECT category, n, w, round((w - 7.5) / sqrt(13.75), 4) AS z, round(least(1.0, 2 * (SELECT count(*) FROM b WHERE t <= fo.w) / 32.0), 4) AS p FROM fo",
+)
 KS = f"{L}, c AS (SELECT predicted_price AS v, count(*) FILTER (id % 3 = 0) AS a, count(*) FILTER (id % 3 <> 0) AS b FROM listings GROUP BY 1), k AS (SELECT sum(a) OVER w AS ca, sum(b) OVER w AS cb, sum(a) OVER () AS n, sum(b) OVER () AS m FROM c WINDOW w AS (ORDER BY v)) , e AS (SELECT n, m, max(abs(ca / n - cb / m)) AS d, max(abs(ca / n - cb / m)) * sqrt(n * m / (n + m)) AS x FROM k GROUP BY 1, 2) SELECT CAST(n AS BIGINT) AS n, CAST(m AS BIGINT) AS m, round(d, 4) AS d, round(CASE WHEN x > 0.2 THEN least(1.0, greatest(0.0, 2 * list_sum(list_transform(range(1, 101), lambda i: (CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * i * i * x * x))))) ELSE 1.0 END, 4) AS p FROM e"
 book.on_listings("ks_2samp", lambda d: rounded(S.ks_2samp(d, "predicted_price", F.col("id") % 3 == 0)), KS)
 book.on_listings(
@@ -73,45 +82,63 @@ x AS (SELECT *, g1 * sqrt((n + 1) * (n + 3) / (6 * (n - 2))) AS y, sqrt(2 * (3 *
 z AS (SELECT *, asinh(y / sqrt(2 / (w2 - 1))) / sqrt(ln(sqrt(w2))) AS z1, 6 + 8 / b * (2 / b + sqrt(1 + 4 / (b * b))) AS a FROM x)
 SELECT CAST(n AS BIGINT) AS n, round(g1, 3) AS skew, round(g2, 3) AS kurt, round(z1 * z1 + (((1 - 2 / (9 * a)) - cbrt((1 - 2 / a) / (1 + u * sqrt(2 / (a - 4))))) / sqrt(2 / (9 * a))) ** 2, 3) AS k2, round(exp(-(z1 * z1 + (((1 - 2 / (9 * a)) - cbrt((1 - 2 / a) / (1 + u * sqrt(2 / (a - 4))))) / sqrt(2 / (9 * a))) ** 2) / 2), 3) AS p FROM z""",
 )
-PW = poisson_sql(U.format(seed=42, more=" || '|' || CAST(round AS VARCHAR)"))
-# the weighted median lies between two values where half the weight falls on a gap; one row per unit of weight says the same
-BOOT = f"""{L}, i AS (SELECT CAST(unnest(range({{rounds}})) AS INTEGER) AS round), v AS (SELECT id, category, round, price AS y, {{p}} AS p, {PW} AS weight FROM listings, i),
-x AS (SELECT * FROM v WHERE weight > 0), g AS (SELECT {{keys}} round, 1 - sum(weight * (y - p) ** 2) / (sum(weight * y * y) - sum(weight * y) ** 2 / sum(weight)) AS r2, sqrt(sum(weight * (y - p) ** 2) / sum(weight)) AS rmse,
- 100 * sum(weight * 2 * abs(y - p) / (abs(y) + abs(p))) / sum(weight) AS smape FROM x GROUP BY {{keys}} round),
-h AS (SELECT {{keys}} round, 100 * median(abs(y - p) / abs(y)) AS medape FROM (SELECT *, unnest(range(weight)) FROM x) GROUP BY {{keys}} round),
-l AS (SELECT {{keys}} round, unnest(['r2', 'rmse', 'smape', 'medape']) AS metric, unnest([r2, rmse, smape, medape]) AS value FROM g JOIN h USING ({{keys}} round))"""
-book.on_listings(
-    "bootstrap_ci",
-    lambda d: rounded(S.bootstrap_ci(d, ["category"], "price", "predicted_price", 20), 5),
-    BOOT.format(rounds=20, p="predicted_price", keys="category,") + " SELECT category, metric, round(avg(value), 5) AS mean, round(quantile_cont(value, 0.025), 5) AS lower, round(quantile_cont(value, 0.975), 5) AS upper, round(stddev_pop(value), 5) AS std, count(*) AS n FROM l GROUP BY 1, 2",
-)
+# ---- resampling: the same draws in SQL, one row for each row and round
+ROUNDS = 1000
+
+
+def drawn(source: str) -> str:
+    """SQL: source, a table with k and round, and u, the draw of both."""
+    c = [f"CAST({x} AS UBIGINT)" for x in (2654435769, 2246822507, 3266489909, 4294967296)]
+    return f"(SELECT * EXCLUDE (h0, h1, h2), xor(h2, h2 >> 16) AS u FROM (SELECT *, (xor(h1, h1 >> 13) * {c[2]}) % {c[3]} AS h2 FROM (SELECT *, (xor(h0, h0 >> 16) * {c[1]}) % {c[3]} AS h1 FROM (SELECT *, (k + CAST(round + 1 AS UBIGINT) * {c[0]}) % {c[3]} AS h0 FROM {source}))))"
 
 
-def boot(name: str, p: str, rounds: int, key: str = "'all'") -> str:
-    """SQL: common table `name` (key, round, metric, value) of the bootstrap rounds of predictions p."""
-    return f"""{name}w AS (SELECT {key} AS key, round, price AS y, {p} AS p, {PW} AS weight FROM listings, (SELECT CAST(unnest(range({rounds})) AS INTEGER) AS round)),
-{name}x AS (SELECT * FROM {name}w WHERE weight > 0),
-{name}g AS (SELECT key, round, 1 - sum(weight * (y - p) ** 2) / (sum(weight * y * y) - sum(weight * y) ** 2 / sum(weight)) AS r2, sqrt(sum(weight * (y - p) ** 2) / sum(weight)) AS rmse, 100 * sum(weight * 2 * abs(y - p) / (abs(y) + abs(p))) / sum(weight) AS smape FROM {name}x GROUP BY ALL),
-{name}h AS (SELECT key, round, 100 * median(abs(y - p) / abs(y)) AS medape FROM (SELECT *, unnest(range(weight)) FROM {name}x) GROUP BY ALL),
+def row_key(ident: str) -> str:
+    return f"CAST('0x' || md5('42|' || {ident})[1:8] AS UBIGINT)"
+
+
+PW = f"CASE {' '.join(f'WHEN u < {e} THEN {i}' for i, e in enumerate(R.poisson_edges()))} ELSE {len(R.poisson_edges())} END"
+RW = f"SELECT unnest(range({ROUNDS})) AS round"
+SUMS = "CASE WHEN max(y) <> min(y) THEN 1 - sum(weight * (y - p) ** 2) / (sum(weight * y * y) - sum(weight * y) ** 2 / sum(weight)) END AS r2, sqrt(sum(weight * (y - p) ** 2) / sum(weight)) AS rmse, 100 * sum(weight * 2 * abs(y - p) / (abs(y) + abs(p))) / sum(weight) AS smape"
+WEIGHTS = f"bw AS MATERIALIZED (SELECT id, round, {PW} AS weight FROM {drawn(f'(SELECT id, {row_key(chr(105) + chr(100))} AS k, round FROM listings, ({RW}))')} WHERE {PW} > 0)"
+
+
+def boot(name: str, p: str, key: str = "'all'") -> str:
+    """SQL: common table `name` (key, round, metric, value) of the bootstrap rounds of predictions p, after WEIGHTS."""
+    return f"""{name}x AS (SELECT {key} AS key, round, price AS y, {p} AS p, weight FROM listings JOIN bw USING (id)),
+{name}g AS (SELECT key, round, {SUMS} FROM {name}x GROUP BY ALL),
+{name}h AS (SELECT key, round, 100 * median(v) AS medape FROM (SELECT key, round, abs(y - p) / abs(y) AS v, unnest(range(weight)) FROM {name}x) GROUP BY ALL),
 {name} AS (SELECT key, round, unnest(['r2', 'rmse', 'smape', 'medape']) AS metric, unnest([r2, rmse, smape, medape]) AS value FROM {name}g JOIN {name}h USING (key, round))"""
 
 
+book.on_listings(
+    "bootstrap_ci",
+    lambda d: rounded(S.bootstrap_ci(d, ["category"], "price", "predicted_price", ROUNDS), 5),
+    f"{L}, {WEIGHTS}, {boot('a', 'predicted_price', 'category')} SELECT key AS category, metric, round(avg(value), 5) AS mean, round(quantile_cont(value, 0.025), 5) AS lower, round(quantile_cont(value, 0.975), 5) AS upper, round(stddev_pop(value), 5) AS std, count(*) AS n FROM a GROUP BY 1, 2",
+)
 WORSE = "avg(CASE WHEN metric = 'r2' THEN CASE WHEN d {r} 0 THEN 1.0 ELSE 0.0 END WHEN d {o} 0 THEN 1.0 ELSE 0.0 END)"
 book.on_listings(
     "bootstrap_diff",
-    lambda d: rounded(S.bootstrap_diff(d.withColumn("other", F.expr(PRED["c"])), "price", "predicted_price", "other", 20)),
-    f"{L}, {boot('a', 'predicted_price', 20)}, {boot('b', PRED['c'], 20)}, d AS (SELECT metric, a.value - b.value AS d FROM a JOIN b USING (round, metric)) SELECT metric, round(avg(d), 4) AS diff, round(quantile_cont(d, 0.025), 4) AS lower, round(quantile_cont(d, 0.975), 4) AS upper, round({WORSE.format(r='<=', o='>=')}, 4) AS p FROM d GROUP BY 1",
+    lambda d: rounded(S.bootstrap_diff(both(d), "price", "predicted_price", "other", ROUNDS)),
+    f"{L}, {WEIGHTS}, {boot('a', 'predicted_price')}, {boot('b', PRED['c'])}, d AS (SELECT metric, a.value - b.value AS d FROM a JOIN b USING (round, metric)) SELECT metric, round(avg(d), 4) AS diff, round(quantile_cont(d, 0.025), 4) AS lower, round(quantile_cont(d, 0.975), 4) AS upper, round({WORSE.format(r='<=', o='>=')}, 4) AS p FROM d GROUP BY 1",
 )
+MONTH = "CAST(date_trunc('month', listed_at) AS DATE)"
 book.on_listings(
     "month_drift",
-    lambda d: rounded(S.month_drift(d.withColumn("month", F.trunc("listed_at", "year")), "month", "price", "predicted_price", 10)),
-    f"{L}, {boot('a', 'predicted_price', 10, 'CAST(date_trunc(' + chr(39) + 'year' + chr(39) + ', listed_at) AS DATE)')}, d AS (SELECT a.key, metric, a.value, a.value - b.value AS d FROM a JOIN a b USING (round, metric) WHERE b.key = (SELECT min(key) FROM a)) SELECT key AS month, metric, round(avg(value), 4) AS mean, round(avg(d), 4) AS diff, round({WORSE.format(r='>=', o='<=')}, 4) AS p FROM d GROUP BY 1, 2",
+    lambda d: rounded(S.month_drift(monthly(d), "month", "price", "predicted_price", ROUNDS)),
+    f"{L}, {WEIGHTS}, {boot('a', 'predicted_price', MONTH)}, d AS (SELECT a.key, metric, a.value, a.value - b.value AS d FROM a JOIN a b USING (round, metric) WHERE b.key = (SELECT min(key) FROM a) AND a.value IS NOT NULL AND b.value IS NOT NULL) SELECT key AS month, metric, round(avg(value), 4) AS mean, round(avg(d), 4) AS diff, round({WORSE.format(r='>=', o='<=')}, 4) AS p FROM d GROUP BY 1, 2",
 )
-SIGN = U.format(seed=42, more=" || '|' || CAST(round AS VARCHAR)")
+HALVES = f"""q AS (SELECT id, price AS y, predicted_price AS p, {row_key("id || '|0'")} AS k FROM listings UNION ALL SELECT id, price, {PRED['c']}, {row_key("id || '|1'")} FROM listings),
+x AS (SELECT round, y, p, 1 AS weight, row_number() OVER (PARTITION BY round ORDER BY u, k) > (SELECT count(*) FROM listings) AS half FROM {drawn(f'(SELECT * FROM q, ({RW}))')}),
+m AS (SELECT round, half, {SUMS}, 100 * median(abs(y - p) / abs(y)) AS medape FROM x GROUP BY 1, 2),
+l AS (SELECT round, half, unnest(['r2', 'rmse', 'smape', 'medape']) AS metric, unnest([r2, rmse, smape, medape]) AS value FROM m),
+e AS (SELECT metric, a.value - b.value AS d FROM l a JOIN l b USING (round, metric) WHERE a.half AND NOT b.half),
+s AS (SELECT {{p}} AS p, price AS y, 1 AS weight FROM listings), o AS (SELECT 0 AS i, {SUMS}, 100 * median(abs(y - p) / abs(y)) AS medape FROM (SELECT predicted_price AS p, price AS y, 1 AS weight FROM listings) UNION ALL SELECT 1, {SUMS}, 100 * median(abs(y - p) / abs(y)) FROM (SELECT {PRED['c']} AS p, price AS y, 1 AS weight FROM listings)),
+t AS (SELECT i, unnest(['r2', 'rmse', 'smape', 'medape']) AS metric, unnest([r2, rmse, smape, medape]) AS value FROM o), z AS (SELECT metric, sum(CASE WHEN i = 1 THEN value ELSE -value END) AS diff FROM t GROUP BY 1)"""
+HALVES = HALVES.replace("s AS (SELECT {p} AS p, price AS y, 1 AS weight FROM listings), ", "")
 book.on_listings(
     "permutation_test",
-    lambda d: rounded(S.permutation_test(d.withColumn("other", F.expr(PRED["c"])), "price", "predicted_price", "other", 50)),
-    f"{L}, e AS (SELECT round, abs(price - predicted_price) - abs(price - ({PRED['c']})) AS d, {SIGN} AS u FROM listings, (SELECT CAST(unnest(range(50)) AS INTEGER) AS round)), r AS (SELECT round, abs(avg(CASE WHEN u < 0.5 THEN d ELSE -d END)) AS v, avg(d) AS seen FROM e GROUP BY 1) SELECT round(max(seen), 4) AS diff, round((1 + count(*) FILTER (v >= abs(seen))) / (1.0 + count(*)), 4) AS p FROM r",
+    lambda d: rounded(S.permutation_test(both(d), "price", "predicted_price", "other", ROUNDS)),
+    f"{L}, {HALVES} SELECT metric, round(any_value(diff), 4) AS diff, round(avg(CASE WHEN abs(d) >= abs(diff) THEN 1.0 ELSE 0.0 END), 4) AS p FROM e JOIN z USING (metric) GROUP BY 1",
 )
 book.on_listings("stars", lambda d: d.select("id", S.stars((F.col("id") % 1000).cast("double") / 10000).alias("stars")), f"{L}, p AS (SELECT id, CAST(id % 1000 AS DOUBLE) / 10000 AS p FROM listings) SELECT id, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END AS stars FROM p")
 FT = ["house_area", "land_area", "lat", "lon", "predicted_price"]
@@ -139,20 +166,18 @@ AK = f"{L}, v AS (SELECT price AS v, CAST(count(*) AS DOUBLE) AS l, " + ", ".joi
 book.on_listings("anderson_k", lambda d: rounded(S.anderson_k(d, "price", "category", SEG), 3), AK)
 book.on_listings("qq_table", lambda d: rounded(S.qq_table(d, "price")))
 MODELS = {"a": "predicted_price", "c": "other"}
-both = lambda d: d.withColumn("other", F.expr(PRED["c"]))
 book.on_listings(
     "bootstrap_select",
-    lambda d: rounded(S.bootstrap_select(both(d), "category", "price", MODELS, "rmse", 10)),
-    f"{L}, {boot('a', 'predicted_price', 10, 'category')}, {boot('c', PRED['c'], 10, 'category')}, m AS (SELECT a.key AS category, avg(a.value) AS x, avg(c.value) AS z, avg(CASE WHEN c.value <= a.value THEN 1.0 ELSE 0.0 END) AS ca, avg(CASE WHEN a.value <= c.value THEN 1.0 ELSE 0.0 END) AS ac FROM a JOIN c USING (key, round, metric) WHERE metric = 'rmse' GROUP BY 1) SELECT category, CASE WHEN x <= z THEN 'a' ELSE 'c' END AS best, CASE WHEN x <= z THEN 'c' ELSE 'a' END AS second, round(CASE WHEN x <= z THEN ca ELSE ac END, 4) AS p FROM m",
+    lambda d: rounded(S.bootstrap_select(both(d), "category", "price", MODELS, "rmse", ROUNDS)),
+    f"{L}, {WEIGHTS}, {boot('a', 'predicted_price', 'category')}, {boot('c', PRED['c'], 'category')}, m AS (SELECT a.key AS category, avg(a.value) AS x, avg(c.value) AS z, avg(CASE WHEN c.value <= a.value THEN 1.0 ELSE 0.0 END) AS ca, avg(CASE WHEN a.value <= c.value THEN 1.0 ELSE 0.0 END) AS ac FROM a JOIN c USING (key, round, metric) WHERE metric = 'rmse' GROUP BY 1) SELECT category, CASE WHEN x <= z THEN 'a' ELSE 'c' END AS best, CASE WHEN x <= z THEN 'c' ELSE 'a' END AS second, round(CASE WHEN x <= z THEN ca ELSE ac END, 4) AS p FROM m",
 )
 
 
 def compared(d):
     rows = both(d)
-    ci = S.bootstrap_ci(rows, [], "price", "predicted_price", 10).withColumn("model", F.lit("a")).unionByName(S.bootstrap_ci(rows, [], "price", "other", 10).withColumn("model", F.lit("c")))
-    return S.comparison_table(ci, S.bootstrap_diff(rows, "price", "other", "predicted_price", 10).withColumn("model", F.lit("c")), "model", "a", ["a", "c"])
+    ci = S.bootstrap_ci(rows, [], "price", "predicted_price", ROUNDS).withColumn("model", F.lit("a")).unionByName(S.bootstrap_ci(rows, [], "price", "other", ROUNDS).withColumn("model", F.lit("c")))
+    return S.comparison_table(ci, S.bootstrap_diff(rows, "price", "other", "predicted_price", ROUNDS).withColumn("model", F.lit("c")), "model", "a", ["a", "c"])
 
 
 book.on_listings("comparison_table", compared)
-yearly = lambda d: d.withColumn("month", F.trunc("listed_at", "year"))
-book.on_listings("drift_table", lambda d: rounded(S.drift_table(M.price_describe(yearly(d), ["month"], "predicted_price"), S.month_drift(yearly(d), "month", "price", "predicted_price", 5), "month"), 2))
+book.on_listings("drift_table", lambda d: rounded(S.drift_table(M.price_describe(monthly(d), ["month"], "predicted_price"), S.month_drift(monthly(d), "month", "price", "predicted_price", ROUNDS), "month"), 2))
