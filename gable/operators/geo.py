@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gable.functions import geo as G
+from gable.operators.nearest import with_nearest
 from gable.operators.order import quantile_row
 
 # Highways by their name in an address.
@@ -43,47 +42,26 @@ def nearest_of_list(lat: Column, lon: Column, cities: list[tuple[str, float, flo
     return F.array_min(F.transform(rows, lambda c: F.struct(G.haversine(lat, lon, c["lat"], c["lon"]).alias("km"), c["place"].alias("place"), c["name"].alias("name"))))
 
 
-#: Widths in degrees of the grids by which points meet cities, one after the other; the last one holds the earth in nine cells.
-WIDTHS = (0.5, 4.0, 32.0, 512.0)
-
-
-def nearest_city(points: DataFrame, cities: DataFrame, ident: str = "id", lat: str = "lat", lon: str = "lon", prefix: str = "city", widths: tuple[float, ...] = WIDTHS) -> DataFrame:
+def nearest_city(points: DataFrame, cities: DataFrame, ident: str = "id", lat: str = "lat", lon: str = "lon", prefix: str = "city") -> DataFrame:
     """(ident, <prefix>_name, <prefix>_km): the city nearest in degrees, its distance by great circle.
 
-    cities: (name, latitude, longitude). Each city is entered in its cell of a grid and the eight around it, so a point finds
-    in its own cell every city within a cell's width. Points with none that near go on to the next, wider grid. Points
-    without a coordinate, and all if there is no city, keep their row with nulls; repeated idents stay apart.
+    cities: (name, latitude, longitude). Points without a coordinate, and all if there is no city, keep their row with nulls;
+    repeated idents stay apart. See with_nearest().
     """
-    there = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
-    rest = points.select(ident, there(lat).alias("_lat"), there(lon).alias("_lon"))
-    places = cities.select("name", F.col("latitude").alias("clat"), F.col("longitude").alias("clon"))
-    around = F.explode(F.array(*[F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x in (-1, 0, 1) for y in (-1, 0, 1)]))
-    d2 = lambda c: (F.col("_lat") - c["clat"]) * (F.col("_lat") - c["clat"]) + (F.col("_lon") - c["clon"]) * (F.col("_lon") - c["clon"])
-    pick = lambda c: F.struct(d2(c).alias("d2"), c["name"].alias("name"), c["clat"].alias("clat"), c["clon"].alias("clon"))
-    settled = []
-    for width in widths:
-        at = lambda c: F.floor(F.col(c) / F.lit(width))  # noqa: B023, E731
-        cells = places.withColumn("_s", around).groupBy((at("clat") + F.col("_s.dx")).alias("_gx"), (at("clon") + F.col("_s.dy")).alias("_gy")).agg(F.collect_list(F.struct("name", "clat", "clon")).alias("_all"))
-        got = rest.join(cells, (at("_lat") == F.col("_gx")) & (at("_lon") == F.col("_gy")), "left").select(ident, "_lat", "_lon", F.array_min(F.transform("_all", pick)).alias("best"))
-        near = F.coalesce(F.col("best.d2") <= width * width, F.lit(False))
-        settled.append(got if width == widths[-1] else got.where(near))
-        rest = got.where(~near).select(ident, "_lat", "_lon")
-    best = reduce(DataFrame.unionByName, settled)
-    km = G.haversine(F.col("_lat"), F.col("_lon"), F.col("best.clat"), F.col("best.clon"))
-    return best.select(ident, F.col("best.name").alias(f"{prefix}_name"), km.alias(f"{prefix}_km"))
+    best = with_nearest(points.select(ident, F.col(lat).cast("double").alias("_lat"), F.col(lon).cast("double").alias("_lon")), cities, "_lat", "_lon", "_near")
+    km = G.haversine(F.col("_lat"), F.col("_lon"), F.col("_near.latitude"), F.col("_near.longitude"))
+    return best.select(ident, F.col("_near.name").alias(f"{prefix}_name"), km.alias(f"{prefix}_km"))
 
 
 def azimuth_features(df: DataFrame, cities: DataFrame, capitals: dict[str, tuple[float, float]], lat: str = "lat", lon: str = "lon", region: str = "region", ident: str = "id") -> DataFrame:
     """(ident, azimuth_sin, azimuth_cos) from the point of the region's capital, or else from the nearest first-level city."""
     first = cities.where(F.col("feature_code").isin("PPLC", "PPLA"))
-    near = nearest_city(df, first, ident, lat, lon).select(ident, F.col("city_name").alias("_name"))
-    place = first.groupBy("name").agg(F.min("latitude").alias("_a"), F.min("longitude").alias("_b"))
-    out = df.join(near, ident).join(F.broadcast(place), F.col("_name") == F.col("name"))
-    a, b = F.col("_a"), F.col("_b")
+    out = with_nearest(df.select(ident, F.col(lat).cast("double").alias("_lat"), F.col(lon).cast("double").alias("_lon"), F.col(region).alias("_region")), first, "_lat", "_lon", "_near")
+    a, b = F.col("_near.latitude"), F.col("_near.longitude")
     for word, (x, y) in capitals.items():
-        hit = F.lower(region).contains(word)
+        hit = F.lower("_region").contains(word)
         a, b = F.when(hit, F.lit(x)).otherwise(a), F.when(hit, F.lit(y)).otherwise(b)
-    z = F.radians(G.azimuth(a, b, F.col(lat), F.col(lon)))
+    z = F.radians(G.azimuth(a, b, F.col("_lat"), F.col("_lon")))
     return out.select(ident, F.sin(z).alias("azimuth_sin"), F.cos(z).alias("azimuth_cos"))
 
 

@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from gable.operators import encode as E
 from gable.operators import fraud as FR
 from gable.operators import geo as G
 from gable.operators import sampling as S
+from gable.operators.nearest import PlaceTree, with_nearest
 from gable.operators.order import ranked_draws, running
 from gable.plans import registry
 from gable.sources.readers import extract_listings, new_rows, url_id
@@ -93,13 +95,13 @@ def test_polygon(spark):
     assert [r.i for r in got] == [True, False, False] and got[0].d == 0 and abs(got[2].d - 111.19) < 0.1
 
 
-def test_many_cities_by_grid(spark):
+def test_many_cities_in_shares(spark):
     points = spark.range(200).select("id", (F.col("id") * 37 % 100 / 10.0).alias("lat"), (F.col("id") * 53 % 100 / 10.0).alias("lon"))
     cities = spark.range(30).select(F.format_string("c%02d", "id").alias("name"), (F.col("id") * 61 % 97 / 10.0).alias("latitude"), (F.col("id") * 29 % 89 / 10.0).alias("longitude"))
     there = cities.collect()
     near = {p.id: min(((p.lat - c.latitude) ** 2 + (p.lon - c.longitude) ** 2, c.name) for c in there) for p in points.collect()}
-    for widths in (G.WIDTHS, (0.1, 1.0, 512.0)):
-        got = {r.id: r.city_name for r in G.nearest_city(points, cities, widths=widths).collect()}
+    for most in (1000, 7):
+        got = {r.id: r.near.name for r in with_nearest(points, cities, "lat", "lon", "near", most).collect()}
         by = {c.name: c for c in there}
         assert len(got) == 200
         for p in points.collect():
@@ -107,6 +109,19 @@ def test_many_cities_by_grid(spark):
             assert (p.lat - c.latitude) ** 2 + (p.lon - c.longitude) ** 2 == pytest.approx(near[p.id][0])
 
 
+def test_dense_places_equal_brute_force():
+    rng = np.random.default_rng(9)
+    x, y = np.concatenate([rng.normal(0, 1e-3, 150_000), rng.uniform(-90, 90, 50_000)]), np.concatenate([rng.normal(0, 1e-3, 150_000), rng.uniform(-180, 180, 50_000)])
+    x[:500], y[:500] = 0.0, 0.0  # places that coincide
+    tree, px, py = PlaceTree(x, y), np.append(rng.normal(0, 0.002, 150), rng.uniform(-90, 90, 151)), np.append(rng.normal(0, 0.002, 150), rng.uniform(-180, 180, 151))
+    px[300], py[300] = 0.0, 0.0
+    found, d2 = tree.nearest(px, py)
+    for i in range(len(px)):
+        d = (px[i] - x) ** 2 + (py[i] - y) ** 2
+        assert found[i] == d.argmin() and d2[i] == d.min()
+    assert max(len(n[0]) for n in tree.nodes if len(n) == 1) <= 500 and PlaceTree(x[:0], y[:0]).nearest(px, py)[0].max() == -1
+
+
 def test_texts(spark):
     def step(fn, text):
         return spark.createDataFrame([(text,)], "t string").select(fn(F.col("t"))).first()[0]
