@@ -78,6 +78,13 @@ def row_hash(ident: str, text: str) -> Column:
     return F.xxhash64(F.col(ident).isNull(), F.col(ident), F.col(text))
 
 
+def least_row(df: DataFrame) -> Column:
+    """Aggregate: the row of df, as a struct, whose columns are least; maps and variants, which have no order, go by their text."""
+    plain = lambda c: not any(k in df.schema[c].dataType.simpleString() for k in ("map<", "variant"))
+    quoted = {c: F.col(f"`{c}`") for c in df.columns}
+    return F.min_by(F.struct(*quoted.values()), F.struct(*[q if plain(c) else F.to_json(F.struct(q)) for c, q in quoted.items()]))
+
+
 def slices(batch: pa.RecordBatch, most: int = SLICE) -> Iterator[pa.RecordBatch]:
     """batch in parts of about `most` bytes of strings and binaries; a longer row is a part of its own."""
     size = np.full(batch.num_rows, 16, np.int64)

@@ -34,12 +34,17 @@ def near_vectors(vectors: DataFrame, ident: str = "vec_id", vector: str = "embed
     lengths never link. Equal vectors are collapsed first and counted back by their number, so a vector that a third of
     the rows share is compared once. A pair at the threshold escapes all tables with probability `miss`; above it, less.
     An empty table gives an empty one.
+
+    ident may be of any type that has an order. Rows are told apart by themselves, not by ident: rows that repeat an ident
+    with different vectors have links, component and kept of their own, and rows that repeat both count as copies. A null
+    ident is no smallest one: component_id is null, and kept true, only where all rows of a component have none.
     """
     v = F.col(vector).cast("array<double>")
     usable = F.coalesce(F.size(v) > 0, F.lit(False)) & F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
     usable &= F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
     rows = vectors.select(F.col(ident).alias("_id"), F.when(usable, v).alias("_v"))
-    classes = written(rows.where("_v is not null").groupBy("_v").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    classes = rows.where("_v is not null").groupBy("_v").agg(F.min("_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    classes = written(classes.withColumn("rep", F.monotonically_increasing_id()))  # written once, so the numbers stay
     bits, tables = tables_for(classes.count(), threshold, miss)
     single = vectors.schema[vector].dataType.elementType.simpleString() == "float"
     width = np.dtype("<f4") if single else np.dtype("<f8")  # as wide as the input, compared as double
@@ -71,7 +76,7 @@ def near_vectors(vectors: DataFrame, ident: str = "vec_id", vector: str = "embed
             names=["rep", "copies", "vec", "signs", "keys"],
         )
 
-    signed = map_arrow(classes, hashed, "rep long, copies long, vec binary, signs binary, keys array<long>")
+    signed = map_arrow(classes.select("rep", "copies", "_v"), hashed, "rep long, copies long, vec binary, signs binary, keys array<long>")
     spread = signed.select("rep", "copies", "vec", "signs", F.posexplode("keys").alias("tab", "key"))
 
     def compared(table: pa.Table) -> dict | None:
@@ -110,11 +115,13 @@ def near_vectors(vectors: DataFrame, ident: str = "vec_id", vector: str = "embed
     counts = found.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("others"))
     joined = connected_components(found.where("n = 0"))
     known = classes.join(counts, "rep", "left").join(joined.withColumnRenamed("id", "rep"), "rep", "left")
-    known = known.select(F.col("_v").alias("_c"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("k"))
+    known = known.select(F.col("_v").alias("_c"), (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n"), "least", "component")
+    lead = known.where("component is not null").groupBy(F.col("component").alias("_component")).agg(F.min("least").alias("k"))
+    known = known.join(lead, F.col("component") == F.col("_component"), "left").select("_c", "n", F.coalesce("k", "least").alias("k"))
     out = rows.join(known, F.col("_v") == F.col("_c"), "left")
     return out.select(
         F.col("_id").alias(ident),
         F.coalesce("n", F.lit(0)).cast("long").alias("n_links"),
         F.coalesce("k", "_id").alias("component_id"),
-        (F.coalesce("k", "_id") == F.col("_id")).alias("kept"),
+        F.coalesce("k", "_id").eqNullSafe(F.col("_id")).alias("kept"),
     )

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gable.llm.common import fresh, written
+from gable.llm.common import fresh, least_row, written
 
 
 def content_hash(text: Column) -> Column:
@@ -69,4 +69,4 @@ def without_copies(docs: DataFrame, ident: str = "doc_id", text: str = "text", k
     stay = exact_groups(docs, ident, text, keep).where("kept").select(key(F.col("text_sha256")).alias(stayed)).distinct()
     rows = docs.withColumn(row, key(F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256)))
     rows = rows.join(stay.hint("merge"), F.col(row) == F.col(stayed), "left_semi")
-    return rows.groupBy(row).agg(F.min(F.struct(*docs.columns)).alias(least)).select(f"{least}.*")
+    return rows.groupBy(row).agg(least_row(docs).alias(least)).select(f"{least}.*")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gable.llm.common import SHINGLE, SIMILAR, MinHash, band_keys, by_group, forest, fresh, map_arrow, mix, paired_blocks, row_hash, shingle_sets, written
+from gable.llm.common import SHINGLE, SIMILAR, MinHash, band_keys, by_group, forest, fresh, least_row, map_arrow, mix, paired_blocks, row_hash, shingle_sets, written
 from gable.llm.components import connected_components
 
 #: MinHash values and how many make a band: at similarity 0.8 a pair shares no band with probability 5e-8.
@@ -174,4 +174,4 @@ def one_of_each(docs: DataFrame, ident: str = "doc_id", text: str = "text", thre
     stayed, row, least = fresh(docs, "stay", "row", "least")
     stay = _near(docs, ident, text, threshold, SHINGLE).where("kept").select(F.col("_r").alias(stayed)).distinct()
     rows = docs.withColumn(row, row_hash(ident, text)).join(stay.hint("merge"), F.col(row) == F.col(stayed), "left_semi")
-    return rows.groupBy(row).agg(F.min(F.struct(*docs.columns)).alias(least)).select(f"{least}.*")
+    return rows.groupBy(row).agg(least_row(docs).alias(least)).select(f"{least}.*")

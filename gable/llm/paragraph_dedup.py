@@ -28,11 +28,11 @@ from gable.llm.common import SHINGLE, SIMILAR, MinHash, by_group, fresh, grams,
 from gable.llm.components import connected_components
 
 #: Places on both sides of a cut; bands of one MinHash value each; words that a repeated passage must have.
-RADIUS, BANDS, LEAST_WORDS = 5, 3, 40
+RADIUS, BANDS, LEAST_WORDS = 5, 3, 18
 #: Words between two seeds that may belong together, how far their distances may differ, words fetched around a candidate.
 REACH, SLACK = 64, 8
 #: Words in a row that may differ inside a passage, and stretches of agreement that are looked at together.
-GAP, RUNS = 16, 64
+GAP, RUNS = 16, 1024
 #: Places of fetched text on the side of the first paragraph are rounded to it, so that candidates share what they fetch.
 GRID = 64
 _LAST = 2**63 - 1

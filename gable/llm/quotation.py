@@ -9,13 +9,14 @@ with the message that they answer, in an order in which every answer follows wha
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gable.llm.common import map_arrow, written
+from gable.llm.common import by_group, map_arrow, written
 from gable.llm.components import connected_components
 
 _SIGNS = re.compile(r"^((?:[ \t]?>)+)[ \t]?")
@@ -77,18 +78,58 @@ def latest_before(asked: DataFrame, known: DataFrame) -> DataFrame:
     return inside.join(tops, ["th", "h", "part"], "left").select("th", "h", "od", F.coalesce("before", "top").alias("src")).where("src is not null").distinct()
 
 
-def thread_ranks(across: DataFrame, rounds: int = 20) -> DataFrame:
-    """(th, thread_rank) of threads that answer others: one more than the largest rank of those they answer.
+#: Links of a component that one task ranks; larger components are ranked level by level over all tasks.
+LINKS = 50_000
 
-    Empty if ranks don't settle, as when threads answer each other in a circle.
+
+def levels(a: list[int], b: list[int]) -> dict[int, int]:
+    """Rank of each thread of a: one more than the largest rank of those in b that it answers; 0 in a circle and behind one."""
+    waits, behind = defaultdict(int), defaultdict(list)
+    for x, y in zip(a, b):
+        waits[x] += 1
+        behind[y].append(x)
+    rank, ready_ = {}, [y for y in behind if y not in waits]
+    while ready_:
+        after = []
+        for y in ready_:
+            for x in behind[y]:
+                rank[x] = max(rank.get(x, 0), rank.get(y, 0) + 1)
+                waits[x] -= 1
+                if not waits[x]:
+                    after.append(x)
+        ready_ = after
+    return {x: rank[x] if not n else 0 for x, n in waits.items()}
+
+
+def thread_ranks(across: DataFrame, named: DataFrame, links: int = LINKS) -> DataFrame:
+    """(th, thread_rank) of threads a that answer threads b: one more than the largest rank of those they answer, from 0.
+
+    Threads that answer each other in a circle, and those that wait for one of them, have rank 0; other threads of the
+    table, and of the same component, keep theirs. named: (id, component). Components of up to `links` links are ranked in a task each, however
+    long their chains; in larger ones a level a round is ranked, as many rounds as there are levels.
     """
-    ranks = across.select(F.col("a").alias("th")).distinct().withColumn("thread_rank", F.lit(1)).checkpoint()
-    for _ in range(rounds):
-        new = across.join(ranks.withColumnRenamed("th", "b"), "b", "left").groupBy(F.col("a").alias("th")).agg((F.max(F.coalesce("thread_rank", F.lit(0))) + 1).alias("thread_rank")).checkpoint()
-        if new.exceptAll(ranks).isEmpty():
-            return ranks
-        ranks = new
-    return ranks.limit(0)
+    of = written(across.join(named, F.col("a") == F.col("id")).select("component", "a", "b"))
+    large = written(of.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > links).select("component"))
+
+    def solve(table: pa.Table) -> dict[str, list]:
+        got = levels(table["a"].to_pylist(), table["b"].to_pylist())
+        return {"th": list(got), "thread_rank": list(got.values())}
+
+    out = by_group(of.join(large, "component", "left_anti"), ["component"], solve, "th long, thread_rank long")
+    rest = written(of.join(large, "component", "left_semi").select("a", "b"))
+    if rest.isEmpty():
+        return out
+    asked = rest.select("a").distinct()
+    done = written(rest.select(F.col("b").alias("th")).distinct().join(asked, F.col("th") == F.col("a"), "left_anti").withColumn("thread_rank", F.lit(0).cast("long")))
+    new = done
+    while not new.isEmpty():
+        # threads all of whose answered ones have a rank, one of them since the last round
+        near = rest.join(new.select(F.col("th").alias("b")), "b", "left_semi").select("a").distinct().join(done.select(F.col("th").alias("a")), "a", "left_anti")
+        full = rest.join(near, "a").join(done.withColumnRenamed("th", "b"), "b", "left").groupBy(F.col("a").alias("th"))
+        new = written(full.agg(F.count_if(F.col("thread_rank").isNull()).alias("open"), (F.max("thread_rank") + 1).alias("thread_rank")).where("open = 0").drop("open"))
+        done = done.unionByName(new)
+    ranked = asked.withColumnRenamed("a", "th").join(done, "th", "left").select("th", F.coalesce("thread_rank", F.lit(0)).cast("long").alias("thread_rank"))
+    return out.unionByName(ranked)
 
 
 def linked(messages: DataFrame, thread: str = "conv_id", order: str = "turn", author: str = "role", text: str = "text") -> DataFrame:
@@ -101,8 +142,8 @@ def linked(messages: DataFrame, thread: str = "conv_id", order: str = "turn", au
     (the latest, if several).
 
     Threads joined by an answer form one conversation, named by its smallest thread. conversation_id, thread_rank, thread,
-    order is an order of reading in which answers follow: a thread comes after those it answers (where threads
-    answer each other in a circle, the threads of the table that answer others all have rank 0 and stand in the order of their numbers).
+    order is an order of reading in which answers follow: a thread comes after those it answers. Threads that answer
+    each other in a circle, and threads behind one, have rank 0 and stand in the order of their numbers; no other does for them.
 
     thread and order are integers; a message whose thread or order is null keeps its row and is not linked. Null texts
     are empty; passages of no words link with nothing; rows that repeat thread and order each keep a row. An
@@ -137,9 +178,10 @@ def linked(messages: DataFrame, thread: str = "conv_id", order: str = "turn", au
     answers = written(agreed.groupBy("th", "od", "r").agg(F.count(F.lit(1)).alias("n_linked"), F.max(F.when(F.col("level") == 1, F.col("to"))).alias("to")))
 
     across = written(answers.where("to is not null and to.th != th").select(F.col("th").alias("a"), F.col("to.th").alias("b")).distinct())
-    named, ranks = connected_components(across), thread_ranks(across)
+    named = written(connected_components(across))
+    ranks = thread_ranks(across, named)
     out = rows.join(answers.withColumnsRenamed({"th": "_th", "od": "_od", "r": "_r"}).hint("merge"), (F.col("r") == F.col("_r")) & (F.col("th") == F.col("_th")) & (F.col("od") == F.col("_od")), "left")
-    out = out.join(written(named), F.col("th") == F.col("id"), "left").join(written(ranks.withColumnRenamed("th", "_rt")), F.col("th") == F.col("_rt"), "left")
+    out = out.join(named, F.col("th") == F.col("id"), "left").join(written(ranks.withColumnRenamed("th", "_rt")), F.col("th") == F.col("_rt"), "left")
     return out.select(
         F.coalesce("component", "th").alias("conversation_id"),
         F.coalesce("thread_rank", F.lit(0)).cast("long").alias("thread_rank"),
