@@ -11,7 +11,7 @@ import json
 from dataclasses import asdict, dataclass, field
 
 from pyspark.ml import Estimator, Model
-from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReader, MLWriter
+from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -104,7 +104,7 @@ class ListingFeatures(Estimator):
         return ListingFeaturesModel(spec, tables)
 
 
-class ListingFeaturesModel(Model):
+class ListingFeaturesModel(Model, MLWritable, MLReadable):
     """transform() gives ident, is_outlier and the features of each row; see FeatureSpec.names().
 
     Rows of cells that were not seen take the global medians and a count of 0; label values that were not seen take the

@@ -2,21 +2,26 @@
 
 from __future__ import annotations
 
+import math
+import threading
+from concurrent.futures import ThreadPoolExecutor, as_completed
 from functools import reduce
 from random import Random
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import HashingTF, RegexTokenizer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gable.operators.metrics import metrics_by
+from gable.operators.metrics import metrics_by, r2
+from gable.operators.stages import LinearSVR, TermWeights
 
 LEARNERS = {
     "gbt": lambda **p: GBTRegressor(seed=1, **p),
     "rf": lambda **p: RandomForestRegressor(seed=1, **p),
-    # in place of a linear support-vector regressor: squared loss with a ridge penalty
+    "svr": lambda **p: LinearSVR(**p),
     "linear": lambda **p: LinearRegression(**({"regParam": 0.1} | p)),
 }
 
@@ -25,10 +30,9 @@ def assemble(features: list[str]) -> VectorAssembler:
     return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="skip")
 
 
-def with_text(features: list[str], text: str, size: int) -> Pipeline:
-    """Assembly of features and a text column's words, hashed to `size` counts."""
-    words = RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"[^\p{L}\p{N}]+")
-    return Pipeline(stages=[words, HashingTF(inputCol="_words", outputCol="_terms", numFeatures=size), assemble([*features, "_terms"])])
+def with_text(features: list[str], text: str, size: int, ident: str = "id", **weights) -> Pipeline:
+    """Assembly of features and the TF-IDF weights of a text column's `size` most frequent words; weights: see TermWeights."""
+    return Pipeline(stages=[TermWeights(text, "_terms", ident, size, **weights), assemble([*features, "_terms"])])
 
 
 def both_scales(df: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
@@ -39,7 +43,7 @@ def both_scales(df: DataFrame, keys: list[str], y: str, p: str) -> DataFrame:
 
 
 def fit(df: DataFrame, learner: str, features: list[str], target: str, text: str | None = None, terms: int = 64, **params) -> PipelineModel:
-    """A pipeline of assembly and learner; with text, its words hashed to `terms` counts are features too, so a search can choose their number."""
+    """A pipeline of assembly and learner; with text, the TF-IDF weights of its `terms` most frequent words are features too, so a search can choose their number."""
     model = LEARNERS[learner](featuresCol="features", labelCol=target, predictionCol="prediction", **params)
     return Pipeline(stages=[*(with_text(features, text, terms).getStages() if text else [assemble(features)]), model]).fit(df)
 
@@ -54,21 +58,75 @@ def score(df: DataFrame, model, ident: str = "id") -> DataFrame:
 def cross_validate(df: DataFrame, fold: str, k: int, learner: str, features: list[str], target: str, scales: bool = False, **params) -> DataFrame:
     """(fold, r2, rmse, smape, medape), with scales (fold, scale, ...): one fit for each fold, their predictions together."""
     parts = [fit(df.where(F.col(fold) != i), learner, features, target, **params).transform(df.where(F.col(fold) == i)) for i in range(k)]
-    together = reduce(DataFrame.unionByName, parts)
+    together = reduce(DataFrame.unionByName, parts).select(fold, target, "prediction").persist()  # read for sums and for medians
     return both_scales(together, [fold], target, "prediction") if scales else metrics_by(together, [fold], target, "prediction")
 
 
-def search(df: DataFrame, fold: str, k: int, learner: str, features: list[str], target: str, space: dict[str, tuple], trials: int, seed: int = 1) -> DataFrame:
-    """(trial, params, objective): random candidates from (low, high) or a list of values; a failed trial gets minus infinity."""
-    rng, rows = Random(seed), []
-    for t in range(trials):
-        params = {n: rng.choice(v) if isinstance(v, list) else rng.randint(*v) if isinstance(v[0], int) else rng.uniform(*v) for n, v in space.items()}
+def drawn(space: dict, trial: int, seed: int) -> dict:
+    """Parameters of a trial, the same whenever it is drawn. A space has, by name, a list of values, (low, high) of whole or real
+    numbers, ("log", low, high), or {"of": one of these, "when": {name: values}} for a parameter that only such trials have, its
+    conditions named before it."""
+    rng, out = Random(f"{seed}|{trial}"), {}
+    for name, of in space.items():
+        if isinstance(of, dict):
+            if any(out.get(n) not in values for n, values in of["when"].items()):
+                continue
+            of = of["of"]
+        if isinstance(of, list):
+            out[name] = rng.choice(of)
+        elif of[0] == "log":
+            out[name] = math.exp(rng.uniform(math.log(of[1]), math.log(of[2])))
+        else:
+            out[name] = rng.randint(*of) if isinstance(of[0], int) and isinstance(of[1], int) else rng.uniform(*of)
+    return out
+
+
+TRIAL = "trial int, params map<string,string>, folds int, objective double, error string"
+
+
+def search(df: DataFrame, fold: str, k: int, learner: str, features: list[str], target: str, space: dict, trials: int, seed: int = 1, parallel: int = 4, store: str | None = None) -> DataFrame:
+    """(trial, params, folds, objective, error): mean R2 over folds; a failed trial gets minus infinity and its error's name.
+
+    The fold table is stored once. Trials run side by side, `parallel` at a time, in threads with a scheduler pool each. All see the first
+    fold; then the worse half stops there (folds is 1), whatever the order in which trials ended, and the others go on to all k. A parameter
+    `learner` chooses the learner. With `store`, a folder, each trial is appended to it as JSON when it ends.
+    """
+    spark = df.sparkSession
+    df = df.persist()
+
+    def fold_score(params: dict, i: int) -> float:
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"trial-{threading.get_ident() % parallel}")
+        own = {n: v for n, v in params.items() if n != "learner"}
+        rows = fit(df.where(F.col(fold) != i), params.get("learner", learner), features, target, **own).transform(df.where(F.col(fold) == i))
+        got = rows.agg(r2(target, "prediction").alias("v")).first()["v"]
+        return float("-inf") if got is None else float(got)
+
+    def run(work: tuple[int, dict, list[float], range]) -> tuple:
+        trial, params, before, folds = work
         try:
-            value = cross_validate(df, fold, k, learner, features, target, **params).agg(F.avg("r2")).first()[0]
+            scores, error = before + [fold_score(params, i) for i in folds], None
         except Exception as e:  # a trial's failure is a result of the search
-            value, params = float("-inf"), params | {"error": type(e).__name__}
-        rows.append((t, {a: str(b) for a, b in params.items()}, float(value if value is not None else "-inf")))
-    return df.sparkSession.createDataFrame(rows, "trial int, params map<string,string>, objective double")
+            scores, error = [float("-inf")], type(e).__name__
+        return trial, params, scores, error
+
+    def ended(done: list[tuple]) -> list[tuple]:
+        rows = [(t, {a: str(b) for a, b in p.items()}, len(s) if e is None else 0, sum(s) / len(s), e) for t, p, s, e in done]
+        if store and rows:
+            spark.createDataFrame(rows, TRIAL).coalesce(1).write.mode("append").json(store)
+        return rows
+
+    try:
+        with ThreadPoolExecutor(parallel) as pool:
+            go = inheritable_thread_target(spark)(run) if parallel > 1 else run
+            first = list(pool.map(go, [(t, drawn(space, t, seed), [], range(1)) for t in range(trials)]))
+            good = sorted((x for x in first if x[3] is None), key=lambda x: (-x[2][0], x[0]))[: -(-trials // 2)] if k > 1 else []
+            kept = {x[0] for x in good}
+            rows = ended([x for x in first if x[0] not in kept])
+            for future in as_completed([pool.submit(go, (t, p, s, range(1, k))) for t, p, s, _ in good]):
+                rows += ended([future.result()])
+    finally:
+        df.unpersist()
+    return spark.createDataFrame(sorted(rows), TRIAL)
 
 
 def sweep(df: DataFrame, fold: str, k: int, target: str, configurations: list[dict]) -> DataFrame:

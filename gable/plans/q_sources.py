@@ -14,6 +14,8 @@ from gable.operators import pipeline as PL
 from gable.operators import sampling as S
 from gable.plans.base import GAZETTEER_BODY, Book, L, gazetteer, listings, rounded, table
 from gable.plans.q_clean import MODE, PRIO, YEAR
+from gable.operators.stages import TermWeights
+from gable.plans.q_text import book as TEXTS
 from gable.sources import readers as R
 from gable.streaming.ingest import ingest
 
@@ -163,7 +165,7 @@ def assemble(s, d):
 
 @book.add("assemble_text")
 def assemble_text(s, d):
-    """Numbers beside hashed terms of a text column, as one pipeline; the vector's length and its sum of term counts."""
+    """Numbers beside TF-IDF weights of a text column, as one pipeline; the vector's length and the sum of its weights."""
     from pyspark.ml.functions import vector_to_array
 
     rows = worded(s, d)
@@ -174,6 +176,7 @@ def assemble_text(s, d):
 book.add("fit_gbt")(lambda s, d: holdout(s, d, "gbt", maxIter=5, maxDepth=3))
 book.add("fit_rf")(lambda s, d: holdout(s, d, "rf", numTrees=5, maxDepth=5))
 book.add("fit_linear")(lambda s, d: holdout(s, d, "linear"))
+book.add("fit_svr")(lambda s, d: holdout(s, d, "svr", c=0.01, epsilon=0.1))
 
 
 @book.add("holdout_eval")
@@ -186,7 +189,22 @@ def holdout_eval(s, d):
 
 book.add("cv_eval")(lambda s, d: rounded(MD.cross_validate(S.strat_kfold(S.qcut(framed(s, d), "price", 10), "bin", 3), "fold", 3, "linear", FEATURES, "price", scales=True)))
 worded = lambda s, d: framed(s, d).join(listings(s, d).select("id", F.concat_ws(" ", "category", "region").alias("words")), "id")
-book.add("param_search")(lambda s, d: MD.search(S.strat_kfold(S.qcut(worded(s, d), "price", 10), "bin", 3), "fold", 3, "linear", FEATURES, "price", {"regParam": (0.0, 1.0), "maxIter": [5, 10], "terms": [4, 8], "text": ["words"]}, 2))
+SPACE = {"learner": ["linear", "rf", "svr"], "text": ["words"], "terms": [4, 8], "regParam": {"of": ("log", 1e-3, 1.0), "when": {"learner": ["linear"]}}, "numTrees": {"of": (3, 6), "when": {"learner": ["rf"]}}, "c": {"of": ("log", 1e-3, 1.0), "when": {"learner": ["svr"]}}}
+book.add("param_search")(lambda s, d: MD.search(S.strat_kfold(S.qcut(worded(s, d), "price", 10), "bin", 3), "fold", 3, "linear", FEATURES, "price", SPACE, 6))
+
+
+@book.add("tfidf_stage", TEXTS.oracles["tfidf"])
+def tfidf_stage(s, d):
+    """The weights of the TF-IDF stage, written with a pipeline and read back, as a long table."""
+    from pyspark.ml import Pipeline, PipelineModel
+    from pyspark.ml.functions import vector_to_array
+
+    rows, path = table(s, d, "documents"), scratch(s)
+    Pipeline(stages=[TermWeights("text", "weights", "doc_id", 100_000, minDF=5, maxDF=0.5, sublinear=True)]).fit(rows).save(path)
+    model = PipelineModel.load(path)
+    terms = s.createDataFrame(list(enumerate(model.stages[0].terms)), "i int, term string")
+    each = model.transform(rows).select("doc_id", F.posexplode(vector_to_array("weights")).alias("i", "weight")).where("weight <> 0")
+    return rounded(each.join(terms, "i").select("doc_id", "term", "weight"))
 
 
 @book.add("model_roundtrip")
