@@ -11,11 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gable.llm.common import SHINGLE, fresh, map_arrow, ready, release, shingle_sets, slices, written
+from gable.llm.common import SHINGLE, fresh, map_arrow, ready, release, shingle_sets, slices
 
 #: Hashes in a sketch, and their bits. The error of a resemblance J is about sqrt(J (1 - J) / SIZE), 0.044 at most.
 SIZE, BITS = 128, 40
@@ -179,6 +178,31 @@ def _results(texts: list[str], following: list[str], own: list[np.ndarray], thei
     }
 
 
+#: Ranges at most, and rows of the sample for each range.
+RANGES, SAMPLED = 1 << 16, 16
+
+
+def _ranged(rows: DataFrame) -> DataFrame:
+    """rows (_id, _h, ...) with `_range`: how many of the edges are not greater than (_id, _h), nulls first; four ranges a shuffle partition."""
+    spark, n = rows.sparkSession, rows.count()
+    ranges = max(1, min(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), n // 64, RANGES))
+    share = F.pmod(F.xxhash64("_id", "_h", F.lit(1)), F.lit(max(1, n // (ranges * SAMPLED))))
+    sample = rows.where(share == 0).select("_id", "_h").distinct().sort("_id", "_h").collect() if ranges > 1 else []
+    edges = [tuple(sample[i * len(sample) // ranges]) for i in range(1, ranges)] if sample else []
+    edges = list(dict.fromkeys(edges))
+    if not edges:
+        return rows.withColumn("_range", F.lit(0))
+    # two steps: which stretch of about sqrt(edges), then how many edges within it
+    step = max(1, round(len(edges) ** 0.5))
+    kind = f"array<struct<id:{rows.schema['_id'].dataType.simpleString()},h:bigint>>"
+    parts = [edges[i : i + step] for i in range(0, len(edges), step)]
+    table = spark.createDataFrame([([p[0] for p in parts], parts)], f"_coarse {kind}, _fine array<{kind}>")
+    upto = lambda edges: F.size(F.filter(edges, lambda e: e <= F.struct(F.col("_id").alias("id"), F.col("_h").alias("h"))))
+    cut = rows.join(F.broadcast(table)).withColumn("_c", upto(F.col("_coarse")))
+    inside = F.when(F.col("_c") > 0, (F.col("_c") - 1) * step + upto(F.element_at("_fine", F.greatest("_c", F.lit(1))))).otherwise(0)
+    return cut.withColumn("_range", inside.cast("int")).drop("_coarse", "_fine", "_c")
+
+
 _TYPES = [pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64(), pa.float64(), pa.float64()]
 
 
@@ -191,54 +215,42 @@ def edited_fingerprints(docs: DataFrame, ident: str = "doc_id", text: str = "tex
     text; after the last comes the first, so a single row is followed by itself. A null text is empty; two texts without a word
     are alike (1). Other columns are not read; an empty table gives an empty one.
 
-    Documents are sorted over all tasks, whole texts are shuffled once, and each task holds a few megabytes. Of each task the
-    first row and the last one, which waits for the next task's first, are joined afterwards by the tasks' numbers.
+    Documents are dealt to ranges of (ident, hash of the text), whose edges come from a bounded sample, so ranges are even and the
+    same in every pass; the first document of each range is sent to the range before it as well. Whole texts are shuffled
+    once and nothing is written. Each task holds a few megabytes.
     """
     spark = ready(docs.sparkSession)
     kind = docs.schema[ident].dataType.simpleString()
-    rows = docs.select(F.col(ident).alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t"))
-    order = [F.desc_nulls_last("_id"), F.xxhash64("_t")]
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    columns = ["_id", "_task", "_role", "_t", *[f.split()[0] for f in _FIELDS.split(", ")]]
-
-    def batch(ids: pa.Array, task: int, role: int, texts: list[str | None], fields: dict[str, list]) -> pa.RecordBatch:
-        n = len(ids)
-        head = [ids, pa.array([task] * n, pa.int32()), pa.array([role] * n, pa.int32()), pa.array(texts, pa.string())]
-        return pa.RecordBatch.from_arrays([*head, *[pa.array(fields.get(c, [None] * n), t) for c, t in zip(columns[4:], _TYPES)]], columns)
+    rows = docs.select(F.col(ident).alias("_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_t")).withColumn("_h", F.xxhash64("_t"))
+    ranged = _ranged(rows)
+    # a row a range, at most RANGES: where the first documents of ranges go besides
+    first = sorted(((r["_range"], tuple(r["_head"])) for r in ranged.groupBy("_range").agg(F.max(F.struct("_id", "_h")).alias("_head")).collect()), key=lambda x: x[0])
+    after = [r for r, _ in first[1:] + first[:1]]
+    heads = spark.createDataFrame([(r, h, a) for (r, h), a in zip(first, after)], f"_range int, _head struct<_id:{kind},_h:bigint>, _also int")
+    both = F.array_compact(F.array(F.struct(F.col("_range").alias("range"), F.lit(0).alias("guest")), F.when(F.struct("_id", "_h") == F.col("_head"), F.struct(F.col("_also").alias("range"), F.lit(1).alias("guest")))))
+    dealt = ranged.join(F.broadcast(heads), "_range").select("_id", "_t", "_h", F.explode(both).alias("_d")).select("_id", "_t", "_h", "_d.range", "_d.guest")
+    dealt = dealt.repartition("range").sortWithinPartitions("range", "guest", F.desc_nulls_last("_id"), F.desc("_h")).select("_id", "_t", "range", "guest")
+    names = ["_id", *[f.split()[0] for f in _FIELDS.split(", ")]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, waits = TaskContext.get().partitionId(), None
+        waits = None  # the row before, with its range
         for whole in batches:
             for part in slices(whole):
-                ids, texts = part.column(0), part.column(1).to_pylist()
+                ids, texts, where, guest = part.column(0), *[part.column(i).to_pylist() for i in (1, 2, 3)]
                 own = sketches_of(texts)
-                if waits is None:
-                    yield batch(ids[:1], task, 1, texts[:1], {})
-                else:
-                    ids, texts, own = pa.concat_arrays([waits[0], ids]), [waits[1], *texts], [waits[2], *own]
-                if len(texts) > 1:
-                    yield batch(ids[:-1], task, 0, [None] * (len(texts) - 1), _results(texts[:-1], texts[1:], own[:-1], own[1:]))
-                waits = (ids[-1:], texts[-1], own[-1])
-        if waits is not None:
-            yield batch(waits[0], task, 2, [waits[1]], {})
+                if waits is not None:
+                    ids = pa.concat_arrays([waits[0], ids])
+                    texts, where, guest, own = [waits[1], *texts], [waits[2], *where], [waits[3], *guest], [waits[4], *own]
+                # the row after a range's last one is its guest
+                at = [i for i in range(len(texts) - 1) if not guest[i] and where[i] == where[i + 1]]
+                if at:
+                    got = _results([texts[i] for i in at], [texts[i + 1] for i in at], [own[i] for i in at], [own[i + 1] for i in at])
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), *[pa.array(got[c], k) for c, k in zip(names[1:], _TYPES)]], names)
+                waits = (ids[-1:], texts[-1], where[-1], guest[-1], own[-1])
         release()
 
-    made = written(rows.mapInArrow(run, f"_id {kind}, _task int, _role int, _t string, {_FIELDS}"))
-    # as many numbers as tasks
-    tasks = sorted(r[0] for r in made.where("_role = 1").select("_task").collect())
-    after = spark.createDataFrame(list(zip([tasks[-1], *tasks[:-1]], tasks)) if tasks else [], "_task int, _next int")
-    first = made.where("_role = 1").select(F.col("_task").alias("_next"), F.col("_t").alias("_f"))
-    ends = made.where("_role = 2").select("_id", "_task", "_t").join(after, "_task").join(first, "_next").select("_id", "_t", "_f")
-
-    def fn(part: pa.RecordBatch) -> pa.RecordBatch:
-        texts, following = part.column(1).to_pylist(), part.column(2).to_pylist()
-        got = _results(texts, following, sketches_of(texts), sketches_of(following))
-        return pa.RecordBatch.from_arrays([part.column(0), *[pa.array(got[c], t) for c, t in zip(columns[4:], _TYPES)]], ["_id", *columns[4:]])
-
-    rest = map_arrow(ends, fn, f"_id {kind}, {_FIELDS}")
-    all_ = made.where("_role = 0").select("_id", *columns[4:]).unionByName(rest)
     line = lambda c: F.regexp_replace(F.base64(c), r"\s", "")
-    return all_.select(
+    return dealt.mapInArrow(run, f"_id {kind}, {_FIELDS}").select(
         F.col("_id").alias(ident),
         "n_chars",
         "edited_sha256",
