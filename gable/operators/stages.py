@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml import Estimator, Model
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter, MLReadable, MLReader, MLWritable, MLWriter
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -162,7 +162,7 @@ class TermWeights(Estimator):
 
 
 class TermWeightsModel(_Stored):
-    """Counts of known terms as sparse vectors, times their inverse document frequencies, normed: no row is shuffled."""
+    """Counts of known terms as sparse vectors (dense ones if sublinear), times their inverse document frequencies, normed: no row is shuffled."""
 
     def __init__(self, terms: list[str], idf: list[float], text: str, out: str, low: int, high: int, sublinear: bool, norm: str | None):
         super().__init__()
@@ -176,17 +176,11 @@ class TermWeightsModel(_Stored):
         words, counts, weights = (f"_{n}_{self.uid}" for n in ("words", "counts", "weights"))
         out = dataset.withColumn(words, ngrams(tokens(F.col(self.text)), self.low, self.high))
         if not self.terms:
-            return out.withColumn(self.out, F.udf(lambda _: Vectors.sparse(0, []), VectorUDT())(words)).drop(words)
+            return out.withColumn(self.out, array_to_vector(F.array().cast("array<double>"))).drop(words)
         out = CountVectorizerModel.from_vocabulary(self.terms, inputCol=words, outputCol=counts).transform(out)
-        if self.sublinear:  # the library has no stage for it
-            idf, norm = np.array(self.idf), self.norm
-
-            def weigh(v: SparseVector) -> SparseVector:
-                w = (1.0 + np.log(v.values)) * idf[v.indices]
-                size = {"l2": np.sqrt(w @ w), "l1": np.abs(w).sum(), None: 1.0}[norm]
-                return SparseVector(v.size, v.indices, w / size if len(w) else w)
-
-            return out.withColumn(self.out, F.udf(weigh, VectorUDT())(counts)).drop(words, counts)
+        if self.sublinear:  # no stage takes logarithms, so these counts pass through an array
+            logs = F.transform(vector_to_array(counts), lambda x: F.when(x > 0, 1.0 + F.log(x)).otherwise(0.0))
+            out = out.withColumn(counts, array_to_vector(logs))
         out = ElementwiseProduct(scalingVec=Vectors.dense(self.idf), inputCol=counts, outputCol=weights).transform(out)
         if self.norm:
             out = Normalizer(p=float(self.norm[1:]), inputCol=weights, outputCol=self.out).transform(out)
