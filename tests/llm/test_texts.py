@@ -320,7 +320,7 @@ def test_aligned():
     apart = w[:60] + other + w[60:120]
     assert sorted(aligned(apart, w[:120], 0)) == [(0, 60, 0, 60)]
     assert aligned(["y"] * 50_000, ["y"] * 60, 0)[0][2:] == (0, 60)
-    assert aligned([], [], 0) == [] == aligned(["x"] * 39, ["x"] * 39, 0)
+    assert aligned([], [], 0) == [] == aligned(["x"] * 17, ["x"] * 17, 0)
 
 
 def test_repeats_with_null_and_repeated_ids(spark):
