@@ -16,11 +16,12 @@ one of a link goes. Linked passages that overlap in a document are one node; com
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -191,64 +192,128 @@ def candidates(docs: DataFrame) -> DataFrame:
     return links.mapInArrow(_chains, "doc long, r long, ldoc long, lr long, place long, lplace long, last long")
 
 
-def aligned(a: list[str], b: list[str], diag: int, threshold: float = SIMILAR, least: int = LEAST_WORDS) -> list[tuple[int, int, int, int]]:
-    """Similar passages of two lists of words near the diagonal (place in b less place in a): start and end in a, start and end in b.
+def _numbered(texts: pa.Array) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Numbers of the words (between single blanks) and of the shingles of each text, equal exactly where the words are."""
+    split = pc.split_pattern(texts, " ")
+    words = split.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = split.offsets.to_numpy()
+    five = np.empty(0, np.int64)
+    if len(words) >= SHINGLE:
+        size = int(words.max()) + 1
+        two = np.unique(words[:-1] * size + words[1:], return_inverse=True)[1]
+        four = np.unique(two[:-2] * len(two) + two[2:], return_inverse=True)[1]
+        five = np.unique(four[:-1] * size + words[SHINGLE - 1 :], return_inverse=True)[1]
+    bounds = list(zip(ends[:-1].tolist(), ends[1:].tolist()))
+    return [words[s:e] for s, e in bounds], [five[s : max(s, e - SHINGLE + 1)] for s, e in bounds]
+
+
+def _runs(wa: np.ndarray, wb: np.ndarray, ga: np.ndarray, gb: np.ndarray, diag: int) -> list[tuple[int, int, int, int]]:
+    """Stretches of equal shingles near the diagonal, rising in both lists: first and last shingle in a, in b."""
+    places = np.argsort(gb, kind="stable")
+    rising = gb[places]
+    low, high = rising.searchsorted(ga), rising.searchsorted(ga, side="right")
+    shared = np.flatnonzero(low < high)
+    runs: list[tuple[int, int, int, int]] = []
+    k = 0
+    while k < len(shared):
+        i = int(shared[k])
+        k += 1
+        want = i + (runs[-1][3] - runs[-1][1] if runs and i - runs[-1][1] <= REACH else diag)
+        at = places[low[i] : high[i]]
+        if len(at) > 1:
+            m = int(at.searchsorted(want))
+            at = at[max(0, m - 1) : m + 1]
+        j = int(at[0] if len(at) == 1 or want - at[0] <= at[1] - want else at[1])
+        if abs(j - want) > 2 * SLACK or (runs and j <= runs[-1][3]):
+            continue
+        n = min(len(wa) - i, len(wb) - j)
+        other = wa[i : i + n] != wb[j : j + n]
+        same = int(other.argmax()) if other.any() else n
+        runs.append((i, i + same - SHINGLE, j, j + same - SHINGLE))
+        k = int(shared.searchsorted(runs[-1][1] + 1))
+    return runs
+
+
+def _before(g: np.ndarray) -> np.ndarray:
+    """For each place the last one before it that holds the same number, -1 where there is none."""
+    order = np.argsort(g, kind="stable")
+    out = np.full(len(g), -1)
+    again = np.flatnonzero(g[order][1:] == g[order][:-1])
+    out[order[again + 1]] = order[again]
+    return out
+
+
+def _alike(block: list[tuple[int, int, int, int]], ga: np.ndarray, gb: np.ndarray, threshold: float, least: int) -> list[tuple[int, int, int, int]]:
+    """The longest of consecutive runs whose whole shingle sets reach the threshold, then the longest of what is left, and so on.
+
+    For each first run, one pass over the shingles tells the sizes of both sets and what they share up to each last run.
+    """
+    r = np.array(block)
+    n, base, lbase = len(r), int(r[0, 0]), int(r[0, 2])
+    ga, gb = ga[base : r[-1, 1] + 1], gb[lbase : r[-1, 3] + 1]
+    r = r - np.array([base, base, lbase, lbase])
+    known, number = np.unique(np.append(ga, gb), return_inverse=True)
+    ga, gb, size = number[: len(ga)], number[len(ga) :], len(known)
+    sides = [(g, _before(g), np.searchsorted(ends, np.arange(len(g)))) for g, ends in ((ga, r[:, 1]), (gb, r[:, 3]))]
+    found = []
+    for x in range(n):
+        since, counts = [], []
+        for (g, before, run), begin in zip(sides, (r[x, 0], r[x, 2])):
+            first = begin + np.flatnonzero(before[begin:] < begin)
+            at = np.full(size, n)
+            at[g[first]] = run[first]
+            since.append(at)
+            counts.append(np.cumsum(np.bincount(run[first], minlength=n)))
+        both = np.cumsum(np.bincount(np.maximum(*since), minlength=n + 1)[:n])
+        fits = both >= threshold * (counts[0] + counts[1] - both) - 1e-9
+        fits &= np.minimum(r[:, 1] - r[x, 0], r[:, 3] - r[x, 2]) + SHINGLE >= least
+        fits[:x] = False
+        found += [(x, y) for y in np.flatnonzero(fits).tolist()]
+        if x == 0 and fits[-1]:
+            break
+    taken = np.zeros(n, bool)
+    out = []
+    for x, y in sorted(found, key=lambda w: r[w[0], 0] - r[w[1], 1]):
+        if not taken[x : y + 1].any():
+            taken[x : y + 1] = True
+            out.append((base + int(r[x, 0]), base + int(r[y, 1]) + SHINGLE, lbase + int(r[x, 2]), lbase + int(r[y, 3]) + SHINGLE))
+    return out
+
 
-    Stretches of equal words are joined across at most GAP differing words. Of the stretches so joined, the longest run
-    whose whole shingle sets reach the threshold is a passage, then what is left on both sides of it.
+def _aligned(wa: np.ndarray, wb: np.ndarray, ga: np.ndarray, gb: np.ndarray, diag: int, threshold: float = SIMILAR, least: int = LEAST_WORDS) -> list[tuple[int, int, int, int]]:
+    """Similar passages of texts a and b, as numbers of their words and shingles, near the diagonal (place in b less place in a).
+
+    A passage is its start and end in a, then in b. Stretches of equal words are joined across at most GAP differing words.
+    Of the stretches so joined, the longest run whose whole shingle sets reach the threshold is a passage, then what is left
+    on both sides of it.
     """
     n = SHINGLE
-    if min(len(a), len(b)) < max(n, least):
+    if min(len(wa), len(wb)) < max(n, least):
         return []
-    ga, gb = list(zip(*(a[k:] for k in range(n)))), list(zip(*(b[k:] for k in range(n))))
-    places: dict[tuple, list[int]] = {}
-    for j, g in enumerate(gb):
-        places.setdefault(g, []).append(j)
-    runs: list[list[int]] = []  # first and last shingle in a, in b
-    for i, g in enumerate(ga):
-        if runs and i == runs[-1][1] + 1 and runs[-1][3] + 1 < len(gb) and gb[runs[-1][3] + 1] == g:  # the run goes on
-            runs[-1][1] += 1
-            runs[-1][3] += 1
-        elif at := places.get(g):
-            want = i + (runs[-1][3] - runs[-1][1] if runs and i - runs[-1][1] <= REACH else diag)
-            k = bisect_left(at, want)
-            j = min(at[max(0, k - 1) : k + 1], key=lambda p: abs(p - want))
-            if abs(j - want) > 2 * SLACK:
-                continue
-            if not runs or j > runs[-1][3]:
-                runs.append([i, i, j, j])
-    blocks: list[list[list[int]]] = []
-    for r in runs:
+    blocks: list[list[tuple[int, int, int, int]]] = []
+    for r in _runs(wa, wb, ga, gb, diag):
         near = blocks and r[0] - blocks[-1][-1][1] - n <= GAP and r[2] - blocks[-1][-1][3] - n <= GAP and len(blocks[-1]) < RUNS
         if near:
             blocks[-1].append(r)
         else:
             blocks.append([r])
     out = []
-    while blocks:
-        block = blocks.pop()
+    for block in blocks:
         if block[-1][1] + n - block[0][0] < least or block[-1][3] + n - block[0][2] < least:
             continue
         if len(block) == 1:  # equal words
             out.append((block[0][0], block[0][1] + n, block[0][2], block[0][3] + n))
-            continue
-        r = np.array(block)
-        common = np.append(0, np.cumsum(r[:, 1] - r[:, 0] + 1))
-        c = common[None, 1:] - common[:-1, None]  # [first run, last run]
-        span_a, span_b = r[None, :, 1] - r[:, None, 0] + 1, r[None, :, 3] - r[:, None, 2] + 1
-        fits = np.triu((c >= (threshold - 0.1) * (span_a + span_b - c)) & (np.minimum(span_a, span_b) + n - 1 >= least))
-        order = np.argwhere(fits)
-        for x, y in order[np.argsort(-span_a[fits], kind="stable")].tolist():
-            s, e, ls, le = block[x][0], block[y][1], block[x][2], block[y][3]
-            p, q = set(ga[s : e + 1]), set(gb[ls : le + 1])
-            k = len(p & q)
-            if k >= threshold * (len(p) + len(q) - k) - 1e-9:
-                out.append((s, e + n, ls, le + n))
-                blocks += [part for part in (block[:x], block[y + 1 :]) if part]
-                break
+        else:
+            out += _alike(block, ga, gb, threshold, least)
     return out
 
 
+def aligned(a: list[str], b: list[str], diag: int, threshold: float = SIMILAR, least: int = LEAST_WORDS) -> list[tuple[int, int, int, int]]:
+    """_aligned for two lists of words without blanks."""
+    (wa, wb), (ga, gb) = _numbered(pa.array([" ".join(a), " ".join(b)]))
+    return _aligned(wa, wb, ga, gb, diag, threshold, least)
+
+
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Overlapping spans as one."""
     out: list[list[int]] = []
@@ -292,9 +357,17 @@ def similar_passages(rows: DataFrame, threshold: float, least: int) -> DataFrame
     pairs = here.join(there.hint("merge"), ["ldoc", "lr", "ls", "le"])
 
     def compared(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        both = pa.concat_arrays([batch.column("words"), batch.column("lwords")]).dictionary_encode()  # copies share their texts
+        words, grams = _numbered(both.dictionary)
+        text = both.indices.to_pylist()
+        seen: dict[tuple[int, int, int], list[tuple[int, int, int, int]]] = {}
         out = []
-        for doc, r, s, words, ldoc, lrow, ls, lwords, diag in zip(*(batch.column(x).to_pylist() for x in ("doc", "r", "s", "words", "ldoc", "lrow", "ls", "lwords", "diag"))):
-            for x, y, lx, ly in aligned(words.split(" "), lwords.split(" "), diag + s - ls, threshold, least):
+        for k, (doc, r, s, ldoc, lrow, ls, diag) in enumerate(zip(*(batch.column(x).to_pylist() for x in ("doc", "r", "s", "ldoc", "lrow", "ls", "diag")))):
+            a, b = text[k], text[k + batch.num_rows]
+            key = a, b, diag + s - ls
+            if key not in seen:
+                seen[key] = _aligned(words[a], words[b], grams[a], grams[b], key[2], threshold, least)
+            for x, y, lx, ly in seen[key]:
                 one, two = (doc, r, s + x, s + y), (ldoc, lrow, ls + lx, ls + ly)
                 if one[:2] != two[:2] or one[2] >= two[3] or two[2] >= one[3]:
                     out.append((*max(one, two), *min(one, two)))

@@ -1,18 +1,20 @@
 """Token counts, language, packing and repeated passages: against the libraries, held-out labels and brute force."""
 
 import random
+import time
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from gable.llm.language_id import identified, in_known_language
 from gable.llm.packing import ShardIndex, fill, packed, powers
 from gable.llm.packing import best_unused as m_best
-from gable.llm.paragraph_dedup import Paragraphs, aligned, repeated_passages, without_repeats
+from gable.llm.paragraph_dedup import SHINGLE, Paragraphs, _alike, _numbered, _runs, aligned, repeated_passages, without_repeats
 from gable.llm.token_counts import PATTERN, counted, unsure, whole_tokens
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -323,6 +325,50 @@ def test_aligned():
     assert aligned([], [], 0) == [] == aligned(["x"] * 17, ["x"] * 17, 0)
 
 
+def longest_by_hand(block, a, b, threshold, least):
+    """The longest window of runs that reaches the threshold by whole sets, then the longest of those that don't meet it."""
+    left, found = [], []
+    for x in range(len(block)):
+        for y in range(x, len(block)):
+            s, e, ls, le = block[x][0], block[y][1], block[x][2], block[y][3]
+            p, q = ({tuple(t[k : k + SHINGLE]) for k in range(i, j + 1)} for t, i, j in ((a, s, e), (b, ls, le)))
+            if min(e - s, le - ls) + SHINGLE >= least and len(p & q) >= threshold * len(p | q) - 1e-9:
+                left.append((x, y, (s, e + SHINGLE, ls, le + SHINGLE)))
+    for x, y, passage in sorted(left, key=lambda w: w[2][0] - w[2][1]):
+        if all(y < v or w < x for v, w, _ in found):
+            found.append((x, y, passage))
+    return sorted(f[2] for f in found)
+
+
+def test_longest_windows_of_runs():
+    """One pass a first run gives what whole sets give for every window, with words that repeat, too."""
+    some = 0
+    for seed in range(60):
+        rng = random.Random(seed)
+        a = ["w%d" % rng.randrange(rng.choice([6, 3000])) for _ in range(300)]
+        b = [w if rng.random() > rng.choice([0.02, 0.06]) else "x%d" % rng.randrange(9) for w in a]
+        (wa, wb), (ga, gb) = _numbered(pa.array([" ".join(a), " ".join(b)]))
+        runs = _runs(wa, wb, ga, gb, 0)
+        if len(runs) > 1:
+            got = sorted(_alike(runs, ga, gb, 0.8, 18))
+            assert got == longest_by_hand(runs, a, b, 0.8, 18)
+            some += len(got)
+    assert some > 60
+
+
+def test_long_edited_texts_align_soon():
+    """Thousands of words with hundreds of edits that keep the whole below the threshold: seconds, not minutes."""
+    rng = random.Random(5)
+    a = ["w%d" % rng.randrange(4000) for _ in range(9000)]
+    b = [w if rng.random() > 0.05 else "x" for w in a]
+    began = time.monotonic()
+    got = aligned(a, b, 0)
+    assert time.monotonic() - began < 20 and got
+    for s, e, ls, le in got:
+        p, q = ({tuple(t[k : k + SHINGLE]) for k in range(i, j - SHINGLE + 1)} for t, i, j in ((a, s, e), (b, ls, le)))
+        assert len(p & q) >= 0.8 * len(p | q) - 1e-9
+
+
 def test_repeats_with_null_and_repeated_ids(spark):
     rng = random.Random(3)
     some = lambda n: " ".join("w%d" % rng.randrange(5000) for _ in range(n))
