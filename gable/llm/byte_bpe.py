@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 #: Documents (about, drawn by a hash of their text) whose words are counted for the literal map of words, words in it, and buckets of the two maps.
 SAMPLE, WORDS, BUCKETS = 20_000, 65_536, 65_536
-#: Ids in a stretch from which all pairs of a rank are merged in one step, not one by one.
+#: Ids in a stretch from which all pairs of a rank that come next are merged in one step, not one by one; the ids are the same.
 LONG = 48
 _NONE = 2**31 - 1
 
@@ -105,7 +105,7 @@ def fold(c: Column, word: Column, size: int) -> Column:
         return F.transform(F.array(F.array_position(s["r"], low).cast("int")), at)[0]
 
     def every(s: Column, low: Column) -> Column:
-        """s with all pairs of rank low merged; of pairs that overlap, as in a run of one byte, every second one."""
+        """s with the pairs of rank low merged as one by one from the left; of pairs that overlap, as in a run of one byte, every second one."""
 
         def spliced(sel: Column) -> Column:  # sel: places of the left ones, from 0
             begin = lambda j: F.when(j == 0, F.lit(1)).otherwise(F.get(sel, j - 1) + 3)
@@ -117,7 +117,14 @@ def fold(c: Column, word: Column, size: int) -> Column:
         def apart(at: Column) -> Column:
             first = F.filter(at, lambda i, k: (k == 0) | (F.get(at, k - 1) != i - 1))
             last = F.filter(at, lambda i, k: F.coalesce(F.get(at, k + 1) != i + 1, F.lit(True)))
-            return F.transform(F.array(F.flatten(F.zip_with(first, last, lambda a, b: F.sequence(a, b, F.lit(2))))), spliced)[0]
+            return F.transform(F.array(F.flatten(F.zip_with(first, last, lambda a, b: F.sequence(a, b, F.lit(2))))), in_order)[0]
+
+        def in_order(sel: Column) -> Column:
+            """Merges up to the first after which a neighbour ranks lower than low, so that it must come before the rest."""
+            before = lambda i, k: F.when((k > 0) & (F.get(sel, k - 1) == i - 2), low).otherwise(F.get(s["p"], i - 1))
+            lower = lambda i, k: F.least(rank(before(i, k), low), rank(low, F.get(s["p"], i + 2))) < low
+            upto = lambda stop: F.transform(F.array(F.filter(sel, lambda i: F.coalesce(i <= F.get(stop, F.lit(0)), F.lit(True)))), spliced)[0]
+            return F.transform(F.array(F.filter(sel, lower)), upto)[0]
 
         return F.transform(F.array(F.filter(F.sequence(F.lit(0), F.size(s["r"]) - 1), lambda i: s["r"][i] == low)), apart)[0]
 

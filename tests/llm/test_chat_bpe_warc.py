@@ -188,3 +188,25 @@ def test_tree_roots(spark):
     roots = tree(rows, k, 4).where(F.col("level") == k)
     assert roots.count() == 5 and roots.agg(F.max("node"), F.max("offset")).first()[:] == (0, 0)
     assert roots.agg(F.sum("size")).first()[0] == rows.agg(F.sum("size")).first()[0]
+
+
+def test_long_words_in_order_of_ranks(spark, tmp_path):
+    """Rank files in which a merge makes a pair that comes before others of its own rank: as the library does, at any length."""
+    import base64
+
+    import tiktoken
+
+    rng = random.Random(3)
+    # a token that a merge must wait for: abc, made of bc, ranks before bc
+    files = [[b"bcbc", b"abc", b"bc", b"ca"], [b"aba", b"ab", b"aab", b"aa", b"aaaa"]]
+    files += [sorted({"".join(rng.choices("abc", k=rng.randint(2, 5))).encode() for _ in range(30)}, key=lambda _: rng.random()) for _ in range(6)]
+    texts = ["abcbc" * 15, "abcbc" * 4, "a" * 333, "ab" * 100, "aab" * 70, *["".join(rng.choices("abc", k=rng.randint(40, 260))) for _ in range(60)]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for n, tokens in enumerate(files):
+        ranks = {bytes([b]): b for b in range(256)} | {t: 256 + i for i, t in enumerate(tokens)}
+        path = tmp_path / f"{n}.tiktoken"
+        path.write_bytes(b"".join(base64.b64encode(t) + b" %d\n" % r for t, r in ranks.items()))
+        library = tiktoken.Encoding(f"made{n}", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        rows, _ = encoded(docs, str(path), public_tokenizers.PATTERN)
+        got = {r.doc_id: list(r.ids) for r in rows.collect()}
+        assert all(got[i] == library.encode_ordinary(t) for i, t in enumerate(texts)), n
