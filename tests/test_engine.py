@@ -71,6 +71,16 @@ def test_modes_and_labels(spark):
     assert {r.value: r.code for r in E.label_codes(df, "k").collect()} == {"NaN": 0, "a": 1, "b": 2}
 
 
+def test_labels_of_a_large_domain(spark, monkeypatch):
+    monkeypatch.setattr(E, "DRAWN", 60)
+    monkeypatch.setattr(E, "RANGES", 13)
+    values = sorted({f"{chr(65 + i * 37 % 600)}{i}" for i in range(2000)} | {"", "NaN", "я", "😀", "￿"})
+    df = spark.createDataFrame([(v,) for v in [*values, *values[:9], None]], "k string")
+    assert {r.value: r.code for r in E.label_codes(df, "k").collect()} == {v: 0 if v == "NaN" else i for i, v in enumerate(values)}
+    numbers = spark.range(500).withColumnRenamed("id", "k")
+    assert {r.value: r.code for r in E.label_codes(numbers, "k").collect()} == {i: i for i in range(500)}
+
+
 def test_bins(spark):
     df = spark.createDataFrame([(i, float(v) if v is not None else None) for i, v in enumerate([1, 1, 1, 1, 2, 3, 4, None])], "id int, v double")
     got = {r.id: r.bin for r in S.qcut(df, "v", 4).collect()}
