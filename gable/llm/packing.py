@@ -16,6 +16,7 @@ import sys
 import zlib
 from array import array
 from collections.abc import Iterator
+from copy import copy
 from functools import lru_cache
 
 import numpy as np
@@ -29,18 +30,23 @@ from gable.llm.token_counts import UNCOMMON, PATTERN, load, one_piece, pre_token
 
 #: Ids in a window; postings (distinct terms of documents) in a shard, on average; BM25's constants.
 WINDOW, SHARD, K1, B = 1024, 250_000, 1.2, 0.75
+#: A term that this share (1 of so many) of a shard's documents hold has a row of weights instead of postings; the scores are the same.
+COMMON = 4
 #: Documents (about, drawn by a hash of their text) from which pivots and the order of terms by rarity are taken, pivots, power of a term's rarity in the hash.
 SAMPLE, PIVOTS, RARITY = 2000, 32, 4
 #: Stretches between spaces whose ids a worker remembers.
 REMEMBERED = 400_000
+#: The pattern without its look ahead, which says the same, and faster, of texts in which no two white characters meet.
+_SINGLE, _TWO_SPACES = PATTERN.replace(r"|\s+(?!\S)", ""), re.compile(r"\s\s").search
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class Encoder:
     """Ids of whole texts, equal to the tokenizers library's without added special tokens.
 
-    A single space between two other characters begins a pre-token, so texts without double spaces are taken apart at
-    spaces first, and what stands between is encoded once while it is remembered.
+    Texts of common characters only, in which all libraries see the same pre-tokens, are merged whole by rank where merges
+    rank as their ids do. In others, as a single space between two other characters begins a pre-token, texts without
+    double spaces are taken apart at spaces first, and what stands between is encoded once while it is remembered.
     """
 
     def __init__(self, path: str):
@@ -59,6 +65,7 @@ class Encoder:
             import tiktoken
 
             self.merge = tiktoken.Encoding("gable", pat_str=PATTERN, mergeable_ranks=self.ranks, special_tokens={}).encode_ordinary
+            self.merge_single = tiktoken.Encoding("gable", pat_str=_SINGLE, mergeable_ranks=self.ranks, special_tokens={}).encode_ordinary
             self.bytes = np.zeros(max(self.ranks.values()) + 1, np.int64)
             self.bytes[list(self.ranks.values())] = [len(t) for t in self.ranks]
 
@@ -90,6 +97,8 @@ class Encoder:
 
     def plain(self, text: str) -> bytes:
         """A text without special strings."""
+        if self.ranks is not None and not UNCOMMON(text):
+            return self.pack((self.merge if _TWO_SPACES(text) else self.merge_single)(text))
         if "  " in text:
             return self.chunk(text)
         head, *rest = text.split(" ")
@@ -135,14 +144,35 @@ class ShardIndex:
         self.doc, self.weight = doc[order], weight[order]
         self.vocab, first, self.size = np.unique(term[order], return_index=True, return_counts=True)
         self.first, self.terms, self.docs = first, terms, len(terms)
+        common = np.flatnonzero(self.size * COMMON >= self.docs)  # as rows: a fourth at least of what these hold is not zero
+        self.row, self.columns = np.full(len(self.vocab), -1), np.arange(self.docs)
+        self.row[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), self.docs))
+        for i, k in enumerate(common):
+            part = slice(first[k], first[k] + self.size[k])
+            self.rows[i, self.doc[part]] = self.weight[part]
+
+    def only(self, wanted: np.ndarray) -> ShardIndex:
+        """The same index without postings of other documents than those wanted, whose scores stay as they are."""
+        out, keep = copy(self), wanted[self.doc]
+        before = np.concatenate([[0], np.cumsum(keep)])
+        out.doc, out.weight = self.doc[keep], self.weight[keep]
+        some = wanted[self.columns]
+        out.columns, out.rows = self.columns[some], self.rows[:, some]
+        out.first, out.size = before[self.first], before[self.first + self.size] - before[self.first]
+        return out
 
     def scores(self, doc: int) -> np.ndarray:
         """BM25 of all documents for the terms of one."""
         at = np.searchsorted(self.vocab, self.terms[doc])
+        row = self.row[at]
+        common, at = row[row >= 0], at[row < 0]
         size = self.size[at]
         ends = np.cumsum(size)
-        places = np.arange(ends[-1]) + np.repeat(self.first[at] - ends + size, size)
-        return np.bincount(self.doc[places], self.weight[places], self.docs)
+        places = np.arange(size.sum()) + np.repeat(self.first[at] - ends + size, size)
+        out = np.bincount(self.doc.take(places), self.weight.take(places), self.docs).astype(float, copy=False)
+        out[self.columns] += self.rows[common].sum(axis=0)
+        return out
 
 
 def best_unused(scores: np.ndarray, used: np.ndarray, first: int = 48) -> Iterator[int]:
@@ -162,7 +192,7 @@ def fill(lengths: list[int], index: ShardIndex, window: int = WINDOW) -> list[li
     """Sequences of (document, start, length) that hold every id once; lengths are those left to pack, 0 for none."""
     used = np.array([x == 0 for x in lengths])
     out, seq, room, nxt = [], [], window, 0
-    seed, at = -1, 0
+    seed, at, held = -1, 0, len(lengths)
     while True:
         if seed < 0:
             while nxt < len(lengths) and used[nxt]:
@@ -176,7 +206,9 @@ def fill(lengths: list[int], index: ShardIndex, window: int = WINDOW) -> list[li
         room -= take
         at += take
         last = seed if at < lengths[seed] else -1
-        if room and not used.all():
+        if room and (free := len(used) - int(np.count_nonzero(used))):
+            if free < 0.9 * held:  # a posting of a used document is not read again
+                index, held = index.only(~used), free
             for j in best_unused(index.scores(seed), used):
                 used[j] = True
                 take = min(room, lengths[j])

@@ -215,6 +215,41 @@ def test_best_unused_is_the_order_of_scores():
     assert sorted(got) == np.flatnonzero(~used).tolist() and (np.diff(s[got]) <= 0).all()
 
 
+def test_fill_reads_no_postings_of_used_documents():
+    """The same sequences as with the whole index throughout, from a good deal fewer postings."""
+
+    class Whole(ShardIndex):
+        read = 0
+
+        def only(self, wanted):
+            return self
+
+        def scores(self, doc):
+            type(self).read += int(self.size[np.searchsorted(self.vocab, self.terms[doc])].sum())
+            return super().scores(doc)
+
+    class Narrowed(Whole):
+        read, only = 0, ShardIndex.only
+
+    rng = np.random.default_rng(3)
+    terms = [np.unique(rng.zipf(1.3, 60) % 900).astype("<u2") for _ in range(300)]
+    lengths = rng.integers(0, 1024, 300).tolist()
+    whole, narrowed = (kind(terms, [np.ones(len(t)) for t in terms], np.full(300, 60.0), np.arange(900) % 7 + 1.0, 60.0) for kind in (Whole, Narrowed))
+    assert fill(lengths, narrowed) == fill(lengths, whole)
+    assert 0 < Narrowed.read < 0.75 * Whole.read
+    wanted = rng.random(300) < 0.4
+    assert (narrowed.only(wanted).scores(5)[wanted] == narrowed.scores(5)[wanted]).all() and not narrowed.only(wanted).scores(5)[~wanted].any()
+
+
+def test_ids_of_whole_texts_are_the_librarys(tok):
+    from gable.llm.packing import encoder
+
+    rng = random.Random(6)
+    texts = ["".join(rng.choices(["a", "th", "don't", "'LL", "'ll", " ", " ", "  ", "\n", "\r\n", "\t", "_", "12", "é", "ñ", "Й", "½", "«", "—", "…", "!?", "ß"], k=40)) for _ in range(400)]
+    for t in [*texts, "x" * 3000, "a" * 700 + "  " + "b1" * 400, "a  ", "  ", "\u0300a \x85 b"]:
+        assert encoder(JSON)(t).tolist() == [*tok.encode(t, add_special_tokens=False).ids, 0], t
+
+
 def test_packing(spark, docs, tok, monkeypatch):
     import gable.llm.packing as m
 
