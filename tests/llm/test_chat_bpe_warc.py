@@ -138,6 +138,26 @@ def test_bpe(spark, sf, enc, monkeypatch):
     assert digests(docs.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_bpe_leaves_no_literals_in_the_driver(spark, sf):
+    """Descriptions of plans stay in the driver: none of them may hold the vocabulary, and the session's settings are as before."""
+    sc, fields = spark.sparkContext._jsc.sc(), spark.conf.get("spark.sql.debug.maxToStringFields")
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def ran():
+        sc.listenerBus().waitUntilEmpty()
+        every = store.executionsList()
+        return {every.apply(i).executionId(): every.apply(i) for i in range(every.size())}
+
+    before = set(ran())
+    assert digests(spark.read.parquet(f"{sf}/documents.parquet").limit(20), RANKS, public_tokenizers.PATTERN).count() == 20
+    new = {i: e for i, e in ran().items() if i not in before}
+    assert new
+    for i, e in new.items():
+        nodes = store.planGraph(i).allNodes()
+        assert len(e.physicalPlanDescription()) + sum(len(nodes.apply(n).desc()) for n in range(nodes.size())) < 200_000
+    assert spark.conf.get("spark.sql.debug.maxToStringFields") == fields
+
+
 def test_short_words_fold_as_long_ones(spark):
     """By packed numbers, one a step, or as words of any length: the same ids, for a made-up file in which a join ranks below its parts too."""
     import gable.llm.byte_bpe as m
