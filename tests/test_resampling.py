@@ -1,8 +1,10 @@
 """Exact quantiles of small groups, resampling by weight matrices, exact signed ranks: against numpy and full enumeration."""
 
 import itertools
+import os
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +125,19 @@ def test_signed_ranks_by_table_and_beyond(spark):
 def test_metrics_by_key(priced):
     got = metrics_by(priced.where("y is not null and p is not null and not isnan(y)"), ["k"], "y", "p").collect()
     assert {r["k"] for r in got} == {"a", "b", None} and all(r["medape"] > 0 for r in got)
+
+
+def test_medians_do_not_depend_on_the_order_in_which_rows_are_read(spark):
+    n, rounds = 300_000, 40
+
+    def stirred(frames):  # another order each time the rows are read
+        yield pd.concat(list(frames)).sample(frac=1.0, random_state=int.from_bytes(os.urandom(4), "big"))
+
+    rows = spark.range(0, n, 1, 3).selectExpr("id", "'a' as k", "100.0D as y", "100.0D + (xxhash64(id) % 1000000007) / 1e8 as p")
+    df = rows.mapInPandas(stirred, rows.schema)
+    want = rows.withColumn("key", row_key(42, F.col("id"))).toPandas()
+    w = bootstrap_weights(rounds)(want["key"].to_numpy().astype(np.uint32))
+    v = (abs(want["y"] - want["p"]) / want["y"]).to_numpy()
+    got = {r["round"]: r["medape"] for r in round_metrics(df, rounds, ["k"], "y", "p").collect()}
+    for r in range(rounds):
+        assert got[r] == pytest.approx(100 * np.median(np.repeat(v, w[:, r])), rel=1e-12)
