@@ -141,3 +141,15 @@ def test_medians_do_not_depend_on_the_order_in_which_rows_are_read(spark):
     got = {r["round"]: r["medape"] for r in round_metrics(df, rounds, ["k"], "y", "p").collect()}
     for r in range(rounds):
         assert got[r] == pytest.approx(100 * np.median(np.repeat(v, w[:, r])), rel=1e-12)
+
+
+def test_drift_counts_only_rounds_in_which_both_months_have_the_metric(spark):
+    # one row has no r2 in any round, and of two the r2 is missing where one of them is not drawn
+    rows = [(i, m, float(10 + 7 * i % 11), float(9 + 5 * i % 13)) for i, m in enumerate("aa" + "b" + "ccc")]
+    df = spark.createDataFrame(rows, "id long, month string, y double, p double")
+    got = {(r["month"], r["metric"]): r for r in S.month_drift(df, "month", "y", "p", 200).collect()}
+    assert ("b", "r2") not in got and ("b", "rmse") in got and ("c", "r2") in got
+    by = {(r["month"], r["round"]): r["r2"] for r in round_metrics(df, 200, ["month"], "y", "p").collect()}
+    both = [(by["c", r], by["a", r]) for r in range(200) if by["c", r] is not None and by["a", r] is not None]
+    assert 0 < len(both) < sum(by["c", r] is not None for r in range(200))
+    assert got["c", "r2"]["mean"] == pytest.approx(np.mean([a for a, _ in both])) and got["c", "r2"]["p"] == pytest.approx(np.mean([a - b >= 0 for a, b in both]))
