@@ -82,3 +82,28 @@ def test_search_is_the_same_whatever_the_order(spark, tmp_path):
     assert 0 < sum(r["folds"] == 3 for r in one) <= 10 and all(("regParam" in r["params"]) == (r["params"]["learner"] == "linear") for r in one)
     stored = spark.read.schema(MD.TRIAL).json(str(tmp_path / "4"))
     assert sorted(r["trial"] for r in stored.collect()) == list(range(20))
+
+
+def test_the_stage_of_the_query_leaves_no_term_out(spark, tmp_path):
+    """More terms than the 100,000 that the stage once held, each in two texts."""
+    n = 104_000
+    letters = lambda k: "".join(chr(97 + k // 26**i % 26) for i in range(4))
+    words = [letters(k) for k in range(n)]
+    rows = [(2 * i + j, " ".join(words[i * 1000 : (i + 1) * 1000])) for i in range(n // 1000) for j in (0, 1)] + [(-1, None), (-2, "42")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    Pipeline(stages=[TermWeights("text", "w", "doc_id", None, minDF=2, sublinear=True)]).fit(docs).save(str(tmp_path / "m"))
+    got = PipelineModel.load(str(tmp_path / "m")).transform(docs).select("doc_id", "w").cache()
+    assert got.count() == len(rows) and got.select(F.explode("w.term").alias("t")).distinct().count() == n
+    sizes = {r["doc_id"]: (r["n"], r["z"]) for r in got.selectExpr("doc_id", "size(w) as n", "aggregate(w, 0D, (a, x) -> a + x.weight * x.weight) as z").collect()}
+    assert sizes.pop(-1) == sizes.pop(-2) == (0, 0.0) and all(a == 1000 and abs(z - 1) < 1e-9 for a, z in sizes.values())
+
+
+def test_a_query_without_a_limit_asks_for_none(monkeypatch, spark, sf):
+    from gable.operators import stages
+
+    asked = []
+    monkeypatch.setattr(stages, "tfidf_fit", lambda counts, n, *bounds: asked.append(bounds) or V.tfidf_fit(counts, n, *bounds))
+    import __spark_entry__ as entry
+
+    entry.queries()["tfidf_stage"](spark, sf)
+    assert asked == [(5, 0.5, None)]
