@@ -42,3 +42,16 @@ def test_pipeline_switches(spark):
     assert one(prices=False, clean=False) == "Дом у р. Клязьма 6x8. Цена 5 млн!"
     assert one(clean=False) == "Дом у р. Клязьма 6x8."
     assert "на 8" in one() and "Цена" in one(prices=False) and " у " not in one(stop=True) and "." not in one(punctuation=True)
+
+
+def test_long_corpora_are_learned_by_several_tasks(spark):
+    from gable.operators.vectors import word_vectors
+
+    rows = [(i, f"red apple sweet juice tree {'blue ocean salty water ship' if i % 2 else ''} word{chr(97 + i % 20)} " * 3) for i in range(400)] + [(-1, None)]
+    df = spark.createDataFrame(rows, "id long, t string")
+    letters = sum(len(t or "") for _, t in rows)
+    for share, tasks in ((letters, 1), (letters - 1, 2), (-(-letters // 4), 4)):
+        model, words = word_vectors(df, "t", share=share)
+        assert model.getNumPartitions() == tasks
+        vocabulary = {r["word"] for r in model.getVectors().collect()}
+        assert {"red", "apple", "ocean", "worda"} <= vocabulary and words.count() == len(rows)
