@@ -107,3 +107,17 @@ def test_a_query_without_a_limit_asks_for_none(monkeypatch, spark, sf):
 
     entry.queries()["tfidf_stage"](spark, sf)
     assert asked == [(5, 0.5, None)]
+
+
+def test_a_sweep_leaves_nothing_stored(spark, tmp_path, monkeypatch):
+    from gable.operators import store
+
+    paths = []
+    monkeypatch.setattr(store, "scratch", lambda s: paths.append(str(tmp_path / str(len(paths)))) or paths[-1])
+    df = spark.range(200).select("id", (F.col("id") % 2).cast("int").alias("fold"), (F.col("id") % 17 * 1.0).alias("a")).withColumn("y", 3 * F.col("a") + F.col("id") % 5)
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    got = MD.sweep(df, "fold", 2, "y", [{"learner": "linear", "features": ["a"]}, {"learner": "linear", "features": ["absent"]}, {"learner": "linear", "features": ["a"], "regParam": 1e4}]).collect()
+    assert [r["error"] for r in got] == [None, "IllegalArgumentException", None] and got[0]["r2"] > 0.9
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == held and len(paths) >= 3 and not list(tmp_path.iterdir())
+    want = MD.cross_validate(df, "fold", 2, "linear", ["a"], "y", regParam=1e4).agg(F.avg("r2")).first()[0]
+    assert got[2]["r2"] == pytest.approx(want)
