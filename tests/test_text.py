@@ -55,3 +55,24 @@ def test_long_corpora_are_learned_by_several_tasks(spark):
         assert model.getNumPartitions() == tasks
         vocabulary = {r["word"] for r in model.getVectors().collect()}
         assert {"red", "apple", "ocean", "worda"} <= vocabulary and words.count() == len(rows)
+
+
+def test_frequent_terms_are_those_of_all_counts(spark, monkeypatch):
+    """Bounds that the most frequent terms break: the search goes on until enough are left, or all terms are seen."""
+    from gable.operators import vectors as V
+
+    rows = [(i, "common " * 9 + "twice " * (i == 3) * 50 + " ".join(f"w{chr(97 + (i * j) % 26)}{chr(97 + j % 7)}" for j in range(1 + i % 30))) for i in range(200)] + [(5, "again wab"), (-1, None)]
+    # 300 words of one text each, more frequent than all others
+    rows += [(1000 + i, f"x{chr(97 + i // 26)}{chr(97 + i % 26)} " * 300) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, t string")
+    n = df.count()
+    for low, high, bounds in ((1, 2, (2, 0.3, 20)), (1, 1, (2, 1.0, 5)), (1, 2, (3, 0.5, 100_000))):
+        whole = V.term_counts(df, "id", "t", low, high)
+        asked = []
+        monkeypatch.setattr(V, "written", lambda d: asked.append(d.columns) or d.cache())
+        few = V.top_term_counts(df, "id", "t", low, high, n, *bounds)
+        assert len(asked) == 2 if bounds[2] > 1000 else len(asked) > 2
+        weights = lambda c: sorted(V.tfidf_apply(c, V.tfidf_fit(c, n, *bounds), "id", False, "l1").collect())  # noqa: E731, B023
+        a, b = weights(few), weights(whole)
+        assert [x[:2] for x in a] == [x[:2] for x in b] and all(abs(x[2] - y[2]) < 1e-12 for x, y in zip(a, b)) and a
+    spark.catalog.clearCache()
